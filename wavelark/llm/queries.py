@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, neighbours, packing, quality, sanitise, simhash, warc
+from . import decontamination, lines, neighbours, packing, quality, sanitise, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.sanitise(_table(spark, sf_dir, "documents")).drop("sanitised")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.membership(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_packing": op3_packing,
         "op4_sanitise": op4_sanitise,
+        "op5_lines": op5_lines,
         "op6_quality": op6_quality,
         "op7_neighbours": op7_neighbours,
         "op8_decontamination": op8_decontamination,
