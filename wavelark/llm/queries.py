@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, lines, neighbours, packing, quality, sanitise, simhash, warc
+from . import decontamination, lines, neighbours, packing, quality, sanitise, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,32 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """The list that op10 joins. The tables hold none, so it is made by rule
+    from the hosts that occur: with h a number from the host's MD5, every
+    third host is blocked from day h % 200 of 2024 on and off the list 60 days
+    later, every fourth is allowed from day h % 300 on, and parent domains
+    with h even are blocked from day 180 on."""
+    number = lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 6), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    hosts = pages.select(urlfilter.host(F.col("url")).alias("domain")).where("domain IS NOT NULL").distinct().withColumn("h", number(F.col("domain")))
+    parents = hosts.select(F.regexp_replace("domain", r"^[^.]*\.", "").alias("domain")).distinct().withColumn("h", number(F.col("domain")))
+    third, fourth = hosts.where("h % 3 = 0"), hosts.where("h % 4 = 1")
+    return (
+        third.select("domain", day(F.col("h") % 200).alias("day"), F.lit("block").alias("action"))
+        .union(third.select("domain", day(F.col("h") % 200 + 60), F.lit("remove")))
+        .union(fourth.select("domain", day(F.col("h") % 300), F.lit("allow")))
+        .union(parents.where("h % 2 = 0").select("domain", day(F.lit(180)), F.lit("block")))
+    )
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch day; page_id gives one of 2024."""
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("day"))
+    return urlfilter.verdicts(captures, dated_list(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -62,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_neighbours": op7_neighbours,
         "op8_decontamination": op8_decontamination,
+        "op10_urls": op10_urls,
     }
 
 
@@ -80,5 +108,35 @@ FROM f
 """
 
 
+_URL_SQL = """
+WITH captures AS (
+    SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+        CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day
+    FROM pages
+), hosts AS (
+    SELECT domain, CAST('0x' || substr(md5(domain), 1, 6) AS INTEGER) AS h FROM (SELECT DISTINCT host AS domain FROM captures WHERE host IS NOT NULL)
+), parents AS (
+    SELECT domain, CAST('0x' || substr(md5(domain), 1, 6) AS INTEGER) AS h FROM (SELECT DISTINCT regexp_replace(domain, '^[^.]*\\.', '') AS domain FROM hosts)
+), entries AS (
+    SELECT domain, DATE '2024-01-01' + CAST(h % 200 AS INTEGER) AS day, 2 AS rank FROM hosts WHERE h % 3 = 0
+    UNION ALL SELECT domain, DATE '2024-01-01' + CAST(h % 200 + 60 AS INTEGER), 0 FROM hosts WHERE h % 3 = 0
+    UNION ALL SELECT domain, DATE '2024-01-01' + CAST(h % 300 AS INTEGER), 1 FROM hosts WHERE h % 4 = 1
+    UNION ALL SELECT domain, DATE '2024-01-01' + 180, 2 FROM parents WHERE h % 2 = 0
+), dated AS (
+    SELECT domain, CAST(day AS DATE) AS since, max(rank) AS rank FROM entries GROUP BY ALL
+), spans AS (
+    SELECT *, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until FROM dated
+), above AS (
+    SELECT page_id, day, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS domain
+    FROM captures
+), met AS (
+    SELECT a.page_id, a.domain, s.since, s.rank, row_number() OVER (PARTITION BY a.page_id ORDER BY length(a.domain) DESC, a.domain DESC) AS place
+    FROM above a JOIN spans s ON a.domain = s.domain AND a.day >= s.since AND (s.until IS NULL OR a.day < s.until) AND s.rank > 0
+)
+SELECT c.page_id, c.host, CASE m.rank WHEN 2 THEN 'block' WHEN 1 THEN 'allow' ELSE 'unlisted' END AS verdict, m.domain, m.since
+FROM captures c LEFT JOIN met m ON c.page_id = m.page_id AND m.place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _WARC_SQL}
+    return {"op2_warc": _WARC_SQL, "op10_urls": _URL_SQL}
