@@ -56,11 +56,29 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
 class Planner:
     """Consumes counts of lengths; left[n] pieces of length n remain."""
 
+    #: Lengths that may run out before the pair sums are indexed anew. An old
+    #: index lists too many sums, never too few.
+    STALE = 24
+
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity = capacity
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
+        self.indexed, self.pair_sums = -1, np.zeros(0, bool)
+
+    def _index(self) -> None:
+        there = self.left > 0
+        present = int(there.sum())
+        if self.indexed < 0 or self.indexed - present > self.STALE:
+            sums = np.rint(np.fft.irfft(np.fft.rfft(there.astype(float), 2 * len(there)) ** 2))
+            self.indexed, self.pair_sums = present, sums[: self.capacity + 1] > 0
+
+    def pair(self, gap: int, free: np.ndarray) -> list[int] | None:
+        """Two available lengths of that sum, as unequal as possible."""
+        low = np.nonzero(free[: gap // 2 + 1] > 0)[0]
+        ok = (free[gap - low] > 0) & ((low * 2 < gap) | (free[low] > 1))
+        return [gap - int(low[i]), int(low[i])] if len(low) and ok[i := int(np.argmax(ok))] else None
 
     def complement(self, gap: int, held: dict[int, int]) -> list[int] | None:
         """One to three available lengths that add up to gap exactly."""
@@ -69,32 +87,23 @@ class Planner:
             free[length] -= n
         if free[gap] > 0:
             return [gap]
-        small = free[: gap + 1]
-        there = np.nonzero(small > 0)[0]
-        if not len(there):
-            return None
-        # the pair index: where both a and gap - a are available
-        both = there[(small[gap - there] > 0) & (there * 2 <= gap)]
-        both = both[(both * 2 < gap) | (small[both] > 1)]
-        if len(both):
-            return [int(gap - both[0]), int(both[0])]
-        # the triple index: the longest first length whose rest is a pair sum
-        for a in there[::-1]:
-            rest = gap - int(a)
-            b = there[(there <= a) & (there * 2 <= rest)]
-            c = rest - b
-            ok = (c <= a) & (small[np.minimum(c, gap)] > 0)
-            ok &= small[b] >= 1 + (b == a) + (b == c)
-            ok &= small[np.minimum(c, gap)] >= 1 + (c == a) + (b == c)
-            ok &= small[a] >= 1 + (b == a) + (c == a)
-            if ok.any():
-                i = int(np.argmax(ok))
-                return [int(a), int(c[i]), int(b[i])]
+        if not self.pair_sums[gap]:
+            two = None
+        elif two := self.pair(gap, free):
+            return two
+        first = np.nonzero(free[:gap] > 0)[0]
+        for a in first[self.pair_sums[gap - first]][::-1].tolist():
+            free[a] -= 1
+            two = self.pair(gap - a, free)
+            free[a] += 1
+            if two:
+                return [a, *two]
         return None
 
     def patterns(self) -> Iterator[tuple[list[int], int]]:
         """(lengths in falling order, number of sequences)."""
         while (there := np.nonzero(self.left > 0)[0]).size:
+            self._index()
             chosen = [int(there[-1])]
             held = {chosen[0]: 1}
             gap = self.capacity - chosen[0]

@@ -6,9 +6,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a process keeps (some 100 MB); beyond it the memory is
+#: Words whose ids a process keeps (some 200 MB); beyond it the memory is
 #: emptied and fills again.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 JOINED = 128
 
 
@@ -40,8 +40,10 @@ class WordCoder:
             self.ids.clear()
         got = list(map(self.ids.get, words))
         if None in got:
-            self._learn(list({w for w, g in zip(words, got, strict=True) if g is None}))
-            got = list(map(self.ids.get, words))
+            unknown = [i for i, g in enumerate(got) if g is None]
+            self._learn(list({words[i] for i in unknown}))
+            for i in unknown:
+                got[i] = self.ids[words[i]]
         return b"".join(got)
 
 
