@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lines, neighbours, packing, quality, sanitise, simhash, urlfilter, warc
+from . import decontamination, lines, lm, neighbours, packing, quality, sanitise, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
 
 
+def subword_tokenizer() -> str:
+    """The subword file that LM scoring uses."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"), subword_tokenizer())
+
+
 def dated_list(pages: DataFrame) -> DataFrame:
     """The list that op10 joins. The tables hold none, so it is made by rule
     from the hosts that occur: with h a number from the host's MD5, every
@@ -89,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_neighbours": op7_neighbours,
         "op8_decontamination": op8_decontamination,
+        "op9_lm": op9_lm,
         "op10_urls": op10_urls,
     }
 
