@@ -179,3 +179,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
     parts = merged.select("id", "text", "runs", "n_words", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
     return parts.mapInArrow(finish, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, {SPANS}").withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of docs that contamination wouldn't mark, unchanged."""
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    found = contamination(rows.select(F.col("__row").alias("id"), F.col(text_col).alias("text")), benchmark, size, "id", "text", item_col, item_text_col, shard_bytes)
+    bad = found.where("contaminated").select(F.col("id").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)

@@ -155,3 +155,27 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = rows.mapInArrow(work, f"id {kind}, score double")
     held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
     return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """The rows of docs that classify would predict as 1, unchanged.
+
+    Statistics are computed in the pass that filters; only the rows that the
+    model is fitted on are read before.
+    """
+    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_id).alias("id")).agg(F.max(label_col).alias("y"))
+    known = docs.select(F.col(id_col).alias("id")).where(is_training(F.col("id"), 5, 0)).join(marks.select("id"), "id").distinct()
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    few = docs.join(F.broadcast(chosen.withColumnRenamed("id", id_col)), id_col, "left_semi")  # FIT_ROWS ids at most
+    model = fit(features(few, id_col, text_col), labels, label_id, label_col)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            if model is None or not b.num_rows:
+                yield b
+            else:
+                x = np.array([statistics(t) for t in utf8(b.column(at))]).reshape(b.num_rows, len(NAMES))
+                yield b.filter(pa.array(model.score(x) >= CUT))
+
+    return docs.mapInArrow(work, docs.schema)

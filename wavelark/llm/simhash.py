@@ -157,3 +157,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = member.join(least, "root").select("fp", "component")
     named = found.join(member, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return got.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _profiles(rows: DataFrame) -> DataFrame:
+    """(row, id, key binary, fp long): key stands for the word sequence, the
+    fingerprint is over the distinct single words. Wordless texts are left
+    out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            keys, prints = [], []
+            for text in utf8(b.column(2)):
+                w = (text or b"").lower().split()
+                keys.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
+                prints.append(fingerprint(list(dict.fromkeys(w))))
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["row", "id", "key", "fp"])
+            yield out.filter(out.column(2).is_valid())
+
+    return rows.mapInArrow(work, f"row long, id {rows.schema['id'].dataType.simpleString()}, key binary, fp long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose texts (key, text) have a Jaccard
+    similarity of their distinct shingles of at least `similarity`."""
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, 256):
+            keep = []
+            for x, y in zip(utf8(b.column(2)), utf8(b.column(3)), strict=True):
+                x, y = set(shingles(x, width)), set(shingles(y, width))
+                keep.append(len(x & y) >= similarity * len(x | y))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(work, "a binary, b binary")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 4) -> DataFrame:
+    """docs with one row of each group of near copies, the smallest id's.
+
+    Texts of one word sequence are copies. Others are linked if their sets of
+    shingles (width words, A-Z lower-cased) have a Jaccard similarity of at
+    least `similarity`; linked texts are one group. Candidates are pairs whose
+    fingerprints over single words differ in max_bits bits or fewer (in cells
+    beyond CELL texts, chains of steps of two bits): with a similarity of 0.8 of
+    five-word shingles, single words hardly differ, while fingerprints over
+    the shingles themselves would be ten bits apart. Texts without words are
+    no copies of each other and stay. Rows without an id come last.
+    """
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    got = staged(_profiles(rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "profiles")
+    order = F.struct(F.col("id").isNull().alias("x"), "id", "row")
+    nodes = staged(got.groupBy("key").agg(F.min(order).alias("least"), F.first("fp").alias("fp")), "texts")
+    pairs = staged(links(nodes.select(F.col("key").alias("node"), "fp"), max_bits, max_bits + 3), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    first = nodes.join(asked, "key").select("key", F.col("least.row").alias("__row"))
+    texts = staged(rows.select("__row", F.col(text_col).alias("text")).join(first, "__row").select("key", "text"), "asked")
+    member = components(similar(pairs, texts, width, similarity)).select(F.col("node").alias("key"), "root")
+    groups = nodes.join(member, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    stay = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
+    gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
