@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS = 64
-THRESHOLD = 32
-SURE = 0.97
-GROWTH = 1.35
-BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+PROJECTIONS = 48
+THRESHOLD = 24
+SURE = 0.85
+GROWTH = 1.5
+BLOCK_ROWS = 32_768
+QUERY_ROWS = 256
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -61,37 +61,42 @@ class Index:
         at = vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]
         order = np.argsort(at, axis=0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(at, order, 0).T)
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        self.order = np.ascontiguousarray(order.T)
         self.factor = _width_per_distance()
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best found, best first."""
         n = len(self.ids)
-        centre = q @ self.lines[:-1]
+        centre = (q @ self.lines[:-1]).tolist()
         length = float((q**2).sum()) + self.most
-        mid = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
-        lo, hi = mid.copy(), mid.copy()
+        lo = [int(v.searchsorted(c)) for v, c in zip(self.values, centre, strict=True)]
+        hi = lo.copy()
         counts = np.zeros(n, np.int64)
         open_ = self.ids != own
-        width, best_rows, best = 0.05 * sqrt(length), np.zeros(0, np.int64), np.zeros(0)
+        width, rows, best = 0.1 * sqrt(length), np.zeros(0, np.int64), np.zeros(0)
         while True:
             fresh = []
             for j, (v, o, c) in enumerate(zip(self.values, self.order, centre, strict=True)):
-                x, y = np.searchsorted(v, (c - width, c + width))
+                x, y = v.searchsorted((c - width, c + width)).tolist()
                 x, y = min(x, lo[j]), max(y, hi[j])
-                fresh += [o[x : lo[j]], o[hi[j] : y]]
+                fresh += (o[x : lo[j]], o[hi[j] : y])
                 lo[j], hi[j] = x, y
             counts += np.bincount(np.concatenate(fresh), minlength=n)
-            rows = np.nonzero((counts >= THRESHOLD) & open_)[0]
-            open_[rows] = False
-            if len(rows):
-                rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, (self.vectors[rows] * q).sum(1)])
-                keep = np.lexsort((self.ids[rows], -scores))[:k]
-                best_rows, best = rows[keep], scores[keep]
-            whole = not lo.any() and (hi == n).all()
+            new = np.nonzero((counts >= THRESHOLD) & open_)[0]
+            if len(new):
+                open_[new] = False
+                # quick products tell who may be among the best; theirs are exact
+                scores = (self.vectors @ q)[new] if len(new) * 4 > n else self.vectors[new] @ q
+                least = best[-1] if len(best) == k else np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+                new = new[scores >= least - 1e-9 * length]
+                scores = (self.vectors[new] * q).sum(1)
+                rows, best = np.concatenate([rows, new]), np.concatenate([best, scores])
+                keep = np.lexsort((self.ids[rows], -best))[:k]
+                rows, best = rows[keep], best[keep]
+            whole = not any(lo) and all(y == n for y in hi)
             near = len(best) == k and width >= self.factor * sqrt(max(0.0, length - 2 * float(best[-1])))
             if whole or near or not open_.any():
-                return self.ids[best_rows], best
+                return self.ids[rows], best
             width *= GROWTH
 
 
@@ -111,7 +116,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
     candidates as it has rows. Only vectors of one length are compared.
     """
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size(v))
     queries = rows.where(F.col("id") % every == 0).groupBy("id", "dim").agg(F.min("v").alias("v"))
