@@ -151,10 +151,10 @@ def retention(catalog: DataFrame, p: Retention) -> DataFrame:
 
 def retention_simulation(catalog: DataFrame, p: Retention, steps: int, step: int) -> DataFrame:
     """PLN6: files and records per action as thresholds advance."""
-    moved = lambda v: F.lit(v).cast("long") + (F.col("at") * step if v else F.lit(0))
+    moved = lambda v: F.lit(v).cast("long") + (F.col("snapshot") * step if v else F.lit(0))
     decided = _retention(F.lit(p.record_floor), F.lit(p.payload_floor), moved(p.keep_after), moved(p.delete_before), moved(p.archive_before), moved(p.compact_before))
-    rows = catalog.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(steps, 1) - 1).cast("long")))).withColumn("d", decided)
-    return rows.groupBy("at", "d.action").agg(F.count("*").alias("files"), F.sum("records").cast("long").alias("records"))
+    rows = catalog.withColumn("snapshot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(steps, 1) - 1).cast("long")))).withColumn("d", decided)
+    return rows.groupBy("snapshot", "d.action").agg(F.count("*").alias("files"), F.sum("records").cast("long").alias("records"))
 
 
 def capacity(samples: DataFrame, horizon: int, most_bytes: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.adapters import KINDS
+
 
 #: Protocol versions in which features appear (fixed values).
 FEATURE_SINCE = {"routing": 2, "fragments": 2, "capabilities": 3, "extensions": 3, "encryption": 3}
@@ -136,5 +136,3 @@ def priority(df: DataFrame, route_priority: Column) -> DataFrame:
     return df.withColumn("priority", p)
 
 
-def kind_names() -> tuple[str, ...]:
-    return KINDS

@@ -119,7 +119,7 @@ add("pln5_retention", lambda p: P.retention(G.catalog(daily(p)), _RET), f"SELECT
 add(
     "pln6_retention_simulation",
     lambda p: P.retention_simulation(G.catalog(daily(p)), _RET, 4, 2 * DAY),
-    f"SELECT at, action, count(*) AS files, CAST(sum(records) AS BIGINT) AS records FROM (SELECT at, records, {_ACT.format(a=f'at * {2 * DAY}')} AS action FROM catalog, range(4) t(at)) GROUP BY ALL",
+    f"SELECT snapshot, action, count(*) AS files, CAST(sum(records) AS BIGINT) AS records FROM (SELECT snapshot, records, {_ACT.format(a=f"snapshot * {2 * DAY}")} AS action FROM catalog, range(4) t(snapshot)) GROUP BY ALL",
     _DAILY,
 )
 _SAMPLES = "samples AS (SELECT last_time_ns AS t, archive_path, sum(records) OVER w AS r, sum(payload_bytes) OVER w AS b FROM catalog WINDOW w AS (ORDER BY first_time_ns, archive_path ROWS UNBOUNDED PRECEDING)), ends AS (SELECT min(t) AS t0, max(t) AS t1, first(r ORDER BY t, archive_path) AS r0, last(r ORDER BY t, archive_path) AS r1, first(b ORDER BY t, archive_path) AS b0, last(b ORDER BY t, archive_path) AS b1 FROM samples), rates AS (SELECT *, CASE WHEN t1 > t0 AND r1 > r0 THEN (r1 - r0) / ((t1 - t0) / 1e9) ELSE 0.0 END AS rr, CASE WHEN t1 > t0 AND b1 > b0 THEN (b1 - b0) / ((t1 - t0) / 1e9) ELSE 0.0 END AS br FROM ends)"
