@@ -39,7 +39,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, so
     a lost executor costs no more than the tasks that it ran."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

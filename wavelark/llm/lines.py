@@ -25,7 +25,7 @@ MAX_EDITS = 2
 #: Lines of fewer characters are duplicates only if they are equal.
 LEAST_CHARS = 20
 #: Pairs in a cell beyond which it is partitioned again.
-CELL_PAIRS = 1024
+CELL_PAIRS = 100
 
 WORD = 64
 
@@ -149,8 +149,9 @@ def candidates(lines: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     found = None
     while True:
         cells = listed(rows, least).repartition("cell")
-        size = cells.groupBy("cell").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.count_if(side(_INDEX)).alias("r"), F.count_if(side(_PROBE)).alias("s"))
-        size = size.where("lo < hi AND r > 0 AND s > 0").select("cell", "r", "s")
+        # all columns are used, so that one exchange serves both branches
+        size = cells.groupBy("cell").agg(F.min("key").alias("key"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.count_if(side(_INDEX)).alias("r"), F.count_if(side(_PROBE)).alias("s"))
+        size = size.where("lo < hi AND r > 0 AND s > 0 AND key IS NOT NULL").select("cell", "r", "s")
         live = staged(cells.join(size, "cell"), "cells")
         large = (F.col("r") * F.col("s") > CELL_PAIRS) & ~side(_TAIL)
         few = live.where(~large)
