@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as G
+from ..operators import exports as X
 from ..operators import query as Q
 from ..operators import sequences as S
 from ..sources import adapters as A
@@ -207,3 +208,14 @@ on_packets(
     lambda p: S.merged_ranges(p.where("device % 10 < 5").select((F.col("device") % 5).alias("site"), F.col("capture_time_ns").alias("start_ns"), (F.col("capture_time_ns") + HOUR).alias("end_ns")), ["site"]),
     f"""SELECT site, min(s) AS start_ns, max(e) AS end_ns FROM (SELECT *, sum(o) OVER (PARTITION BY site ORDER BY s, e) AS island FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY site ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS o FROM {_RANGES})) GROUP BY site, island""",
 )
+
+on_packets("snk2_record_csv", X.record_csv, "SELECT concat_ws(',', capture_time_ns, device, sequence, kind, payload_size) AS line FROM packets")
+on_packets("snk4_record_json", X.record_json, """SELECT concat('{"archive_path":"', archive_path, '","offset":', "offset", ',"capture_time_ns":', capture_time_ns, ',"device":', device, ',"sequence":', sequence, ',"kind":"', kind, '","payload_size":', payload_size, '}') AS line FROM packets""")
+on_packets("snk4_ref_json", X.ref_json, """SELECT concat('{"archive_path":"', archive_path, '","archive_ordinal":', archive_ordinal, ',"offset":', "offset", ',"capture_time_ns":', capture_time_ns, ',"device":', device, ',"sequence":', sequence, ',"payload_size":', payload_size, '}') AS line FROM packets""")
+on_packets("snk4_ref_csv", X.ref_csv, """SELECT concat_ws(',', archive_path, "offset", capture_time_ns, device, sequence, 'unknown', payload_size) AS line FROM packets""")
+on_packets(
+    "snk5_manifest_json",
+    lambda p: X.manifest_json(G.manifest_devices(p)),
+    """SELECT concat('{"archive_path":"', archive_path, '","records":', sum(records), ',"devices":[', string_agg(concat('{"device":', device, ',"records":', records, ',"payload_bytes":', payload_bytes, '}'), ',' ORDER BY records DESC, device), ']}') AS line
+    FROM (SELECT archive_path, device, count(*) AS records, CAST(sum(payload_size) AS BIGINT) AS payload_bytes FROM packets GROUP BY ALL) GROUP BY archive_path""",
+)
