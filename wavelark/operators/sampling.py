@@ -3,6 +3,8 @@ order and the sample is numbered by time."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,16 +61,14 @@ def extremes(df: DataFrame, limit: int) -> DataFrame:
     return _numbered(chosen, 0)
 
 
-#: FNV-1a over 64-bit words: fixed values of the record hash.
-_FNV_START, _FNV_PRIME = 14695981039346656037, 1099511628211
+#: FNV-1a over 64-bit words: fixed values of the record hash (its start isn't
+#: the usual one).
+_FNV_START, _FNV_PRIME = 1469598103934665603, 1099511628211
 
 
 def record_hash(df: DataFrame) -> DataFrame:
     """df with `hash` (signed 64 bits): FNV-1a over the record's numbers, then
     over the bytes of its archive path."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("long")
     def fnv(ordinal: pd.Series, offset: pd.Series, time: pd.Series, size: pd.Series, device: pd.Series, sequence: pd.Series, path: pd.Series) -> pd.Series:
         h = np.full(len(path), _FNV_START, np.uint64)
