@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rows_of, staged
+from .common import components, free_name, rows_of, staged
 
 MAX_EDITS = 2
 #: Lines of fewer characters are duplicates only if they are equal.
@@ -229,13 +229,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of which nothing but blanks would be left goes; one that was null or
     blank before stays as it is.
     """
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    got = classes(rows.select(F.col("__row").alias("id"), F.col(text_col).alias("text")), "id", "text")
-    drop = got.where(~F.col("first")).groupBy("id").agg(F.collect_set("at").alias("__drop"))
-    rows = rows.join(drop.withColumnRenamed("id", "__row"), "__row", "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    long = lambda x: F.size(F.filter(F.split(x, "[ \t]+"), lambda w: w != "")) >= least_words
-    left = F.filter(parts, lambda x, i: ~(F.array_contains("__drop", i) & long(x)))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    kept = F.col("__drop").isNull() | (F.length(F.btrim(text, F.lit(" \t\n\r\v\f"))) > 0)
-    return rows.where(kept).withColumn(text_col, text).drop("__row", "__drop").select(*docs.columns)
+    key, gone = free_name(docs, "row"), free_name(docs, "gone")
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
+    got = classes(rows.select(F.col(key).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    drop = got.where(~F.col("first")).groupBy("id").agg(F.collect_set("at").alias(gone)).withColumnRenamed("id", key)
+    rows = rows.join(drop, key, "left")
+    parts = F.split(F.col(text_col), "\\n", -1)
+    long = lambda x: F.size(F.filter(F.split(x, "[ \\t]+"), lambda w: w != "")) >= least_words
+    left = F.filter(parts, lambda x, i: ~(F.array_contains(gone, i) & long(x)))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    kept = F.col(gone).isNull() | (F.length(F.btrim(text, F.lit(" \t\n\r\v\f"))) > 0)
+    return rows.where(kept).withColumn(text_col, text).select(*docs.columns)

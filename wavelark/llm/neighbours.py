@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 PROJECTIONS = 48
 THRESHOLD = 24
-SURE = 0.85
+SURE = 0.97
 GROWTH = 1.5
 BLOCK_ROWS = 32_768
 QUERY_ROWS = 256

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rows_of, staged, utf8
+from .common import components, free_name, rows_of, staged, utf8
 
 CELL = 24
 GLOBAL_PIVOTS = 8
@@ -121,19 +121,21 @@ def variants(rows: DataFrame) -> DataFrame:
     return listed.join(first.select("variant", "a"), "variant").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, max_bits: int = 2, blocks: int = 4) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 2, blocks: int = 4, accept: int | None = None) -> DataFrame:
     """(a, b), a < b: links that connect all nodes (node, fp) which differ in
-    max_bits bits or fewer, exactly for max_bits up to 2.
+    max_bits bits or fewer, exactly for max_bits up to 2. Pairs that the tables
+    bring together anyway are links up to `accept` bits (default: max_bits).
 
     Nodes in cells beyond CELL are linked within two bits, through variants.
     """
+    accept = max_bits if accept is None else accept
     rows = cells(nodes, max_bits, blocks)
     count = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     rows = staged(rows.join(count, "cell"), "cells")
     few = rows.where(F.col("n") <= CELL)
     x, y = few.alias("x"), few.alias("y")
     apart = [F.abs(F.shiftright("x.at", 8 * i).bitwiseAND(F.lit(255)) - F.shiftright("y.at", 8 * i).bitwiseAND(F.lit(255))) for i in range(GLOBAL_PIVOTS)]
-    near = (F.greatest(*apart) <= max_bits) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits)
+    near = (F.greatest(*apart) <= accept) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= accept)
     pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = variants(rows.where(F.col("n") > CELL).select("node", "fp").distinct())
     return pairs.union(many).distinct()
@@ -193,28 +195,29 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
     return both.select("a", "b", "x", "y").mapInArrow(work, "a binary, b binary")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 5, accept: int = 12) -> DataFrame:
     """docs with one row of each group of near copies, the smallest id's.
 
     Texts of one word sequence are copies. Others are linked if their sets of
     shingles (width words, A-Z lower-cased) have a Jaccard similarity of at
     least `similarity`; linked texts are one group. Candidates are pairs whose
-    fingerprints over single words differ in max_bits bits or fewer (in cells
-    beyond CELL texts, chains of steps of two bits): with a similarity of 0.8 of
+    fingerprints over single words differ in max_bits bits or fewer, and most
+    up to `accept` bits (in cells beyond CELL texts, chains of steps of two bits): with a similarity of 0.8 of
     five-word shingles, single words hardly differ, while fingerprints over
     the shingles themselves would be ten bits apart. Texts without words are
     no copies of each other and stay. Rows without an id come last.
     """
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    got = staged(_profiles(rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "profiles")
+    key = free_name(docs, "row")
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
+    got = staged(_profiles(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "profiles")
     order = F.struct(F.col("id").isNull().alias("x"), "id", "row")
     nodes = staged(got.groupBy("key").agg(F.min(order).alias("least"), F.first("fp").alias("fp")), "texts")
-    pairs = staged(links(nodes.select(F.col("key").alias("node"), "fp"), max_bits, max_bits + 3), "candidates")
+    pairs = staged(links(nodes.select(F.col("key").alias("node"), "fp"), max_bits, max_bits + 3, accept), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = nodes.join(asked, "key").select("key", F.col("least.row").alias("__row"))
-    texts = staged(rows.select("__row", F.col(text_col).alias("text")).join(first, "__row").select("key", "text"), "asked")
+    first = nodes.join(asked, "key").select("key", F.col("least.row").alias("row"))
+    texts = staged(rows.select(F.col(key).alias("row"), F.col(text_col).alias("text")).join(first, "row").select("key", "text"), "asked")
     member = components(similar(pairs, texts, width, similarity)).select(F.col("node").alias("key"), "root")
     groups = nodes.join(member, "key", "left").withColumn("root", F.coalesce("root", "key"))
     stay = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
-    gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
