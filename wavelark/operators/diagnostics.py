@@ -234,3 +234,21 @@ def timeline(df: DataFrame) -> DataFrame:
 def incident_summary(found: DataFrame) -> DataFrame:
     """AGG29: findings per source and severity."""
     return found.groupBy("source", "severity").agg(F.count("*").alias("findings"))
+
+
+#: What is recommended for which source and severity of finding (fixed values).
+ACTIONS = (("alert", "high", "page the on-call operator"), ("slo", "critical", "freeze configuration changes"), ("slo", "medium", "watch the error budget"), ("metric", "high", "compare with the previous snapshot"))
+
+
+def recommended(found: DataFrame) -> DataFrame:
+    """DIA14: the actions that the findings call for, with how many do."""
+    table = found.sparkSession.createDataFrame([(i + 1, *a) for i, a in enumerate(ACTIONS)], "step int, source string, severity string, action string")
+    return found.join(F.broadcast(table), ["source", "severity"]).groupBy("step", "action").agg(F.count("*").alias("findings"))  # four rows
+
+
+def collector_stats(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+    """RT7: what a collector accepts, warns of and rejects: a packet is rejected
+    for any error."""
+    per = findings.groupBy("offset").agg(F.bool_or(F.col("severity") == "error").alias("bad"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    seen = sessions.agg(F.count("*").alias("devices"))
+    return per.agg(F.count_if(~F.col("bad")).alias("accepted"), F.count_if("bad").alias("rejected"), F.sum("warnings").cast("long").alias("warnings")).crossJoin(seen)  # one row each

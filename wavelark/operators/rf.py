@@ -331,3 +331,28 @@ def covered_width(ranges: DataFrame) -> DataFrame:
 def format_hz(f: Column) -> Column:
     """RF19: a frequency in its unit."""
     return F.when(f >= 1_000_000_000, F.format_string("%.6f GHz", f / 1e9)).when(f >= 1_000_000, F.format_string("%.3f MHz", f / 1e6)).when(f >= 1_000, F.format_string("%.3f kHz", f / 1e3)).otherwise(F.format_string("%d Hz", f))
+
+
+def expected_mismatches(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """JN8: peaks inside the range of an expected signal (signal, low_hz,
+    high_hz, nominal_dbm, tolerance_db) whose power is off by more than the
+    tolerance."""
+    e = F.broadcast(expected)  # a list of signals kept by hand
+    met = found.join(e, (F.col("frequency_hz") >= F.col("low_hz")) & (F.col("frequency_hz") < F.col("high_hz")))
+    off = F.round(F.col("power_dbm") - F.col("nominal_dbm"), 6)
+    return met.where(F.abs(off) > F.col("tolerance_db")).select("frame_id", "bin", "signal", off.alias("off_db"))
+
+
+def apply_calibration(bins: DataFrame, profile: list[tuple[int, float, float]]) -> DataFrame:
+    """RF11: gain and noise corrections of a profile (frequency, gain, noise),
+    interpolated between its points and held beyond them."""
+    points = sorted(profile)
+
+    def at(k: int) -> Column:
+        f = F.col("frequency_hz")
+        value = F.lit(points[-1][k])
+        for (f0, *a), (f1, *b) in reversed(list(zip(points, points[1:], strict=False))):
+            value = F.when(f < f1, F.lit(a[k - 1]) + (f - f0) / (f1 - f0) * (b[k - 1] - a[k - 1])).otherwise(value)
+        return F.when(f <= points[0][0], F.lit(points[0][k])).otherwise(value)
+
+    return bins.select("frame_id", F.col("bin").cast("long").alias("bin"), F.round(F.col("power_dbm") + at(1), 6).alias("power_dbm"), F.round(F.col("noise_dbm") + at(2), 6).alias("noise_dbm"))

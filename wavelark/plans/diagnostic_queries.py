@@ -253,3 +253,28 @@ _ACKSQL = f"""acks AS (SELECT sequence % 50 AS command_id, device % 3 AS device,
 packets("ctl6_ack_outcomes", lambda p: C.acknowledgements(_ACKS(p), _CMDS(p)), "SELECT * FROM outcomes", _ACKSQL)
 packets("agg25_ack_devices", lambda p: C.ack_devices(C.acknowledgements(_ACKS(p), _CMDS(p))), "SELECT device, count(*) AS acks, count(*) FILTER (outcome = 'matched') AS matched, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'unexpected') AS unexpected, count(*) FILTER (outcome = 'stale') AS stale FROM outcomes GROUP BY device", _ACKSQL)
 packets("ctl2_admission", lambda p: C.admission(p.withColumn("level", F.when(F.col("payload_size") > 3000, "stop").when(F.col("payload_size") > 1500, "shed").when(F.col("payload_size") > 800, "throttle").otherwise("normal")), C.Admission()), None)
+
+_ACT = "acts(step, source, severity, action) AS (VALUES " + ", ".join(f"({i + 1}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(D.ACTIONS)) + ")"
+TABLE["dia14_recommended_actions"] = (lambda s, d: D.recommended(_findings(s, d)), f"{_CTES}, {_ACT} SELECT step, action, count(*) AS findings FROM found JOIN acts USING (source, severity) GROUP BY ALL")
+packets(
+    "rt7_collector_stats",
+    lambda p: D.collector_stats(X.validate(X.with_sections(p), _NOW, 3000), S.sessions(p)),
+    """SELECT count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected, CAST(sum(w) AS BIGINT) AS warnings, (SELECT count(DISTINCT device) FROM packets) AS devices FROM (SELECT "offset", bool_or(severity = 'error') AS bad, count(*) FILTER (severity = 'warning') AS w FROM found GROUP BY "offset")""",
+    f"{_PROBED}, {_FOUND}",
+)
+packets("srt8_timeline_order", lambda p: D.timeline(p).withColumn("level_rank", F.array_position(F.array(F.lit("info"), F.lit("notice"), F.lit("warning")), F.col("level")).cast("int")).orderBy("time_ns", F.desc("level_rank"), "offset").limit(40), f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset", CASE {_LEVEL} WHEN 'warning' THEN 3 WHEN 'notice' THEN 2 ELSE 1 END AS level_rank FROM packets ORDER BY capture_time_ns, level_rank DESC, "offset" LIMIT 40""")
+packets("set1_archive_union", lambda p: p.where("archive_ordinal = 0").unionByName(p.where("archive_ordinal = 2")).groupBy("archive_path").agg(F.count("*").alias("records")), "SELECT archive_path, count(*) AS records FROM packets WHERE archive_ordinal IN (0, 2) GROUP BY archive_path")
+
+
+def _report(p):
+    from ..operators import aggregates as G
+
+    tables = G.statistics_report(p, DAY, 12 * HOUR)
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+packets("agg16_statistics_report", _report, None)

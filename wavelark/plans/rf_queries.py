@@ -96,3 +96,12 @@ TABLE["set4_covered_width"] = (
 )
 bins("set3_range_merge", lambda b: b.groupBy("receiver").agg(F.min("frequency_hz").alias("lower_hz"), F.max("frequency_hz").alias("upper_hz")), "SELECT receiver, min(frequency_hz) AS lower_hz, max(frequency_hz) AS upper_hz FROM bins GROUP BY receiver")
 bins("rf19_format", lambda b: b.where("bin = 0").select("frame_id", R.format_hz(F.col("frequency_hz")).alias("text")), "SELECT frame_id, format('{:.3f} MHz', frequency_hz / 1e6) AS text FROM bins WHERE bin = 0")
+_SIGNALS = [("beacon", 433_600_000, 434_000_000, -80.0, 12.0), ("link", 434_100_000, 435_900_000, -95.0, 25.0)]
+TABLE["jn8_expected_mismatches"] = (
+    lambda s, d: R.expected_mismatches(R.peaks(A.bins(s, d), 6.0, 10), s.createDataFrame(_SIGNALS, "signal string, low_hz long, high_hz long, nominal_dbm double, tolerance_db double")),
+    f"WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, sig(signal, lo, hi, nominal, tol) AS (VALUES {', '.join(str(x) for x in _SIGNALS)}) SELECT frame_id, bin, signal, round(power_dbm - nominal, 6) AS off_db FROM peaks JOIN sig ON frequency_hz >= lo AND frequency_hz < hi WHERE place <= 10 AND abs(round(power_dbm - nominal, 6)) > tol",
+)
+_POINTS = [(433_700_000, 2.0, -1.0), (434_000_000, 4.0, -2.0), (434_900_000, 1.0, 0.5)]
+_INTER = "CASE WHEN frequency_hz <= 433700000 THEN {a} WHEN frequency_hz < 434000000 THEN {a} + (frequency_hz - 433700000) / 300000 * ({b} - {a}) WHEN frequency_hz < 434900000 THEN {b} + (frequency_hz - 434000000) / 900000 * ({c} - {b}) ELSE {c} END"
+bins("rf11_apply_calibration", lambda b: R.apply_calibration(b, _POINTS), f"SELECT frame_id, bin, round(power_dbm + {_INTER.format(a=2.0, b=4.0, c=1.0)}, 6) AS power_dbm, round(noise_dbm + {_INTER.format(a=-1.0, b=-2.0, c=0.5)}, 6) AS noise_dbm FROM bins")
+bins("rf7_analysis", lambda b: R.occupancy(b).join(R.noise_floor(b), "frame_id").join(R.peaks(b, 6.0, 64).groupBy("frame_id").agg(F.count("*").alias("peaks")), "frame_id", "left"), None)
