@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import is_training, rows_of, staged, utf8
 
-#: Labelled rows that the model is fitted on at most: those whose id has the
-#: smallest hash. It bounds what reaches the driver; scoring has no bound.
+#: Labelled rows that the model is fitted on at most, chosen by their id's
+#: hash. It bounds what reaches the driver; scoring has no bound.
 FIT_ROWS = 20_000
 CUT = 0.3
 #: Of a short text the shares say little: as many bytes and words of a plain
@@ -124,11 +124,20 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>")
 
 
+def _few(known: DataFrame) -> DataFrame:
+    """FIT_ROWS of the rows (id, ...) at most. A cut of the hash leaves about as
+    many before they are ordered, so that a task sends its share only."""
+    n = known.count()
+    if n > FIT_ROWS:
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * FIT_ROWS / n))
+    return known.orderBy(F.xxhash64("id"), *known.columns).limit(FIT_ROWS)
+
+
 def fit(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> Discriminant | None:
     """Learns from the labelled training rows (id, x), FIT_ROWS at most."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_id).alias("id")).agg(F.max(label_col).alias("y"))
     known = rows.where(is_training(F.col("id"), 5, 0)).join(marks, "id")
-    chosen = known.orderBy(F.xxhash64("id"), "id", "x").limit(FIT_ROWS).select("x", "y").collect()
+    chosen = _few(known.select("id", "x", "y")).select("x", "y").collect()
     x = np.array([r.x for r in chosen], float).reshape(len(chosen), len(NAMES))
     return Discriminant.fit(x, np.array([r.y for r in chosen], int))
 
@@ -165,7 +174,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_id).alias("id")).agg(F.max(label_col).alias("y"))
     known = docs.select(F.col(id_col).alias("id")).where(is_training(F.col("id"), 5, 0)).join(marks.select("id"), "id").distinct()
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    chosen = _few(known)
     few = docs.join(F.broadcast(chosen.withColumnRenamed("id", id_col)), id_col, "left_semi")  # FIT_ROWS ids at most
     model = fit(features(few, id_col, text_col), labels, label_id, label_col)
     at = docs.columns.index(text_col)
