@@ -25,7 +25,7 @@ MAX_EDITS = 2
 #: Lines of fewer characters are duplicates only if they are equal.
 LEAST_CHARS = 20
 #: Pairs in a cell beyond which it is partitioned again.
-CELL_PAIRS = 100
+CELL_PAIRS = 36
 
 WORD = 64
 
