@@ -127,6 +127,34 @@ def test_near_texts_are_found(spark):
     assert kept == set(range(0, 60, 2))
 
 
+def test_near_texts_are_found_whatever_their_group(spark):
+    # a base with many copies that are similar to it and not to each other, in
+    # the order that puts the base last, and pairs far apart in single words
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base = [word() for _ in range(200)]
+    rows = [(i, " ".join(base[: 10 * (i % 19)] + [word() for _ in range(35)] + base[10 * (i % 19) :])) for i in range(60)]
+    rows.append((60, " ".join(base)))
+    for i in range(100, 160, 2):
+        w = [word() for _ in range(60)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w + [word() for _ in range(12)]))]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in rows}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {root(i) for i, _ in rows}
+    assert want == {0, *range(100, 160, 2)} and jaccard(rows[0][1], rows[1][1]) < 0.8
+    kept = [r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(kept) == sorted(want)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 200
     rows = [(3, "http://b/", big), (1, "http://a/\r\nX: 1", big), (None, None, big), (2, "http://c", None), (4, "http://d", "short"), (5, "http://d", "short"), (6, "u", big), (6, "u", big + "é")]

@@ -14,12 +14,16 @@ A cell with more than CELL fingerprints isn't paired. Its fingerprints are
 listed under each of their 65 variants with at most one changed bit instead:
 fingerprints two bits apart or nearer share a variant, and one variant has 65
 fingerprints at most. So no group, however large, is paired or held by a task.
+
+`one_of_each` removes near copies by the similarity of their shingles. Its
+candidates share one of their rarest shingles, which misses none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from .common import components, free_name, rows_of, staged, utf8
 
 CELL = 24
 GLOBAL_PIVOTS = 8
+#: Counters that tell rare from common shingles, by hash.
+BUCKETS = 1 << 16
 
 
 def shingles(text: bytes | None, width: int) -> list[bytes]:
@@ -121,21 +127,19 @@ def variants(rows: DataFrame) -> DataFrame:
     return listed.join(first.select("variant", "a"), "variant").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, max_bits: int = 2, blocks: int = 4, accept: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 2, blocks: int = 4) -> DataFrame:
     """(a, b), a < b: links that connect all nodes (node, fp) which differ in
-    max_bits bits or fewer, exactly for max_bits up to 2. Pairs that the tables
-    bring together anyway are links up to `accept` bits (default: max_bits).
+    max_bits bits or fewer, exactly for max_bits up to 2.
 
     Nodes in cells beyond CELL are linked within two bits, through variants.
     """
-    accept = max_bits if accept is None else accept
     rows = cells(nodes, max_bits, blocks)
     count = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     rows = staged(rows.join(count, "cell"), "cells")
     few = rows.where(F.col("n") <= CELL)
     x, y = few.alias("x"), few.alias("y")
     apart = [F.abs(F.shiftright("x.at", 8 * i).bitwiseAND(F.lit(255)) - F.shiftright("y.at", 8 * i).bitwiseAND(F.lit(255))) for i in range(GLOBAL_PIVOTS)]
-    near = (F.greatest(*apart) <= accept) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= accept)
+    near = (F.greatest(*apart) <= max_bits) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits)
     pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = variants(rows.where(F.col("n") > CELL).select("node", "fp").distinct())
     return pairs.union(many).distinct()
@@ -161,22 +165,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return got.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _profiles(rows: DataFrame) -> DataFrame:
-    """(row, id, key binary, fp long): key stands for the word sequence, the
-    fingerprint is over the distinct single words. Wordless texts are left
-    out."""
+def _profiles(rows: DataFrame, width: int) -> DataFrame:
+    """(row, id, key binary, n): key stands for the word sequence. Wordless
+    texts are left out. Rows without a key: in how many texts of a task a
+    shingle of bucket `row` occurs (n)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, kind = np.zeros(BUCKETS, np.int64), None
+        names = ["row", "id", "key", "n"]
         for b in rows_of(batches):
-            keys, prints = [], []
+            kind, keys = b.column(1).type, []
             for text in utf8(b.column(2)):
                 w = (text or b"").lower().split()
                 keys.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
-                prints.append(fingerprint(list(dict.fromkeys(w))))
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["row", "id", "key", "fp"])
+                if w:
+                    np.add.at(seen, _bucket(_hashes(text, width)), 1)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.nulls(b.num_rows, pa.int64())], names=names)
             yield out.filter(out.column(2).is_valid())
+        some = np.nonzero(seen)[0]
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), kind), pa.nulls(len(some), pa.binary()), pa.array(seen[some])], names=names)
+
+    return rows.mapInArrow(work, f"row long, id {rows.schema['id'].dataType.simpleString()}, key binary, n long")
+
+
+def _hashes(text: bytes, width: int) -> np.ndarray:
+    """The hashes of the text's distinct shingles."""
+    parts = set(shingles(text, width))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
 
-    return rows.mapInArrow(work, f"row long, id {rows.schema['id'].dataType.simpleString()}, key binary, fp long")
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def prefixes(rows: DataFrame, often: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(cell, node, size) of rows (row, text): the texts' first shingles, those
+    of rare buckets (often: texts per bucket) before others.
+
+    Of two texts with the given similarity each has size * similarity shingles
+    at least in common with the other, so that they share one of the first
+    size - ceil(size * similarity) + 1 in any order that is the same for all.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(often)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = held.value
+        for b in rows_of(batches, 256):
+            cells, nodes, sizes = [], [], []
+            for row, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                h = _hashes(text or b"", width)
+                if not len(h):
+                    continue
+                first = h[np.lexsort((h, often[_bucket(h)]))[: len(h) - ceil(len(h) * similarity - 1e-9) + 1]]
+                cells.append(first)
+                nodes.append(np.full(len(first), row, np.int64))
+                sizes.append(np.full(len(first), len(h), np.int64))
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (cells, nodes, sizes)], names=["cell", "node", "size"])
+
+    return rows.select("row", "text").mapInArrow(work, "cell long, node long, size long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -192,32 +240,76 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
                 keep.append(len(x & y) >= similarity * len(x | y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(work, "a binary, b binary")
+    kind = texts.schema["key"].dataType.simpleString()
+    return both.select("a", "b", "x", "y").mapInArrow(work, f"a {kind}, b {kind}")
+
 
+def grouped(rows: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root): the components of all similar pairs that share a cell of
+    rows (cell, node, size).
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 5, accept: int = 12) -> DataFrame:
+    In a round every cell gives some pivots, which are verified with all of the
+    cell that aren't of their component yet, and then leave the cell. A cell is
+    done when the rest of it is one component. So every pair is verified, or
+    its texts are linked already, and a group of copies costs as many
+    verifications as it has texts, not pairs.
+    """
+    live, pivots, links, tried = rows.withColumn("root", F.col("node")), 1, None, None
+    member = None
+    while True:
+        # what is left of a cell matters while it holds two components
+        open_ = live.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+        live = staged(live.join(open_, "cell"), "cells")
+        if live.isEmpty():
+            break
+        # texts of small components first: the others are the more likely to be one
+        share = live.groupBy("cell", "root").agg(F.count("*").alias("n"))
+        ranked = live.join(share, ["cell", "root"]).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(pivots)))
+        chosen = ranked.groupBy("cell", "part").agg(F.min(F.struct("n", "size", "node", "root")).alias("p"))
+        chosen = staged(chosen.select("cell", F.col("p.node").alias("node"), F.col("p.size").alias("size"), F.col("p.root").alias("root")), "pivots")
+        p, q = chosen.alias("p"), live.alias("q")
+        sizes = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * similarity - 1e-9
+        pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.root") != F.col("q.root")) & sizes)
+        pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "candidates")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = staged(similar(pairs, texts, width, similarity), "links")
+        links = found if links is None else links.union(found)
+        member = staged(components(links), "members")
+        live = live.join(chosen.select("cell", "node"), ["cell", "node"], "left_anti").drop("root")
+        live = live.join(member, "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
+        pivots *= 16
+    return member if member is not None else live.select("node", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies, the smallest id's.
 
     Texts of one word sequence are copies. Others are linked if their sets of
     shingles (width words, A-Z lower-cased) have a Jaccard similarity of at
-    least `similarity`; linked texts are one group. Candidates are pairs whose
-    fingerprints over single words differ in max_bits bits or fewer, and most
-    up to `accept` bits (in cells beyond CELL texts, chains of steps of two bits): with a similarity of 0.8 of
-    five-word shingles, single words hardly differ, while fingerprints over
-    the shingles themselves would be ten bits apart. Texts without words are
-    no copies of each other and stay. Rows without an id come last.
+    least `similarity`; linked texts are one group. Every such pair meets
+    (prefixes): fingerprints of texts so similar may be any number of bits
+    apart, so they aren't used here. Texts without words are no copies of each
+    other and stay. Rows without an id come last.
     """
     key = free_name(docs, "row")
     rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
-    got = staged(_profiles(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "profiles")
+    texts = rows.select(F.col(key).alias("row"), F.col(text_col).alias("text"))
+    got = staged(_profiles(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), width), "profiles")
+    often = np.zeros(BUCKETS, np.int64)
+    for r in got.where("key IS NULL").groupBy("row").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        often[r.row] = r.n
+    got = got.where("key IS NOT NULL").select("row", "id", "key")
     order = F.struct(F.col("id").isNull().alias("x"), "id", "row")
-    nodes = staged(got.groupBy("key").agg(F.min(order).alias("least"), F.first("fp").alias("fp")), "texts")
-    pairs = staged(links(nodes.select(F.col("key").alias("node"), "fp"), max_bits, max_bits + 3, accept), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = nodes.join(asked, "key").select("key", F.col("least.row").alias("row"))
-    texts = staged(rows.select(F.col(key).alias("row"), F.col(text_col).alias("text")).join(first, "row").select("key", "text"), "asked")
-    member = components(similar(pairs, texts, width, similarity)).select(F.col("node").alias("key"), "root")
-    groups = nodes.join(member, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    nodes = staged(got.groupBy("key").agg(F.min(order).alias("least")).select(F.col("least.row").alias("node"), "key", "least"), "texts")
+    listed = prefixes(texts, often, width, similarity).join(nodes.select("node"), "node", "left_semi").repartition("cell")
+    # all columns are used, so that one exchange serves both branches
+    many = listed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("most")).where("lo < hi AND most > 0").select("cell")
+    cells = staged(listed.join(many, "cell").select("cell", "node", "size"), "cells")
+    asked = staged(texts.withColumnRenamed("row", "key").join(cells.select(F.col("node").alias("key")).distinct(), "key", "left_semi"), "asked")
+    groups = nodes.join(grouped(cells, asked, width, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(key))
     return rows.join(gone, key, "left_anti").select(*docs.columns)
