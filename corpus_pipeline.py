@@ -9,9 +9,6 @@ from wavelark.llm import decontamination, lines, packing, quality, simhash
 from wavelark.llm.common import staged
 from wavelark.llm.queries import word_tokenizer
 
-#: Lines of fewer words repeat by chance and stay.
-LEAST_WORDS = 5
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -20,7 +17,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and nearly equal lines the first stays."""
-    return lines.deduplicate(docs, least_words=LEAST_WORDS)
+    return lines.deduplicate(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
