@@ -237,6 +237,17 @@ def test_sanitise(docs, none):
     assert by[1].spans == "" and by[1].sanitised is None
 
 
+def test_sanitise_terms_of_two_rows_and_short_terms(spark):
+    rows = [f"some words that all rows hold {i}" for i in range(40)]
+    rows[3] = "some words that Quixley 王伟 qz hold at q.q@example.org today"
+    rows[9] = "other words by Quixley and 王伟 or qz for q.q@example.org"
+    rows[20] = "some words of one row, alone@example.org and Zanzibar"
+    got = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i in (3, 9):
+        assert got[i].n_email == 1 and all(x not in got[i].sanitised for x in ("Quixley", "王伟", "qz")) and "words" in got[i].sanitised
+    assert got[20].sanitised == "some words of one row, [email] and Zanzibar"
+
+
 def test_sanitise_touching_matches(spark):
     rows = ["a@b.c_d@e.f", "x" * 50 + "@", "1.2.3.4.5.6.7.8", "+1 2345678 9" * 3, "٣ +49 30 1234567é a@b.co", "4111-1111-1111-1111 4111111111111111"]
     got = sanitise.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()

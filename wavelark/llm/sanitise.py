@@ -5,8 +5,9 @@ strongly a term reveals an entity is estimated from the corpus: with n the
 rows that hold both, the pointwise mutual information log(N n / (df_t df_e))
 as a share of the entity's own information log(N / df_e). A term whose share
 reaches DISCLOSES is generalised to a placeholder in rows that hold the
-entity; one whose share reaches REVEALS is removed. Entities and pairs seen in
-fewer than SUPPORT rows tell nothing and are left to the patterns.
+entity; one whose share reaches REVEALS is removed. A pair seen in one row only
+is judged by the other rows, none of which holds both: it tells nothing there.
+So pairs, and with them entities and terms, count from SUPPORT rows on.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-SUPPORT = 3
+SUPPORT = 2
 DISCLOSES = 0.75
 REVEALS = 0.95
 
@@ -88,7 +89,7 @@ def _word(token: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """The distinct terms of a text."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[\\x20\\x09-\\x0D]+"), _word), lambda w: F.length(w) >= 3))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[\\x20\\x09-\\x0D]+"), _word), lambda w: F.length(w) > 0))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
