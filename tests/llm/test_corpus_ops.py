@@ -255,9 +255,9 @@ def test_sanitise_touching_matches(spark):
         assert r.base_sha256 == hashlib.sha256(base_spans(rows[r.doc_id]).encode()).hexdigest(), rows[r.doc_id]
 
 
-def test_lines(docs, none, monkeypatch):
-    monkeypatch.setattr(lines, "CELL_PAIRS", 1)
-    got = lines.membership(docs).collect()
+@pytest.mark.parametrize(("most", "least"), [(lines.CELL_PAIRS, 0), (8, 20)])
+def test_lines(docs, none, most, least):
+    got = lines.membership(docs, least_chars=least, most=most).collect()
     occ = [(i, n, x) for i, t in texts() for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\v\f")]
     assert len(got) == len(occ) and lines.membership(none).count() == 0
     distinct = sorted({x for *_, x in occ})
@@ -268,7 +268,9 @@ def test_lines(docs, none, monkeypatch):
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations([x for x in distinct if 20 <= len(x) < 1000], 2):
+    for a, b in itertools.combinations([x for x in distinct if len(x) >= least], 2):
+        if abs(len(a) - len(b)) > 2 or len(a) > 1000:
+            continue
         if lines._rows(a, b) <= 2:
             parent[root(a)] = root(b)
             degree[a] += 1
@@ -283,10 +285,10 @@ def test_lines(docs, none, monkeypatch):
     for i, n, x in occ:
         want[root(x)].add((i, n))
     assert sorted(map(sorted, (map(str, v) for v in by.values()))) == sorted(map(sorted, (map(str, v) for v in want.values())))
-    kept = lines.deduplicate(docs, least_words=5)
+    kept = lines.deduplicate(docs, least_chars=20, most=most)
     assert kept.columns == docs.columns
     text = {r.doc_id: r.text for r in kept.collect()}
-    assert 2 not in text and text[8] == "write who@example.com zebra99 slow" and text[14] == "One. One." and text[4] is None
+    assert 2 not in text and text[8] == "write who@example.com zebra99 slow" and 14 not in text and text[4] is None
     assert lines.deduplicate(none).count() == 0
 
 

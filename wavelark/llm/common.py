@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is missing (tests in local mode) a temporary folder
-    takes its place, which goes when the process ends.
+    Only in local mode, where that setting may be missing (tests), a temporary
+    folder takes its place, which goes when the process ends. On a cluster a
+    missing setting is an error: no other folder is known to be shared.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="wavelark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = f"file://{own}"
@@ -34,12 +38,60 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wavelark/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths that staged wrote and nothing has removed yet, oldest first.
+_written: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, so
     a lost executor costs no more than the tasks that it ran."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes what staged wrote for tables that nothing will read again."""
+    for df in tables:
+        _written.remove(df.staged_at)
+        _delete(df.sparkSession, df.staged_at)
+
+
+def mark() -> int:
+    """A place in the list of staged tables, for release_since."""
+    return len(_written)
+
+
+def release_since(spark: SparkSession, place: int, keep: DataFrame) -> None:
+    """Removes the tables staged from that place on, but for keep's."""
+    for path in _written[place:]:
+        if path != keep.staged_at:
+            _delete(spark, path)
+    _written[place:] = [keep.staged_at]
+
+
+def keyed(docs: DataFrame, name: str, scan: bool = False) -> DataFrame:
+    """docs with a column `name` that tells its rows apart and is the same
+    whenever they are computed again: the file and the place in it.
+
+    scan says that docs is read from files, row by row; if it isn't, or the
+    source knows no places, docs is written first.
+    """
+    if scan:
+        try:
+            at = docs.metadataColumn("_metadata")
+            return docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")))
+        except AnalysisException:
+            pass
+    return keyed(staged(docs, "documents"), name, True)
 
 
 def free_name(df: DataFrame, wish: str) -> str:
@@ -55,11 +107,18 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches cut into small ones, which bounds what a task holds."""
+def rows_of(batches: Iterator[pa.RecordBatch], most: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ones of `most` rows and, beyond a single row,
+    `size` bytes, which bounds what a task holds."""
     for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            yield batch.slice(at, most)
+        parts = [batch.slice(at, most) for at in range(0, batch.num_rows, most)][::-1]
+        while parts:
+            part = parts.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def is_training(doc_id, modulus: int, excluded: int):
@@ -88,9 +147,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = staged(small.where("u != v").distinct(), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        before, now = now, staged(small.where("u != v").distinct(), "edges")
+        release(before)
+        told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if told == seen:
             break
-        seen = mark
+        seen = told
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,35 +1,37 @@
 """Line dedup by a segment-partition edit-distance join.
 
-Two lines that differ by at most MAX_EDITS edits share one of MAX_EDITS + 1
-segments of the shorter line. Distinct lines are listed under their own
-segments and, for every length that a partner may have, under the substrings
-that the length and the segment's place allow; a cell is one such segment.
-Cells with few pairs give candidates. In a cell with many, the shared segment
-is cut out and what remains of its lines is partitioned again, below that
-cell, so that no cell is paired while it is large. Candidates are verified
-with a banded bit-parallel edit distance.
+Of two lines that differ by at most MAX_EDITS = 2 edits, the shorter one is
+split into three segments, of which an edit-free one occurs in the other line:
+the first at its start, the last at its end, the middle one (if the outer two
+hold an edit each) at most one place aside. Indexes of segments are kept apart
+by length class; a line is listed in its own class and probes the classes of
+lines one and two characters shorter. A cell is one segment of one class.
+
+Cells are found in two passes over hashes, without texts: the first leaves the
+cells that hold different lines, the second lists who is in them. In a cell of
+many comparisons the shared segment is cut out and what remains of its lines
+is partitioned again, below that cell. Lines of one cell meet if their lengths
+and the parities of their character pairs allow it (an edit changes four
+parities at most), and are verified with a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, rows_of, staged
+from .common import components, free_name, keyed, rows_of, staged
 
 MAX_EDITS = 2
-#: Lines of fewer characters are duplicates only if they are equal.
-LEAST_CHARS = 20
-#: Pairs in a cell beyond which it is partitioned again.
-CELL_PAIRS = 36
+#: Comparisons in a cell beyond which it is partitioned again.
+CELL_PAIRS = 1 << 14
 
 WORD = 64
-
-_INDEX, _PROBE, _TAIL = 1, 2, 4
+BLANKS = " \t\r\v\f"
 
 
 def _rows(a: str, b: str) -> int:
@@ -87,156 +89,181 @@ def distance(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def segments(length: int) -> list[tuple[int, int]]:
-    """(start, size) of the MAX_EDITS + 1 segments of a line of that length."""
-    parts = MAX_EDITS + 1
-    size, longer = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        n = size + (i >= parts - longer)
-        out.append((at, n))
-        at += n
-    return out
-
-
-def spots(rest: str, side: int, least: int) -> Iterator[tuple[str, int, int, int, int]]:
-    """(part, length, segment, start, side) under which a line is listed."""
-    n = len(rest)
-    tail = MAX_EDITS + 1
-    own = segments(n) if n >= tail else []
-    for i, (at, size) in enumerate(own):
-        yield rest[at : at + size], n, i, at, side
-    if n < tail:
-        yield "", -1, 0, 0, side
-    if side & _PROBE:
-        for delta in range(MAX_EDITS + 1):
-            length = n - delta
-            if length < max(least, 0):
-                break
-            if length < tail:
-                if n >= tail:
-                    yield "", -1, 0, 0, _PROBE
-                    break
-                continue
-            for i, (at, size) in enumerate(segments(length)):
-                for start in range(max(at - i, at + delta - (MAX_EDITS - i), 0), min(at + i, at + delta + (MAX_EDITS - i), n - size) + 1):
-                    if delta or start != at:
-                        yield rest[start : start + size], length, i, start, _PROBE
-
-
-def listed(rows: DataFrame, least: int) -> DataFrame:
-    """(cell, key, line, spot) of rows (key, line, side, rest)."""
+# How a line is listed: by its first segment, the middle one, the last one, or
+# the middle one a place further on.
+_FIRST, _MIDDLE, _LAST, _ASIDE = range(4)
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(key, cell, line, spot, own, at, size) of rows (key, line, rest): the
+    cells of a rest below key, and where the segment lies in it. own tells that
+    the class is that of the rest's length; if not, the rest probes it.
+
+    A class is named by its shortest length and spans an eighth to a sixteenth
+    of it; lengths up to 15 have their own.
+    """
+    lowest = lambda n: n - F.pmod(n, F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n)) - 4, F.lit(0))))
+    rows = rows.withColumn("n", F.length("rest"))
+    rows = rows.select("*", F.posexplode(F.array(*[F.col("n") - less for less in range(MAX_EDITS + 1)])).alias("less", "m"))
+    rows = rows.withColumn("low", lowest(F.col("m"))).where("m >= 0").where((F.col("less") == 0) | (F.col("low") != lowest(F.col("m") + 1)))
+    rows = rows.withColumn("third", F.floor(F.col("low") / 3).cast("int")).withColumn("middle", F.col("low") - 2 * F.col("third") - 1)
+    rows = rows.select("*", F.explode(F.array(*[F.lit(spot) for spot in range(4)])).alias("spot"))
+    spot = F.col("spot")
+    rows = rows.where((spot == _FIRST) | (F.col("low") >= 3) & ((spot != _ASIDE) | (F.col("middle") > 0)))
+    at = F.when(spot == _FIRST, 0).when(spot == _LAST, F.col("n") - F.col("third")).otherwise(F.col("third") + (spot == _ASIDE).cast("int"))
+    rows = rows.withColumn("at", at).withColumn("size", F.when(spot.isin(_FIRST, _LAST), F.col("third")).otherwise(F.col("middle")))
+    kind = F.when(spot == _ASIDE, _MIDDLE).otherwise(spot)
+    cell = F.xxhash64("key", "low", kind, F.substring(F.col("rest"), F.col("at") + 1, F.col("size")))
+    return rows.select("key", cell.alias("cell"), "line", "spot", (F.col("less") == 0).alias("own"), "at", "size")
+
+
+def live(cells: DataFrame) -> DataFrame:
+    """The cells that hold different lines, some as their own class."""
+    held = cells.groupBy("cell").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("own").alias("own"))
+    return held.where("lo < hi AND own").select("cell")
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """texts (line, digest, text) with their length n and 64 bits: bit h is
+    the parity of the number of neighbouring characters with hash h."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for b in rows_of(batches, 2048):
-            cells, keys, lines, places = [], [], [], []
-            for key, line, side, rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for part, length, i, start, how in spots(rest, side, least):
-                    cells.append(digest(f"{key}:{length}:{i}:{part}".encode("utf-8", "surrogatepass")) - (1 << 63))
-                    keys.append(key)
-                    lines.append(line)
-                    places.append(len(part) << 34 | start << 3 | (_TAIL if length < 0 else 0) | how)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (cells, keys, lines, places)], names=["cell", "key", "line", "spot"])
-
-    return rows.select("key", "line", "side", "rest").mapInArrow(work, "cell long, key long, line long, spot long")
-
-
-def candidates(lines: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b), a < b: lines (line, text) that share a cell."""
-    side = lambda bit: F.col("spot").bitwiseAND(F.lit(bit)) != 0
-    rows = lines.where(F.length("text") >= least).select(F.lit(0).cast("long").alias("key"), "line", F.lit(_INDEX | _PROBE).alias("side"), F.col("text").alias("rest"))
-    found = None
+        for b in rows_of(batches):
+            sizes, bits = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int64)
+            for i, text in enumerate(b.column(2).to_pylist()):
+                c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                pairs = (c[:-1] << np.uint64(32) | c[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
+                odd = np.bincount(pairs.astype(np.int64), minlength=64) & 1
+                sizes[i], bits[i] = len(c), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(bits)], names=["line", "digest", "text", "n", "bits"])
+
+    return texts.select("line", "digest", "text").mapInArrow(work, "line long, digest binary, text string, n int, bits long")
+
+
+def candidates(cells: DataFrame, texts: DataFrame, most: int = CELL_PAIRS) -> DataFrame:
+    """(a, b), a < b: lines of texts (line, text, n, bits) that share one of
+    the cells (key, cell, line, spot, own, at, size), or one below it."""
+    marks, rests = texts.select("line", "n", "bits"), texts.select(F.lit(0).cast("long").alias("key"), "line", F.col("text").alias("rest"))
+    found = []
     while True:
-        cells = listed(rows, least).repartition("cell")
-        # all columns are used, so that one exchange serves both branches
-        size = cells.groupBy("cell").agg(F.min("key").alias("key"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.count_if(side(_INDEX)).alias("r"), F.count_if(side(_PROBE)).alias("s"))
-        size = size.where("lo < hi AND r > 0 AND s > 0 AND key IS NOT NULL").select("cell", "r", "s")
-        live = staged(cells.join(size, "cell"), "cells")
-        large = (F.col("r") * F.col("s") > CELL_PAIRS) & ~side(_TAIL)
-        few = live.where(~large)
-        r, s = few.where(side(_INDEX)).alias("r"), few.where(side(_PROBE)).alias("s")
-        pairs = r.join(s, (F.col("r.cell") == F.col("s.cell")) & (F.col("r.line") != F.col("s.line")))
-        pairs = pairs.select(F.least("r.line", "s.line").alias("a"), F.greatest("r.line", "s.line").alias("b")).distinct()
-        found = pairs if found is None else found.union(pairs)
-        many = live.where(large).select("cell", "key", "line", "spot")
+        count = cells.groupBy("cell").agg(F.count_if(F.col("spot") != _ASIDE).alias("x"), F.count("*").alias("y"))
+        cells = staged(cells.join(count, "cell").withColumn("large", (F.col("x") * F.col("y") > most) & (F.col("size") > 0)), "cells")
+        few = cells.where(~F.col("large")).select("cell", "line", "spot", "own").join(marks, "line")
+        x, y = few.where(F.col("spot") != _ASIDE).alias("x"), few.alias("y")
+        # either of two lines may be the one that stands aside
+        near = (F.col("x.own") | F.col("y.own")) & (F.abs(F.col("x.n") - F.col("y.n")) <= MAX_EDITS)
+        near &= F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 4 * MAX_EDITS
+        pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.line") != F.col("y.line")) & near)
+        found.append(staged(pairs.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct(), "pairs"))
+        many = cells.where("large").select("key", "cell", "line", "at", "size")
         if many.isEmpty():
-            return found.distinct()
+            break
         # the shared segment goes; what remains is partitioned below the cell
-        at, n = F.shiftright("spot", 3).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), F.shiftright("spot", 34).cast("int")
-        rest = F.concat(F.substring(F.col("rest"), F.lit(1), at), F.substring(F.col("rest"), at + n + 1, F.length("rest")))
-        kept = rows.groupBy("key", "line", "rest").agg(F.lit(1)) if least == 0 else rows
-        cut = many.join(kept.select("key", "line", "rest"), ["key", "line"]).select(F.col("cell").alias("key"), "line", F.col("spot").bitwiseAND(F.lit(3)).cast("int").alias("side"), rest.alias("rest"))
-        rows, least = staged(cut.distinct(), "rest"), 0
-
-
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts differ by MAX_EDITS edits at most."""
-    texts = lines.select("line", "text")
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
+        rest = F.concat(F.substring(F.col("rest"), F.lit(1), F.col("at")), F.substring(F.col("rest"), F.col("at") + F.col("size") + 1, F.length("rest")))
+        rests = staged(many.join(rests, ["key", "line"]).select(F.col("cell").alias("key"), "line", rest.alias("rest")).distinct(), "rests")
+        below = listed(rests)
+        cells = below.join(live(below), "cell")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the digests of the pairs' texts that differ by MAX_EDITS edits at
+    most. Lines are hashes: all texts of a hash are compared."""
+    side = lambda end, text: texts.select(F.col("line").alias(end), F.col("digest").alias(f"{end}_digest"), F.col("text").alias(text))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             keep = [distance(x, y, MAX_EDITS) <= MAX_EDITS for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return both.select("a_digest", "b_digest", "x", "y").mapInArrow(work, "a binary, b binary")
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, at, text): every line that isn't blank, at its number."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
-    return rows.where(F.length(F.btrim("text", F.lit(" \t\r\v\f"))) > 0)
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(row, id, at, text) of docs (row, id, text): every line that isn't
+    blank, at its number."""
+    rows = docs.select("row", "id", F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("at", "text"))
+    return rows.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per line that isn't blank: row, id, at (its number from 0), class_id, n_links
-    (other texts within MAX_EDITS edits), first (whether it is the class's
-    first line: the smallest id, then row, then number).
+def links(lines: DataFrame, least_chars: int = 0, most: int = CELL_PAIRS) -> DataFrame:
+    """(a, b): digests of the different texts of lines (text), repeats
+    included, that are within MAX_EDITS edits of each other and have
+    least_chars characters or more."""
+    named = lines.where(F.length("text") >= least_chars).select(F.xxhash64("text").alias("line"), "text")
+    spots = listed(named.select(F.lit(0).cast("long").alias("key"), "line", F.col("text").alias("rest")))
+    some = staged(live(spots.select("cell", "line", "own")), "live")
+    cells = staged(spots.join(some, "cell").distinct(), "members")
+    texts = named.join(cells.select("line").distinct(), "line", "left_semi").groupBy("text").agg(F.lit(1)).select(F.xxhash64("text").alias("line"), digest().alias("digest"), "text")
+    texts = staged(parities(texts), "texts")
+    return verified(candidates(cells, texts, most), texts)
 
-    Equal lines are one class at any length; lines of LEAST_CHARS characters or
-    more are linked within MAX_EDITS edits, and linked lines are one class.
-    Null and blank texts have no lines. Rows without an id come after all
-    others. Repeated rows repeat their lines.
+
+def digest() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def classes(docs: DataFrame, least_chars: int = 0, most: int = CELL_PAIRS) -> DataFrame:
+    """Per line of docs (row, id, text) that isn't blank: row, id, at (its
+    number from 0), class_id (32 hex digits), n_links (other texts within
+    MAX_EDITS edits), first (whether it is the class's first line: the smallest
+    id, then row, then number).
+
+    Equal lines are one class; lines of least_chars characters or more are
+    linked within MAX_EDITS edits, and linked lines are one class. Null and
+    blank texts have no lines. Rows without an id come after all others.
+    Repeated rows repeat their lines.
     """
-    seen = occurrences(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    where = staged(seen.select("row", "id", "at", "digest"), "lines")
-    lines = seen.groupBy("text").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("line"), "text")
-    lines = staged(lines, "texts")
-    links = staged(verified(candidates(lines), lines), "links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
-    member = components(links).select(F.col("node").alias("line"), "root")
-    named = lines.select("line", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    named = named.join(degree, "line", "left").join(member, "line", "left")
-    named = named.select("digest", F.coalesce("root", "line").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    got = staged(where.join(named, "digest").drop("digest"), "classes")
+    seen = occurrences(docs)
+    where = staged(seen.select("row", "id", "at", digest().alias("digest")), "lines")
+    linked = staged(links(seen.select("text"), least_chars, most), "links")
+    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    told = degree.join(components(linked), "node").withColumnRenamed("node", "digest")
+    named = where.join(told, "digest", "left").select("row", "id", "at", F.coalesce("root", "digest").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     order = F.struct(F.col("id").isNull().alias("x"), "id", "row", "at")
-    first = got.groupBy("class_id").agg(F.min(order).alias("least"))
-    return got.join(first, "class_id").select("row", "id", "at", "class_id", "n_links", (order == F.col("least")).alias("first"))
+    # by its place a first line is found again without bringing a class together
+    first = named.groupBy("class").agg(F.min(order).alias("least")).select("least.row", "least.at", F.lit(True).alias("first"))
+    got = named.join(first, ["row", "at"], "left")
+    return got.select("row", "id", "at", F.lower(F.hex("class")).alias("class_id"), "n_links", F.coalesce("first", F.lit(False)).alias("first"))
 
 
-def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, class_id, n_links, kept) of every line that isn't blank."""
-    got = classes(docs, id_col, text_col)
-    return got.select(F.col("id").alias(id_col), F.col("at").cast("int").alias("line"), "class_id", "n_links", F.col("first").alias("kept"))
+def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 0, most: int = CELL_PAIRS, scan: bool = False) -> DataFrame:
+    """(id, line, class_id, n_links, kept) of every line that isn't blank; scan
+    as for common.keyed."""
+    key = free_name(docs, "row")
+    rows = keyed(docs, key, scan).select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    got = classes(rows, least_chars, most)
+    return got.select(F.col("id").alias(id_col), F.col("at").alias("line"), "class_id", "n_links", F.col("first").alias("kept"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 0, most: int = CELL_PAIRS, scan: bool = False) -> DataFrame:
     """docs with all but the first line of every class taken out of the texts.
 
-    Blank lines stay, as do lines of fewer than least_words words. A document
-    of which nothing but blanks would be left goes; one that was null or
-    blank before stays as it is.
+    Blank lines stay. A document of which nothing but blanks would be left
+    goes; one that was null or blank before stays as it is.
     """
-    key, gone = free_name(docs, "row"), free_name(docs, "gone")
-    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
-    got = classes(rows.select(F.col(key).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    drop = got.where(~F.col("first")).groupBy("id").agg(F.collect_set("at").alias(gone)).withColumnRenamed("id", key)
-    rows = rows.join(drop, key, "left")
-    parts = F.split(F.col(text_col), "\\n", -1)
-    long = lambda x: F.size(F.filter(F.split(x, "[ \\t]+"), lambda w: w != "")) >= least_words
-    left = F.filter(parts, lambda x, i: ~(F.array_contains(gone, i) & long(x)))
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    kept = F.col(gone).isNull() | (F.length(F.btrim(text, F.lit(" \t\n\r\v\f"))) > 0)
-    return rows.where(kept).withColumn(text_col, text).select(*docs.columns)
+    key = free_name(docs, "row")
+    gone = free_name(docs, "gone")
+    rows = keyed(docs, key, scan)
+    got = classes(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), least_chars, most)
+    drop = got.where(~F.col("first")).groupBy(F.col("row").alias(key)).agg(F.collect_list("at").alias(gone))
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            texts, stay = [], []
+            for text, out in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if out is not None:
+                    out = set(out)
+                    text = "\n".join(line for n, line in enumerate(text.split("\n")) if n not in out)
+                texts.append(text)
+                stay.append(out is None or text.strip(BLANKS + "\n") != "")
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(texts, b.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
+
+    return rows.join(drop, key, "left").select(*docs.columns, gone).mapInArrow(work, docs.schema)

@@ -38,7 +38,7 @@ def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.membership(_table(spark, sf_dir, "documents"))
+    return lines.membership(_table(spark, sf_dir, "documents"), scan=True)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
