@@ -94,6 +94,46 @@ def keyed(docs: DataFrame, name: str, scan: bool = False) -> DataFrame:
     return keyed(staged(docs, "documents"), name, True)
 
 
+#: Rows of a bitmap at most, 64 bits each: what a broadcast of one may hold.
+BITMAP_ROWS = 1 << 19
+
+
+def _place(column: str, where: str):
+    hashed = F.xxhash64(column)
+    return F.pmod(hashed, F.lit(BITMAP_ROWS)).alias(where), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(hashed, 40).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def bitmap(keys: DataFrame, column: str) -> DataFrame:
+    """A set that holds all the keys and, by chance, some others: BITMAP_ROWS
+    rows however many keys there are. It is written, not kept in a lineage."""
+    bucket, bit = _place(column, "bucket")
+    return staged(keys.select(bucket, bit.alias("bit")).groupBy("bucket").agg(F.bit_or("bit").alias("mask")), "bitmap")
+
+
+def maybe_in(rows: DataFrame, column: str, held: DataFrame) -> DataFrame:
+    """The rows whose column may be in a bitmap: all that are, and few others
+    while the bitmap is sparse. It spares the others an exchange."""
+    bucket, bit = _place(column, "bucket_")
+    met = rows.withColumn("bucket_", bucket).join(F.broadcast(held), F.col("bucket_") == F.col("bucket"))  # BITMAP_ROWS at most
+    return met.where(F.col("mask").bitwiseAND(bit) != 0).drop("bucket", "bucket_", "mask")
+
+
+def split(rows: DataFrame, column: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose column may be in a bitmap, and those that aren't in it."""
+    bucket, bit = _place(column, "bucket_")
+    met = rows.withColumn("bucket_", bucket).join(F.broadcast(held), F.col("bucket_") == F.col("bucket"), "left")  # BITMAP_ROWS at most
+    inside = F.coalesce(F.col("mask").bitwiseAND(bit) != 0, F.lit(False))
+    return met.where(inside).select(*rows.columns), met.where(~inside).select(*rows.columns)
+
+
+def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows whose column isn't among gone's: most pass by a bitmap, the
+    others meet gone in a join."""
+    gone = staged(gone.select(column).distinct(), "gone")
+    some, others = split(rows, column, bitmap(gone, column))
+    return others.union(some.join(gone, column, "left_anti").select(*rows.columns))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, rows_of, staged, utf8
+from .common import free_name, keyed, rows_of, staged, utf8, without
 
 #: UTF-8 bytes of benchmark text in one automaton (some 40 bytes of memory for
 #: each byte of each window, windows overlapping tenfold). More text goes into
@@ -181,10 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     return parts.mapInArrow(finish, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, {SPANS}").withColumnRenamed("id", id_col)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES, scan: bool = False) -> DataFrame:
     """The rows of docs that contamination wouldn't mark, unchanged."""
     key = free_name(docs, "row")
-    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
+    rows = keyed(docs, key, scan)
     found = contamination(rows.select(F.col(key).alias("id"), F.col(text_col).alias("text")), benchmark, size, "id", "text", item_col, item_text_col, shard_bytes)
-    bad = found.where("contaminated").select(F.col("id").alias(key))
-    return rows.join(bad, key, "left_anti").select(*docs.columns)
+    return without(rows, key, found.where("contaminated").select(F.col("id").alias(key))).select(*docs.columns)

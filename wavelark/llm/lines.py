@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, keyed, rows_of, staged
+from .common import bitmap, components, free_name, keyed, maybe_in, rows_of, split, staged
 
 MAX_EDITS = 2
 #: Comparisons in a cell beyond which it is partitioned again.
-CELL_PAIRS = 1 << 14
+CELL_PAIRS = 1 << 16
 
 WORD = 64
+BITS = tuple(f"bits{i}" for i in range(4))
 BLANKS = " \t\r\v\f"
 
 
@@ -124,26 +125,26 @@ def live(cells: DataFrame) -> DataFrame:
 
 
 def parities(texts: DataFrame) -> DataFrame:
-    """texts (line, digest, text) with their length n and 64 bits: bit h is
-    the parity of the number of neighbouring characters with hash h."""
+    """texts (line, digest, text) with their length n and bits0 to bits3: bit h
+    is the parity of the number of neighbouring characters with hash h."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
-            sizes, bits = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int64)
+            sizes, bits = np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, 4), np.int64)
             for i, text in enumerate(b.column(2).to_pylist()):
                 c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                pairs = (c[:-1] << np.uint64(32) | c[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
-                odd = np.bincount(pairs.astype(np.int64), minlength=64) & 1
-                sizes[i], bits[i] = len(c), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(bits)], names=["line", "digest", "text", "n", "bits"])
+                pairs = (c[:-1] << np.uint64(32) | c[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+                odd = np.bincount(pairs.astype(np.int64), minlength=256) & 1
+                sizes[i], bits[i] = len(c), np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), *map(pa.array, bits.T.copy())], names=["line", "digest", "text", "n", *BITS])
 
-    return texts.select("line", "digest", "text").mapInArrow(work, "line long, digest binary, text string, n int, bits long")
+    return texts.select("line", "digest", "text").mapInArrow(work, "line long, digest binary, text string, n int, " + ", ".join(f"{c} long" for c in BITS))
 
 
 def candidates(cells: DataFrame, texts: DataFrame, most: int = CELL_PAIRS) -> DataFrame:
-    """(a, b), a < b: lines of texts (line, text, n, bits) that share one of
+    """(a, b), a < b: lines of texts (line, text, n, bits0, ...) that share one of
     the cells (key, cell, line, spot, own, at, size), or one below it."""
-    marks, rests = texts.select("line", "n", "bits"), texts.select(F.lit(0).cast("long").alias("key"), "line", F.col("text").alias("rest"))
+    marks, rests = texts.select("line", "n", *BITS), texts.select(F.lit(0).cast("long").alias("key"), "line", F.col("text").alias("rest"))
     found = []
     while True:
         count = cells.groupBy("cell").agg(F.count_if(F.col("spot") != _ASIDE).alias("x"), F.count("*").alias("y"))
@@ -152,7 +153,7 @@ def candidates(cells: DataFrame, texts: DataFrame, most: int = CELL_PAIRS) -> Da
         x, y = few.where(F.col("spot") != _ASIDE).alias("x"), few.alias("y")
         # either of two lines may be the one that stands aside
         near = (F.col("x.own") | F.col("y.own")) & (F.abs(F.col("x.n") - F.col("y.n")) <= MAX_EDITS)
-        near &= F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 4 * MAX_EDITS
+        near &= sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in BITS) <= 4 * MAX_EDITS
         pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.line") != F.col("y.line")) & near)
         found.append(staged(pairs.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct(), "pairs"))
         many = cells.where("large").select("key", "cell", "line", "at", "size")
@@ -197,8 +198,10 @@ def links(lines: DataFrame, least_chars: int = 0, most: int = CELL_PAIRS) -> Dat
     named = lines.where(F.length("text") >= least_chars).select(F.xxhash64("text").alias("line"), "text")
     spots = listed(named.select(F.lit(0).cast("long").alias("key"), "line", F.col("text").alias("rest")))
     some = staged(live(spots.select("cell", "line", "own")), "live")
-    cells = staged(spots.join(some, "cell").distinct(), "members")
-    texts = named.join(cells.select("line").distinct(), "line", "left_semi").groupBy("text").agg(F.lit(1)).select(F.xxhash64("text").alias("line"), digest().alias("digest"), "text")
+    # repeats go before the join, so that a common line's don't meet in one task
+    cells = staged(maybe_in(spots, "cell", bitmap(some, "cell")).distinct().join(some, "cell"), "members")
+    asked = cells.select("line").distinct()
+    texts = maybe_in(named, "line", bitmap(asked, "line")).groupBy("text").agg(F.lit(1)).select(F.xxhash64("text").alias("line"), digest().alias("digest"), "text").join(asked, "line", "left_semi")
     texts = staged(parities(texts), "texts")
     return verified(candidates(cells, texts, most), texts)
 
@@ -266,4 +269,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[at] = pa.array(texts, b.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    return rows.join(drop, key, "left").select(*docs.columns, gone).mapInArrow(work, docs.schema)
+    drop = staged(drop, "drop")
+    touched, others = split(rows, key, bitmap(drop, key))
+    changed = touched.join(drop, key, "left").select(*docs.columns, gone).mapInArrow(work, docs.schema)
+    return others.select(*docs.columns).union(changed)

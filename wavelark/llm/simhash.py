@@ -15,8 +15,10 @@ listed under each of their 65 variants with at most one changed bit instead:
 fingerprints two bits apart or nearer share a variant, and one variant has 65
 fingerprints at most. So no group, however large, is paired or held by a task.
 
-`one_of_each` removes near copies by the similarity of their shingles. Its
-candidates share one of their rarest shingles, which misses none.
+`one_of_each` removes near copies by the similarity of their shingles. The
+tables bring together texts within two bits. Texts of a similarity of 0.8 may
+be any number of bits apart, so all others meet through one of their rarest
+shingles, which misses none.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, rows_of, staged, utf8
+from .common import bitmap, components, free_name, keyed, maybe_in, rows_of, staged, utf8, without
 
 CELL = 24
 GLOBAL_PIVOTS = 8
@@ -166,32 +168,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _profiles(rows: DataFrame, width: int) -> DataFrame:
-    """(row, id, key binary, n): key stands for the word sequence. Wordless
-    texts are left out. Rows without a key: in how many texts of a task a
-    shingle of bucket `row` occurs (n)."""
+    """(row, id, key binary, fp long, n) of rows (row, id, text): key and, by
+    its first half, the node stand for the word sequence, fp is the fingerprint.
+    Wordless texts are left out. Rows without a key: in how many texts of a
+    task a shingle of bucket `fp` occurs (n)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kind = np.zeros(BUCKETS, np.int64), None
-        names = ["row", "id", "key", "n"]
+        seen, kinds = np.zeros(BUCKETS, np.int64), None
+        names = ["row", "id", "key", "fp", "n"]
         for b in rows_of(batches):
-            kind, keys = b.column(1).type, []
-            for text in utf8(b.column(2)):
-                w = (text or b"").lower().split()
-                keys.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
-                if w:
-                    np.add.at(seen, _bucket(_hashes(text, width)), 1)
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.nulls(b.num_rows, pa.int64())], names=names)
+            kinds, keys, prints = [b.column(0).type, b.column(1).type], [], np.zeros(b.num_rows, np.int64)
+            for i, text in enumerate(utf8(b.column(2))):
+                keys.append(_key(text))
+                if keys[-1]:
+                    parts = shingles(text, width)
+                    prints[i] = np.uint64(fingerprint(parts)).astype(np.int64)
+                    np.add.at(seen, _bucket(_hashes(parts)), 1)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(prints), pa.nulls(b.num_rows, pa.int64())], names=names)
             yield out.filter(out.column(2).is_valid())
         some = np.nonzero(seen)[0]
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), kind), pa.nulls(len(some), pa.binary()), pa.array(seen[some])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds), pa.nulls(len(some), pa.binary()), pa.array(some), pa.array(seen[some])], names=names)
 
-    return rows.mapInArrow(work, f"row long, id {rows.schema['id'].dataType.simpleString()}, key binary, n long")
+    row, kind = (rows.schema[c].dataType.simpleString() for c in ("row", "id"))
+    return rows.mapInArrow(work, f"row {row}, id {kind}, key binary, fp long, n long")
 
 
-def _hashes(text: bytes, width: int) -> np.ndarray:
-    """The hashes of the text's distinct shingles."""
-    parts = set(shingles(text, width))
+def _key(text: bytes | None) -> bytes | None:
+    words = (text or b"").lower().split()
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
+def _node(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def _hashes(parts: list[bytes]) -> np.ndarray:
+    """The hashes of the distinct shingles."""
+    parts = set(parts)
     return np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
 
 
@@ -199,38 +213,38 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def prefixes(rows: DataFrame, often: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """(cell, node, size) of rows (row, text): the texts' first shingles, those
-    of rare buckets (often: texts per bucket) before others.
+def prefixes(texts: DataFrame, often: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(cell, node, size) of texts (text): their first shingles, those of rare
+    buckets (often: texts per bucket) before others.
 
     Of two texts with the given similarity each has size * similarity shingles
     at least in common with the other, so that they share one of the first
     size - ceil(size * similarity) + 1 in any order that is the same for all.
     """
-    held = rows.sparkSession.sparkContext.broadcast(often)
+    held = texts.sparkSession.sparkContext.broadcast(often)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = held.value
         for b in rows_of(batches, 256):
             cells, nodes, sizes = [], [], []
-            for row, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                h = _hashes(text or b"", width)
-                if not len(h):
-                    continue
-                first = h[np.lexsort((h, often[_bucket(h)]))[: len(h) - ceil(len(h) * similarity - 1e-9) + 1]]
-                cells.append(first)
-                nodes.append(np.full(len(first), row, np.int64))
-                sizes.append(np.full(len(first), len(h), np.int64))
+            for text in utf8(b.column(0)):
+                if key := _key(text):
+                    h = _hashes(shingles(text, width))
+                    first = h[np.lexsort((h, often[_bucket(h)]))[: len(h) - ceil(len(h) * similarity - 1e-9) + 1]]
+                    cells.append(first)
+                    nodes.append(np.full(len(first), _node(key), np.int64))
+                    sizes.append(np.full(len(first), len(h), np.int32))
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (cells, nodes, sizes)], names=["cell", "node", "size"])
+                cells, nodes, sizes = map(np.concatenate, (cells, nodes, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(nodes), pa.array(sizes)], names=["cell", "node", "size"])
 
-    return rows.select("row", "text").mapInArrow(work, "cell long, node long, size long")
+    return texts.select("text").mapInArrow(work, "cell long, node long, size int")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts (key, text) have a Jaccard
+    """The pairs (a, b) of nodes whose texts (node, text) have a Jaccard
     similarity of their distinct shingles of at least `similarity`."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 256):
@@ -240,13 +254,12 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
                 keep.append(len(x & y) >= similarity * len(x | y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = texts.schema["key"].dataType.simpleString()
-    return both.select("a", "b", "x", "y").mapInArrow(work, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def grouped(rows: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, root): the components of all similar pairs that share a cell of
-    rows (cell, node, size).
+    rows (cell, node, size), or are candidates of first (a, b).
 
     In a round every cell gives some pivots, which are verified with all of the
     cell that aren't of their component yet, and then leave the cell. A cell is
@@ -254,62 +267,70 @@ def grouped(rows: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     its texts are linked already, and a group of copies costs as many
     verifications as it has texts, not pairs.
     """
-    live, pivots, links, tried = rows.withColumn("root", F.col("node")), 1, None, None
-    member = None
+    found = staged(similar(first, texts, width, similarity), "similar")
+    member = staged(components(found), "members")
+    tried, pivots, live = staged(first.distinct(), "tried"), 1, rows
     while True:
+        live = live.join(member, "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
         # what is left of a cell matters while it holds two components
         open_ = live.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
         live = staged(live.join(open_, "cell"), "cells")
         if live.isEmpty():
-            break
-        # texts of small components first: the others are the more likely to be one
-        share = live.groupBy("cell", "root").agg(F.count("*").alias("n"))
-        ranked = live.join(share, ["cell", "root"]).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        chosen = ranked.groupBy("cell", "part").agg(F.min(F.struct("n", "size", "node", "root")).alias("p"))
-        chosen = staged(chosen.select("cell", F.col("p.node").alias("node"), F.col("p.size").alias("size"), F.col("p.root").alias("root")), "pivots")
+            return member
+        part = F.pmod(F.xxhash64("node"), F.lit(pivots))
+        chosen = live.groupBy("cell", part.alias("part")).agg(F.min("node").alias("node"))
+        chosen = staged(live.join(chosen.select("cell", "node"), ["cell", "node"]), "pivots")
         p, q = chosen.alias("p"), live.alias("q")
         sizes = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * similarity - 1e-9
         pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.root") != F.col("q.root")) & sizes)
         pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "candidates")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = staged(similar(pairs, texts, width, similarity), "links")
-        links = found if links is None else links.union(found)
-        member = staged(components(links), "members")
-        live = live.join(chosen.select("cell", "node"), ["cell", "node"], "left_anti").drop("root")
-        live = live.join(member, "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        found = staged(similar(pairs, texts, width, similarity), "similar")
+        tried = tried.union(pairs)
+        if not found.isEmpty():
+            member = staged(components(found.union(member.select(F.col("root").alias("a"), F.col("node").alias("b")))), "members")
+        live = live.join(chosen.select("cell", "node"), ["cell", "node"], "left_anti").select("cell", "node", "size")
         pivots *= 16
-    return member if member is not None else live.select("node", "root")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near copies, the smallest id's.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, scan: bool = False) -> DataFrame:
+    """docs with one row of each group of near copies, the smallest id's; scan
+    as for common.keyed.
 
     Texts of one word sequence are copies. Others are linked if their sets of
     shingles (width words, A-Z lower-cased) have a Jaccard similarity of at
-    least `similarity`; linked texts are one group. Every such pair meets
-    (prefixes): fingerprints of texts so similar may be any number of bits
-    apart, so they aren't used here. Texts without words are no copies of each
-    other and stay. Rows without an id come last.
+    least `similarity`; linked texts are one group. Texts whose fingerprints
+    are within max_bits meet through the pivots' tables, all others through
+    their rarest shingles; every pair that meets is verified. Texts without
+    words are no copies of each other and stay. Rows without an id come last.
     """
     key = free_name(docs, "row")
-    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
-    texts = rows.select(F.col(key).alias("row"), F.col(text_col).alias("text"))
-    got = staged(_profiles(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), width), "profiles")
+    rows = keyed(docs, key, scan)
+    texts = rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    got = staged(_profiles(texts, width), "profiles")
     often = np.zeros(BUCKETS, np.int64)
-    for r in got.where("key IS NULL").groupBy("row").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
-        often[r.row] = r.n
-    got = got.where("key IS NOT NULL").select("row", "id", "key")
+    for r in got.where("key IS NULL").groupBy("fp").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        often[r.fp] = r.n
+    got = got.where("key IS NOT NULL").select("row", "id", "key", "fp")
     order = F.struct(F.col("id").isNull().alias("x"), "id", "row")
-    nodes = staged(got.groupBy("key").agg(F.min(order).alias("least")).select(F.col("least.row").alias("node"), "key", "least"), "texts")
-    listed = prefixes(texts, often, width, similarity).join(nodes.select("node"), "node", "left_semi").repartition("cell")
-    # all columns are used, so that one exchange serves both branches
-    many = listed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("most")).where("lo < hi AND most > 0").select("cell")
-    cells = staged(listed.join(many, "cell").select("cell", "node", "size"), "cells")
-    asked = staged(texts.withColumnRenamed("row", "key").join(cells.select(F.col("node").alias("key")).distinct(), "key", "left_semi"), "asked")
-    groups = nodes.join(grouped(cells, asked, width, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("node")
+    nodes = staged(got.groupBy("key", "fp").agg(F.min(order).alias("least")).select("key", "fp", node, "least"), "texts")
+    # within max_bits: fingerprints by the tables, texts of one fingerprint
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    pairs = links(prints.select(F.col("fp").alias("node"), "fp"), max_bits, max_bits + 2)
+    pairs = pairs.join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    same = nodes.select("fp", F.col("node").alias("y")).join(prints, "fp").where("node != y").select(F.col("node").alias("x"), "y")
+    first = staged(pairs.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
+    # the others
+    listed = prefixes(texts, often, width, similarity)
+    many = listed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("cell")
+    many = staged(many, "many")
+    cells = staged(maybe_in(listed, "cell", bitmap(many, "cell")).distinct().join(many, "cell"), "cells")
+    met = cells.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    asked = staged(nodes.join(met, "node", "left_semi").select("node", F.col("least.row").alias("row")), "asked")
+    some = maybe_in(texts.select("row", "text"), "row", bitmap(asked, "row")).join(asked, "row").select("node", "text")
+    some = staged(some, "texts")
+    groups = nodes.join(grouped(cells, first, some, width, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(key))
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    return without(rows, key, gone).select(*docs.columns)
