@@ -6,28 +6,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wavelark.llm import decontamination, lines, packing, quality, simhash
-from wavelark.llm.common import staged
+from wavelark.llm.common import mark, release_since, staged
 from wavelark.llm.queries import word_tokenizer
 
 
+#: Two edits change a tenth of such a line at most; shorter ones ("Yes.", "No.")
+#: go only if they are equal.
+LEAST_CHARS = 20
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and nearly equal lines the first stays."""
-    return lines.deduplicate(docs)
+    """Of equal lines the first stays, and of lines of LEAST_CHARS characters or
+    more that are within two edits of each other."""
+    return lines.deduplicate(docs, least_chars=LEAST_CHARS, scan=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one document stays."""
-    return simhash.one_of_each(docs, width=5, similarity=0.8)
+    return simhash.one_of_each(docs, width=5, similarity=0.8, scan=True)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, scan=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = staged(docs, "stage")
+            release_since(spark, since, docs)
     return docs
