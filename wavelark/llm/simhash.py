@@ -39,6 +39,7 @@ CELL = 24
 GLOBAL_PIVOTS = 8
 #: Counters that tell rare from common shingles, by hash.
 BUCKETS = 1 << 16
+BITS = tuple(f"bits{i}" for i in range(4))
 
 
 def shingles(text: bytes | None, width: int) -> list[bytes]:
@@ -257,6 +258,22 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
     return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def sketched(texts: DataFrame, width: int) -> DataFrame:
+    """texts (node, text) with bits0 to bits3: bit h is the parity of the number
+    of distinct shingles with hash h. A shingle that only one of two texts has
+    changes one bit, so texts differ in as many shingles as in bits, or more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            bits = np.zeros((b.num_rows, 4), np.int64)
+            for i, text in enumerate(utf8(b.column(1))):
+                odd = np.bincount((_hashes(shingles(text, width)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, bits.T.copy())], names=["node", "text", *BITS])
+
+    return texts.select("node", "text").mapInArrow(work, "node long, text string, " + ", ".join(f"{c} long" for c in BITS))
+
+
 def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, root): the components of all similar pairs that share a cell of
     rows (cell, node, size), or are candidates of first (a, b).
@@ -270,6 +287,7 @@ def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, sim
     found = staged(similar(first, texts, width, similarity), "similar")
     member = staged(components(found), "members")
     tried, pivots, live = staged(first.distinct(), "tried"), 1, rows
+    marks = texts.select("node", *BITS)
     while True:
         live = live.join(member, "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
         # what is left of a cell matters while it holds two components
@@ -280,8 +298,11 @@ def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, sim
         part = F.pmod(F.xxhash64("node"), F.lit(pivots))
         chosen = live.groupBy("cell", part.alias("part")).agg(F.min("node").alias("node"))
         chosen = staged(live.join(chosen.select("cell", "node"), ["cell", "node"]), "pivots")
-        p, q = chosen.alias("p"), live.alias("q")
+        p, q = chosen.join(marks, "node").alias("p"), live.join(marks, "node").alias("q")
         sizes = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * similarity - 1e-9
+        # similar sets differ in a known share of their sizes at most
+        apart = sum(F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in BITS)
+        sizes &= apart <= (F.col("p.size") + F.col("q.size")) * ((1 - similarity) / (1 + similarity)) + 1e-9
         pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.root") != F.col("q.root")) & sizes)
         pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
@@ -329,7 +350,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = cells.select("node").union(first.select("a")).union(first.select("b")).distinct()
     asked = staged(nodes.join(met, "node", "left_semi").select("node", F.col("least.row").alias("row")), "asked")
     some = maybe_in(texts.select("row", "text"), "row", bitmap(asked, "row")).join(asked, "row").select("node", "text")
-    some = staged(some, "texts")
+    some = staged(sketched(some, width), "texts")
     groups = nodes.join(grouped(cells, first, some, width, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(key))
