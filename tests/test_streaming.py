@@ -22,7 +22,7 @@ def test_sessions_equal_batch(spark, data, tmp_path):
     events = {r.event: r.n for r in got.groupBy("event").agg(F.count("*").alias("n")).collect()}
     batch = sequences.session_totals(sequences.sessions(packets)).first()
     assert events["packet_seen"] == batch.packets and events["opened"] == batch.devices
-    assert events.get("duplicate", 0) + events.get("late", 0) == batch.duplicates and events.get("regression", 0) == batch.regressions
+    assert events.get("duplicate_sequence", 0) == batch.duplicates and events.get("timestamp_regression", 0) == batch.regressions
 
 
 def test_resync(spark, tmp_path):

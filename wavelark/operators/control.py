@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Pressure levels and the load from which they hold (fixed values).
-LEVELS = (("normal", 0.0), ("watch", 0.50), ("throttle", 0.70), ("shed", 0.85), ("stop", 0.97))
+LEVELS = (("nominal", 0.0), ("watch", 0.50), ("throttle", 0.70), ("shed", 0.85), ("stop", 0.97))
 
 
 def pressure(load: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def pressure(load: DataFrame) -> DataFrame:
     rank = F.lit(0)
     for i, (_, least) in enumerate(LEVELS):
         rank = F.when(most >= least, i).otherwise(rank)
-    rank = F.greatest(rank, F.when(F.col("stalled") > 0, 2).otherwise(0), F.when(F.col("inflight") * 4 > F.col("packet_capacity"), 1).otherwise(0))
+    rank = F.greatest(rank, F.when(F.col("stalled") > 0, 2).otherwise(0), F.when((F.col("packet_capacity") >= 4) & (F.col("inflight") > F.expr("packet_capacity div 4")), 1).otherwise(0))
     return load.withColumn("ratio", F.round(most, 6)).withColumn("level", F.get(F.array(*[F.lit(n) for n, _ in LEVELS]), rank))
 
 
@@ -153,40 +153,44 @@ def ack_devices(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("device").agg(F.count("*").alias("acks"), *[F.count_if(F.col("outcome") == x).alias(x) for x in ("matched", "rejected", "duplicate", "unexpected", "stale")])
 
 
+#: Kinds that are admitted under any pressure but the highest (fixed values).
+PROTECTED = ("control", "heartbeat", "capabilities")
+
+
 @dataclass(frozen=True)
 class Admission:
     min_delay_ns: int = 1_000_000
     max_delay_ns: int = 1_000_000_000
+    max_factor: int = 16
 
 
 def admission(df: DataFrame, policy: Admission) -> DataFrame:
     """CTL2: the decision for packets (device, capture_time_ns, offset, kind,
-    level), per device in arrival order."""
+    level), per device in arrival order: a delay opens a window in which what
+    follows waits too, shedding doubles the factor of downsampling until a
+    packet is accepted."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["capture_time_ns", "offset"], kind="stable")
-        delayed, keep = 0, 1
-        actions, delays = [], []
-        for kind, level in zip(rows["kind"], rows["level"], strict=True):
-            delay, action = 0, "accept"
-            if level == "stop":
-                action, delay = "reject", policy.max_delay_ns
-            elif kind == "control":
-                pass
-            elif level == "shed":
-                keep = min(16, max(2, keep * 2))
-                action = "downsample"
-            elif level == "throttle":
-                delay = min(policy.max_delay_ns, policy.min_delay_ns * 2 * min(delayed + 1, 32))
-                delayed += 1
-                action = "delay"
-            else:
-                delayed, keep = 0, 1
-            actions.append(action)
-            delays.append(delay)
-        return pd.DataFrame({"device": rows["device"], "offset": rows["offset"], "action": actions, "delay_ns": delays})
+        delayed, factor, free_at, said = 0, 1, 0, []
+        for now, kind, level in zip(rows["capture_time_ns"], rows["kind"], rows["level"], strict=True):
+            action, delay, told = "accept", 0, 1
+            if level == "stop" or kind not in PROTECTED:
+                if now < free_at:
+                    action, delay, told = "delay", free_at - now, factor
+                elif level == "throttle":
+                    wait = policy.min_delay_ns * 2 * min(delayed + 1, 32)
+                    action, delay, told = "delay", max(policy.min_delay_ns, min(wait, policy.max_delay_ns)), factor
+                elif level == "shed":
+                    action, told = "downsample", min(max(2, factor * 2), policy.max_factor)
+                elif level == "stop":
+                    action, told = "reject", policy.max_factor
+            delayed += action == "delay"
+            factor = factor if action == "delay" else told
+            free_at = now + (policy.max_delay_ns if action == "reject" else delay)
+            said.append((action, delay, told))
+        actions, delays, factors = zip(*said, strict=True)
+        return pd.DataFrame({"device": rows["device"], "offset": rows["offset"], "action": actions, "delay_ns": delays, "factor": factors})
 
     rows = df.select("device", "capture_time_ns", "offset", "kind", "level")
-    return rows.groupBy("device").applyInPandas(run, "device long, offset long, action string, delay_ns long")
-
-
+    return rows.groupBy("device").applyInPandas(run, "device long, offset long, action string, delay_ns long, factor long")

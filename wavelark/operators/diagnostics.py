@@ -60,7 +60,7 @@ def latest(metrics: DataFrame) -> DataFrame:
 
 
 #: Default latency bounds in nanoseconds (fixed values).
-LATENCY_BOUNDS = (1_000, 2_000, 5_000, 10_000, 20_000, 50_000, 100_000, 200_000, 500_000, 1_000_000, 2_000_000, 5_000_000, 10_000_000, 20_000_000, 50_000_000, 100_000_000, 200_000_000, 500_000_000, 1_000_000_000)
+LATENCY_BOUNDS = (1_000, 2_500, 5_000, 10_000, 25_000, 50_000, 100_000, 250_000, 500_000, 1_000_000, 2_500_000, 5_000_000, 10_000_000, 25_000_000, 50_000_000, 100_000_000, 250_000_000, 500_000_000, 1_000_000_000)
 
 
 def latency_buckets(df: DataFrame, value: Column) -> DataFrame:
@@ -225,9 +225,13 @@ def top_findings(found: DataFrame, limit: int) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
+#: Timeline levels in rank order (fixed values).
+TIMELINE_LEVELS = ("debug", "info", "warning", "error")
+
+
 def timeline(df: DataFrame) -> DataFrame:
     """DIA15/SRT8: packets of note as timeline entries."""
-    level = F.when(F.col("kind") == "control", "warning").when(F.col("payload_size") == 0, "notice").otherwise("info")
+    level = F.when(F.col("kind") == "control", "warning").when(F.col("payload_size") == 0, "debug").otherwise("info")
     return df.select(F.col("capture_time_ns").alias("time_ns"), level.alias("level"), F.concat(F.col("kind"), F.lit(" from "), F.col("device").cast("string")).alias("text"), "offset")
 
 

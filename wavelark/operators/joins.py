@@ -24,8 +24,8 @@ def overlaps(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.withColumn("span_ns", F.col("end_ns") - F.col("start_ns"))
 
 
-def _change(a: str, b: str) -> Column:
-    return F.when(F.col(a).isNull(), "added").when(F.col(b).isNull(), "removed").otherwise("changed")
+def _change(part: str, a: str, b: str) -> Column:
+    return F.when(F.col(a).isNull(), f"{part}_added").when(F.col(b).isNull(), f"{part}_removed").otherwise(f"{part}_changed")
 
 
 def device_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -34,20 +34,20 @@ def device_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     both = per(left, "left").join(per(right, "right"), "device", "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     both = both.where(~(F.col("left_records").eqNullSafe(F.col("right_records")) & F.col("left_bytes").eqNullSafe(F.col("right_bytes"))))
-    return both.select("device", _change("left_records", "right_records").alias("change"), (zero("right_records") - zero("left_records")).alias("records_delta"), (zero("right_bytes") - zero("left_bytes")).alias("bytes_delta"))
+    return both.select("device", _change("device", "left_records", "right_records").alias("change"), (zero("right_records") - zero("left_records")).alias("records_delta"), (zero("right_bytes") - zero("left_bytes")).alias("bytes_delta"))
 
 
 def kind_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """JN2: kind counts that differ between two manifests."""
     per = lambda df, side: df.groupBy("kind").agg(F.count("*").alias(f"{side}_records"))
     both = per(left, "left").join(per(right, "right"), "kind", "full_outer").where(~F.col("left_records").eqNullSafe(F.col("right_records")))
-    return both.select("kind", _change("left_records", "right_records").alias("change"), (F.coalesce("right_records", F.lit(0)) - F.coalesce("left_records", F.lit(0))).alias("records_delta"))
+    return both.select("kind", _change("kind", "left_records", "right_records").alias("change"), (F.coalesce("right_records", F.lit(0)) - F.coalesce("left_records", F.lit(0))).alias("records_delta"))
 
 
 def warning_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """SET7: distinct warnings that only one side has."""
-    gone = left.select("warning").subtract(right.select("warning")).withColumn("change", F.lit("removed"))
-    return gone.unionByName(right.select("warning").subtract(left.select("warning")).withColumn("change", F.lit("added")))
+    gone = left.select("warning").subtract(right.select("warning")).withColumn("change", F.lit("warning_removed"))
+    return gone.unionByName(right.select("warning").subtract(left.select("warning")).withColumn("change", F.lit("warning_added")))
 
 
 def device_archives(df: DataFrame) -> DataFrame:

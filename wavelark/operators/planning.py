@@ -86,11 +86,11 @@ def rotation(df: DataFrame, policy: Rotation, key: str = "device") -> DataFrame:
                 if policy.max_records and n >= policy.max_records:
                     why = "max_records"
                 elif policy.max_payload and payload + size > policy.max_payload:
-                    why = "max_payload"
+                    why = "max_payload_bytes"
                 elif policy.max_span and time - start > policy.max_span:
-                    why = "max_span"
+                    why = "max_span_ns"
                 elif policy.max_bytes and 36 + payload + 16 * n + 16 + size > policy.max_bytes:
-                    why = "max_bytes"
+                    why = "max_file_bytes"
                 elif policy.idle_gap and time - before > policy.idle_gap:
                     why = "idle_gap"
             if why:
@@ -131,14 +131,14 @@ def _retention(record_floor, payload_floor, keep_after, delete, archive, compact
     on = lambda c: c != 0
     last = F.col("last_time_ns")
     return (
-        F.when(F.col("records") == 0, said("delete", "archive is empty"))
-        .when(on(record_floor) & (F.col("records") <= record_floor), said("keep", "record floor"))
-        .when(on(payload_floor) & (F.col("payload_bytes") <= payload_floor), said("keep", "payload floor"))
-        .when(on(keep_after) & (last >= keep_after), said("keep", "recent"))
+        F.when(F.col("records") == 0, said("delete", "empty archive"))
+        .when(on(record_floor) & (F.col("records") < record_floor), said("keep", "below minimum record floor"))
+        .when(on(payload_floor) & (F.col("payload_bytes") < payload_floor), said("keep", "below minimum payload floor"))
+        .when(on(keep_after) & (last >= keep_after), said("keep", "inside active retention window"))
         .when(on(delete) & (last < delete), said("delete", "older than delete threshold"))
         .when(on(archive) & (last < archive), said("archive", "older than archive threshold"))
         .when(on(compact) & (last < compact), said("compact", "older than compact threshold"))
-        .otherwise(said("keep", "no rule applies"))
+        .otherwise(said("keep", "no retention rule matched"))
     )
 
 
@@ -189,11 +189,11 @@ def audit(df: DataFrame, least: int, most: int, sparse: int) -> DataFrame:
 
     none = F.lit(None).cast("long")
     line = lambda rows, severity, code, device=None, offset=None: rows.select("archive_path", F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.col(device) if device else none).alias("device"), (F.col(offset) if offset else none).alias("offset"))
-    order = line(sequences.order_audit(df), "error", "time_order", offset="offset")
-    back = line(sequences.regression_audit(df), "warning", "sequence_regression", "device", "offset")
+    order = line(sequences.order_audit(df), "error", "ordered_timestamps", offset="offset")
+    back = line(sequences.regression_audit(df), "warning", "monotonic_device_sequences", "device", "offset")
     small = line(df.where((F.col("payload_size") < least) | (F.col("payload_size") > most)), "warning", "payload_bounds", "device", "offset")
-    twice = line(df.groupBy("archive_path", "offset").agg(F.count("*").alias("n")).where("n > 1"), "error", "duplicate_offset", offset="offset")
-    few = line(df.groupBy("archive_path", "device").agg(F.count("*").alias("n")).where(F.col("n") < sparse), "info", "sparse_device", "device")
+    twice = line(df.groupBy("archive_path", "offset").agg(F.count("*").alias("n")).where("n > 1"), "error", "duplicate_offsets", offset="offset")
+    few = line(df.groupBy("archive_path", "device").agg(F.count("*").alias("n")).where(F.col("n") < sparse), "info", "sparse_devices", "device")
     return order.unionByName(back).unionByName(small).unionByName(twice).unionByName(few)
 
 
@@ -205,18 +205,16 @@ def audit_summary(findings: DataFrame) -> DataFrame:
 
 def health(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """PLN13: health findings per archive, `archive.ok` where there are none."""
-    from . import sequences
-
     per = df.groupBy("archive_path", "device").agg(F.count("*").alias("n")).groupBy("archive_path").agg(F.count("*").alias("devices"), F.max("n").alias("most"))
-    late = sequences.order_audit(df).groupBy("archive_path").agg(F.count("*").alias("late"))
-    rows = catalog.join(per, "archive_path").join(late, "archive_path", "left")
+    rows = catalog.join(per, "archive_path")
     found = F.array_compact(
         F.array(
-            F.when(F.col("records") < 1, "archive.empty"),
-            F.when(F.col("devices") > 4096, "archive.many_devices"),
-            F.when((F.col("devices") > 1) & (F.col("most") / F.col("records") > 0.95), "archive.single_device"),
-            F.when(F.col("payload_bytes") / F.col("records") < 1, "archive.small_payload"),
-            F.when(F.coalesce("late", F.lit(0)) > 0, "archive.time_inversion"),
+            F.when(F.col("records") < 1, "archive.too_small"),
+            F.when(F.col("records") == 0, "archive.empty"),
+            F.when(F.col("first_time_ns") > F.col("last_time_ns"), "archive.time_inverted"),
+            F.when(F.col("devices") > 4096, "archive.too_many_devices"),
+            F.when((F.col("devices") > 1) & (F.col("most") / F.col("records") > 0.95), "archive.device_skew"),
+            F.when(F.col("payload_bytes") / F.col("records") < 1, "archive.low_payload_density"),
         )
     )
     return rows.select("archive_path", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("archive.ok")))).alias("code"))
@@ -226,5 +224,5 @@ def repair_plan(state: DataFrame) -> DataFrame:
     """PLN11: the action for archives (archive_path, ok, readable, salvaged,
     header_ok, ordered)."""
     rewrite = (~F.col("header_ok") | ~F.col("ordered")) & (F.col("readable") > 0)
-    action = F.when(F.col("ok"), "no_op").when(F.col("salvaged") > F.col("readable"), "rebuild").when(rewrite, "rewrite").when(F.col("readable") == 0, "quarantine").otherwise("no_op")
-    return state.select("archive_path", action.alias("action"), action.isin("rebuild", "rewrite").alias("verify"))
+    action = F.when(F.col("ok"), "no_op").when(F.col("salvaged") > F.col("readable"), "rebuild_from_salvage").when(rewrite, "rewrite_from_readable_records").when(F.col("readable") == 0, "quarantine_file").otherwise("no_op")
+    return state.select("archive_path", action.alias("action"), action.isin("rebuild_from_salvage", "rewrite_from_readable_records").alias("verify"))

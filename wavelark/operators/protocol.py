@@ -55,7 +55,7 @@ def with_sections(df: DataFrame) -> DataFrame:
 
 #: The built-in extension registry (fixed values): type, name, least and most
 #: bytes, repeatable.
-EXTENSIONS = ((1, "firmware", 1, 64, False), (2, "location", 12, 12, False), (3, "battery", 2, 2, False), (4, "tag", 1, 128, True), (5, "signature", 16, 64, False))
+EXTENSIONS = ((1, "collector_id", 1, 8, False), (2, "site_name", 1, 128, False), (3, "capture_tags", 0, 4096, True), (4, "firmware_build", 1, 128, False), (5, "operator_note", 0, 512, True))
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -68,10 +68,10 @@ def extension_issues(extensions: DataFrame) -> DataFrame:
     rows = extensions.join(known, "type", "left").withColumn("n", F.count("*").over(W.partitionBy("packet", "type")))
     found = F.array_compact(
         F.array(
-            F.when(F.col("name").isNull(), "extension.unknown"),
-            F.when(F.col("size") < F.col("least"), "extension.too_short"),
-            F.when(F.col("size") > F.col("most"), "extension.too_long"),
-            F.when(~F.col("repeatable") & (F.col("n") > 1), "extension.not_repeatable"),
+            F.when(F.col("name").isNull(), "unknown extension type"),
+            F.when(F.col("size") < F.col("least"), "extension value is shorter than allowed"),
+            F.when(F.col("size") > F.col("most"), "extension value is larger than allowed"),
+            F.when(~F.col("repeatable") & (F.col("n") > 1), "extension type is not repeatable"),
         )
     )
     return rows.select("packet", "position", "type", F.explode(found).alias("issue"))

@@ -163,19 +163,35 @@ def peaks(bins: DataFrame, snr: float = 6.0, most: int = 64) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= most).select("frame_id", "receiver", "time_ns", "bin", "frequency_hz", F.round(p, 6).alias("power_dbm"), "snr_db", "place")
 
 
-def interference(found: DataFrame, occupied: DataFrame) -> DataFrame:
-    """RF8: findings from peaks and occupancy: broadband frames, then per peak
-    overload before narrowband before guard before passive band."""
+def _severity(excess: Column) -> Column:
+    return F.when(excess >= 30, "critical").when(excess >= 20, "high").when(excess >= 10, "medium").when(excess >= 3, "low").otherwise("info")
+
+
+def interference(found: DataFrame, occupied: DataFrame, noise: DataFrame) -> DataFrame:
+    """RF8: findings from peaks, occupancy and noise floors: broadband frames,
+    then per peak overload, or else whichever of a carrier, energy in a guard
+    range and an emission in a passive allocation apply."""
     spark = found.sparkSession
-    broad = occupied.where("ratio >= 0.55").select("frame_id", F.lit(-1).alias("bin"), F.lit("broadband_noise").alias("kind"), F.col("mean_margin_db").alias("excess_db"))
-    rows = found.select("frame_id", "bin", "frequency_hz", "power_dbm", "snr_db")
-    guard = guard_hits(rows.select("frequency_hz").distinct(), "frequency_hz").select("frequency_hz").distinct().withColumn("guard", F.lit(True))
-    passive = F.broadcast(allocations(spark).where("status = 'protected_passive'").select("lower_hz", "upper_hz").withColumn("passive", F.lit(True)))  # a few rows
-    rows = rows.join(guard, "frequency_hz", "left").join(passive, (F.col("frequency_hz") >= F.col("lower_hz")) & (F.col("frequency_hz") < F.col("upper_hz")), "left")
-    kind = F.when(F.col("power_dbm") >= -5, "overload").when(F.col("snr_db") >= 12, "narrowband").when(F.col("guard"), "adjacent_channel").when(F.col("passive"), "passive_band")
-    peaky = rows.withColumn("kind", kind).where("kind IS NOT NULL").select("frame_id", "bin", "kind", F.col("snr_db").alias("excess_db"))
-    grade = F.when(F.col("excess_db") >= 30, "critical").when(F.col("excess_db") >= 20, "major").when(F.col("excess_db") >= 10, "moderate").when(F.col("excess_db") >= 3, "minor").otherwise("info")
-    return broad.union(peaky).withColumn("severity", grade)
+    rise = F.col("floor_dbm") - F.col("median_dbm")
+    broad = occupied.join(noise, "frame_id").where((F.col("ratio") >= 0.55) | (rise >= 8))
+    broad = broad.select("frame_id", F.lit(-1).alias("bin"), F.lit("broadband_noise").alias("kind"), F.greatest(rise, F.col("mean_margin_db")).alias("excess_db"))
+    broad = broad.withColumn("severity", _severity(F.col("excess_db")))
+    best = best_allocation(found.select("frequency_hz").distinct(), "frequency_hz")
+    quiet = allocations(spark).select(F.col("name").alias("allocation"), ((F.col("status") == "protected_passive") | F.col("service").isin("navigation", "weather")).alias("passive"))
+    best = best.join(F.broadcast(quiet), "allocation", "left")  # twenty rows
+    g = F.broadcast(guards(spark).withColumnRenamed("name", "allocation"))  # two rows an allocation
+    near = best.join(g, "allocation").where("frequency_hz >= from_hz AND frequency_hz < to_hz").select("frequency_hz").distinct().withColumn("guard", F.lit(True))
+    rows = found.select("frame_id", "bin", "frequency_hz", "power_dbm", "snr_db").join(best, "frequency_hz", "left").join(near, "frequency_hz", "left")
+    over, snr = F.col("power_dbm") >= -5, F.col("snr_db")
+    named = lambda test, kind, severity: F.when(test, F.struct(F.lit(kind).alias("kind"), severity.alias("severity")))
+    kinds = F.array(
+        named(over, "overload", F.lit("critical")),
+        named(~over & (snr >= 12), "narrowband_carrier", _severity(snr)),
+        named(~over & F.col("guard"), "adjacent_channel", F.lit("medium")),
+        named(~over & F.col("passive") & (snr >= 6), "co_channel", F.lit("high")),
+    )
+    peaky = rows.select("frame_id", "bin", F.explode(F.array_compact(kinds)).alias("k"), snr.alias("excess_db"))
+    return broad.unionByName(peaky.select("frame_id", "bin", "k.kind", "k.severity", "excess_db"))
 
 
 def intermodulation(found: DataFrame, tolerance: int = 2_000) -> DataFrame:
@@ -223,16 +239,19 @@ def iq_summary(iq: DataFrame, rate: float = 48_000.0, clip: float = 0.98) -> Dat
         (F.count_if(clipped) / F.count("*")).alias("clipped"),
         F.avg("step").alias("step"),
     )
-    corr = F.greatest(F.least(F.col("iq") / F.sqrt(F.col("ii") * F.col("qq")), F.lit(1.0)), F.lit(-1.0))
+    spread = F.sqrt(F.col("ii") * F.col("qq"))
+    corr = F.when(spread > 0, F.greatest(F.least(F.try_divide(F.col("iq"), spread), F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
+    # a window without its mean may be silent: a ratio of nothing is -120 dB
+    decibel = lambda a, b: F.when((a > 0) & (b > 0), F.log10(F.try_divide(a, b)) * 20).otherwise(-120.0)
     r = lambda c: F.round(c, 6)
     return per.select(
         "window_id",
         "samples",
         r(F.col("rms")).alias("rms"),
         r(F.col("peak")).alias("peak"),
-        r(F.log10(F.col("peak") / F.col("rms")) * 20).alias("crest_db"),
+        r(decibel(F.col("peak"), F.col("rms"))).alias("crest_db"),
         r(F.hypot("mi", "mq")).alias("dc_offset"),
-        r(F.log10(F.sqrt("ii") / F.sqrt("qq")) * 20).alias("gain_imbalance_db"),
+        r(decibel(F.sqrt("ii"), F.sqrt("qq"))).alias("gain_imbalance_db"),
         r(F.degrees(F.asin(corr))).alias("phase_error_deg"),
         r(F.col("clipped")).alias("clipping_ratio"),
         F.round(F.col("step") * rate / (F.pi() * 2), 4).alias("frequency_offset_hz"),
@@ -273,7 +292,7 @@ def trends(samples: DataFrame) -> DataFrame:
     change = F.col("last") - F.col("first")
     direction = (
         F.when(F.col("missing") > 0.55, "intermittent")
-        .when((F.col("first") == 0) & (F.col("last") != 0), "new")
+        .when((F.col("first") == 0) & (F.col("last") != 0), "new_signal")
         .when((F.col("first") != 0) & (F.col("last") == 0), "disappeared")
         .when((F.col("slope") > 1) | (change > 3), "rising")
         .when((F.col("slope") < -1) | (change < -3), "falling")

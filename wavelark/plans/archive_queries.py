@@ -202,10 +202,10 @@ on_packets(
     lambda p: S.capacity_samples(G.catalog(p)),
     f"SELECT last_time_ns AS time_ns, archive_path, CAST(sum(records) OVER w AS BIGINT) AS records, CAST(sum(payload_bytes) OVER w AS BIGINT) AS payload_bytes FROM {_CAT} WINDOW w AS (ORDER BY first_time_ns, archive_path ROWS UNBOUNDED PRECEDING)",
 )
-_RANGES = f"(SELECT device % 5 AS site, capture_time_ns AS s, capture_time_ns + {HOUR} AS e FROM packets WHERE device % 10 < 5)"
+_RANGES = f"(SELECT device % 5 AS site, capture_time_ns AS s, capture_time_ns + {HOUR} AS e FROM packets)"
 on_packets(
     "set2_range_union",
-    lambda p: S.merged_ranges(p.where("device % 10 < 5").select((F.col("device") % 5).alias("site"), F.col("capture_time_ns").alias("start_ns"), (F.col("capture_time_ns") + HOUR).alias("end_ns")), ["site"]),
+    lambda p: S.merged_ranges(p.select((F.col("device") % 5).alias("site"), F.col("capture_time_ns").alias("start_ns"), (F.col("capture_time_ns") + HOUR).alias("end_ns")), ["site"]),
     f"""SELECT site, min(s) AS start_ns, max(e) AS end_ns FROM (SELECT *, sum(o) OVER (PARTITION BY site ORDER BY s, e) AS island FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY site ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS o FROM {_RANGES})) GROUP BY site, island""",
 )
 

@@ -58,10 +58,10 @@ _EXT = lambda p: p.select(F.col("offset").alias("packet"), F.explode(F.sequence(
 packets(
     "pro2_extension_issues",
     lambda p: X.extension_issues(_EXT(p)),
-    """SELECT packet, position, type, issue FROM (SELECT packet, position, type, unnest(list_filter([CASE WHEN name IS NULL THEN 'extension.unknown' END, CASE WHEN size < least THEN 'extension.too_short' END, CASE WHEN size > most THEN 'extension.too_long' END,
-    CASE WHEN NOT repeatable AND count(*) OVER (PARTITION BY packet, type) > 1 THEN 'extension.not_repeatable' END], lambda x: x IS NOT NULL)) AS issue FROM ext LEFT JOIN known USING (type))""",
+    """SELECT packet, position, type, issue FROM (SELECT packet, position, type, unnest(list_filter([CASE WHEN name IS NULL THEN 'unknown extension type' END, CASE WHEN size < least THEN 'extension value is shorter than allowed' END, CASE WHEN size > most THEN 'extension value is larger than allowed' END,
+    CASE WHEN NOT repeatable AND count(*) OVER (PARTITION BY packet, type) > 1 THEN 'extension type is not repeatable' END], lambda x: x IS NOT NULL)) AS issue FROM ext LEFT JOIN known USING (type))""",
     """ext AS (SELECT "offset" AS packet, CAST(k AS INTEGER) AS position, CAST((sequence + k) % 6 + 1 - CASE WHEN k = 2 THEN 1 ELSE 0 END AS INTEGER) AS type, payload_size % 80 AS size FROM (SELECT *, unnest(range(0, sequence % 3 + 1)) AS k FROM packets)),
-    known(type, name, least, most, repeatable) AS (VALUES (1, 'firmware', 1, 64, false), (2, 'location', 12, 12, false), (3, 'battery', 2, 2, false), (4, 'tag', 1, 128, true), (5, 'signature', 16, 64, false))""",
+    known(type, name, least, most, repeatable) AS (VALUES (1, 'collector_id', 1, 8, false), (2, 'site_name', 1, 128, false), (3, 'capture_tags', 0, 4096, true), (4, 'firmware_build', 1, 128, false), (5, 'operator_note', 0, 512, true))""",
 )
 _PEERS = lambda p: p.groupBy("device").agg(F.count("*").alias("n")).select("device", (F.col("n") % 4).cast("int").alias("low"), (F.col("n") % 5).cast("int").alias("high"), (F.col("n") * 8).cast("int").alias("max_payload"), (F.col("n") % 2 == 0).alias("encryption"))
 packets(
@@ -224,16 +224,16 @@ _CTES = f"WITH {A.METRICS_SQL}, {A.SLO_SQL}, {_ALERTS}, {_BURN}, {_DELTAS}, {_FI
 TABLE["dia13_findings"] = (_findings, f"{_CTES} SELECT * FROM found")
 TABLE["srt7_top_findings"] = (lambda s, d: D.top_findings(_findings(s, d), 5), f"{_CTES} SELECT * FROM found ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, source, subject LIMIT 5")
 TABLE["agg29_incident_summary"] = (lambda s, d: D.incident_summary(_findings(s, d)), f"{_CTES} SELECT source, severity, count(*) AS findings FROM found GROUP BY ALL")
-_LEVEL = "CASE WHEN kind = 'control' THEN 'warning' WHEN payload_size = 0 THEN 'notice' ELSE 'info' END"
+_LEVEL = "CASE WHEN kind = 'control' THEN 'warning' WHEN payload_size = 0 THEN 'debug' ELSE 'info' END"
 packets("dia15_timeline", D.timeline, f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset" FROM packets""")
-packets("flt13_timeline_level", lambda p: D.timeline(p).where(f"level IN ('warning', 'notice') AND time_ns BETWEEN {T0} AND {T0 + 3 * DAY}"), f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset" FROM packets WHERE {_LEVEL} <> 'info' AND capture_time_ns BETWEEN {T0} AND {T0 + 3 * DAY}""")
+packets("flt13_timeline_level", lambda p: D.timeline(p).where(f"level IN ('warning', 'debug') AND time_ns BETWEEN {T0} AND {T0 + 3 * DAY}"), f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset" FROM packets WHERE {_LEVEL} <> 'info' AND capture_time_ns BETWEEN {T0} AND {T0 + 3 * DAY}""")
 
 # control
 _LOAD = lambda p: p.groupBy("device").agg(F.count("*").alias("packets"), F.lit(100).alias("packet_capacity"), F.sum("payload_size").cast("long").alias("bytes"), F.lit(120_000).alias("byte_capacity"), F.max(F.when(F.col("device") % 29 == 0, 1).otherwise(0)).alias("stalled"), F.count_if(F.col("payload_size") == 0).alias("inflight"))
 packets(
     "ctl1_pressure",
     lambda p: C.pressure(_LOAD(p)).select("device", "ratio", "level"),
-    """SELECT device, round(r, 6) AS ratio, ['normal', 'watch', 'throttle', 'shed', 'stop'][1 + greatest(CASE WHEN r >= 0.97 THEN 4 WHEN r >= 0.85 THEN 3 WHEN r >= 0.7 THEN 2 WHEN r >= 0.5 THEN 1 ELSE 0 END, CASE WHEN device % 29 = 0 THEN 2 ELSE 0 END, CASE WHEN f * 4 > 100 THEN 1 ELSE 0 END)] AS level
+    """SELECT device, round(r, 6) AS ratio, ['nominal', 'watch', 'throttle', 'shed', 'stop'][1 + greatest(CASE WHEN r >= 0.97 THEN 4 WHEN r >= 0.85 THEN 3 WHEN r >= 0.7 THEN 2 WHEN r >= 0.5 THEN 1 ELSE 0 END, CASE WHEN device % 29 = 0 THEN 2 ELSE 0 END, CASE WHEN f > 25 THEN 1 ELSE 0 END)] AS level
     FROM (SELECT device, greatest(count(*) / 100, sum(payload_size) / 120000) AS r, count(*) FILTER (payload_size = 0) AS f FROM packets GROUP BY device)""",
 )
 _QUEUE = lambda p: p.select("offset", F.col("capture_time_ns").alias("arrival_ns"), F.when(F.col("sequence") % 4 > 0, F.col("capture_time_ns") + F.col("sequence") * 1_000_000_000).otherwise(0).alias("deadline_ns"), (F.col("device") % 4).alias("priority_rank"), (F.col("sequence") % 3).alias("attempts"))
@@ -262,7 +262,7 @@ packets(
     """SELECT count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected, CAST(sum(w) AS BIGINT) AS warnings, (SELECT count(DISTINCT device) FROM packets) AS devices FROM (SELECT "offset", bool_or(severity = 'error') AS bad, count(*) FILTER (severity = 'warning') AS w FROM found GROUP BY "offset")""",
     f"{_PROBED}, {_FOUND}",
 )
-packets("srt8_timeline_order", lambda p: D.timeline(p).withColumn("level_rank", F.array_position(F.array(F.lit("info"), F.lit("notice"), F.lit("warning")), F.col("level")).cast("int")).orderBy("time_ns", F.desc("level_rank"), "offset").limit(40), f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset", CASE {_LEVEL} WHEN 'warning' THEN 3 WHEN 'notice' THEN 2 ELSE 1 END AS level_rank FROM packets ORDER BY capture_time_ns, level_rank DESC, "offset" LIMIT 40""")
+packets("srt8_timeline_order", lambda p: D.timeline(p).withColumn("level_rank", F.array_position(F.array(*[F.lit(x) for x in D.TIMELINE_LEVELS]), F.col("level")).cast("int")).orderBy("time_ns", F.desc("level_rank"), "offset").limit(40), f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset", CASE {_LEVEL} WHEN 'warning' THEN 3 WHEN 'info' THEN 2 ELSE 1 END AS level_rank FROM packets ORDER BY capture_time_ns, level_rank DESC, "offset" LIMIT 40""")
 packets("set1_archive_union", lambda p: p.where("archive_ordinal = 0").unionByName(p.where("archive_ordinal = 2")).groupBy("archive_path").agg(F.count("*").alias("records")), "SELECT archive_path, count(*) AS records FROM packets WHERE archive_ordinal IN (0, 2) GROUP BY archive_path")
 
 

@@ -46,14 +46,14 @@ _PARTS = lambda p: (p.where("archive_ordinal = 0 AND payload_size > 0"), p.where
 add(
     "jn2_device_diff",
     lambda p: J.device_diff(*_PARTS(p)),
-    f"""SELECT coalesce(l.device, r.device) AS device, CASE WHEN l.device IS NULL THEN 'added' WHEN r.device IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(r.n, 0) - coalesce(l.n, 0) AS records_delta,
+    f"""SELECT coalesce(l.device, r.device) AS device, CASE WHEN l.device IS NULL THEN 'device_added' WHEN r.device IS NULL THEN 'device_removed' ELSE 'device_changed' END AS change, coalesce(r.n, 0) - coalesce(l.n, 0) AS records_delta,
     CAST(coalesce(r.b, 0) - coalesce(l.b, 0) AS BIGINT) AS bytes_delta FROM ({_SIDE.format(k='device', o=0, m=0)}) l FULL JOIN ({_SIDE.format(k='device', o=1, m=300)}) r ON l.device = r.device
     WHERE l.n IS DISTINCT FROM r.n OR l.b IS DISTINCT FROM r.b""",
 )
 add(
     "jn2_kind_diff",
     lambda p: J.kind_diff(*_PARTS(p)),
-    f"""SELECT coalesce(l.kind, r.kind) AS kind, CASE WHEN l.kind IS NULL THEN 'added' WHEN r.kind IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(r.n, 0) - coalesce(l.n, 0) AS records_delta
+    f"""SELECT coalesce(l.kind, r.kind) AS kind, CASE WHEN l.kind IS NULL THEN 'kind_added' WHEN r.kind IS NULL THEN 'kind_removed' ELSE 'kind_changed' END AS change, coalesce(r.n, 0) - coalesce(l.n, 0) AS records_delta
     FROM ({_SIDE.format(k='kind', o=0, m=0)}) l FULL JOIN ({_SIDE.format(k='kind', o=1, m=300)}) r ON l.kind = r.kind WHERE l.n IS DISTINCT FROM r.n""",
 )
 _WARN = lambda p, o: p.where(f"archive_ordinal = {o} AND payload_size > 3000").select(F.concat(F.lit("large payload from "), F.col("device").cast("string")).alias("warning"))
@@ -61,7 +61,7 @@ _WARN_SQL = "SELECT concat('large payload from ', device) AS warning FROM packet
 add(
     "set7_warning_diff",
     lambda p: J.warning_diff(_WARN(p, 0), _WARN(p, 1)),
-    f"SELECT warning, 'removed' AS change FROM ({_WARN_SQL.format(0)} EXCEPT {_WARN_SQL.format(1)}) UNION ALL SELECT warning, 'added' FROM ({_WARN_SQL.format(1)} EXCEPT {_WARN_SQL.format(0)})",
+    f"SELECT warning, 'warning_removed' AS change FROM ({_WARN_SQL.format(0)} EXCEPT {_WARN_SQL.format(1)}) UNION ALL SELECT warning, 'warning_added' FROM ({_WARN_SQL.format(1)} EXCEPT {_WARN_SQL.format(0)})",
 )
 add(
     "jn13_superseded",
@@ -76,7 +76,7 @@ add(
 
 _ORD = 'capture_time_ns, archive_ordinal, "offset"'
 _OUT = f'row_number() OVER (ORDER BY {_ORD}) - 1 AS sample_rank, archive_path, capture_time_ns, device, sequence, payload_size, "offset"'
-add("smp1_first", lambda p: M.first(p.where("device % 2 = 0"), 100), f"SELECT {_OUT} FROM (SELECT * FROM packets WHERE device % 2 = 0 ORDER BY {_ORD} LIMIT 100)")
+add("smp1_first", lambda p: M.first(p, 100), f"SELECT {_OUT} FROM (SELECT * FROM packets ORDER BY {_ORD} LIMIT 100)")
 add("smp2_every", lambda p: M.every(p, 17, 200), f"SELECT {_OUT} FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_ORD}) - 1 AS n FROM packets) WHERE n % 17 = 0 ORDER BY n LIMIT 200)")
 add("smp3_per_bucket", lambda p: M.per_bucket(p, 5 * HOUR, 0), f"SELECT {_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY capture_time_ns // {5 * HOUR} ORDER BY {_ORD}) AS n FROM packets) WHERE n = 1")
 add("smp4_hashed", lambda p: M.hashed(p, 16, 3), None)
@@ -113,8 +113,8 @@ _MIX = P.Rotation(max_records=25, max_payload=20_000, max_span=9 * DAY, idle_gap
 add("pln3_rotation_mixed", lambda p: P.rotation(p, _MIX), None)
 add("pln4_rotation_checks", lambda p: P.rotation_checks(P.rotation(p, _MIX), p), "SELECT count(*) AS records, count(*) AS placed_once FROM packets")
 _RET = P.Retention(keep_after=T0 + 27 * DAY, delete_before=T0 + 5 * DAY, archive_before=T0 + 12 * DAY, compact_before=T0 + 20 * DAY, record_floor=100)
-_ACT = f"""CASE WHEN records = 0 THEN 'delete' WHEN records <= 100 THEN 'keep' WHEN last_time_ns >= {_RET.keep_after} + {{a}} THEN 'keep' WHEN last_time_ns < {_RET.delete_before} + {{a}} THEN 'delete' WHEN last_time_ns < {_RET.archive_before} + {{a}} THEN 'archive' WHEN last_time_ns < {_RET.compact_before} + {{a}} THEN 'compact' ELSE 'keep' END"""
-_WHY = f"""CASE WHEN records = 0 THEN 'archive is empty' WHEN records <= 100 THEN 'record floor' WHEN last_time_ns >= {_RET.keep_after} THEN 'recent' WHEN last_time_ns < {_RET.delete_before} THEN 'older than delete threshold' WHEN last_time_ns < {_RET.archive_before} THEN 'older than archive threshold' WHEN last_time_ns < {_RET.compact_before} THEN 'older than compact threshold' ELSE 'no rule applies' END"""
+_ACT = f"""CASE WHEN records = 0 THEN 'delete' WHEN records < 100 THEN 'keep' WHEN last_time_ns >= {_RET.keep_after} + {{a}} THEN 'keep' WHEN last_time_ns < {_RET.delete_before} + {{a}} THEN 'delete' WHEN last_time_ns < {_RET.archive_before} + {{a}} THEN 'archive' WHEN last_time_ns < {_RET.compact_before} + {{a}} THEN 'compact' ELSE 'keep' END"""
+_WHY = f"""CASE WHEN records = 0 THEN 'empty archive' WHEN records < 100 THEN 'below minimum record floor' WHEN last_time_ns >= {_RET.keep_after} THEN 'inside active retention window' WHEN last_time_ns < {_RET.delete_before} THEN 'older than delete threshold' WHEN last_time_ns < {_RET.archive_before} THEN 'older than archive threshold' WHEN last_time_ns < {_RET.compact_before} THEN 'older than compact threshold' ELSE 'no retention rule matched' END"""
 add("pln5_retention", lambda p: P.retention(G.catalog(daily(p)), _RET), f"SELECT archive_path, records, {_ACT.format(a=0)} AS action, {_WHY} AS reason FROM catalog", _DAILY)
 add(
     "pln6_retention_simulation",
@@ -137,11 +137,11 @@ add(
     _DAILY,
 )
 _AUDIT = """findings AS (
-    SELECT archive_path, 'error' AS severity, 'time_order' AS code, CAST(NULL AS BIGINT) AS device, "offset" FROM (SELECT *, lag(capture_time_ns) OVER (PARTITION BY archive_path ORDER BY "offset") AS b FROM moved) WHERE capture_time_ns < b
-    UNION ALL SELECT archive_path, 'warning', 'sequence_regression', device, "offset" FROM (SELECT *, max(sequence) OVER (PARTITION BY archive_path, device ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM moved) WHERE sequence < h
+    SELECT archive_path, 'error' AS severity, 'ordered_timestamps' AS code, CAST(NULL AS BIGINT) AS device, "offset" FROM (SELECT *, lag(capture_time_ns) OVER (PARTITION BY archive_path ORDER BY "offset") AS b FROM moved) WHERE capture_time_ns < b
+    UNION ALL SELECT archive_path, 'warning', 'monotonic_device_sequences', device, "offset" FROM (SELECT *, max(sequence) OVER (PARTITION BY archive_path, device ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM moved) WHERE sequence < h
     UNION ALL SELECT archive_path, 'warning', 'payload_bounds', device, "offset" FROM moved WHERE payload_size < 1 OR payload_size > 3000
-    UNION ALL SELECT archive_path, 'error', 'duplicate_offset', NULL, "offset" FROM moved GROUP BY archive_path, "offset" HAVING count(*) > 1
-    UNION ALL SELECT archive_path, 'info', 'sparse_device', device, NULL FROM moved GROUP BY archive_path, device HAVING count(*) < 10)"""
+    UNION ALL SELECT archive_path, 'error', 'duplicate_offsets', NULL, "offset" FROM moved GROUP BY archive_path, "offset" HAVING count(*) > 1
+    UNION ALL SELECT archive_path, 'info', 'sparse_devices', device, NULL FROM moved GROUP BY archive_path, device HAVING count(*) < 10)"""
 _MOVED = "moved AS (SELECT * REPLACE (timestamp_ns AS capture_time_ns) FROM packets)"
 _moved = lambda p: p.withColumn("capture_time_ns", F.col("timestamp_ns"))
 add("pln9_audit", lambda p: P.audit(_moved(p), 1, 3000, 10), "SELECT * FROM findings", f"{_MOVED}, {_AUDIT}")
@@ -155,8 +155,8 @@ add("flt14_findings_by_severity", lambda p: P.audit(_moved(p), 1, 3000, 10).wher
 add(
     "pln13_health",
     lambda p: P.health(_moved(p), G.catalog(_moved(p))),
-    """SELECT archive_path, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['archive.ok'] END) AS code FROM (SELECT archive_path, list_filter([CASE WHEN count(DISTINCT device) > 1 AND max(n) / count(*) > 0.95 THEN 'archive.single_device' END,
-    CASE WHEN sum(payload_size) / count(*) < 1 THEN 'archive.small_payload' END, CASE WHEN count(*) FILTER (capture_time_ns < b) > 0 THEN 'archive.time_inversion' END], lambda x: x IS NOT NULL) AS f
+    """SELECT archive_path, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['archive.ok'] END) AS code FROM (SELECT archive_path, list_filter([CASE WHEN count(DISTINCT device) > 1 AND max(n) / count(*) > 0.95 THEN 'archive.device_skew' END,
+    CASE WHEN sum(payload_size) / count(*) < 1 THEN 'archive.low_payload_density' END], lambda x: x IS NOT NULL) AS f
     FROM (SELECT *, count(*) OVER (PARTITION BY archive_path, device) AS n, lag(capture_time_ns) OVER (PARTITION BY archive_path ORDER BY "offset") AS b FROM moved) GROUP BY archive_path)""",
     _MOVED,
 )
@@ -164,6 +164,6 @@ _STATE = lambda p: G.catalog(daily(p)).select("archive_path", (F.col("records")
 add(
     "pln11_repair_plan",
     lambda p: P.repair_plan(_STATE(p)),
-    """SELECT archive_path, action, action IN ('rebuild', 'rewrite') AS verify FROM (SELECT archive_path, CASE WHEN records % 3 = 0 THEN 'no_op' WHEN records % 2 > 0 THEN 'rebuild' WHEN (records % 5 = 0 OR records % 7 = 0) AND records > 0 THEN 'rewrite' WHEN records = 0 THEN 'quarantine' ELSE 'no_op' END AS action FROM catalog)""",
+    """SELECT archive_path, action, action IN ('rebuild_from_salvage', 'rewrite_from_readable_records') AS verify FROM (SELECT archive_path, CASE WHEN records % 3 = 0 THEN 'no_op' WHEN records % 2 > 0 THEN 'rebuild_from_salvage' WHEN (records % 5 = 0 OR records % 7 = 0) AND records > 0 THEN 'rewrite_from_readable_records' WHEN records = 0 THEN 'quarantine_file' ELSE 'no_op' END AS action FROM catalog)""",
     _DAILY,
 )

@@ -42,24 +42,24 @@ bins("rf4_occupancy", R.occupancy, _OCC, _FLOOR)
 bins("rf5_integrated_power", R.integrated_power, "SELECT frame_id, round(log10(sum(pow(10.0, power_dbm / 10))) * 10, 6) AS power_dbm FROM bins GROUP BY frame_id")
 bins("rf6_smooth", lambda b: R.smooth(b, 5).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round("smooth_dbm", 6).alias("smooth_dbm")), "SELECT frame_id, bin, round(log10(avg(pow(10.0, power_dbm / 10)) OVER (PARTITION BY frame_id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) * 10, 6) AS smooth_dbm FROM bins")
 bins("rf6_subtract_floor", lambda b: R.floor_by_bin(b).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round(F.col("power_dbm") - F.col("floor_dbm"), 6).alias("above_db")), "SELECT frame_id, bin, round(power_dbm - floor_dbm, 6) AS above_db FROM floors", _FLOOR)
-bins("rf8_interference", lambda b: R.interference(R.peaks(b, 6.0, 64), R.occupancy(b)), None)
+bins("rf8_interference", lambda b: R.interference(R.peaks(b, 6.0, 64), R.occupancy(b), R.noise_floor(b)), None)
 bins("jn9_intermodulation", lambda b: R.intermodulation(R.peaks(b, 6.0, 12), 2_000), """SELECT p.frame_id, p.f1, p.f2, p.product, c.frequency_hz AS peak_hz FROM (SELECT a.frame_id, a.frequency_hz AS f1, b.frequency_hz AS f2, unnest([a.frequency_hz * 2 - b.frequency_hz, b.frequency_hz * 2 - a.frequency_hz, a.frequency_hz + b.frequency_hz, b.frequency_hz - a.frequency_hz]) AS product
     FROM peaks a JOIN peaks b ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz AND a.place <= 12 AND b.place <= 12) p JOIN peaks c ON c.frame_id = p.frame_id AND c.place <= 12 AND abs(c.frequency_hz - product) <= 2000 AND c.frequency_hz <> f1 AND c.frequency_hz <> f2 WHERE product > 0""", f"{_FLOOR}, {_PEAKS}")
 TABLE["rf9_band_plan"] = (lambda s, d: R.allocations(s), f"WITH {_ALLOC} SELECT name, CAST(lower_hz AS BIGINT) AS lower_hz, CAST(upper_hz AS BIGINT) AS upper_hz, service, status, CAST(guard_hz AS BIGINT) AS guard_hz, status_rank FROM alloc")
 TABLE["srt9_allocations"] = (lambda s, d: R.allocations(s).orderBy("lower_hz", "upper_hz", "name").limit(7).select("name", "lower_hz"), f"WITH {_ALLOC} SELECT name, CAST(lower_hz AS BIGINT) AS lower_hz FROM alloc ORDER BY lower_hz, upper_hz, name LIMIT 7")
 TABLE["rf9_channels"] = (lambda s, d: R.channels(s), f"WITH {_CHAN} SELECT * FROM chan")
 TABLE["jn10_guards"] = (lambda s, d: R.guards(s), f"WITH {_ALLOC} SELECT name, CAST(lower_hz AS BIGINT) AS from_hz, CAST(least(lower_hz + guard_hz, upper_hz) AS BIGINT) AS to_hz FROM alloc UNION ALL SELECT name, CAST(greatest(upper_hz - guard_hz, lower_hz) AS BIGINT), CAST(upper_hz AS BIGINT) FROM alloc")
-_PTS = lambda b: b.where("bin % 16 = 0").select("frame_id", (F.col("frequency_hz") + F.col("frame_id") % 97 * 10_000_000).alias("hz"))
-_PTSQL = "pts AS (SELECT frame_id, frequency_hz + frame_id % 97 * 10000000 AS hz FROM bins WHERE bin % 16 = 0)"
+_PTS = lambda b: b.select("frame_id", (F.col("frequency_hz") + F.col("frame_id") % 97 * 10_000_000).alias("hz"))
+_PTSQL = "pts AS (SELECT frame_id, frequency_hz + frame_id % 97 * 10000000 AS hz FROM bins)"
 bins("jn4_best_allocation", lambda b: R.best_allocation(_PTS(b), "hz"), "SELECT frame_id, hz, (SELECT name FROM alloc WHERE hz >= lower_hz AND hz < upper_hz ORDER BY status_rank, upper_hz - lower_hz, lower_hz LIMIT 1) AS allocation FROM pts", f"{_ALLOC}, {_PTSQL}")
 bins("jn10_guard_hits", lambda b: R.guard_hits(_PTS(b), "hz"), "SELECT frame_id, hz, name FROM pts JOIN (SELECT name, lower_hz AS f, least(lower_hz + guard_hz, upper_hz) AS t FROM alloc UNION ALL SELECT name, greatest(upper_hz - guard_hz, lower_hz), upper_hz FROM alloc) ON hz >= f AND hz < t", f"{_ALLOC}, {_PTSQL}")
 bins("jn5_nearest_channel", lambda b: R.nearest_channel(_PTS(b).where("frame_id < 60"), "hz"), "SELECT frame_id, hz, name AS channel_of, number AS channel, delta_hz FROM (SELECT p.*, c.name, c.number, abs(center_hz - hz) AS delta_hz, row_number() OVER (PARTITION BY frame_id, hz ORDER BY abs(center_hz - hz), c.name, c.number) AS place FROM (SELECT * FROM pts WHERE frame_id < 60) p LEFT JOIN chan c ON abs(center_hz - hz) < 50000000) WHERE place = 1", f"{_CHAN}, {_PTSQL}")
 bins("rf10_channel_number", lambda b: b.select("frame_id", F.col("bin").cast("long").alias("bin"), R.channel_number(F.col("frequency_hz"), 433_075_000, 25_000, 0, 68).alias("channel")), "SELECT frame_id, bin, CASE WHEN frequency_hz >= 433075000 AND (frequency_hz - 433075000 + 12500) // 25000 <= 68 THEN CAST((frequency_hz - 433075000 + 12500) // 25000 AS INTEGER) END AS channel FROM bins")
 _PROF = [("p1", 1, 433_000_000, 434_500_000, 0, 0, 3, 10.0, 1.5), ("p2", 1, 433_900_000, 434_100_000, 0, 0, 1, 10.0, 0.5), ("p3", 2, 434_000_000, 436_000_000, 3_600_000_000_000 * 50, 0, 4, 5.0, 9.0), ("p4", 2, 433_000_000, 436_000_000, 0, 0, 4, -8.0, 2.0)]
 TABLE["jn6_calibration_lookup"] = (
-    lambda s, d: R.calibration_best(A.bins(s, d).where("bin % 8 = 0").select("frame_id", F.col("receiver").cast("long").alias("receiver"), "frequency_hz", "time_ns"), s.createDataFrame(_PROF, "id string, receiver long, lower_hz long, upper_hz long, valid_from long, valid_until long, points int, source_bonus double, uncertainty double")),
+    lambda s, d: R.calibration_best(A.bins(s, d).select("frame_id", F.col("receiver").cast("long").alias("receiver"), "frequency_hz", "time_ns"), s.createDataFrame(_PROF, "id string, receiver long, lower_hz long, upper_hz long, valid_from long, valid_until long, points int, source_bonus double, uncertainty double")),
     f"""WITH {A.BINS_SQL}, prof(id, receiver, lo, hi, f, u, points, bonus, unc) AS (VALUES {", ".join(str(p) for p in _PROF)}), met AS (SELECT b.frame_id, b.receiver, frequency_hz, time_ns, id, lo, 100.0 - CASE WHEN time_ns >= f AND (u = 0 OR time_ns < u) THEN 0 ELSE 35 END - CASE WHEN points < 2 THEN 15 ELSE 0 END + bonus - least(unc * 4, 25.0) AS score
-    FROM (SELECT * FROM bins WHERE bin % 8 = 0) b LEFT JOIN prof p ON b.receiver = p.receiver AND frequency_hz >= lo AND frequency_hz < hi)
+    FROM bins b LEFT JOIN prof p ON b.receiver = p.receiver AND frequency_hz >= lo AND frequency_hz < hi)
     SELECT frame_id, CAST(receiver AS BIGINT) AS receiver, frequency_hz, time_ns, id AS profile, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, frequency_hz ORDER BY score DESC, lo, id) AS place FROM met) WHERE place = 1""",
 )
 iq(
@@ -82,7 +82,7 @@ bins(
 bins(
     "rf18_trends",
     lambda b: R.trends(b.where("bin = 7").select(F.col("receiver").alias("track"), "time_ns", F.col("power_dbm").alias("value"))),
-    """SELECT track, n, round(slope, 6) AS slope, CASE WHEN a = 0 AND z <> 0 THEN 'new' WHEN a <> 0 AND z = 0 THEN 'disappeared' WHEN slope > 1 OR z - a > 3 THEN 'rising' WHEN slope < -1 OR z - a < -3 THEN 'falling' ELSE 'stable' END AS trend
+    """SELECT track, n, round(slope, 6) AS slope, CASE WHEN a = 0 AND z <> 0 THEN 'new_signal' WHEN a <> 0 AND z = 0 THEN 'disappeared' WHEN slope > 1 OR z - a > 3 THEN 'rising' WHEN slope < -1 OR z - a < -3 THEN 'falling' ELSE 'stable' END AS trend
     FROM (SELECT receiver AS track, count(*) AS n, coalesce(regr_slope(power_dbm, time_ns / 3.6e12), 0) AS slope, first(power_dbm ORDER BY time_ns) AS a, last(power_dbm ORDER BY time_ns) AS z FROM bins WHERE bin = 7 GROUP BY receiver)""",
 )
 bins("rf17_tracks", lambda b: R.tracks(R.peaks(b, 15.0, 2)), None)

@@ -47,13 +47,13 @@ class Sessions(StatefulProcessor):
                 sequence, latest = r.sequence, r.timestamp_ns
             else:
                 if r.sequence == sequence:
-                    out.append((r.offset, "duplicate", 0))
+                    out.append((r.offset, "duplicate_sequence", 0))
                 elif r.sequence < sequence:
-                    out.append((r.offset, "late", 0))
+                    out.append((r.offset, "duplicate_sequence", 0))
                 elif r.sequence - sequence - 1 > self.gap_report:
-                    out.append((r.offset, "gap", r.sequence - sequence - 1))
+                    out.append((r.offset, "sequence_gap", r.sequence - sequence - 1))
                 if r.timestamp_ns < latest:
-                    out.append((r.offset, "regression", 0))
+                    out.append((r.offset, "timestamp_regression", 0))
                 sequence, latest = max(sequence, r.sequence), max(latest, r.timestamp_ns)
             seen = r.capture_time_ns
             out.append((r.offset, "packet_seen", 0))
