@@ -50,3 +50,78 @@ def test_interference_kinds(spark):
     noise = spark.createDataFrame([(1, -90.0, -100.0), (2, -99.0, -100.0)], "frame_id long, floor_dbm double, median_dbm double")
     got = sorted((r.bin, r.kind, r.severity) for r in R.interference(peaks, occupied, noise).collect())
     assert got == [(-1, "broadband_noise", "medium"), (1, "overload", "critical"), (2, "co_channel", "high"), (2, "narrowband_carrier", "medium"), (3, "narrowband_carrier", "critical"), (4, "adjacent_channel", "medium")]
+
+
+def _bins(spark, power, noise=-100.0):
+    return spark.createDataFrame([(1, 7, 0, n, 1_000_000 + n * 10_000, p, noise) for n, p in enumerate(power)], "frame_id long, receiver int, time_ns long, bin int, frequency_hz long, power_dbm double, noise_dbm double")
+
+
+def _brute_peaks(power, floor, snr=6.0, drop=3.0):
+    """Edges and shapes by walking from every local maximum."""
+    n, out = len(power), {}
+    at = lambda i: power[i] if 0 <= i < n else float("-inf")
+    top = [at(i) >= at(i - 1) and at(i) >= at(i + 1) and (at(i) > at(i - 1) or at(i) > at(i + 1)) for i in range(n)]
+    for c in range(n):
+        if not top[c] or power[c] - floor[c] < snr:
+            continue
+        level = max(floor[c] + snr, power[c] - drop)
+        ends = []
+        for step in (-1, 1):
+            i = c
+            while 0 <= i + step < n and not (power[i + step] < level and power[i + step] < floor[i + step] + snr):
+                i += step
+            ends.append(i)
+        lo, hi = ends
+        wide = hi - lo + 1
+        tones = sum(top[i] and power[i] > floor[i] + 3 for i in range(lo, hi + 1))
+        if wide <= 2:
+            shape = "narrowband"
+        elif wide >= 12:
+            shape = "flat_top" if power[c] - (power[lo] + power[hi]) / 2 < 3 else "wideband"
+        else:
+            shape = "multi_tone" if tones >= 3 else "shoulder" if abs(power[hi] - power[lo]) > 6 else "narrowband"
+        out[c] = (lo, hi, shape)
+    return out
+
+
+def test_peak_edges_and_shapes(spark):
+    import random
+
+    rng = random.Random(5)
+    shapes = set()
+    for power in ([-100.0] * 20 + [-60.0] + [-100.0] * 20, [-100.0] * 20 + [-60.0 - (i % 2) for i in range(16)] + [-100.0] * 20, [-100.0] * 20 + [-60.0, -80.0, -61.0, -82.0, -62.0] + [-100.0] * 20, [-100.0] * 20 + [-90.0, -80.0, -60.0] + [-100.0] * 20, [rng.choice([-100.0, -90.0, -70.0, -60.0]) for _ in range(64)], [-100.0], [-5.0, -100.0]):
+        df = _bins(spark, power)
+        floor = [r.floor_dbm for r in sorted(R.floor_by_bin(df).collect(), key=lambda r: r.bin)]
+        got = {r.bin: (r.lower_bin, r.upper_bin, r.shape) for r in R.peaks(df).collect()}
+        assert got == _brute_peaks(power, floor)
+        shapes |= {x[2] for x in got.values()}
+    assert shapes >= {"narrowband", "flat_top", "multi_tone"}
+
+
+def test_close_peaks_merge(spark):
+    df = _bins(spark, [-100.0] * 20 + [-60.0, -100.0, -50.0] + [-100.0] * 20)
+    assert R.peaks(df).count() == 2
+    (one,) = R.peaks(df, merge_gap_hz=20_000).collect()
+    assert (one.bin, one.lower_bin, one.upper_bin, one.shape, one.bandwidth_hz, one.power_dbm) == (22, 20, 22, "wideband", 20_000, -50.0)
+
+
+def test_tracks_follow_the_nearest_median(spark):
+    rows = [(1, n, n, n, f) for n, f in enumerate([100_000, 110_000, 200_000, 124_000, 140_000, 126_000, 150_001, 149_999])]
+    df = spark.createDataFrame(rows, "receiver int, frame_id long, time_ns long, bin int, frequency_hz long")
+    got = [r.track for r in sorted(R.tracks(df).collect(), key=lambda r: r.frame_id)]
+    members, want = [], []
+    for *_, f in rows:
+        near, i = min(((abs(sorted(m)[len(m) // 2] - f), i) for i, m in enumerate(members)), default=(25_001, -1))
+        if near > 25_000:
+            members.append([])
+            i = len(members) - 1
+        members[i].append(f)
+        want.append(i)
+    assert got == want
+
+
+def test_nearest_channel_has_no_radius(spark):
+    df = spark.createDataFrame([(1, 550_000_000), (2, 1), (3, None), (4, 99_000_000_000), (5, 433_087_500)], "id int, hz long")
+    channels = R.channels(spark).collect()
+    for r in R.nearest_channel(df, "hz").collect():
+        assert r.delta_hz == (None if r.hz is None else min(abs(c.center_hz - r.hz) for c in channels))

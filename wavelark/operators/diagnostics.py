@@ -240,14 +240,24 @@ def incident_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("source", "severity").agg(F.count("*").alias("findings"))
 
 
-#: What is recommended for which source and severity of finding (fixed values).
-ACTIONS = (("alert", "high", "page the on-call operator"), ("slo", "critical", "freeze configuration changes"), ("slo", "medium", "watch the error budget"), ("metric", "high", "compare with the previous snapshot"))
-
-
-def recommended(found: DataFrame) -> DataFrame:
-    """DIA14: the actions that the findings call for, with how many do."""
-    table = found.sparkSession.createDataFrame([(i + 1, *a) for i, a in enumerate(ACTIONS)], "step int, source string, severity string, action string")
-    return found.join(F.broadcast(table), ["source", "severity"]).groupBy("step", "action").agg(F.count("*").alias("findings"))  # four rows
+#: Recommendations in order (fixed values): owner, action, reason.
+ACTIONS = (
+    ("oncall", "freeze risky deploys for affected components", "one or more SLO error budgets are exhausted"),
+    ("oncall", "inspect firing alert evidence and correlate with timeline", "active alerts identify the highest-signal failure modes"),
+    ("incident-commander", "assign owners for mitigation and customer impact", "unresolved incidents should have explicit next actions"),
+    ("support", "confirm customer and device impact", "impact fields are empty and reporting may be incomplete"),
+)
+
+
+def recommended(reports: DataFrame) -> DataFrame:
+    """DIA14: a row per action that a report (incident, status, exhausted_slos,
+    firing_alerts, open_actions, impacts) calls for, with its step. Null counts
+    are as none, a null status is as unresolved."""
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("exhausted_slos", "firing_alerts", "open_actions", "impacts")}
+    resolved = F.coalesce(F.col("status") == "resolved", F.lit(False))
+    calls = (n["exhausted_slos"] > 0, n["firing_alerts"] > 0, (n["open_actions"] == 0) & ~resolved, n["impacts"] == 0)
+    steps = [F.when(test, F.struct(F.lit(i + 1).alias("step"), F.lit(a[0]).alias("owner"), F.lit(a[1]).alias("action"), F.lit(a[2]).alias("reason"))) for i, (test, a) in enumerate(zip(calls, ACTIONS, strict=True))]
+    return reports.select("incident", F.explode(F.array_compact(F.array(*steps))).alias("a")).select("incident", "a.*")
 
 
 def collector_stats(findings: DataFrame, sessions: DataFrame) -> DataFrame:

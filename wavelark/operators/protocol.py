@@ -77,17 +77,19 @@ def extension_issues(extensions: DataFrame) -> DataFrame:
     return rows.select("packet", "position", "type", F.explode(found).alias("issue"))
 
 
-def negotiate(peers: DataFrame, low: int, high: int, need_encryption: bool) -> DataFrame:
-    """PRO3: the version for peers (device, low, high, max_payload, encryption)
-    or why there is none."""
-    why = (
-        F.when(F.col("low") > F.col("high"), "invalid version range")
-        .when((F.col("high") < low) | (F.col("low") > high), "no common version")
-        .when(F.col("max_payload") < 256, "payload limit too small")
-        .when(F.lit(need_encryption) & ~F.col("encryption"), "encryption required")
-    )
-    version = F.when(why.isNull(), F.least(F.col("high"), F.lit(high)))
-    return peers.select("device", version.alias("version"), why.alias("rejected"), (F.col("encryption") & (F.coalesce(version, F.lit(0)) >= FEATURE_SINCE["encryption"])).alias("encrypted"))
+def negotiate(peers: DataFrame, low: int = 1, high: int = 3, need_encryption: bool = False, prefer_compression: bool = True, least_payload: int = 256) -> DataFrame:
+    """PRO3: what a local policy agrees with peers (device, max_payload,
+    compression, encryption): the policy's highest version, the features that
+    both sides have, and notes "decision: message", joined by "; ". Nulls count
+    as 0 and false. A rejected peer gets no feature."""
+    payload = F.coalesce("max_payload", F.lit(0))
+    squeeze, secret = F.coalesce("compression", F.lit(False)), F.coalesce("encryption", F.lit(False))
+    small = F.concat(F.lit("rejected_payload_limit: remote max payload "), payload.cast("string"), F.lit(f" is below required {least_payload}"))
+    refused = F.when(F.lit(high < low), "rejected_version: invalid local version policy").when(payload < least_payload, small).when(F.lit(need_encryption) & ~secret, "disabled_encryption: remote does not support encryption")
+    less = F.array_compact(F.array(F.when(F.lit(prefer_compression) & ~squeeze, "disabled_compression: compression disabled by remote capabilities"), F.when(~secret, "disabled_encryption: encryption disabled by remote capabilities")))
+    notes = F.when(F.size(less) > 0, F.concat_ws("; ", less)).otherwise("accepted: negotiation accepted without downgrade")
+    fine = refused.isNull()
+    return peers.select("device", fine.alias("accepted"), F.lit(max(low, high)).alias("version"), (fine & F.lit(prefer_compression) & squeeze).alias("compression"), (fine & secret).alias("encryption"), F.coalesce(refused, notes).alias("notes"))
 
 
 def version_matrix(spark: SparkSession) -> DataFrame:

@@ -68,12 +68,26 @@ def best_allocation(points: DataFrame, frequency: str) -> DataFrame:
 
 
 def nearest_channel(points: DataFrame, frequency: str) -> DataFrame:
-    """JN5: the nearest raster channel, found among the distinct frequencies."""
-    asked = points.select(frequency).distinct()
-    c = F.broadcast(channels(points.sparkSession).select("name", "number", "center_hz"))  # under ten thousand rows
-    near = asked.join(c, F.abs(F.col("center_hz") - F.col(frequency)) < 50_000_000)
-    best = near.groupBy(frequency).agg(F.min(F.struct(F.abs(F.col("center_hz") - F.col(frequency)).alias("delta_hz"), "name", "number")).alias("b"))
-    return points.join(best, frequency, "left").select(*points.columns, F.col("b.name").alias("channel_of"), F.col("b.number").alias("channel"), F.col("b.delta_hz").alias("delta_hz"))
+    """JN5: the raster channel nearest to every point, at any distance: ties go
+    to the first allocation of the plan, then to the lower centre. The channels
+    of a raster that lie in their allocation follow one another, so a point's
+    nearest is one of the two around it, held to the raster's ends: neither a
+    join nor a shuffle. A null frequency has no channel."""
+    f, ways = F.col(frequency), []
+    plan = sorted(range(len(BANDS)), key=lambda i: (BANDS[i][1], BANDS[i][2], BANDS[i][0]))
+    for order, (name, low, high, *_, rasters) in enumerate(BANDS[i] for i in plan):
+        for first_khz, spacing, width, first, last in rasters:
+            start = first_khz * 1000
+            inside = [n for n in range(last - first + 1) if start + n * spacing - width // 2 >= low * 1000 and start + n * spacing + width // 2 + width % 2 <= high * 1000 and start + n * spacing < high * 1000]
+            if not inside:
+                continue
+            step = F.floor((f - start) / spacing)
+            for k in (step, step + 1):
+                n = F.greatest(F.least(k, F.lit(inside[-1])), F.lit(inside[0]))
+                center = F.lit(start) + n * spacing
+                ways.append(F.struct(F.abs(center - f).cast("long").alias("delta_hz"), F.lit(order).alias("order"), center.cast("long").alias("center_hz"), (n + first).cast("int").alias("number"), F.lit(name).alias("name")))
+    best = points.withColumn("_best", F.when(f.isNotNull(), F.array_min(F.array(*ways))))
+    return best.select(*points.columns, F.col("_best.name").alias("channel_of"), F.col("_best.number").alias("channel"), F.col("_best.delta_hz").alias("delta_hz"))
 
 
 def channel_number(frequency: Column, first_hz: int, spacing_hz: int, first: int, last: int) -> Column:
@@ -151,16 +165,51 @@ def integrated_power(bins: DataFrame) -> DataFrame:
     return bins.groupBy("frame_id").agg(F.round(_dbm(F.sum(_mw(F.col("power_dbm")))), 6).alias("power_dbm"))
 
 
-def peaks(bins: DataFrame, snr: float = 6.0, most: int = 64) -> DataFrame:
-    """RF3/SRT4: local maxima snr above the floor, the strongest `most` of a
-    frame, with their rank."""
+def peaks(bins: DataFrame, snr: float = 6.0, most: int = 64, prominence: float = 6.0, edge_drop: float = 3.0, merge_gap_hz: float = 0.0, least_width: int = 1) -> DataFrame:
+    """RF3/SRT4: local maxima that rise above the floor, the strongest `most`
+    of a frame with their rank. A peak reaches on either side to the last bin
+    before one that is under both the floor plus snr and the level edge_drop
+    under the peak (never under the peak's own floor plus snr). With a
+    merge_gap_hz peaks that are no further apart become one, of the strongest's
+    centre. A frame's bins, one transform's length, are held in one array."""
     w = W.partitionBy("frame_id").orderBy("bin")
-    p, left, right = F.col("power_dbm"), F.lag("power_dbm").over(w), F.lead("power_dbm").over(w)
-    rows = floor_by_bin(bins).withColumn("left", F.coalesce(left, F.lit(-1e9))).withColumn("right", F.coalesce(right, F.lit(-1e9)))
-    top = (p >= F.col("left")) & (p >= F.col("right")) & ((p > F.col("left")) | (p > F.col("right"))) & (p - F.col("floor_dbm") >= snr)
-    rows = rows.where(top).withColumn("snr_db", F.round(p - F.col("floor_dbm"), 6))
-    place = F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc("snr_db"), F.desc("power_dbm"), "bin"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).select("frame_id", "receiver", "time_ns", "bin", "frequency_hz", F.round(p, 6).alias("power_dbm"), "snr_db", "place")
+    p, left, right = F.col("power_dbm"), F.coalesce(F.lag("power_dbm").over(w), F.lit(float("-inf"))), F.coalesce(F.lead("power_dbm").over(w), F.lit(float("-inf")))
+    top = (p >= left) & (p >= right) & ((p > left) | (p > right))
+    point = F.struct("bin", F.col("frequency_hz").alias("hz"), p.alias("p"), F.col("floor_dbm").alias("f"), top.alias("top"))
+    frames = floor_by_bin(bins).withColumn("point", point).groupBy("frame_id", "receiver", "time_ns").agg(F.sort_array(F.collect_list("point")).alias("all"))
+    rows = frames.select("*", F.posexplode("all").alias("at", "c")).where(F.col("c.top") & (F.col("c.p") - F.col("c.f") >= max(snr, prominence)))
+    size, c = F.size("all"), F.col("c")
+    level = F.greatest(c["f"] + snr, c["p"] - edge_drop)
+    under = F.transform("all", lambda x, i: F.when((x["p"] < level) & (x["p"] < x["f"] + snr), i))
+    rows = rows.withColumn("under", F.array_compact(under))
+    rows = rows.withColumn("lo", F.coalesce(F.array_max(F.filter("under", lambda i: i < F.col("at"))), F.lit(-1)) + 1)
+    rows = rows.withColumn("hi", F.coalesce(F.array_min(F.filter("under", lambda i: i > F.col("at"))), size) - 1)
+    span = F.slice("all", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)
+    width_hz = F.coalesce(F.expr("(all[size(all) - 1].hz - all[0].hz) div nullif(size(all) - 1, 0)"), F.lit(0))
+    rows = rows.withColumn("a", F.expr("all[lo]")).withColumn("z", F.expr("all[hi]")).withColumn("width", F.col("hi") - F.col("lo") + 1)
+    mw = F.aggregate(span, F.lit(0.0), lambda t, x: t + _mw(x["p"]))
+    tones = F.size(F.filter(span, lambda x: x["top"] & (x["p"] > x["f"] + 3)))
+    uneven = F.abs((c["p"] - F.col("a.p")) - (c["p"] - F.col("z.p"))) > 6
+    shape = F.when(F.col("width") <= 2, "narrowband").when(F.col("width") >= 12, F.when(c["p"] - (F.col("a.p") + F.col("z.p")) / 2 < 3, "flat_top").otherwise("wideband")).when(tones >= 3, "multi_tone").when(uneven, "shoulder").otherwise("narrowband")
+    rows = rows.where(F.col("width") >= least_width).select(
+        "frame_id", "receiver", "time_ns", c["bin"].alias("bin"), c["hz"].alias("frequency_hz"), c["p"].alias("power"), (c["p"] - c["f"]).alias("snr"), c["f"].alias("floor"),
+        F.col("a.bin").alias("lower_bin"), F.col("z.bin").alias("upper_bin"), F.col("a.hz").alias("lower_hz"), F.col("z.hz").alias("upper_hz"), mw.alias("mw"), (F.col("z.hz") - F.col("a.hz") + width_hz).alias("bandwidth_hz"), shape.alias("shape"),
+    )
+    if merge_gap_hz > 0:
+        by = W.partitionBy("frame_id").orderBy("lower_hz", "bin")
+        apart = F.col("lower_hz") - F.max("upper_hz").over(by.rowsBetween(W.unboundedPreceding, -1)) > merge_gap_hz
+        rows = rows.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by))
+        first = F.min_by(F.struct("bin", "frequency_hz", "power", "snr", "floor"), F.struct(-F.col("power"), "lower_hz", "bin"))
+        rows = rows.groupBy("frame_id", "receiver", "time_ns", "run").agg(
+            first.alias("s"), F.min("lower_bin").alias("lower_bin"), F.max("upper_bin").alias("upper_bin"), F.min("lower_hz").alias("lower_hz"), F.max("upper_hz").alias("upper_hz"), F.sum("mw").alias("mw"),
+            F.when(F.count("*") > 1, F.max("upper_hz") - F.min("lower_hz")).otherwise(F.max("bandwidth_hz")).alias("bandwidth_hz"), F.when(F.count("*") > 1, "wideband").otherwise(F.max("shape")).alias("shape"),
+        ).select("*", "s.*")
+    rows = rows.withColumn("snr_db", F.round("snr", 6))
+    place = F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc("snr_db"), F.desc("power"), "bin"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select(
+        "frame_id", "receiver", "time_ns", "bin", "frequency_hz", F.round("power", 6).alias("power_dbm"), "snr_db", "place",
+        "lower_bin", "upper_bin", "lower_hz", "upper_hz", F.round("floor", 6).alias("floor_dbm"), F.round(_dbm(F.col("mw")), 6).alias("integrated_dbm"), "bandwidth_hz", "shape",
+    )
 
 
 def _severity(excess: Column) -> Column:
@@ -305,19 +354,27 @@ def tracks(found: DataFrame, tolerance: int = 25_000) -> DataFrame:
     """RF17: peaks of a receiver joined into tracks: in time order each goes to
     the nearest track whose median frequency is within tolerance, else opens
     one. A receiver is one ordered pass."""
+    from bisect import bisect_left, insort
+
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["time_ns", "frequency_hz"], kind="stable")
         members: list[list[int]] = []
+        medians: list[tuple[int, int]] = []  # (median frequency, track), sorted
         out = []
         for f in rows["frequency_hz"]:
-            apart = [(abs(sorted(m)[len(m) // 2] - f), i) for i, m in enumerate(members)]
-            near, i = min(apart, default=(tolerance + 1, -1))
+            at = bisect_left(medians, (f, -1))
+            below = bisect_left(medians, (medians[at - 1][0], -1)) if at else 0  # the first track of that median
+            near, i = min(((abs(m - f), i) for m, i in medians[below : at + 1]), default=(tolerance + 1, -1))
             if near > tolerance:
+                i = len(members)
                 members.append([])
-                i = len(members) - 1
-            members[i].append(f)
+            else:
+                m = members[i]
+                del medians[bisect_left(medians, (m[len(m) // 2], i))]
+            insort(members[i], f)
+            insort(medians, (members[i][len(members[i]) // 2], i))
             out.append(i)
         return pd.DataFrame({"receiver": rows["receiver"], "frame_id": rows["frame_id"], "bin": rows["bin"], "track": out})
 
@@ -325,11 +382,25 @@ def tracks(found: DataFrame, tolerance: int = 25_000) -> DataFrame:
 
 
 def track_summary(members: DataFrame, found: DataFrame) -> DataFrame:
-    """SUP21/SRT5: points, drift, mean power and persistence of tracks."""
-    rows = members.join(found.select("frame_id", "bin", "frequency_hz", "power_dbm"), ["frame_id", "bin"])
+    """SUP21/SRT5: points, range, drift, mean power, persistence and trend of
+    tracks."""
+    rows = members.join(found.select("frame_id", "bin", "time_ns", "frequency_hz", "power_dbm"), ["frame_id", "bin"])
     frames = found.groupBy("receiver").agg(F.countDistinct("frame_id").alias("frames"))
-    per = rows.groupBy("receiver", "track").agg(F.count("*").alias("points"), (F.max("frequency_hz") - F.min("frequency_hz")).alias("drift_hz"), F.round(F.avg("power_dbm"), 6).alias("mean_dbm"))
-    return per.join(frames, "receiver").withColumn("persistence", F.round(F.col("points") / F.col("frames"), 6))
+    per = rows.groupBy("receiver", "track").agg(F.count("*").alias("points"), F.min("frequency_hz").alias("lower_hz"), F.max("frequency_hz").alias("upper_hz"), F.percentile("frequency_hz", 0.5).cast("long").alias("nominal_hz"), (F.max("frequency_hz") - F.min("frequency_hz")).alias("drift_hz"), F.round(F.avg("power_dbm"), 6).alias("mean_dbm"))
+    way = trends(rows.select(F.struct("receiver", "track").alias("track"), "time_ns", F.col("power_dbm").alias("value"))).select(F.col("track.receiver").alias("receiver"), F.col("track.track").alias("track"), F.col("slope").alias("slope_db_per_hour"), "trend")
+    return per.join(way, ["receiver", "track"]).join(frames, "receiver").withColumn("persistence", F.round(F.col("points") / F.col("frames"), 6))
+
+
+def tracks_in_range(summary: DataFrame, lower_hz: int, upper_hz: int) -> DataFrame:
+    """SRT6: tracks whose observed range meets [lower_hz, upper_hz) or whose
+    nominal frequency lies in it, most persistent first."""
+    meets = (F.col("lower_hz") < upper_hz) & (F.col("upper_hz") > lower_hz)
+    return summary.where(meets | F.col("nominal_hz").between(lower_hz, upper_hz - 1)).orderBy(F.desc("persistence"), "nominal_hz", "receiver", "track")
+
+
+def tracks_with_trend(summary: DataFrame, trend: str) -> DataFrame:
+    """SRT6: tracks of a trend, steepest first."""
+    return summary.where(F.col("trend") == trend).orderBy(F.desc(F.abs("slope_db_per_hour")), F.desc("mean_dbm"), "receiver", "track")
 
 
 def sweep_segments(ranges: DataFrame, step_hz: int, dwell_us: int) -> DataFrame:

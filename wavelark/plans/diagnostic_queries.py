@@ -63,12 +63,14 @@ packets(
     """ext AS (SELECT "offset" AS packet, CAST(k AS INTEGER) AS position, CAST((sequence + k) % 6 + 1 - CASE WHEN k = 2 THEN 1 ELSE 0 END AS INTEGER) AS type, payload_size % 80 AS size FROM (SELECT *, unnest(range(0, sequence % 3 + 1)) AS k FROM packets)),
     known(type, name, least, most, repeatable) AS (VALUES (1, 'collector_id', 1, 8, false), (2, 'site_name', 1, 128, false), (3, 'capture_tags', 0, 4096, true), (4, 'firmware_build', 1, 128, false), (5, 'operator_note', 0, 512, true))""",
 )
-_PEERS = lambda p: p.groupBy("device").agg(F.count("*").alias("n")).select("device", (F.col("n") % 4).cast("int").alias("low"), (F.col("n") % 5).cast("int").alias("high"), (F.col("n") * 8).cast("int").alias("max_payload"), (F.col("n") % 2 == 0).alias("encryption"))
+_PEERS = lambda p: p.groupBy("device").agg(F.count("*").alias("n")).select("device", (F.col("n") * 8).cast("int").alias("max_payload"), (F.col("n") % 3 > 0).alias("compression"), (F.col("n") % 2 == 0).alias("encryption"))
+_PEERSQL = "peers AS (SELECT device, count(*) * 8 AS size, count(*) % 3 > 0 AS c, count(*) % 2 = 0 AS e FROM packets GROUP BY device)"
 packets(
     "pro3_negotiation",
-    lambda p: X.negotiate(_PEERS(p), 1, 3, True),
-    """SELECT device, v AS version, why AS rejected, encryption AND coalesce(v, 0) >= 3 AS encrypted FROM (SELECT *, CASE WHEN why IS NULL THEN least(high, 3) END AS v FROM (SELECT *, CASE WHEN low > high THEN 'invalid version range' WHEN high < 1 OR low > 3 THEN 'no common version'
-    WHEN max_payload < 256 THEN 'payload limit too small' WHEN NOT encryption THEN 'encryption required' END AS why FROM (SELECT device, CAST(count(*) % 4 AS INTEGER) AS low, CAST(count(*) % 5 AS INTEGER) AS high, count(*) * 8 AS max_payload, count(*) % 2 = 0 AS encryption FROM packets GROUP BY device)))""",
+    lambda p: X.negotiate(_PEERS(p)),
+    """SELECT device, size >= 256 AS accepted, 3 AS version, size >= 256 AND c AS compression, size >= 256 AND e AS encryption, CASE WHEN size < 256 THEN concat('rejected_payload_limit: remote max payload ', size, ' is below required 256') WHEN c AND e THEN 'accepted: negotiation accepted without downgrade'
+    ELSE concat_ws('; ', CASE WHEN NOT c THEN 'disabled_compression: compression disabled by remote capabilities' END, CASE WHEN NOT e THEN 'disabled_encryption: encryption disabled by remote capabilities' END) END AS notes FROM peers""",
+    _PEERSQL,
 )
 TABLE["pro4_version_matrix"] = (lambda s, d: X.version_matrix(s), "SELECT v AS version, f AS feature, v >= since AS supported FROM (VALUES (1), (2), (3)) a(v), (VALUES ('routing', 2), ('fragments', 2), ('capabilities', 3), ('extensions', 3), ('encryption', 3)) b(f, since)")
 packets("pro5_inspection", X.inspect, """SELECT "offset", concat('0x', lpad(lower(hex(device)), 16, '0')) AS device_hex, concat(kind, '#', sequence) AS label, concat(payload_size, ' bytes') AS payload FROM packets""")
@@ -245,17 +247,22 @@ packets("ctl3_retry_schedule", lambda p: C.retry_schedule(p.select(F.col("offset
 packets("ctl4_token_bucket", lambda p: C.token_bucket(p.withColumn("capture_time_ns", F.expr(f"{T0} + (capture_time_ns - {T0}) div 10000")), C.Bucket(1, 2)), None)
 packets("rt3_batching", lambda p: C.batches(p, C.Batching(max_packets=16, max_payload=20_000, max_age_ns=6 * HOUR)), None)
 _ACKS = lambda p: p.where("kind <> 'heartbeat'").select((F.col("sequence") % 50).alias("command_id"), (F.col("device") % 3).alias("device"), F.col("capture_time_ns").alias("time_ns"), F.when(F.col("payload_size") % 3 == 0, "busy").when(F.col("payload_size") % 3 == 1, "accepted").otherwise("malformed").alias("status"), F.col("offset").alias("ordinal"))
-_CMDS = lambda p: p.where("sequence < 40").select((F.col("sequence") % 40).alias("command_id")).distinct().select("command_id", (F.col("command_id") % 3).alias("device"), (F.lit(T0 + 2 * DAY) + F.col("command_id") * DAY).alias("deadline_ns"))
+_CMDS = lambda p: p.select((F.col("sequence") % 40).alias("command_id")).distinct().select("command_id", (F.col("command_id") % 3).alias("device"), (F.lit(T0 + 2 * DAY) + F.col("command_id") * DAY).alias("deadline_ns"))
 _ACKSQL = f"""acks AS (SELECT sequence % 50 AS command_id, device % 3 AS device, capture_time_ns AS time_ns, CASE payload_size % 3 WHEN 0 THEN 'busy' WHEN 1 THEN 'accepted' ELSE 'malformed' END AS status, "offset" AS ordinal FROM packets WHERE kind <> 'heartbeat'),
-    cmds AS (SELECT command_id, command_id % 3 AS expected, {T0 + 2 * DAY} + command_id * {DAY} AS deadline_ns FROM (SELECT DISTINCT sequence % 40 AS command_id FROM packets WHERE sequence < 40)),
+    cmds AS (SELECT command_id, command_id % 3 AS expected, {T0 + 2 * DAY} + command_id * {DAY} AS deadline_ns FROM (SELECT DISTINCT sequence % 40 AS command_id FROM packets)),
     outcomes AS (SELECT command_id, device, ordinal, CASE WHEN expected IS NULL THEN 'unexpected' WHEN coalesce(max(CASE WHEN device = expected AND time_ns <= deadline_ns AND status <> 'busy' THEN 1 ELSE 0 END) OVER (PARTITION BY command_id ORDER BY time_ns, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'duplicate'
         WHEN device <> expected THEN 'unexpected' WHEN time_ns > deadline_ns THEN 'stale' WHEN status IN ('accepted', 'busy') THEN 'matched' ELSE 'rejected' END AS outcome FROM acks LEFT JOIN cmds USING (command_id))"""
 packets("ctl6_ack_outcomes", lambda p: C.acknowledgements(_ACKS(p), _CMDS(p)), "SELECT * FROM outcomes", _ACKSQL)
 packets("agg25_ack_devices", lambda p: C.ack_devices(C.acknowledgements(_ACKS(p), _CMDS(p))), "SELECT device, count(*) AS acks, count(*) FILTER (outcome = 'matched') AS matched, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'unexpected') AS unexpected, count(*) FILTER (outcome = 'stale') AS stale FROM outcomes GROUP BY device", _ACKSQL)
 packets("ctl2_admission", lambda p: C.admission(p.withColumn("level", F.when(F.col("payload_size") > 3000, "stop").when(F.col("payload_size") > 1500, "shed").when(F.col("payload_size") > 800, "throttle").otherwise("normal")), C.Admission()), None)
 
-_ACT = "acts(step, source, severity, action) AS (VALUES " + ", ".join(f"({i + 1}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(D.ACTIONS)) + ")"
-TABLE["dia14_recommended_actions"] = (lambda s, d: D.recommended(_findings(s, d)), f"{_CTES}, {_ACT} SELECT step, action, count(*) AS findings FROM found JOIN acts USING (source, severity) GROUP BY ALL")
+_INCIDENTS = lambda p: p.groupBy(F.col("device").alias("incident")).agg(F.when(F.count("*") % 3 == 0, "resolved").otherwise("open").alias("status"), F.count_if(F.col("kind") == "control").alias("exhausted_slos"), F.count_if(F.col("payload_size") > 900).alias("firing_alerts"), F.count_if(F.col("kind") == "capabilities").alias("open_actions"), F.count_if(F.col("payload_size") == 0).alias("impacts"))
+packets(
+    "dia14_recommended_actions",
+    lambda p: D.recommended(_INCIDENTS(p)),
+    f"SELECT incident, step, owner, action, reason FROM called JOIN (VALUES {', '.join(str((i + 1, *a)) for i, a in enumerate(D.ACTIONS))}) acts(step, owner, action, reason) USING (step)",
+    """called AS (SELECT incident, step FROM (SELECT incident, unnest([1, 2, 3, 4]) AS step, unnest(tests) AS due FROM (SELECT device AS incident, [count(*) FILTER (kind = 'control') > 0, count(*) FILTER (payload_size > 900) > 0, count(*) FILTER (kind = 'capabilities') = 0 AND count(*) % 3 > 0, count(*) FILTER (payload_size = 0) = 0] AS tests FROM packets GROUP BY device)) WHERE due)""",
+)
 packets(
     "rt7_collector_stats",
     lambda p: D.collector_stats(X.validate(X.with_sections(p), _NOW, 3000), S.sessions(p)),

@@ -35,16 +35,26 @@ bins(
 bins("win11_rolling_floor", lambda b: R.floor_by_bin(b).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round("floor_dbm", 6).alias("floor_dbm")), "SELECT frame_id, bin, round(floor_dbm, 6) AS floor_dbm FROM floors", _FLOOR)
 _PEAKS = """peaks AS (SELECT frame_id, receiver, time_ns, bin, frequency_hz, round(power_dbm, 6) AS power_dbm, snr_db, row_number() OVER (PARTITION BY frame_id ORDER BY snr_db DESC, power_dbm DESC, bin) AS place FROM (SELECT *, round(power_dbm - floor_dbm, 6) AS snr_db FROM (SELECT *, coalesce(lag(power_dbm) OVER w, -1e9) AS l, coalesce(lead(power_dbm) OVER w, -1e9) AS r2 FROM floors
     WINDOW w AS (PARTITION BY frame_id ORDER BY bin)) WHERE power_dbm >= l AND power_dbm >= r2 AND (power_dbm > l OR power_dbm > r2) AND power_dbm - floor_dbm >= 6))"""
-bins("rf3_peaks", lambda b: R.peaks(b, 6.0, 10), "SELECT * FROM peaks WHERE place <= 10", f"{_FLOOR}, {_PEAKS}")
+_EDGES = """edges AS (SELECT p.*, f.floor_dbm AS fl, f.power_dbm AS pw, coalesce((SELECT max(x.bin) FROM floors x WHERE x.frame_id = p.frame_id AND x.bin < p.bin AND x.power_dbm < greatest(f.floor_dbm + 6, f.power_dbm - 3) AND x.power_dbm < x.floor_dbm + 6), -1) + 1 AS lo,
+    coalesce((SELECT min(x.bin) FROM floors x WHERE x.frame_id = p.frame_id AND x.bin > p.bin AND x.power_dbm < greatest(f.floor_dbm + 6, f.power_dbm - 3) AND x.power_dbm < x.floor_dbm + 6), 64) - 1 AS hi FROM peaks p JOIN floors f USING (frame_id, bin)),
+    tops AS (SELECT frame_id, bin FROM (SELECT *, power_dbm - floor_dbm AS m, coalesce(lag(power_dbm) OVER w, -1e9) AS l, coalesce(lead(power_dbm) OVER w, -1e9) AS r2 FROM floors WINDOW w AS (PARTITION BY frame_id ORDER BY bin)) WHERE power_dbm >= l AND power_dbm >= r2 AND (power_dbm > l OR power_dbm > r2) AND power_dbm > floor_dbm + 3),
+    spans AS (SELECT e.frame_id, e.bin, sum(pow(10.0, x.power_dbm / 10)) AS mw, count(t.bin) AS tones, any_value(x.power_dbm) FILTER (x.bin = lo) AS pa, any_value(x.power_dbm) FILTER (x.bin = hi) AS pz, min(x.frequency_hz) AS lower_hz, max(x.frequency_hz) AS upper_hz FROM edges e JOIN floors x ON x.frame_id = e.frame_id AND x.bin BETWEEN lo AND hi LEFT JOIN tops t ON t.frame_id = x.frame_id AND t.bin = x.bin GROUP BY ALL)"""
+bins(
+    "rf3_peaks",
+    R.peaks,
+    """SELECT e.frame_id, receiver, time_ns, e.bin, frequency_hz, power_dbm, snr_db, place, lo AS lower_bin, hi AS upper_bin, lower_hz, upper_hz, round(fl, 6) AS floor_dbm, round(log10(mw) * 10, 6) AS integrated_dbm, upper_hz - lower_hz + 10000 AS bandwidth_hz,
+    CASE WHEN hi - lo < 2 THEN 'narrowband' WHEN hi - lo >= 11 THEN CASE WHEN pw - (pa + pz) / 2 < 3 THEN 'flat_top' ELSE 'wideband' END WHEN tones >= 3 THEN 'multi_tone' WHEN abs((pw - pa) - (pw - pz)) > 6 THEN 'shoulder' ELSE 'narrowband' END AS shape FROM edges e JOIN spans USING (frame_id, bin) WHERE place <= 64""",
+    f"{_FLOOR}, {_PEAKS}, {_EDGES}",
+)
 bins("srt4_peak_cap", lambda b: R.peaks(b, 6.0, 3).groupBy("frame_id").agg(F.count("*").alias("peaks")), "SELECT frame_id, count(*) AS peaks FROM peaks WHERE place <= 3 GROUP BY frame_id", f"{_FLOOR}, {_PEAKS}")
 _OCC = "SELECT frame_id, count(*) AS bins, count(*) FILTER (m >= 6) AS occupied, round(count(*) FILTER (m >= 6) / count(*), 6) AS ratio, round(avg(m), 6) AS mean_margin_db, round(greatest(max(m), 0.0), 6) AS max_margin_db FROM (SELECT *, power_dbm - floor_dbm AS m FROM floors) GROUP BY frame_id"
 bins("rf4_occupancy", R.occupancy, _OCC, _FLOOR)
 bins("rf5_integrated_power", R.integrated_power, "SELECT frame_id, round(log10(sum(pow(10.0, power_dbm / 10))) * 10, 6) AS power_dbm FROM bins GROUP BY frame_id")
 bins("rf6_smooth", lambda b: R.smooth(b, 5).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round("smooth_dbm", 6).alias("smooth_dbm")), "SELECT frame_id, bin, round(log10(avg(pow(10.0, power_dbm / 10)) OVER (PARTITION BY frame_id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) * 10, 6) AS smooth_dbm FROM bins")
 bins("rf6_subtract_floor", lambda b: R.floor_by_bin(b).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round(F.col("power_dbm") - F.col("floor_dbm"), 6).alias("above_db")), "SELECT frame_id, bin, round(power_dbm - floor_dbm, 6) AS above_db FROM floors", _FLOOR)
-bins("rf8_interference", lambda b: R.interference(R.peaks(b, 6.0, 64), R.occupancy(b), R.noise_floor(b)), None)
-bins("jn9_intermodulation", lambda b: R.intermodulation(R.peaks(b, 6.0, 12), 2_000), """SELECT p.frame_id, p.f1, p.f2, p.product, c.frequency_hz AS peak_hz FROM (SELECT a.frame_id, a.frequency_hz AS f1, b.frequency_hz AS f2, unnest([a.frequency_hz * 2 - b.frequency_hz, b.frequency_hz * 2 - a.frequency_hz, a.frequency_hz + b.frequency_hz, b.frequency_hz - a.frequency_hz]) AS product
-    FROM peaks a JOIN peaks b ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz AND a.place <= 12 AND b.place <= 12) p JOIN peaks c ON c.frame_id = p.frame_id AND c.place <= 12 AND abs(c.frequency_hz - product) <= 2000 AND c.frequency_hz <> f1 AND c.frequency_hz <> f2 WHERE product > 0""", f"{_FLOOR}, {_PEAKS}")
+bins("rf8_interference", lambda b: R.interference(R.peaks(b), R.occupancy(b), R.noise_floor(b)), None)
+bins("jn9_intermodulation", lambda b: R.intermodulation(R.peaks(b), 2_000), """SELECT p.frame_id, p.f1, p.f2, p.product, c.frequency_hz AS peak_hz FROM (SELECT a.frame_id, a.frequency_hz AS f1, b.frequency_hz AS f2, unnest([a.frequency_hz * 2 - b.frequency_hz, b.frequency_hz * 2 - a.frequency_hz, a.frequency_hz + b.frequency_hz, b.frequency_hz - a.frequency_hz]) AS product
+    FROM peaks a JOIN peaks b ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz AND a.place <= 64 AND b.place <= 64) p JOIN peaks c ON c.frame_id = p.frame_id AND c.place <= 64 AND abs(c.frequency_hz - product) <= 2000 AND c.frequency_hz <> f1 AND c.frequency_hz <> f2 WHERE product > 0""", f"{_FLOOR}, {_PEAKS}")
 TABLE["rf9_band_plan"] = (lambda s, d: R.allocations(s), f"WITH {_ALLOC} SELECT name, CAST(lower_hz AS BIGINT) AS lower_hz, CAST(upper_hz AS BIGINT) AS upper_hz, service, status, CAST(guard_hz AS BIGINT) AS guard_hz, status_rank FROM alloc")
 TABLE["srt9_allocations"] = (lambda s, d: R.allocations(s).orderBy("lower_hz", "upper_hz", "name").limit(7).select("name", "lower_hz"), f"WITH {_ALLOC} SELECT name, CAST(lower_hz AS BIGINT) AS lower_hz FROM alloc ORDER BY lower_hz, upper_hz, name LIMIT 7")
 TABLE["rf9_channels"] = (lambda s, d: R.channels(s), f"WITH {_CHAN} SELECT * FROM chan")
@@ -53,7 +63,10 @@ _PTS = lambda b: b.select("frame_id", (F.col("frequency_hz") + F.col("frame_id")
 _PTSQL = "pts AS (SELECT frame_id, frequency_hz + frame_id % 97 * 10000000 AS hz FROM bins)"
 bins("jn4_best_allocation", lambda b: R.best_allocation(_PTS(b), "hz"), "SELECT frame_id, hz, (SELECT name FROM alloc WHERE hz >= lower_hz AND hz < upper_hz ORDER BY status_rank, upper_hz - lower_hz, lower_hz LIMIT 1) AS allocation FROM pts", f"{_ALLOC}, {_PTSQL}")
 bins("jn10_guard_hits", lambda b: R.guard_hits(_PTS(b), "hz"), "SELECT frame_id, hz, name FROM pts JOIN (SELECT name, lower_hz AS f, least(lower_hz + guard_hz, upper_hz) AS t FROM alloc UNION ALL SELECT name, greatest(upper_hz - guard_hz, lower_hz), upper_hz FROM alloc) ON hz >= f AND hz < t", f"{_ALLOC}, {_PTSQL}")
-bins("jn5_nearest_channel", lambda b: R.nearest_channel(_PTS(b).where("frame_id < 60"), "hz"), "SELECT frame_id, hz, name AS channel_of, number AS channel, delta_hz FROM (SELECT p.*, c.name, c.number, abs(center_hz - hz) AS delta_hz, row_number() OVER (PARTITION BY frame_id, hz ORDER BY abs(center_hz - hz), c.name, c.number) AS place FROM (SELECT * FROM pts WHERE frame_id < 60) p LEFT JOIN chan c ON abs(center_hz - hz) < 50000000) WHERE place = 1", f"{_CHAN}, {_PTSQL}")
+_NEAREST = """asked AS (SELECT DISTINCT hz FROM pts), ranked AS (SELECT *, dense_rank() OVER (ORDER BY lower_hz, upper_hz, name) AS place FROM alloc), centers AS (SELECT center_hz AS c, arg_min(c.name, place * 100000 + number) AS name, arg_min(number, place * 100000 + number) AS number, min(place) AS place FROM chan c JOIN ranked USING (name) GROUP BY center_hz),
+    below AS (SELECT hz, c, name, number, place FROM asked ASOF JOIN centers ON hz >= c), above AS (SELECT hz, c, name, number, place FROM asked ASOF JOIN centers ON hz <= c),
+    near AS (SELECT hz, name, number, abs(c - hz) AS delta_hz FROM (SELECT *, row_number() OVER (PARTITION BY hz ORDER BY abs(c - hz), place, c) AS n FROM (SELECT * FROM below UNION ALL SELECT * FROM above)) WHERE n = 1)"""
+bins("jn5_nearest_channel", lambda b: R.nearest_channel(_PTS(b), "hz"), "SELECT frame_id, hz, name AS channel_of, number AS channel, delta_hz FROM pts JOIN near USING (hz)", f"{_ALLOC}, {_CHAN}, {_PTSQL}, {_NEAREST}")
 bins("rf10_channel_number", lambda b: b.select("frame_id", F.col("bin").cast("long").alias("bin"), R.channel_number(F.col("frequency_hz"), 433_075_000, 25_000, 0, 68).alias("channel")), "SELECT frame_id, bin, CASE WHEN frequency_hz >= 433075000 AND (frequency_hz - 433075000 + 12500) // 25000 <= 68 THEN CAST((frequency_hz - 433075000 + 12500) // 25000 AS INTEGER) END AS channel FROM bins")
 _PROF = [("p1", 1, 433_000_000, 434_500_000, 0, 0, 3, 10.0, 1.5), ("p2", 1, 433_900_000, 434_100_000, 0, 0, 1, 10.0, 0.5), ("p3", 2, 434_000_000, 436_000_000, 3_600_000_000_000 * 50, 0, 4, 5.0, 9.0), ("p4", 2, 433_000_000, 436_000_000, 0, 0, 4, -8.0, 2.0)]
 TABLE["jn6_calibration_lookup"] = (
@@ -85,8 +98,11 @@ bins(
     """SELECT track, n, round(slope, 6) AS slope, CASE WHEN a = 0 AND z <> 0 THEN 'new_signal' WHEN a <> 0 AND z = 0 THEN 'disappeared' WHEN slope > 1 OR z - a > 3 THEN 'rising' WHEN slope < -1 OR z - a < -3 THEN 'falling' ELSE 'stable' END AS trend
     FROM (SELECT receiver AS track, count(*) AS n, coalesce(regr_slope(power_dbm, time_ns / 3.6e12), 0) AS slope, first(power_dbm ORDER BY time_ns) AS a, last(power_dbm ORDER BY time_ns) AS z FROM bins WHERE bin = 7 GROUP BY receiver)""",
 )
-bins("rf17_tracks", lambda b: R.tracks(R.peaks(b, 15.0, 2)), None)
-bins("srt5_strongest_tracks", lambda b: R.track_summary(R.tracks(R.peaks(b, 15.0, 2)), R.peaks(b, 15.0, 2)).orderBy(F.desc("mean_dbm"), F.desc("persistence"), "receiver", "track").limit(10), None)
+bins("rf17_tracks", lambda b: R.tracks(R.peaks(b)), None)
+_TRACKS = lambda b: R.track_summary(R.tracks(R.peaks(b)), R.peaks(b))
+bins("srt5_strongest_tracks", lambda b: _TRACKS(b).orderBy(F.desc("mean_dbm"), F.desc("persistence"), "receiver", "track").limit(10), None)
+bins("srt6_tracks_in_range", lambda b: R.tracks_in_range(_TRACKS(b), 433_900_000, 434_400_000), None)
+bins("srt6_rising_tracks", lambda b: R.tracks_with_trend(_TRACKS(b), "rising"), None)
 _SWEEP = lambda s: R.allocations(s).select((F.lit(4) - F.col("status_rank")).alias("priority"), "lower_hz", "upper_hz")
 _SEG = "seg AS (SELECT priority, s AS from_hz, least(s + 2000000, upper_hz) AS to_hz, 250 AS dwell_us FROM (SELECT CAST(4 - status_rank AS INTEGER) AS priority, CAST(upper_hz AS BIGINT) AS upper_hz, unnest(range(CAST(lower_hz AS BIGINT), CAST(upper_hz AS BIGINT), 2000000)) AS s FROM alloc))"
 TABLE["rf12_sweep_segments"] = (lambda s, d: R.sweep_segments(_SWEEP(s), 2_000_000, 250), f"WITH {_ALLOC}, {_SEG} SELECT * FROM seg")
@@ -98,10 +114,10 @@ bins("set3_range_merge", lambda b: b.groupBy("receiver").agg(F.min("frequency_hz
 bins("rf19_format", lambda b: b.where("bin = 0").select("frame_id", R.format_hz(F.col("frequency_hz")).alias("text")), "SELECT frame_id, format('{:.3f} MHz', frequency_hz / 1e6) AS text FROM bins WHERE bin = 0")
 _SIGNALS = [("beacon", 433_600_000, 434_000_000, -80.0, 12.0), ("link", 434_100_000, 435_900_000, -95.0, 25.0)]
 TABLE["jn8_expected_mismatches"] = (
-    lambda s, d: R.expected_mismatches(R.peaks(A.bins(s, d), 6.0, 10), s.createDataFrame(_SIGNALS, "signal string, low_hz long, high_hz long, nominal_dbm double, tolerance_db double")),
-    f"WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, sig(signal, lo, hi, nominal, tol) AS (VALUES {', '.join(str(x) for x in _SIGNALS)}) SELECT frame_id, bin, signal, round(power_dbm - nominal, 6) AS off_db FROM peaks JOIN sig ON frequency_hz >= lo AND frequency_hz < hi WHERE place <= 10 AND abs(round(power_dbm - nominal, 6)) > tol",
+    lambda s, d: R.expected_mismatches(R.peaks(A.bins(s, d)), s.createDataFrame(_SIGNALS, "signal string, low_hz long, high_hz long, nominal_dbm double, tolerance_db double")),
+    f"WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, sig(signal, lo, hi, nominal, tol) AS (VALUES {', '.join(str(x) for x in _SIGNALS)}) SELECT frame_id, bin, signal, round(power_dbm - nominal, 6) AS off_db FROM peaks JOIN sig ON frequency_hz >= lo AND frequency_hz < hi WHERE place <= 64 AND abs(round(power_dbm - nominal, 6)) > tol",
 )
 _POINTS = [(433_700_000, 2.0, -1.0), (434_000_000, 4.0, -2.0), (434_900_000, 1.0, 0.5)]
 _INTER = "CASE WHEN frequency_hz <= 433700000 THEN {a} WHEN frequency_hz < 434000000 THEN {a} + (frequency_hz - 433700000) / 300000 * ({b} - {a}) WHEN frequency_hz < 434900000 THEN {b} + (frequency_hz - 434000000) / 900000 * ({c} - {b}) ELSE {c} END"
 bins("rf11_apply_calibration", lambda b: R.apply_calibration(b, _POINTS), f"SELECT frame_id, bin, round(power_dbm + {_INTER.format(a=2.0, b=4.0, c=1.0)}, 6) AS power_dbm, round(noise_dbm + {_INTER.format(a=-1.0, b=-2.0, c=0.5)}, 6) AS noise_dbm FROM bins")
-bins("rf7_analysis", lambda b: R.occupancy(b).join(R.noise_floor(b), "frame_id").join(R.peaks(b, 6.0, 64).groupBy("frame_id").agg(F.count("*").alias("peaks")), "frame_id", "left"), None)
+bins("rf7_analysis", lambda b: R.occupancy(b).join(R.noise_floor(b), "frame_id").join(R.peaks(b).groupBy("frame_id").agg(F.count("*").alias("peaks")), "frame_id", "left"), None)
