@@ -431,3 +431,32 @@ def test_hot_group_of_equal_texts(spark):
     got = simhash.near_duplicates(df)
     assert got.where("doc_id % 3 = 0").select("component_id").distinct().count() == 1 and got.count() == 3000
     assert packing.pack(df, word_tokenizer()).count() == 3000
+
+
+def test_lm_beats_the_unigram_model_on_held_out_texts(spark):
+    """Texts in which the next word follows from the last: attention must tell
+    more than the class shares that its weights start from, which are the
+    unigram model."""
+
+    from wavelark.llm import attention
+
+    follow = ["the", "cat", "sat", "on", "a", "mat", "and", "it", "was", "red"]
+    docs = [(i, " ".join(follow[(i + k * (1 + i % 2)) % 10] for k in range(40 + i % 60))) for i in range(600)]
+    path = subword_tokenizer()
+    got = lm.gather(spark.createDataFrame(docs, "doc_id long, text string"), path, "doc_id", "text").cache()
+    counts = {int(bytes(r.word)): r.n for r in got.where("kind = 2").groupBy("word").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    c = lm.Classes(counts, lm.subwords(path).n_vocab)
+    w = lm.fit(got.where("kind = 3"), c, c.shares)
+    held = [np.array(lm.subwords(path).encode_ordinary(t), np.int64) for i, t in docs if zlib.crc32(str(i).encode()) % 5 == 1]
+    model, unigram = lm.score(w, c, held).sum(), lm.score(attention.initial(c.shares), c, held).sum()
+    assert model > 0.7 * unigram  # both negative
+    got.unpersist()
+
+
+def test_lm_windows_grow_with_texts(spark):
+    texts = {i: "word " * n for i, n in enumerate([0, 3, 600, 5000, 600, 600, 600, 600, 600])}
+    got = lm.gather(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), subword_tokenizer(), "doc_id", "text")
+    n = got.where("kind = 3").count()
+
+    ids = [len(lm.subwords(subword_tokenizer()).encode_ordinary(t)) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert n == sum(-(-max(1, k + 1 - 12) // lm.SPAN) for k in ids)
