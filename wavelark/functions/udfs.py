@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -110,8 +111,58 @@ def decode_payload(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["format", "warning", "items", *_PAYLOAD])
 
 
+def _plain(value):
+    """Lists and dicts in place of the arrays that Arrow hands over."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, np.ndarray)):
+        return [_plain(v) for v in value]
+    return value
+
+
+def encode_packet(packets: pd.DataFrame) -> pd.Series:
+    """Frames of packets: structs with the fields that decode_packet gives, of
+    which version, compression, encryption and all sections may be left out."""
+    out = []
+    for p in packets.to_dict("records"):
+        p = _plain(p)
+        out.append(C.encode_packet(p | {k: p[k] & (1 << 64) - 1 for k in ("device", "timestamp_ns")}))
+    return pd.Series(out, dtype=object)
+
+
+def encode_payload(payloads: pd.DataFrame) -> pd.Series:
+    """Payloads of structs with a format and its fields."""
+    return pd.Series([C.encode_payload(_plain(p)) for p in payloads.to_dict("records")], dtype=object)
+
+
+def tlv_pack(types: pd.Series, values: pd.Series) -> pd.Series:
+    """Type-length-value bytes of two arrays."""
+    return pd.Series([C.encode_tlv(list(zip(map(int, t), v, strict=True))) for t, v in zip(types, values, strict=True)], dtype=object)
+
+
+def tlv_fields(data: pd.Series) -> pd.Series:
+    """The fields of type-length-value bytes; null where they are damaged."""
+    out = []
+    for x in data:
+        try:
+            out.append(None if x is None else [{"type": t, "value": v} for t, v in C.parse_tlv(bytes(x))])
+        except C.WireError:
+            out.append(None)
+    return pd.Series(out, dtype=object)
+
+
+def tlv_unsigned(data: pd.Series) -> pd.Series:
+    """Little-endian numbers of 1 to 8 bytes, as signed ones of the same bits."""
+    return data.map(_binary(lambda x: signed(C.tlv_unsigned(x)))).astype("Int64")
+
+
 #: The functions above with the types that they return.
 TYPES = {
+    "encode_packet": "binary",
+    "encode_payload": "binary",
+    "tlv_pack": "binary",
+    "tlv_fields": "array<struct<type: int, value: binary>>",
+    "tlv_unsigned": "long",
     "decode_packet": PACKET,
     "rle_pack": "binary",
     "rle_unpack": "binary",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, query, sequences
 from ..sources import adapters
-from . import archive_queries, diagnostic_queries, planning_queries, rf_queries
+from . import archive_queries, calibration_queries, diagnostic_queries, planning_queries, rf_queries, wire_queries
 
-TABLES = (archive_queries.TABLE, planning_queries.TABLE, diagnostic_queries.TABLE, rf_queries.TABLE)
+TABLES = (archive_queries.TABLE, planning_queries.TABLE, diagnostic_queries.TABLE, rf_queries.TABLE, wire_queries.TABLE, calibration_queries.TABLE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

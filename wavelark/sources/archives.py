@@ -23,7 +23,10 @@ HEADER = 36
 RECORD = f"archive_path string, archive_ordinal int, offset long, capture_time_ns long, corrupt string, packet {PACKET}"
 
 
-def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _files(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
+    """(path, content) of files; a DataFrame of them stays as it is."""
+    if isinstance(paths, DataFrame):
+        return paths.select("path", "content")
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
@@ -50,11 +53,11 @@ def scan(data: bytes) -> Iterator[tuple[int, int, bytes, str | None]]:
         at = end + 4
 
 
-def read(spark: SparkSession, paths: list[str], mode: str = "PERMISSIVE") -> DataFrame:
+def read(spark: SparkSession, paths: list[str] | DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """SRC1: the records of archives in list order of their paths. FAILFAST
     fails at the first damaged record; PERMISSIVE keeps it as a row with
     `corrupt` and ends that file there."""
-    order = {os.path.basename(p.rstrip("/")): i for i, p in enumerate(paths)}
+    order = {} if isinstance(paths, DataFrame) else {os.path.basename(p.rstrip("/")): i for i, p in enumerate(paths)}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,7 +79,14 @@ def as_packets(records: DataFrame) -> DataFrame:
     return records.where("corrupt IS NULL AND packet.ok").select("archive_path", "archive_ordinal", "offset", "capture_time_ns", *[p + c for c in ("device", "timestamp_ns", "kind", "sequence", "fragment", "route", "capabilities", "payload")], F.octet_length("packet.payload").cast("long").alias("payload_size"))
 
 
-def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+def cursor(packets: DataFrame) -> DataFrame:
+    """SRC3: what a reader knows at the end of each archive: the records seen,
+    the last one's capture time and sequence."""
+    last = lambda c: F.max_by(c, "offset")
+    return packets.groupBy("archive_path").agg(F.count("*").alias("records_seen"), last("capture_time_ns").alias("last_time_ns"), last("sequence").alias("last_sequence"))
+
+
+def headers(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """What the headers of archives state."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +100,7 @@ def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _files(spark, paths).mapInPandas(work, "archive_path string, format_version int, records long, first_time_ns long, last_time_ns long")
 
 
-def salvage(spark: SparkSession, paths: list[str]) -> DataFrame:
+def salvage(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """SRC7: every whole frame found by its magic, at any offset; a frame that
     fails is passed over by one byte. The capture time is that of the record
     in front, if its length agrees, else 0."""
@@ -113,12 +123,12 @@ def salvage(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _files(spark, paths).mapInPandas(work, f"archive_path string, offset long, capture_time_ns long, packet {PACKET}")
 
 
-def read_frames(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_frames(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """SRC8: files that hold one frame each."""
     return _files(spark, paths).select("path", udf("decode_packet")("content").alias("packet"))
 
 
-def read_batches(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_batches(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """SRC9: the packets of batch files; a damaged batch is one row."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,6 +157,23 @@ def archive_bytes(records: list[tuple[int, bytes]]) -> bytes:
     return b"".join(out)
 
 
+def packed(frames: DataFrame, batch: bool = False) -> DataFrame:
+    """(path, content): an archive, or a batch file, of the frames of each
+    path of (path, place, capture_time_ns, frame), in order of place.
+
+    A file is built in one task's memory, so its frames must be few: callers
+    name files after runs of a stated length.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place", kind="stable")
+        made = [bytes(f) for f in rows["frame"]]
+        data = C.encode_batch(made) if batch else archive_bytes(list(zip(rows["capture_time_ns"].tolist(), made, strict=True)))
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [data]})
+
+    return frames.select("path", "place", "capture_time_ns", "frame").groupBy("path").applyInPandas(work, "path string, content binary")
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     path: str
