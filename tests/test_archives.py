@@ -3,13 +3,14 @@
 import os
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from wavelark.__main__ import main
 from wavelark.functions import codec as C
 from wavelark.functions import udfs
 from wavelark.operators import query, sampling
-from wavelark.sources import archives
+from wavelark.sources import archives, ath, upkeep
 
 
 def frame(device, sequence, payload, kind="observation", time=0):
@@ -61,11 +62,81 @@ def test_batches_and_frames(spark, tmp_path):
     assert archives.read_frames(spark, [str(tmp_path / "f")]).first().packet.device == 3
 
 
-def test_sink(spark, tmp_path):
-    rows = [(1000 + i, frame(i % 3, i, bytes([i]))) for i in range(20)]
-    archives.write(spark.createDataFrame(rows, "capture_time_ns long, frame binary").repartition(2), str(tmp_path / "out"))
-    paths = [str(p) for p in (tmp_path / "out").iterdir()]
-    assert len(paths) == 2 and archives.as_packets(archives.read(spark, paths, "FAILFAST")).count() == 20
+def read_rows(spark, folder, **options):
+    return ath.load(spark, str(folder), "FAILFAST", **options)
+
+
+def test_sink_and_ranges(spark, tmp_path):
+    rows = [(1000 + i, frame(i % 3, i, b'x' * (i % 7), time=i)) for i in range(2000)]
+    frames = spark.createDataFrame(rows, "capture_time_ns long, frame binary").coalesce(1)
+    ath.write(frames, str(tmp_path / "out"), blockBytes="1000", fileBytes="30000")
+    files = list((tmp_path / "out").glob("*.ath"))
+    assert len(files) > 2 and not list((tmp_path / "out" / "_temporary").iterdir())
+    whole = read_rows(spark, tmp_path / "out", partitionBytes="4000")
+    assert sorted(r.sequence for r in whole.collect()) == list(range(2000))
+    assert whole.rdd.getNumPartitions() > 20
+    some = whole.where("capture_time_ns between 1500 and 1520 and device in (0, 2)")
+    assert sorted(r.sequence for r in some.collect()) == [i for i in range(500, 521) if i % 3 != 1]
+    assert some.rdd.getNumPartitions() < 4
+    assert whole.where("payload_size > 100").count() == 0
+    heads = ath.headers(spark, str(tmp_path / "out")).agg(F.sum("records"), F.min("first_time_ns"), F.max("last_time_ns")).first()
+    assert tuple(heads) == (2000, 1000, 2999)
+    # an index that doesn't fit its file isn't used
+    files[0].write_bytes(archives.archive_bytes([(1510, frame(0, 9999, b"x"))]))
+    assert 9999 in {r.sequence for r in read_rows(spark, tmp_path / "out").where("capture_time_ns = 1510").collect()}
+
+
+def test_ranges_hold_a_piece_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ath, "PIECE", 200)
+    monkeypatch.setattr(ath, "KEPT", 300)
+    made = ath._File(fs.LocalFileSystem(), str(tmp_path / "a"), 500)
+    for i in range(50):
+        made.add(i, frame(1, i, b"y" * (i % 40)))
+    made.close()
+    made.verify()
+    assert [p.name for p in tmp_path.iterdir()] == ["a"]
+    with open(tmp_path / "a", "rb") as f:
+        assert f.read() == archives.archive_bytes([(i, frame(1, i, b"y" * (i % 40))) for i in range(50)])
+    data = bytearray((tmp_path / "a").read_bytes())
+    data[-6] ^= 1
+    (tmp_path / "a").write_bytes(bytes(data))
+    with pytest.raises(OSError, match="crc mismatch after writing"):
+        made.verify()
+
+
+def test_overwrite_and_abort(spark, tmp_path):
+    out = tmp_path / "out"
+    one = spark.createDataFrame([("a.ath", 5, frame(1, 1, b""))], "archive_path string, capture_time_ns long, frame binary")
+    ath.write(one, str(out))
+    ath.write(one.withColumn("archive_path", F.lit("b.ath")), str(out), mode="overwrite")
+    assert sorted(p.name for p in out.glob("*.ath")) == ["b.ath"] and read_rows(spark, out).count() == 1
+    with pytest.raises(Exception, match="several places"):
+        one.union(one).repartition(2).select("archive_path", "capture_time_ns", "frame").write.format("ath").mode("append").save(str(out))
+    assert sorted(p.name for p in out.glob("*.ath")) == ["b.ath"]
+    ath.write(one.where("false"), str(tmp_path / "none"))
+    os.makedirs(tmp_path / "empty")
+    assert read_rows(spark, tmp_path / "empty").count() == 0
+
+
+def test_repair(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    good = archives.archive_bytes([(100 * i, frame(40 + i % 2, i, b"abc")) for i in range(1, 6)])
+    (source / "good.ath").write_bytes(good)
+    (source / "head.ath").write_bytes(good[:12] + b"\7" + good[13:])
+    middle = bytearray(good)
+    middle[len(good) // 2] ^= 1
+    (source / "middle.ath").write_bytes(bytes(middle))
+    (source / "noise.ath").write_bytes(b"AETHARC1" + b"\0" * 28 + b"\1" * 50)
+    plans = upkeep.plan(spark, str(source)).cache()
+    said = {r.archive_path: (r.action, r.readable_records, r.expected_records) for r in plans.collect()}
+    assert said == {"good.ath": ("no_op", 5, 5), "head.ath": ("rewrite_from_readable_records", 5, 5), "middle.ath": ("rebuild_from_salvage", 2, 4), "noise.ath": ("quarantine_file", 0, 0)}
+    done = {r.archive_path: (r.written_records, r.verified) for r in upkeep.repair(spark, str(source), str(out), plans).collect()}
+    assert done == {"good.ath": (0, None), "head.ath": (5, True), "middle.ath": (4, True), "noise.ath": (0, None)}
+    assert sorted(p.name for p in out.iterdir() if p.is_file()) == ["head.ath.repaired.ath", "middle.ath.repaired.ath", "noise.ath.quarantine"]
+    assert sorted(p.name for p in source.iterdir()) == ["good.ath", "head.ath", "middle.ath"]
+    again = upkeep.fleet(spark, str(out)).collect()
+    assert all(r.ok for r in again) and (out / "head.ath.repaired.ath").read_bytes() == good
 
 
 def test_udfs_in_sql(spark):

@@ -51,17 +51,26 @@ def crc32c(data: bytes) -> int:
     return r ^ 0xFFFFFFFF
 
 
+#: Bytes that a grid of values of one length has at most, beyond one value.
+CRC_GRID = 1 << 24
+
+
 def crc32c_many(rows: list[bytes]) -> np.ndarray:
     """crc32c of many values at once. The register starts at zero, so zeros in
-    front change nothing and rows can be brought to one length."""
-    if not rows:
-        return np.zeros(0, np.uint32)
-    width = max(map(len, rows))
-    grid = np.frombuffer(b"".join(x.rjust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
-    table, r = np.array(_CRC, np.uint32), np.zeros(len(rows), np.uint32)
-    for column in np.ascontiguousarray(grid.T):
-        r = table[(r ^ column) & 255] ^ (r >> np.uint32(8))
-    return ~r
+    front change nothing and rows of like length can be brought to one."""
+    table, out = np.array(_CRC, np.uint32), np.zeros(len(rows), np.uint32)
+    order = sorted(range(len(rows)), key=lambda i: len(rows[i]), reverse=True)
+    at = 0
+    while at < len(order):
+        width = len(rows[order[at]])
+        part = order[at : at + max(1, CRC_GRID // max(width, 1))]
+        grid = np.frombuffer(b"".join(rows[i].rjust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
+        r = np.zeros(len(part), np.uint32)
+        for column in np.ascontiguousarray(grid.T):
+            r = table[(r ^ column) & 255] ^ (r >> np.uint32(8))
+        out[part] = ~r
+        at += len(part)
+    return out
 
 
 def crc16_ccitt(data: bytes, seed: int = 0xFFFF) -> int:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.udfs import udf
 from ..sources import adapters as A
-from ..sources import archives
-from .archive_queries import Run
+from ..sources import archives, ath, scratch, upkeep
+from .archive_queries import DAY, T0, Run
 
 TABLE: dict[str, tuple[Run, str | None]] = {}
 
@@ -226,19 +226,116 @@ TABLE["cod9_spectrum_payload"] = (
     FROM (SELECT *, unnest(range(1, 65)) AS n FROM embeddings)""",
 )
 
-TABLE["src1_archive_read"] = (
-    lambda s, d: archives.as_packets(archives.read(s, archives.packed(_framed(s, d)), "FAILFAST")).select("archive_path", F.col("offset").alias("at"), "capture_time_ns", *_FIELDS, "payload_size"),
-    f"""{_SENT}
-    SELECT path AS archive_path, starts AS at, capture_time_ns, kind, device, timestamp_ns, sequence, size AS payload_size FROM placed""",
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of archives with the packets of FILE_PACKETS each."""
+    folder = scratch.folder(spark, "archives")
+    ath.write(_framed(spark, sf_dir).withColumnRenamed("path", "archive_path"), folder, blockBytes="8192")
+    return folder
+
+
+def _archive_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ath.load(spark, _stored(spark, sf_dir), "FAILFAST")
+    return rows.select("archive_path", F.col("offset").alias("at"), "capture_time_ns", *_FIELDS, "payload_size")
+
+
+_PLACED_COLUMNS = "path AS archive_path, starts AS at, capture_time_ns, kind, device, timestamp_ns, sequence, size AS payload_size"
+TABLE["src1_archive_read"] = (_archive_read, f"{_SENT} SELECT {_PLACED_COLUMNS} FROM placed")
+TABLE["src1_archive_range"] = (
+    lambda s, d: _archive_read(s, d).where(F.col("capture_time_ns").between(T0 + 3 * DAY, T0 + 5 * DAY) & (F.col("device") < 500)),
+    f"{_SENT} SELECT {_PLACED_COLUMNS} FROM placed WHERE capture_time_ns BETWEEN {T0 + 3 * DAY} AND {T0 + 5 * DAY} AND device < 500",
 )
 TABLE["src1_archive_headers"] = (
-    lambda s, d: archives.headers(s, archives.packed(_framed(s, d))),
+    lambda s, d: ath.headers(s, _stored(s, d)).select("archive_path", "format_version", "records", "first_time_ns", "last_time_ns"),
     f"""{_SENT}
     SELECT path AS archive_path, 1 AS format_version, count(*) AS records,
         min(capture_time_ns) AS first_time_ns, max(capture_time_ns) AS last_time_ns
     FROM sent GROUP BY path""",
 )
 
+#: Packets of a file in the queries on damaged ones.
+SMALL_FILE = 64
+
+
+def _unsound(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of archives of SMALL_FILE packets: by its number a file has no
+    magic (1 of 6), a record count of 0 (2), a first time of 0 (3), records at
+    their packets' own, unordered times (4), a changed byte in its last record
+    (5), or nothing wrong."""
+    number = F.floor((F.col("offset") - 36) / 64 / SMALL_FILE)
+    kind = number % 6
+    time = F.when(kind == 4, F.col("timestamp_ns")).otherwise(F.col("capture_time_ns"))
+    path = F.concat(F.lit("c"), F.lpad(number.cast("string"), 9, "0"), F.lit(".ath"))
+    files = archives.packed(A.packets(spark, sf_dir).select(path.alias("path"), F.col("offset").alias("place"), time.alias("capture_time_ns"), _frame()))
+    kind = F.substring("path", 2, 9).cast("long") % 6
+    zeros = F.lit(b"\0" * 8)
+    content = F.when(kind == 1, F.overlay("content", zeros, 1)).when(kind == 2, F.overlay("content", zeros, 13)).when(kind == 3, F.overlay("content", zeros, 21))
+    content = content.when(kind == 5, F.overlay("content", F.lit(b"\xff"), F.octet_length("content") - 8)).otherwise(F.col("content"))
+    folder = scratch.folder(spark, "unsound")
+    upkeep.store(files.select("path", content.alias("content")), folder)
+    return folder
+
+
+_UNSOUND = f"""WITH {A.PACKETS_SQL}, numbered AS (
+    SELECT * EXCLUDE (archive_path), length(concat(kind, ':', sequence)) AS size, ("offset" - 36) // 64 // {SMALL_FILE} AS number,
+        concat('c', lpad(CAST(("offset" - 36) // 64 // {SMALL_FILE} AS VARCHAR), 9, '0'), '.ath') AS archive_path
+    FROM packets), placed AS (
+    SELECT archive_path, number % 6 AS damage, device, sequence, size, kind, CASE number % 6 WHEN 4 THEN timestamp_ns ELSE capture_time_ns END AS time,
+        36 + CAST(coalesce(sum(61 + size) OVER (PARTITION BY archive_path ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts,
+        row_number() OVER (PARTITION BY archive_path ORDER BY "offset" DESC) = 1 AS final
+    FROM numbered), readable AS (
+    SELECT *, lag(time) OVER (PARTITION BY archive_path ORDER BY starts) AS before,
+        max(sequence) OVER (PARTITION BY archive_path, device ORDER BY starts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high
+    FROM placed WHERE damage <> 1 AND NOT (damage = 5 AND final)), archive AS (
+    SELECT archive_path, damage, count(*) AS records FROM placed GROUP BY ALL), findings AS (
+    SELECT archive_path, 'error' AS severity, 'readable' AS "check", CASE damage WHEN 1 THEN 'archive magic mismatch' ELSE 'archive record crc mismatch' END AS message, NULL::BIGINT AS "offset", NULL::BIGINT AS capture_time_ns, NULL::BIGINT AS device, NULL::BIGINT AS sequence FROM archive WHERE damage IN (1, 5)
+    UNION ALL SELECT archive_path, unnest(['error', 'warning']), unnest(['header_matches_records', 'manifest_consistency']), 'archive header record count differs from readable records', NULL, NULL, NULL, NULL FROM archive WHERE damage = 2
+    UNION ALL SELECT archive_path, 'warning', unnest(['header_matches_records', 'manifest_consistency']), unnest(['archive header first timestamp differs from observed first timestamp', 'archive header first timestamp differs from readable records']), NULL, NULL, NULL, NULL FROM archive WHERE damage = 3
+    UNION ALL SELECT archive_path, 'warning', 'manifest_consistency', 'archive records are not ordered by capture time', NULL, NULL, NULL, NULL FROM readable WHERE time < before AND damage <> 5
+    UNION ALL SELECT archive_path, 'error', 'ordered_timestamps', 'record capture timestamp moved backwards', starts, time, device, sequence FROM readable WHERE time < before
+    UNION ALL SELECT archive_path, 'warning', 'monotonic_device_sequences', 'device sequence moved backwards', starts, time, device, sequence FROM readable WHERE sequence < high
+    UNION ALL SELECT archive_path, 'warning', 'payload_bounds', 'record payload is below configured minimum', starts, time, device, sequence FROM readable WHERE size < 8
+    UNION ALL SELECT archive_path, 'error', 'payload_bounds', 'record payload exceeds configured maximum', starts, time, device, sequence FROM readable WHERE size > 15
+    UNION ALL SELECT archive_path, 'info', 'sparse_devices', 'device has sparse archive coverage', NULL, max(time), device, NULL FROM readable WHERE damage <> 5 GROUP BY archive_path, device HAVING count(*) < 2)"""
+_RULES = upkeep.Rules(sequence_order=True, least_payload=8, most_payload=15, sparse_records=2)
+TABLE["pln9_file_audit"] = (lambda s, d: upkeep.audit(s, _unsound(s, d), _RULES), f"{_UNSOUND} SELECT * FROM findings")
+TABLE["pln10_file_fleet"] = (
+    lambda s, d: upkeep.fleet(s, _unsound(s, d), _RULES),
+    f"""{_UNSOUND}, devices AS (SELECT archive_path, count(*) FILTER (nth > 1) AS shared FROM (
+        SELECT archive_path, row_number() OVER (PARTITION BY device ORDER BY archive_path) AS nth FROM readable WHERE damage <> 5 GROUP BY archive_path, device) GROUP BY archive_path)
+    SELECT a.archive_path, count(r.starts) AS records, min(starts) AS first_offset, max(starts) AS last_offset, min(size) AS least_payload, max(size) AS most_payload,
+        CAST(coalesce(sum(size + 16), 0) AS BIGINT) AS bytes_estimated, coalesce(any_value(shared), 0) AS shared_devices,
+        (SELECT count(*) FROM findings f WHERE f.archive_path = a.archive_path AND severity = 'error') AS errors,
+        (SELECT count(*) FROM findings f WHERE f.archive_path = a.archive_path AND severity = 'warning') AS warnings,
+        (SELECT count(*) FROM findings f WHERE f.archive_path = a.archive_path AND severity = 'info') AS infos,
+        a.damage NOT IN (1, 5) AS readable, NOT EXISTS (SELECT 1 FROM findings f WHERE f.archive_path = a.archive_path AND severity = 'error') AS ok
+    FROM archive a LEFT JOIN readable r ON r.archive_path = a.archive_path LEFT JOIN devices d ON d.archive_path = a.archive_path GROUP BY a.archive_path, a.damage""",
+)
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, out = _unsound(spark, sf_dir), scratch.folder(spark, "repaired")
+    kept = scratch.folder(spark, "plans")
+    upkeep.plan(spark, folder).write.parquet(kept)
+    return upkeep.repair(spark, folder, out, spark.read.parquet(kept))
+
+
+TABLE["pln11_file_repair"] = (
+    _repaired,
+    f"""{_UNSOUND}, late AS (SELECT DISTINCT archive_path FROM readable WHERE time < before AND damage = 4), planned AS (
+    SELECT a.archive_path, records, a.damage, CASE WHEN a.damage IN (1, 5) AND (a.damage = 1 OR records > 1) THEN CASE a.damage WHEN 1 THEN 'rebuild_from_salvage' ELSE 'quarantine_file' END
+        WHEN a.damage = 5 THEN 'quarantine_file' WHEN a.damage = 2 THEN 'rewrite_from_readable_records' WHEN l.archive_path IS NOT NULL THEN 'quarantine_file' ELSE 'no_op' END AS action
+    FROM archive a LEFT JOIN late l ON l.archive_path = a.archive_path)
+    SELECT archive_path, action, CASE action WHEN 'no_op' THEN 'archive passed integrity audit' WHEN 'rebuild_from_salvage' THEN 'salvage scan found more packets than readable archive scan'
+        WHEN 'quarantine_file' THEN 'archive could not be safely repaired' ELSE 'rewrite archive to refresh inconsistent header' END AS reason,
+        CASE WHEN action IN ('rebuild_from_salvage', 'rewrite_from_readable_records') THEN archive_path || '.repaired.ath' WHEN action = 'quarantine_file' THEN archive_path || '.quarantine' END AS output,
+        CASE damage WHEN 1 THEN 0 WHEN 5 THEN records - 1 ELSE records END AS readable_records,
+        CASE WHEN action = 'no_op' THEN 0 WHEN damage = 5 THEN records - 1 ELSE records END AS salvaged_records,
+        CASE action WHEN 'quarantine_file' THEN 0 ELSE records END AS expected_records,
+        action IN ('rebuild_from_salvage', 'rewrite_from_readable_records') AS verify,
+        CASE WHEN verify THEN records ELSE 0 END AS written_records, CASE WHEN verify THEN true END AS verified
+    FROM planned""",
+)
+
 
 def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.cursor(A.packets(spark, sf_dir))

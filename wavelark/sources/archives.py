@@ -9,12 +9,10 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import codec as C
 from ..functions.udfs import PACKET, packet_row, packet_rows, signed, udf
@@ -116,11 +114,11 @@ def salvage(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
                     time = 0
                     if at >= 12 and struct.unpack_from("<I", data, at - 4)[0] == size:
                         time = signed(struct.unpack_from("<Q", data, at - 12)[0])
-                    rows.append({"archive_path": os.path.basename(path), "offset": at, "capture_time_ns": time, "packet": p})
+                    rows.append({"archive_path": os.path.basename(path), "offset": at, "capture_time_ns": time, "frame": data[at : at + size] if p["ok"] else None, "packet": p})
                     at += size if p["ok"] else 1
-                yield pd.DataFrame(rows, columns=["archive_path", "offset", "capture_time_ns", "packet"])
+                yield pd.DataFrame(rows, columns=["archive_path", "offset", "capture_time_ns", "frame", "packet"])
 
-    return _files(spark, paths).mapInPandas(work, f"archive_path string, offset long, capture_time_ns long, packet {PACKET}")
+    return _files(spark, paths).mapInPandas(work, f"archive_path string, offset long, capture_time_ns long, frame binary, packet {PACKET}")
 
 
 def read_frames(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
@@ -172,59 +170,3 @@ def packed(frames: DataFrame, batch: bool = False) -> DataFrame:
         return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [data]})
 
     return frames.select("path", "place", "capture_time_ns", "frame").groupBy("path").applyInPandas(work, "path string, content binary")
-
-
-@dataclass
-class _Written(WriterCommitMessage):
-    path: str
-    records: int
-
-
-class _ArchiveWriter(DataSourceWriter):
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder, overwrite
-
-    def write(self, rows) -> _Written:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        records = [(r.capture_time_ns, bytes(r.frame)) for r in rows]
-        os.makedirs(self.folder, exist_ok=True)
-        path = f"{self.folder}/part-{task.partitionId():05d}.ath"
-        kept = f"{path}.{task.taskAttemptId()}.tmp"
-        with open(kept, "wb") as f:
-            f.write(archive_bytes(records))
-        return _Written(kept, len(records))
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            if m and m.records:
-                os.replace(m.path, m.path.split(".ath.")[0] + ".ath")
-            elif m:
-                os.remove(m.path)
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
-
-
-class ArchiveSink(DataSource):
-    """SNK1: format("ath"): rows (capture_time_ns, frame) as one archive per
-    partition, in a folder that all executors share."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "ath"
-
-    def schema(self) -> str:
-        return "capture_time_ns long, frame binary"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _ArchiveWriter(self.options["path"].removeprefix("file://"), overwrite)
-
-
-def write(frames: DataFrame, folder: str) -> None:
-    """Archives of (capture_time_ns, frame) below folder, one per partition."""
-    frames.sparkSession.dataSource.register(ArchiveSink)
-    frames.select("capture_time_ns", "frame").write.format("ath").mode("append").save(folder)
