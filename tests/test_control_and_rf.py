@@ -2,6 +2,7 @@
 
 from wavelark.operators import control as C
 from wavelark.operators import planning as P
+from wavelark.operators import interference as I
 from wavelark.operators import rf as R
 
 MS = 1_000_000
@@ -45,11 +46,32 @@ def test_constant_iq_window(spark):
 
 
 def test_interference_kinds(spark):
-    peaks = spark.createDataFrame([(1, 1, 1_575_420_000, 0.0, 40.0), (1, 2, 1_575_420_000, -60.0, 13.0), (1, 3, 600_000_000, -60.0, 31.0), (1, 4, 87_500_500, -60.0, 7.0)], "frame_id long, bin int, frequency_hz long, power_dbm double, snr_db double")
+    rows = [
+        (1, 1, 1_575_420_000, 0.0, 40.0, "narrowband", 0, 0),
+        (1, 2, 1_575_420_000, -60.0, 13.0, "narrowband", 0, 0),
+        (1, 3, 600_000_000, -60.0, 31.0, "narrowband", 0, 0),
+        (1, 4, 87_500_500, -60.0, 5.0, "narrowband", 0, 0),
+        (1, 5, 610_000_000, -60.0, 31.0, "wideband", 0, 0),
+        (1, 6, 100_000_000, -60.0, 7.0, "flat_top", 0, 0),
+        # the centre lies in no allocation, the upper edge does, in its guard
+        (1, 7, 862_990_000, -60.0, 7.0, "wideband", 5_000, 20_000),
+        # the centre is outside the guard, the range reaches into it
+        (1, 8, 869_890_000, -60.0, 7.0, "wideband", 5_000, 10_000),
+    ]
+    rows = [(f, b, hz, p, snr, hz - lo, hz + hi, shape) for f, b, hz, p, snr, shape, lo, hi in rows]
+    peaks = spark.createDataFrame(rows, "frame_id long, bin int, frequency_hz long, power_dbm double, snr_db double, lower_hz long, upper_hz long, shape string")
     occupied = spark.createDataFrame([(1, 0.1, 2.0), (2, 0.1, 2.0)], "frame_id long, ratio double, mean_margin_db double")
     noise = spark.createDataFrame([(1, -90.0, -100.0), (2, -99.0, -100.0)], "frame_id long, floor_dbm double, median_dbm double")
-    got = sorted((r.bin, r.kind, r.severity) for r in R.interference(peaks, occupied, noise).collect())
-    assert got == [(-1, "broadband_noise", "medium"), (1, "overload", "critical"), (2, "co_channel", "high"), (2, "narrowband_carrier", "medium"), (3, "narrowband_carrier", "critical"), (4, "adjacent_channel", "medium")]
+    bins = spark.createDataFrame([(f, 1_000 * n) for f in (1, 2) for n in range(4)], "frame_id long, frequency_hz long")
+    expected = spark.createDataFrame([("a", -70.0, 4.0, 600_000_000, 3, None, None), ("b", -60.0, 4.0, 0, 0, 610_000_000, 610_000_001)], "signal string, nominal_dbm double, tolerance_db double, center_hz long, bandwidth_hz long, low_hz long, high_hz long")
+    got = sorted((r.bin, r.kind, r.severity, r.excess_db, round(r.confidence, 4)) for r in I.findings(bins, peaks, occupied, noise, expected).collect())
+    assert got == [
+        (-1, "broadband_noise", "medium", 10.0, 0.5), (1, "overload", "critical", 40.0, 1.0), (2, "co_channel", "high", 13.0, 0.675), (2, "narrowband_carrier", "medium", 13.0, 0.675),
+        (3, "co_channel", "low", 6.0, 0.7), (3, "narrowband_carrier", "critical", 31.0, 1.0), (4, "adjacent_channel", "medium", 5.0, 0.475), (6, "co_channel", "high", 7.0, 0.525),
+        (7, "adjacent_channel", "medium", 7.0, 0.525), (8, "adjacent_channel", "medium", 7.0, 0.525),
+    ]
+    broad = I.findings(bins, peaks.where("false"), occupied, noise).first()
+    assert (broad.lower_hz, broad.upper_hz) == (0, 4_000)
 
 
 def _bins(spark, power, noise=-100.0):

@@ -7,20 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.adapters import KINDS
+from .intervals import overlapping
 
 
 def overlaps(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """JN1: archives whose time ranges overlap, with the records of either in
-    the overlap. The catalog has one row per archive; pairs are found by range
-    and meet the records by archive."""
-    c = catalog.select("archive_path", "first_time_ns", "last_time_ns")
+    the overlap. The catalog has one row per archive. A side's records are the
+    difference of two running counts over its archive's times, so that records
+    meet the bounds of overlaps in order, not every overlap."""
+    c = catalog.select("archive_path", "first_time_ns", (F.col("last_time_ns") + 1).alias("end_ns"))
     left, right = (c.select(*[F.col(x).alias(f"{side}_{x}") for x in c.columns]) for side in ("left", "right"))
-    pairs = left.join(right, (F.col("left_archive_path") < F.col("right_archive_path")) & (F.col("left_first_time_ns") <= F.col("right_last_time_ns")) & (F.col("right_first_time_ns") <= F.col("left_last_time_ns")))
-    pairs = pairs.select("left_archive_path", "right_archive_path", F.greatest("left_first_time_ns", "right_first_time_ns").alias("start_ns"), F.least("left_last_time_ns", "right_last_time_ns").alias("end_ns"))
-    sides = pairs.select("*", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left_archive_path").alias("archive_path")), F.struct(F.lit("right").alias("side"), F.col("right_archive_path").alias("archive_path")))).alias("s")).select("*", "s.side", "s.archive_path").drop("s")
-    met = sides.join(df.select("archive_path", "capture_time_ns"), "archive_path").where("capture_time_ns BETWEEN start_ns AND end_ns")
+    pairs = overlapping(left, right, ("left_first_time_ns", "left_end_ns"), ("right_first_time_ns", "right_end_ns")).where("left_archive_path < right_archive_path")
     key = ["left_archive_path", "right_archive_path", "start_ns", "end_ns"]
-    out = met.groupBy(*key).agg(F.count_if(F.col("side") == "left").alias("left_records"), F.count_if(F.col("side") == "right").alias("right_records"))
+    pairs = pairs.select(*key[:2], F.greatest("left_first_time_ns", "right_first_time_ns").alias("start_ns"), (F.least("left_end_ns", "right_end_ns") - 1).alias("end_ns"))
+    # at one time a start comes before the records and an end behind them
+    bound = lambda side, at, rank: F.struct(F.lit(side).alias("side"), F.col(f"{side}_archive_path").alias("archive_path"), F.col(at).alias("at"), F.lit(rank).alias("rank"))
+    bounds = pairs.select(F.struct(*key).alias("pair"), F.explode(F.array(*[bound(s, at, r) for s in ("left", "right") for at, r in (("start_ns", 0), ("end_ns", 2))])).alias("b")).select("pair", "b.*")
+    times = df.groupBy("archive_path", F.col("capture_time_ns").alias("at")).agg(F.count("*").alias("n")).withColumn("rank", F.lit(1))
+    by = W.partitionBy("archive_path").orderBy("at", "rank").rowsBetween(W.unboundedPreceding, 0)
+    seen = bounds.withColumn("n", F.lit(0).cast("long")).unionByName(times, allowMissingColumns=True).withColumn("seen", F.sum("n").over(by)).where("pair IS NOT NULL")
+    count = lambda side: F.sum(F.when(F.col("side") == side, F.when(F.col("rank") == 2, F.col("seen")).otherwise(-F.col("seen")))).alias(f"{side}_records")
+    out = seen.groupBy("pair").agg(count("left"), count("right")).select("pair.*", "left_records", "right_records")
     return out.withColumn("span_ns", F.col("end_ns") - F.col("start_ns"))
 
 

@@ -98,8 +98,10 @@ def channel_number(frequency: Column, first_hz: int, spacing_hz: int, first: int
 
 def guard_hits(points: DataFrame, frequency: str) -> DataFrame:
     """JN10: points inside a guard range."""
-    g = F.broadcast(guards(points.sparkSession))  # two rows an allocation
-    return points.join(g, (F.col(frequency) >= F.col("from_hz")) & (F.col(frequency) < F.col("to_hz"))).select(*points.columns, "name")
+    from .intervals import overlapping
+
+    met = overlapping(points.withColumn("next hz", F.col(frequency) + 1), guards(points.sparkSession), (frequency, "next hz"), ("from_hz", "to_hz"))
+    return met.select(*points.columns, "name")
 
 
 def _mw(dbm: Column) -> Column:
@@ -212,37 +214,6 @@ def peaks(bins: DataFrame, snr: float = 6.0, most: int = 64, prominence: float =
     )
 
 
-def _severity(excess: Column) -> Column:
-    return F.when(excess >= 30, "critical").when(excess >= 20, "high").when(excess >= 10, "medium").when(excess >= 3, "low").otherwise("info")
-
-
-def interference(found: DataFrame, occupied: DataFrame, noise: DataFrame) -> DataFrame:
-    """RF8: findings from peaks, occupancy and noise floors: broadband frames,
-    then per peak overload, or else whichever of a carrier, energy in a guard
-    range and an emission in a passive allocation apply."""
-    spark = found.sparkSession
-    rise = F.col("floor_dbm") - F.col("median_dbm")
-    broad = occupied.join(noise, "frame_id").where((F.col("ratio") >= 0.55) | (rise >= 8))
-    broad = broad.select("frame_id", F.lit(-1).alias("bin"), F.lit("broadband_noise").alias("kind"), F.greatest(rise, F.col("mean_margin_db")).alias("excess_db"))
-    broad = broad.withColumn("severity", _severity(F.col("excess_db")))
-    best = best_allocation(found.select("frequency_hz").distinct(), "frequency_hz")
-    quiet = allocations(spark).select(F.col("name").alias("allocation"), ((F.col("status") == "protected_passive") | F.col("service").isin("navigation", "weather")).alias("passive"))
-    best = best.join(F.broadcast(quiet), "allocation", "left")  # twenty rows
-    g = F.broadcast(guards(spark).withColumnRenamed("name", "allocation"))  # two rows an allocation
-    near = best.join(g, "allocation").where("frequency_hz >= from_hz AND frequency_hz < to_hz").select("frequency_hz").distinct().withColumn("guard", F.lit(True))
-    rows = found.select("frame_id", "bin", "frequency_hz", "power_dbm", "snr_db").join(best, "frequency_hz", "left").join(near, "frequency_hz", "left")
-    over, snr = F.col("power_dbm") >= -5, F.col("snr_db")
-    named = lambda test, kind, severity: F.when(test, F.struct(F.lit(kind).alias("kind"), severity.alias("severity")))
-    kinds = F.array(
-        named(over, "overload", F.lit("critical")),
-        named(~over & (snr >= 12), "narrowband_carrier", _severity(snr)),
-        named(~over & F.col("guard"), "adjacent_channel", F.lit("medium")),
-        named(~over & F.col("passive") & (snr >= 6), "co_channel", F.lit("high")),
-    )
-    peaky = rows.select("frame_id", "bin", F.explode(F.array_compact(kinds)).alias("k"), snr.alias("excess_db"))
-    return broad.unionByName(peaky.select("frame_id", "bin", "k.kind", "k.severity", "excess_db"))
-
-
 def intermodulation(found: DataFrame, tolerance: int = 2_000) -> DataFrame:
     """JN9: peaks near a second or third order product of two others; pairs
     are formed within a frame, whose peaks are capped."""
@@ -423,16 +394,6 @@ def format_hz(f: Column) -> Column:
     return F.when(f >= 1_000_000_000, F.format_string("%.6f GHz", f / 1e9)).when(f >= 1_000_000, F.format_string("%.3f MHz", f / 1e6)).when(f >= 1_000, F.format_string("%.3f kHz", f / 1e3)).otherwise(F.format_string("%d Hz", f))
 
 
-def expected_mismatches(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """JN8: peaks inside the range of an expected signal (signal, low_hz,
-    high_hz, nominal_dbm, tolerance_db) whose power is off by more than the
-    tolerance."""
-    e = F.broadcast(expected)  # a list of signals kept by hand
-    met = found.join(e, (F.col("frequency_hz") >= F.col("low_hz")) & (F.col("frequency_hz") < F.col("high_hz")))
-    off = F.round(F.col("power_dbm") - F.col("nominal_dbm"), 6)
-    return met.where(F.abs(off) > F.col("tolerance_db")).select("frame_id", "bin", "signal", off.alias("off_db"))
-
-
 def apply_calibration(bins: DataFrame, profile: list[tuple[int, float, float]]) -> DataFrame:
     """RF11: gain and noise corrections of a profile (frequency, gain, noise),
     interpolated between its points and held beyond them."""

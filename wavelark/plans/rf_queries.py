@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import interference as I
+from ..operators import intervals
 from ..operators import rf as R
 from ..sources import adapters as A
+from ..sources import scratch
 
 TABLE: dict = {}
 
@@ -52,7 +55,6 @@ bins("rf4_occupancy", R.occupancy, _OCC, _FLOOR)
 bins("rf5_integrated_power", R.integrated_power, "SELECT frame_id, round(log10(sum(pow(10.0, power_dbm / 10))) * 10, 6) AS power_dbm FROM bins GROUP BY frame_id")
 bins("rf6_smooth", lambda b: R.smooth(b, 5).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round("smooth_dbm", 6).alias("smooth_dbm")), "SELECT frame_id, bin, round(log10(avg(pow(10.0, power_dbm / 10)) OVER (PARTITION BY frame_id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) * 10, 6) AS smooth_dbm FROM bins")
 bins("rf6_subtract_floor", lambda b: R.floor_by_bin(b).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round(F.col("power_dbm") - F.col("floor_dbm"), 6).alias("above_db")), "SELECT frame_id, bin, round(power_dbm - floor_dbm, 6) AS above_db FROM floors", _FLOOR)
-bins("rf8_interference", lambda b: R.interference(R.peaks(b), R.occupancy(b), R.noise_floor(b)), None)
 bins("jn9_intermodulation", lambda b: R.intermodulation(R.peaks(b), 2_000), """SELECT p.frame_id, p.f1, p.f2, p.product, c.frequency_hz AS peak_hz FROM (SELECT a.frame_id, a.frequency_hz AS f1, b.frequency_hz AS f2, unnest([a.frequency_hz * 2 - b.frequency_hz, b.frequency_hz * 2 - a.frequency_hz, a.frequency_hz + b.frequency_hz, b.frequency_hz - a.frequency_hz]) AS product
     FROM peaks a JOIN peaks b ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz AND a.place <= 64 AND b.place <= 64) p JOIN peaks c ON c.frame_id = p.frame_id AND c.place <= 64 AND abs(c.frequency_hz - product) <= 2000 AND c.frequency_hz <> f1 AND c.frequency_hz <> f2 WHERE product > 0""", f"{_FLOOR}, {_PEAKS}")
 TABLE["rf9_band_plan"] = (lambda s, d: R.allocations(s), f"WITH {_ALLOC} SELECT name, CAST(lower_hz AS BIGINT) AS lower_hz, CAST(upper_hz AS BIGINT) AS upper_hz, service, status, CAST(guard_hz AS BIGINT) AS guard_hz, status_rank FROM alloc")
@@ -113,10 +115,86 @@ TABLE["set4_covered_width"] = (
 bins("set3_range_merge", lambda b: b.groupBy("receiver").agg(F.min("frequency_hz").alias("lower_hz"), F.max("frequency_hz").alias("upper_hz")), "SELECT receiver, min(frequency_hz) AS lower_hz, max(frequency_hz) AS upper_hz FROM bins GROUP BY receiver")
 bins("rf19_format", lambda b: b.where("bin = 0").select("frame_id", R.format_hz(F.col("frequency_hz")).alias("text")), "SELECT frame_id, format('{:.3f} MHz', frequency_hz / 1e6) AS text FROM bins WHERE bin = 0")
 _SIGNALS = [("beacon", 433_600_000, 434_000_000, -80.0, 12.0), ("link", 434_100_000, 435_900_000, -95.0, 25.0)]
+_SIGSQL = f"sig(signal, lo, hi, nominal, tol) AS (VALUES {', '.join(str(x) for x in _SIGNALS)})"
+_FOUND = """found AS (SELECT e.frame_id, e.bin, frequency_hz, power_dbm, snr_db, lower_hz, upper_hz + 1 AS upper_hz, place,
+    CASE WHEN hi - lo < 2 THEN 'narrowband' WHEN hi - lo >= 11 THEN CASE WHEN pw - (pa + pz) / 2 < 3 THEN 'flat_top' ELSE 'wideband' END
+        WHEN tones >= 3 THEN 'multi_tone' WHEN abs((pw - pa) - (pw - pz)) > 6 THEN 'shoulder' ELSE 'narrowband' END AS shape
+    FROM edges e JOIN spans USING (frame_id, bin) WHERE place <= 64)"""
+
+
+def _expected(spark):
+    return spark.createDataFrame(_SIGNALS, "signal string, low_hz long, high_hz long, nominal_dbm double, tolerance_db double")
+
+
 TABLE["jn8_expected_mismatches"] = (
-    lambda s, d: R.expected_mismatches(R.peaks(A.bins(s, d)), s.createDataFrame(_SIGNALS, "signal string, low_hz long, high_hz long, nominal_dbm double, tolerance_db double")),
-    f"WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, sig(signal, lo, hi, nominal, tol) AS (VALUES {', '.join(str(x) for x in _SIGNALS)}) SELECT frame_id, bin, signal, round(power_dbm - nominal, 6) AS off_db FROM peaks JOIN sig ON frequency_hz >= lo AND frequency_hz < hi WHERE place <= 64 AND abs(round(power_dbm - nominal, 6)) > tol",
+    lambda s, d: I.mismatches(R.peaks(A.bins(s, d)), _expected(s)).select("frame_id", "bin", "signal", "off_db", "excess_db"),
+    f"""WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, {_EDGES}, {_FOUND}, {_SIGSQL}
+    SELECT frame_id, bin, signal, off_db, excess_db FROM (
+        SELECT frame_id, bin, signal, round(power_dbm - nominal, 6) AS off_db, round(abs(round(power_dbm - nominal, 6)) - tol, 6) AS excess_db
+        FROM found JOIN sig ON lower_hz < hi AND lo < upper_hz)
+    WHERE excess_db > 0""",
 )
+
+
+def _interference(spark, sf_dir):
+    b = A.bins(spark, sf_dir)
+    return I.findings(b, scratch.kept(R.peaks(b), "peaks"), R.occupancy(b), R.noise_floor(b), _expected(spark))
+
+
+_BEST = "(SELECT name FROM alloc WHERE {x} >= alloc.lower_hz AND {x} < alloc.upper_hz ORDER BY status_rank, alloc.upper_hz - alloc.lower_hz, alloc.lower_hz LIMIT 1)"
+_SEV = "CASE WHEN {x} >= 30 THEN 'critical' WHEN {x} >= 20 THEN 'high' WHEN {x} >= 10 THEN 'medium' WHEN {x} >= 3 THEN 'low' ELSE 'info' END"
+_SURE = "round(greatest(0.0, least(1.0, {x})), 9)"
+_NOISE = """noise AS (SELECT frame_id, round(f, 6) AS floor_dbm, round(median, 6) AS median_dbm FROM (
+        SELECT frame_id, any_value(f) AS f, quantile_cont(power_dbm, 0.5) AS median FROM (
+            SELECT *, least(avg(level) OVER (PARTITION BY frame_id), avg(noise_dbm) OVER (PARTITION BY frame_id) + 3) AS f FROM floors) GROUP BY frame_id))"""
+TABLE["rf8_interference"] = (
+    _interference,
+    f"""WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, {_EDGES}, {_FOUND}, {_SIGSQL}, {_ALLOC}, occ AS ({_OCC}), {_NOISE}, broad AS (
+        SELECT frame_id, ratio, floor_dbm - median_dbm AS rise, greatest(floor_dbm - median_dbm, mean_margin_db) AS excess FROM occ JOIN noise USING (frame_id)),
+    guards AS (SELECT name, lower_hz AS f, least(lower_hz + guard_hz, upper_hz) AS t FROM alloc UNION ALL SELECT name, upper_hz - guard_hz, upper_hz FROM alloc),
+    placed AS (SELECT *, coalesce({_BEST.format(x="found.frequency_hz")}, {_BEST.format(x="found.lower_hz")}, {_BEST.format(x="(found.upper_hz - 1)")}) AS allocation FROM found),
+    named AS (SELECT *, power_dbm >= -5 AS over, EXISTS (SELECT 1 FROM guards g WHERE g.name = allocation AND placed.lower_hz < g.t AND g.f < placed.upper_hz) AS guarded,
+        EXISTS (SELECT 1 FROM alloc a WHERE a.name = allocation AND (status = 'protected_passive' OR service IN ('navigation', 'weather') OR name IN {I.RECEIVE_ONLY})) AS passive FROM placed),
+    single AS (SELECT *, unnest(list_filter([
+            CASE WHEN over THEN {{'kind': 'overload', 'severity': 'critical', 'summary': 'very high RF power suggests receiver overload risk'}} END,
+            CASE WHEN NOT over AND shape = 'narrowband' AND snr_db >= 12 THEN {{'kind': 'narrowband_carrier', 'severity': {_SEV.format(x="snr_db")}, 'summary': 'unexpected narrowband carrier'}} END,
+            CASE WHEN NOT over AND guarded THEN {{'kind': 'adjacent_channel', 'severity': 'medium', 'summary': 'energy falls in allocation guard range'}} END,
+            CASE WHEN NOT over AND passive AND snr_db >= 6 THEN {{'kind': 'co_channel', 'severity': 'high', 'summary': 'emission observed in protected or receive-only allocation'}} END
+        ], lambda x: x IS NOT NULL)) AS k FROM named),
+    off AS (SELECT *, round(abs(round(power_dbm - nominal, 6)) - tol, 6) AS excess FROM found JOIN sig ON lower_hz < hi AND lo < upper_hz),
+    products AS (SELECT a.frame_id, a.frequency_hz AS f1, b.frequency_hz AS f2, unnest([a.frequency_hz * 2 - b.frequency_hz, b.frequency_hz * 2 - a.frequency_hz, a.frequency_hz + b.frequency_hz, b.frequency_hz - a.frequency_hz]) AS product
+        FROM found a JOIN found b ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz)
+    SELECT frame_id, -1 AS bin, 'broadband_noise' AS kind, {_SEV.format(x="excess")} AS severity, (SELECT min(frequency_hz) FROM bins b WHERE b.frame_id = broad.frame_id) AS lower_hz,
+        (SELECT max(frequency_hz) FROM bins b WHERE b.frame_id = broad.frame_id) + 10000 AS upper_hz, round(excess, 6) AS excess_db, {_SURE.format(x="ratio + greatest(0.0, rise) / 25")} AS confidence,
+        NULL AS allocation, 'broadband energy raises occupancy or apparent noise floor' AS summary FROM broad WHERE ratio >= 0.55 OR rise >= 8
+    UNION ALL SELECT frame_id, bin, k.kind, k.severity, lower_hz, upper_hz, round(snr_db, 6), {_SURE.format(x="0.35 + snr_db / 40")}, allocation, k.summary FROM single
+    UNION ALL SELECT frame_id, bin, 'co_channel', {_SEV.format(x="excess")}, lower_hz, upper_hz, excess, {_SURE.format(x="0.5 + excess / 30")}, NULL, 'expected signal deviates from nominal power' FROM off WHERE excess > 0
+    UNION ALL SELECT c.frame_id, c.bin, 'intermodulation', 'medium', c.lower_hz, c.upper_hz, c.snr_db, {_SURE.format(x="0.55 + c.snr_db / 50")}, NULL, 'peak aligns with two-tone intermodulation product'
+        FROM products p JOIN found c ON c.frame_id = p.frame_id AND abs(c.frequency_hz - product) <= 2000 AND c.frequency_hz <> f1 AND c.frequency_hz <> f2 WHERE product > 0""",
+)
+
+
+def _ranges(spark, sf_dir, even: bool):
+    """A receiver's peaks as ranges, those of even or odd frames."""
+    rows = R.peaks(A.bins(spark, sf_dir)).where(F.col("frame_id") % 2 == (0 if even else 1))
+    return rows.select("receiver", "lower_hz", (F.col("upper_hz") + F.when(F.col("bin") % 7 == 0, 0).otherwise(10_000)).alias("upper_hz"))
+
+
+# by elementary stretches between neighbouring bounds, not by a sweep
+_SETS = f"""WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, {_EDGES}, {_FOUND}, given AS (
+    SELECT p.receiver, p.frame_id % 2 AS side, f.lower_hz AS lo, f.upper_hz - 1 + CASE WHEN f.bin % 7 = 0 THEN 0 ELSE 10000 END AS hi
+    FROM found f JOIN peaks p ON p.frame_id = f.frame_id AND p.bin = f.bin), ranges AS (SELECT DISTINCT * FROM given WHERE lo < hi),
+    points AS (SELECT receiver, lo AS pt FROM ranges UNION SELECT receiver, hi FROM ranges),
+    pieces AS (SELECT receiver, pt AS lo, lead(pt) OVER (PARTITION BY receiver ORDER BY pt) AS hi FROM points),
+    held AS (SELECT p.receiver, p.lo, p.hi, count(DISTINCT side) AS sides FROM pieces p JOIN ranges r ON r.receiver = p.receiver AND r.lo <= p.lo AND p.hi <= r.hi GROUP BY ALL),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY receiver ORDER BY lo) AS run FROM (
+        SELECT *, CASE WHEN lo = lag(hi) OVER (PARTITION BY receiver ORDER BY lo) THEN 0 ELSE 1 END AS fresh FROM held WHERE sides >= {{least}}))
+    SELECT receiver, min(lo) AS lower_hz, max(hi) AS upper_hz FROM runs GROUP BY receiver, run"""
+for _name, _least in (("set2_range_union", 1), ("set3_range_intersection", 2)):
+    TABLE[_name] = (
+        lambda s, d, least=_least: intervals.covered([(_ranges(s, d, True), "lower_hz", "upper_hz"), (_ranges(s, d, False), "lower_hz", "upper_hz")], ["receiver"], least, ("lower_hz", "upper_hz")),
+        _SETS.format(least=_least),
+    )
 _POINTS = [(433_700_000, 2.0, -1.0), (434_000_000, 4.0, -2.0), (434_900_000, 1.0, 0.5)]
 _INTER = "CASE WHEN frequency_hz <= 433700000 THEN {a} WHEN frequency_hz < 434000000 THEN {a} + (frequency_hz - 433700000) / 300000 * ({b} - {a}) WHEN frequency_hz < 434900000 THEN {b} + (frequency_hz - 434000000) / 900000 * ({c} - {b}) ELSE {c} END"
 bins("rf11_apply_calibration", lambda b: R.apply_calibration(b, _POINTS), f"SELECT frame_id, bin, round(power_dbm + {_INTER.format(a=2.0, b=4.0, c=1.0)}, 6) AS power_dbm, round(noise_dbm + {_INTER.format(a=-1.0, b=-2.0, c=0.5)}, 6) AS noise_dbm FROM bins")

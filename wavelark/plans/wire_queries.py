@@ -314,9 +314,7 @@ TABLE["pln10_file_fleet"] = (
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, out = _unsound(spark, sf_dir), scratch.folder(spark, "repaired")
-    kept = scratch.folder(spark, "plans")
-    upkeep.plan(spark, folder).write.parquet(kept)
-    return upkeep.repair(spark, folder, out, spark.read.parquet(kept))
+    return upkeep.repair(spark, folder, out, scratch.kept(upkeep.plan(spark, folder), "plans"))
 
 
 TABLE["pln11_file_repair"] = (

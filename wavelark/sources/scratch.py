@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -23,3 +23,11 @@ def folder(spark: SparkSession, label: str) -> str:
         where = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/wavelark/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written once and read again, for a query that uses it several times;
+    the written rows also outlive lost executors."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
