@@ -321,59 +321,6 @@ def trends(samples: DataFrame) -> DataFrame:
     return per.select("track", "n", F.round("slope", 6).alias("slope"), direction.alias("trend"))
 
 
-def tracks(found: DataFrame, tolerance: int = 25_000) -> DataFrame:
-    """RF17: peaks of a receiver joined into tracks: in time order each goes to
-    the nearest track whose median frequency is within tolerance, else opens
-    one. A receiver is one ordered pass."""
-    from bisect import bisect_left, insort
-
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time_ns", "frequency_hz"], kind="stable")
-        members: list[list[int]] = []
-        medians: list[tuple[int, int]] = []  # (median frequency, track), sorted
-        out = []
-        for f in rows["frequency_hz"]:
-            at = bisect_left(medians, (f, -1))
-            below = bisect_left(medians, (medians[at - 1][0], -1)) if at else 0  # the first track of that median
-            near, i = min(((abs(m - f), i) for m, i in medians[below : at + 1]), default=(tolerance + 1, -1))
-            if near > tolerance:
-                i = len(members)
-                members.append([])
-            else:
-                m = members[i]
-                del medians[bisect_left(medians, (m[len(m) // 2], i))]
-            insort(members[i], f)
-            insort(medians, (members[i][len(members[i]) // 2], i))
-            out.append(i)
-        return pd.DataFrame({"receiver": rows["receiver"], "frame_id": rows["frame_id"], "bin": rows["bin"], "track": out})
-
-    return found.select("receiver", "frame_id", "time_ns", "bin", "frequency_hz").groupBy("receiver").applyInPandas(run, "receiver int, frame_id long, bin int, track long")
-
-
-def track_summary(members: DataFrame, found: DataFrame) -> DataFrame:
-    """SUP21/SRT5: points, range, drift, mean power, persistence and trend of
-    tracks."""
-    rows = members.join(found.select("frame_id", "bin", "time_ns", "frequency_hz", "power_dbm"), ["frame_id", "bin"])
-    frames = found.groupBy("receiver").agg(F.countDistinct("frame_id").alias("frames"))
-    per = rows.groupBy("receiver", "track").agg(F.count("*").alias("points"), F.min("frequency_hz").alias("lower_hz"), F.max("frequency_hz").alias("upper_hz"), F.percentile("frequency_hz", 0.5).cast("long").alias("nominal_hz"), (F.max("frequency_hz") - F.min("frequency_hz")).alias("drift_hz"), F.round(F.avg("power_dbm"), 6).alias("mean_dbm"))
-    way = trends(rows.select(F.struct("receiver", "track").alias("track"), "time_ns", F.col("power_dbm").alias("value"))).select(F.col("track.receiver").alias("receiver"), F.col("track.track").alias("track"), F.col("slope").alias("slope_db_per_hour"), "trend")
-    return per.join(way, ["receiver", "track"]).join(frames, "receiver").withColumn("persistence", F.round(F.col("points") / F.col("frames"), 6))
-
-
-def tracks_in_range(summary: DataFrame, lower_hz: int, upper_hz: int) -> DataFrame:
-    """SRT6: tracks whose observed range meets [lower_hz, upper_hz) or whose
-    nominal frequency lies in it, most persistent first."""
-    meets = (F.col("lower_hz") < upper_hz) & (F.col("upper_hz") > lower_hz)
-    return summary.where(meets | F.col("nominal_hz").between(lower_hz, upper_hz - 1)).orderBy(F.desc("persistence"), "nominal_hz", "receiver", "track")
-
-
-def tracks_with_trend(summary: DataFrame, trend: str) -> DataFrame:
-    """SRT6: tracks of a trend, steepest first."""
-    return summary.where(F.col("trend") == trend).orderBy(F.desc(F.abs("slope_db_per_hour")), F.desc("mean_dbm"), "receiver", "track")
-
-
 def sweep_segments(ranges: DataFrame, step_hz: int, dwell_us: int) -> DataFrame:
     """RF12: ranges (priority, lower_hz, upper_hz) cut into segments of at
     most step_hz, in the order of the sweep, with their dwell times."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import history as H
 from ..operators import interference as I
 from ..operators import intervals
 from ..operators import rf as R
@@ -100,11 +101,32 @@ bins(
     """SELECT track, n, round(slope, 6) AS slope, CASE WHEN a = 0 AND z <> 0 THEN 'new_signal' WHEN a <> 0 AND z = 0 THEN 'disappeared' WHEN slope > 1 OR z - a > 3 THEN 'rising' WHEN slope < -1 OR z - a < -3 THEN 'falling' ELSE 'stable' END AS trend
     FROM (SELECT receiver AS track, count(*) AS n, coalesce(regr_slope(power_dbm, time_ns / 3.6e12), 0) AS slope, first(power_dbm ORDER BY time_ns) AS a, last(power_dbm ORDER BY time_ns) AS z FROM bins WHERE bin = 7 GROUP BY receiver)""",
 )
-bins("rf17_tracks", lambda b: R.tracks(R.peaks(b)), None)
-_TRACKS = lambda b: R.track_summary(R.tracks(R.peaks(b)), R.peaks(b))
-bins("srt5_strongest_tracks", lambda b: _TRACKS(b).orderBy(F.desc("mean_dbm"), F.desc("persistence"), "receiver", "track").limit(10), None)
-bins("srt6_tracks_in_range", lambda b: R.tracks_in_range(_TRACKS(b), 433_900_000, 434_400_000), None)
-bins("srt6_rising_tracks", lambda b: R.tracks_with_trend(_TRACKS(b), "rising"), None)
+_TRACKS = lambda b: H.tracks(H.observations(b))
+_rounded = lambda rows: rows.withColumns({c: F.round(c, 6) for c in ("persistence", "mean_dbm", "slope_db_per_hour")})
+bins("rf17_tracks", lambda b: H.points(H.observations(b)), None)
+bins("sup21_tracks", lambda b: _rounded(_TRACKS(b)), None)
+bins("srt5_strongest_tracks", lambda b: _rounded(H.strongest(_TRACKS(b), 10, 0.1)), None)
+bins("srt6_tracks_in_range", lambda b: _rounded(H.in_range(_TRACKS(b), 433_900_000, 434_400_000)), None)
+bins("srt6_rising_tracks", lambda b: _rounded(H.with_trend(_TRACKS(b), "rising")), None)
+bins(
+    "rf17_occupancy_trend",
+    lambda b: H.occupancy_trend(H.observations(b)).withColumns({c: F.round(c, 6) for c in ("first", "last", "mean", "slope_per_hour")}),
+    f"""SELECT receiver, count(*) AS observations, round(first(ratio ORDER BY time_ns), 6) AS "first", round(last(ratio ORDER BY time_ns), 6) AS "last", round(avg(ratio), 6) AS mean,
+        round(coalesce(regr_slope(ratio, time_ns / 3.6e12), 0), 6) AS slope_per_hour,
+        CASE WHEN first(ratio ORDER BY time_ns) = 0 AND last(ratio ORDER BY time_ns) <> 0 THEN 'new_signal' WHEN first(ratio ORDER BY time_ns) <> 0 AND last(ratio ORDER BY time_ns) = 0 THEN 'disappeared'
+            WHEN coalesce(regr_slope(ratio, time_ns / 3.6e12), 0) > 1 THEN 'rising' WHEN coalesce(regr_slope(ratio, time_ns / 3.6e12), 0) < -1 THEN 'falling' ELSE 'stable' END AS trend
+    FROM (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY time_ns DESC) AS place FROM (SELECT DISTINCT receiver, frame_id, time_ns FROM bins) JOIN ({_OCC}) USING (frame_id))
+    WHERE place <= 128 GROUP BY receiver""",
+    _FLOOR,
+)
+
+
+def _history(spark, sf_dir):
+    observed = scratch.kept(H.observations(A.bins(spark, sf_dir)), "observations")
+    return H.findings(scratch.kept(H.tracks(observed), "tracks"), H.occupancy_trend(observed))
+
+
+TABLE["rf17_findings"] = (_history, None)
 _SWEEP = lambda s: R.allocations(s).select((F.lit(4) - F.col("status_rank")).alias("priority"), "lower_hz", "upper_hz")
 _SEG = "seg AS (SELECT priority, s AS from_hz, least(s + 2000000, upper_hz) AS to_hz, 250 AS dwell_us FROM (SELECT CAST(4 - status_rank AS INTEGER) AS priority, CAST(upper_hz AS BIGINT) AS upper_hz, unnest(range(CAST(lower_hz AS BIGINT), CAST(upper_hz AS BIGINT), 2000000)) AS s FROM alloc))"
 TABLE["rf12_sweep_segments"] = (lambda s, d: R.sweep_segments(_SWEEP(s), 2_000_000, 250), f"WITH {_ALLOC}, {_SEG} SELECT * FROM seg")
