@@ -71,39 +71,58 @@ def rotation_by_idle(df: DataFrame, gap: int) -> DataFrame:
     return rows.select("device", "archive_path", "offset", F.sum(F.col("new").cast("long")).over(w).alias("shard"))
 
 
+def place(policy: Rotation, shard: tuple[int, int, int, int, int], time: int, size: int) -> tuple[tuple[int, int, int, int, int], str | None]:
+    """(shard, records, payload, start, last time) after one more record, and the
+    limit that opened a new shard for it."""
+    number, n, payload, start, before = shard
+    why = None
+    if n:
+        if policy.max_records and n >= policy.max_records:
+            why = "max_records"
+        elif policy.max_payload and payload + size > policy.max_payload:
+            why = "max_payload_bytes"
+        elif policy.max_span and time - start > policy.max_span:
+            why = "max_span_ns"
+        elif policy.max_bytes and 36 + payload + 16 * n + 16 + size > policy.max_bytes:
+            why = "max_file_bytes"
+        elif policy.idle_gap and time - before > policy.idle_gap:
+            why = "idle_gap"
+    if why:
+        number, n, payload = number + 1, 0, 0
+    return (number, n + 1, payload + size, start if n else time, time), why
+
+
 def rotation(df: DataFrame, policy: Rotation, key: str = "device") -> DataFrame:
     """PLN3: shards by any mix of limits, in time order within a key. The
-    limits depend on where the last shard closed, so a key is one ordered
-    pass; its rows must fit a task."""
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["capture_time_ns", "archive_path", "offset"], kind="stable")
-        shard, n, payload, start, before = 0, 0, 0, 0, 0
-        shards, reasons = [], []
-        for time, size in zip(rows["capture_time_ns"], rows["payload_size"], strict=True):
-            why = None
-            if n:
-                if policy.max_records and n >= policy.max_records:
-                    why = "max_records"
-                elif policy.max_payload and payload + size > policy.max_payload:
-                    why = "max_payload_bytes"
-                elif policy.max_span and time - start > policy.max_span:
-                    why = "max_span_ns"
-                elif policy.max_bytes and 36 + payload + 16 * n + 16 + size > policy.max_bytes:
-                    why = "max_file_bytes"
-                elif policy.idle_gap and time - before > policy.idle_gap:
-                    why = "idle_gap"
-            if why:
-                shard, n, payload = shard + 1, 0, 0
-            if not n:
-                start = time
-            n, payload, before = n + 1, payload + size, time
-            shards.append(shard)
-            reasons.append(why)
-        return pd.DataFrame({key: rows[key], "archive_path": rows["archive_path"], "offset": rows["offset"], "shard": shards, "opened_by": reasons})
-
+    limits depend on where the last shard closed, so records are one ordered
+    pass. With an idle gap in the policy every gap opens a shard whatever came
+    before it: a key is cut there, and a pass takes one stretch between gaps.
+    Without one it takes a key, whose rows must fit a task."""
     rows = df.select(key, "archive_path", "offset", "capture_time_ns", "payload_size")
-    return rows.groupBy(key).applyInPandas(cut, f"{key} long, archive_path string, offset long, shard long, opened_by string")
+    order = W.partitionBy(key).orderBy("capture_time_ns", "archive_path", "offset")
+    stretch = F.lit(0).cast("long")
+    if policy.idle_gap:
+        rows = rows.withColumn("gap", (F.coalesce(F.col("capture_time_ns") - F.lag("capture_time_ns").over(order), F.lit(0)) > policy.idle_gap).cast("long"))
+        stretch = F.sum("gap").over(order)
+    # which limit opens the shard behind a gap depends on the shard before it
+    behind = [F.lead(c).over(order).alias(f"next_{c}") for c in ("capture_time_ns", "payload_size")]
+    rows = rows.select(key, "archive_path", "offset", "capture_time_ns", "payload_size", stretch.alias("stretch"), *behind)
+
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["capture_time_ns", "archive_path", "offset"], kind="stable")
+        shard, reasons = (0, 0, 0, 0, 0), []
+        for time, size in zip(part["capture_time_ns"].tolist(), part["payload_size"].tolist(), strict=True):
+            shard, why = place(policy, shard, time, size)
+            reasons.append(why)
+        final = part.iloc[-1]
+        after = [None] * len(part)
+        if not pd.isna(final["next_capture_time_ns"]):
+            after[-1] = place(policy, shard, int(final["next_capture_time_ns"]), int(final["next_payload_size"]))[1]
+        return pd.DataFrame({key: part[key], "archive_path": part["archive_path"], "offset": part["offset"], "capture_time_ns": part["capture_time_ns"], "why": reasons, "after": after})
+
+    done = rows.groupBy(key, "stretch").applyInPandas(cut, f"{key} long, archive_path string, offset long, capture_time_ns long, why string, after string")
+    done = done.withColumn("opened_by", F.coalesce("why", F.lag("after").over(order)))
+    return done.select(key, "archive_path", "offset", F.sum(F.col("opened_by").isNotNull().cast("long")).over(order).alias("shard"), "opened_by")
 
 
 def rotation_checks(plan: DataFrame, df: DataFrame) -> DataFrame:
