@@ -183,19 +183,3 @@ def fleet(df: DataFrame, active_after: int) -> DataFrame:
 def fleet_summary(registry: DataFrame) -> DataFrame:
     """AGG26: devices and packets by lifecycle."""
     return registry.groupBy("lifecycle").agg(F.count("*").alias("devices"), _total("packets").alias("packets"))
-
-
-def statistics_report(df: DataFrame, width: int, gap: int) -> dict[str, DataFrame]:
-    """AGG16: the report's tables, all over one scan that the caller may cache."""
-    from . import sequences
-
-    return {
-        "buckets": time_buckets(df, width),
-        "percentiles": payload_percentiles(df),
-        "ranking": payload_ranking(df),
-        "density": density(df),
-        "matrix": device_kinds(df),
-        "timelines": sequences.timelines(df),
-        "gaps": sequences.gaps(df, gap),
-        "anomalies": sequences.anomalies(df),
-    }

@@ -8,6 +8,7 @@ from ..operators import control as C
 from ..operators import diagnostics as D
 from ..operators import joins as J
 from ..operators import protocol as X
+from ..operators import report
 from ..operators import sequences as S
 from ..operators import telemetry as T
 from ..sources import adapters as A
@@ -273,15 +274,30 @@ packets("srt8_timeline_order", lambda p: D.timeline(p).withColumn("level_rank",
 packets("set1_archive_union", lambda p: p.where("archive_ordinal = 0").unionByName(p.where("archive_ordinal = 2")).groupBy("archive_path").agg(F.count("*").alias("records")), "SELECT archive_path, count(*) AS records FROM packets WHERE archive_ordinal IN (0, 2) GROUP BY archive_path")
 
 
-def _report(p):
-    from ..operators import aggregates as G
-
-    tables = G.statistics_report(p, DAY, 12 * HOUR)
-    out = None
-    for name, df in tables.items():
-        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("rows"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-packets("agg16_statistics_report", _report, None)
+_BEFORE = "PARTITION BY device ORDER BY capture_time_ns, sequence, archive_ordinal, \"offset\""
+_REPORT = f"""ordered AS (SELECT *, lag(capture_time_ns) OVER ({_BEFORE}) AS t0, lag(archive_path) OVER ({_BEFORE}) AS p0, lag(sequence) OVER ({_BEFORE}) AS s0 FROM packets),
+    parts(part, device, kind, archive_path, other_path, start_ns, end_ns, records, payload_bytes, archives, average, share, least, p50, p90, p99, most, previous_sequence, sequence, detail) AS (
+    SELECT 'summary', NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, min(capture_time_ns), max(capture_time_ns), count(*), CAST(sum(payload_size) AS BIGINT), count(DISTINCT archive_path), round(sum(payload_size) / count(*), 6),
+        NULL::DOUBLE, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM packets
+    UNION ALL SELECT 'archive', NULL, NULL, archive_path, NULL, min(capture_time_ns), max(capture_time_ns), count(*), CAST(sum(payload_size) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM packets GROUP BY archive_path
+    UNION ALL SELECT 'bucket', NULL, NULL, NULL, NULL, b * {DAY}, b * {DAY} + {DAY} - 1, count(*), CAST(sum(payload_size) AS BIGINT), count(DISTINCT archive_path), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM (SELECT *, capture_time_ns // {DAY} AS b FROM packets) GROUP BY b
+    UNION ALL SELECT 'device', device, NULL, NULL, NULL, min(capture_time_ns), max(capture_time_ns), count(*), CAST(sum(payload_size) AS BIGINT), NULL, round(sum(payload_size) / count(*), 6),
+        round(sum(payload_size) / (SELECT sum(payload_size) FROM packets), 6), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM packets GROUP BY device
+    UNION ALL SELECT 'cell', device, kind, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM packets GROUP BY device, kind
+    UNION ALL SELECT 'percentiles', NULL, NULL, NULL, NULL, NULL, NULL, len(s), NULL, NULL, round(list_sum(s) / len(s), 6), NULL, s[1], s[CAST(floor(0.5 * (len(s) - 1) + 0.5) AS BIGINT) + 1], s[CAST(floor(0.9 * (len(s) - 1) + 0.5) AS BIGINT) + 1],
+        s[CAST(floor(0.99 * (len(s) - 1) + 0.5) AS BIGINT) + 1], s[len(s)], NULL, NULL, NULL FROM (SELECT list(payload_size ORDER BY payload_size) AS s FROM packets)
+    UNION ALL SELECT 'gap', device, NULL, archive_path, p0, t0, capture_time_ns, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ordered WHERE capture_time_ns - t0 > {12 * HOUR}
+    UNION ALL SELECT 'anomaly', device, NULL, archive_path, NULL, capture_time_ns, NULL, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, s0, sequence,
+        CASE WHEN sequence = s0 THEN 'duplicate sequence' WHEN sequence < s0 THEN 'sequence moved backwards' ELSE 'sequence gap' END FROM ordered WHERE sequence <> s0 + 1)"""
+packets("agg16_statistics_report", lambda p: report.statistics(p, DAY, 12 * HOUR), "SELECT * FROM parts", _REPORT)
+packets(
+    "pln14_archive_report",
+    lambda p: report.statistics(p, DAY, 12 * HOUR, overlaps=True).where("part IN ('archive', 'overlap')"),
+    """SELECT * FROM parts WHERE part = 'archive'
+    UNION ALL SELECT 'overlap', NULL, NULL, l, r, s, e, a + b, NULL, NULL, NULL, NULL, least(a, b), NULL, NULL, NULL, greatest(a, b), NULL, NULL, NULL FROM (
+        SELECT l, r, s, e, (SELECT count(*) FROM packets WHERE archive_path = l AND capture_time_ns BETWEEN s AND e) AS a, (SELECT count(*) FROM packets WHERE archive_path = r AND capture_time_ns BETWEEN s AND e) AS b FROM (
+            SELECT x.archive_path AS l, y.archive_path AS r, greatest(x.start_ns, y.start_ns) AS s, least(x.end_ns, y.end_ns) AS e FROM parts x JOIN parts y
+            ON x.part = 'archive' AND y.part = 'archive' AND x.archive_path < y.archive_path AND x.start_ns <= y.end_ns AND y.start_ns <= x.end_ns))""",
+    _REPORT,
+)
