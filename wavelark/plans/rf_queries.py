@@ -8,6 +8,7 @@ from ..operators import history as H
 from ..operators import interference as I
 from ..operators import intervals
 from ..operators import rf as R
+from ..operators import sweeps
 from ..sources import adapters as A
 from ..sources import scratch
 
@@ -188,7 +189,7 @@ TABLE["rf8_interference"] = (
         FROM found a JOIN found b ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz)
     SELECT frame_id, -1 AS bin, 'broadband_noise' AS kind, {_SEV.format(x="excess")} AS severity, (SELECT min(frequency_hz) FROM bins b WHERE b.frame_id = broad.frame_id) AS lower_hz,
         (SELECT max(frequency_hz) FROM bins b WHERE b.frame_id = broad.frame_id) + 10000 AS upper_hz, round(excess, 6) AS excess_db, {_SURE.format(x="ratio + greatest(0.0, rise) / 25")} AS confidence,
-        NULL AS allocation, 'broadband energy raises occupancy or apparent noise floor' AS summary FROM broad WHERE ratio >= 0.55 OR rise >= 8
+        CAST(NULL AS VARCHAR) AS allocation, 'broadband energy raises occupancy or apparent noise floor' AS summary FROM broad WHERE ratio >= 0.55 OR rise >= 8
     UNION ALL SELECT frame_id, bin, k.kind, k.severity, lower_hz, upper_hz, round(snr_db, 6), {_SURE.format(x="0.35 + snr_db / 40")}, allocation, k.summary FROM single
     UNION ALL SELECT frame_id, bin, 'co_channel', {_SEV.format(x="excess")}, lower_hz, upper_hz, excess, {_SURE.format(x="0.5 + excess / 30")}, NULL, 'expected signal deviates from nominal power' FROM off WHERE excess > 0
     UNION ALL SELECT c.frame_id, c.bin, 'intermodulation', 'medium', c.lower_hz, c.upper_hz, c.snr_db, {_SURE.format(x="0.55 + c.snr_db / 50")}, NULL, 'peak aligns with two-tone intermodulation product'
@@ -196,6 +197,72 @@ TABLE["rf8_interference"] = (
 )
 
 
+_RECEIVER = sweeps.Receiver(min_hz=433_300_000, max_hz=436_000_000, max_span_hz=400_000)
+
+
+def _followup(spark, sf_dir):
+    """Plans for the findings of frames that have one."""
+    return sweeps.followup_requests(scratch.kept(_interference(spark, sf_dir), "findings"))
+
+
+def _survey(spark, sf_dir):
+    """A request per receiver for all that it has heard, on channels where the
+    plan has some: of land mobile radio for even receivers, any for odd ones."""
+    b = A.bins(spark, sf_dir).groupBy("receiver").agg(F.min("frequency_hz").alias("lower_hz"), (F.max("frequency_hz") + 10_000).alias("upper_hz"))
+    even = F.col("receiver") % 2 == 0
+    return b.select(
+        F.col("receiver").cast("long").alias("plan"), F.lit("survey").alias("intent"), "lower_hz", "upper_hz", F.when(even, "land_mobile").alias("service"), F.lit(25_000).alias("resolution_hz"), F.lit(20_000).alias("dwell_us"),
+        F.lit("normal").alias("priority"), (F.col("receiver") % 3 == 0).alias("guards"), (F.col("receiver") % 4 < 3).alias("channels"),
+    )
+
+
+# each request's pieces by walking, each plan's merges one row after the other
+_SWEEP_SQL = f"""bound AS (SELECT *, row_number() OVER () AS request, greatest(resolution_hz, 1000) AS bw, greatest(lower_hz, 433300000) AS lo, least(upper_hz, 436000000) AS hi FROM requests WHERE lower_hz < upper_hz),
+    usable AS (SELECT * FROM bound WHERE lo < hi),
+    onchan AS (SELECT u.plan, u.request, u.priority, u.intent, bw, dwell_us, greatest(c.center_hz - c.bandwidth_hz // 2, 433300000) AS lo, least(c.center_hz + c.bandwidth_hz // 2 + c.bandwidth_hz % 2, 436000000) AS hi, c.name AS allocation, concat('known channel ', c.name, ' ch ', c.number) AS reason
+        FROM usable u JOIN chan c ON u.channels AND (u.service IS NULL OR u.service = c.service) AND c.center_hz - c.bandwidth_hz // 2 < u.upper_hz AND c.center_hz + c.bandwidth_hz // 2 + c.bandwidth_hz % 2 > u.lower_hz),
+    kept AS (SELECT * FROM onchan WHERE lo < hi),
+    guarded AS (SELECT name, service, lower_hz AS f, least(lower_hz + guard_hz, upper_hz) AS t FROM alloc UNION ALL SELECT name, service, upper_hz - guard_hz, upper_hz FROM alloc),
+    ranged AS (SELECT plan, priority, intent, bw, dwell_us, lo, hi, CAST(NULL AS VARCHAR) AS allocation, 'range survey' AS reason FROM usable WHERE request NOT IN (SELECT request FROM kept)
+        UNION ALL SELECT plan, 'high', intent, bw, dwell_us, greatest(lo, f), least(hi, t), g.name, concat('guard range for ', g.name) FROM usable u JOIN guarded g ON u.guards AND (u.service IS NULL OR u.service = g.service) AND g.f < u.hi AND u.lo < g.t),
+    walked AS (SELECT *, lo AS a, CASE WHEN lo + 320000 >= hi THEN hi ELSE least(hi, ((lo + 320000 + bw - 1) // bw) * bw) END AS z FROM ranged
+        UNION ALL SELECT * REPLACE (z AS a, CASE WHEN z + 320000 >= hi THEN hi ELSE least(hi, ((z + 320000 + bw - 1) // bw) * bw) END AS z) FROM walked WHERE z < hi),
+    pieces AS (SELECT plan, priority, intent, bw, dwell_us, a AS lo, z AS hi, allocation, reason FROM walked UNION ALL SELECT plan, priority, intent, bw, dwell_us, lo, hi, allocation, reason FROM kept),
+    weighed AS (SELECT *, CASE priority WHEN 'urgent' THEN 4.0 WHEN 'high' THEN 2.0 WHEN 'normal' THEN 1.0 ELSE 0.5 END AS weight FROM pieces),
+    sorted AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY weight DESC, lo, hi, intent, reason) AS n FROM weighed),
+    folded AS (SELECT plan, n, 1 AS g, priority, intent, bw, dwell_us, lo, hi, allocation, reason, 1 AS merged FROM sorted WHERE n = 1
+        UNION ALL SELECT s.plan, s.n, CASE WHEN joined THEN g ELSE g + 1 END, s.priority, s.intent, CASE WHEN joined THEN fbw ELSE s.bw END, CASE WHEN joined THEN greatest(fdwell, s.dwell_us) ELSE s.dwell_us END,
+            CASE WHEN joined THEN flo ELSE s.lo END, CASE WHEN joined THEN greatest(fhi, s.hi) ELSE s.hi END, CASE WHEN joined THEN falloc ELSE s.allocation END, CASE WHEN joined THEN freason || '; ' || s.reason ELSE s.reason END, CASE WHEN joined THEN fmerged + 1 ELSE 1 END
+        FROM (SELECT s.*, f.g, f.bw AS fbw, f.dwell_us AS fdwell, f.lo AS flo, f.hi AS fhi, f.allocation AS falloc, f.reason AS freason, f.merged AS fmerged,
+                f.priority = s.priority AND f.intent = s.intent AND NOT coalesce(f.allocation <> s.allocation, false) AND s.lo - f.hi <= 2 * f.bw AND greatest(f.hi, s.hi) - f.lo <= 320000 AS joined
+            FROM folded f JOIN sorted s ON s.plan = f.plan AND s.n = f.n + 1) s),
+    done AS (SELECT plan, g AS place, last(priority ORDER BY n) AS priority, last(intent ORDER BY n) AS intent, last(lo ORDER BY n) AS lower_hz, last(hi ORDER BY n) AS upper_hz, last(bw ORDER BY n) AS bin_width_hz, last(dwell_us ORDER BY n) AS dwell_us,
+        last(allocation ORDER BY n) AS allocation, last(reason ORDER BY n) AS reason, last(merged ORDER BY n) AS merged FROM folded GROUP BY plan, g)"""
+_PLAN_SQL = "SELECT plan, place, priority, intent, lower_hz, upper_hz, lower_hz + (upper_hz - lower_hz) // 2 AS center_hz, upper_hz - lower_hz AS span_hz, bin_width_hz, dwell_us, allocation, reason, merged FROM done"
+_SURVEY_SQL = f"""WITH RECURSIVE {A.BINS_SQL}, {_ALLOC}, {_CHAN}, requests AS (
+    SELECT receiver AS plan, 'survey' AS intent, min(frequency_hz) AS lower_hz, max(frequency_hz) + 10000 AS upper_hz, CASE WHEN receiver % 2 = 0 THEN 'land_mobile' END AS service, 25000 AS resolution_hz, 20000 AS dwell_us,
+        'normal' AS priority, receiver % 3 = 0 AS guards, receiver % 4 < 3 AS channels FROM bins GROUP BY receiver), {_SWEEP_SQL}"""
+TABLE["rf12_sweep_plan"] = (lambda s, d: sweeps.plan(_survey(s, d), _RECEIVER), f"{_SURVEY_SQL} {_PLAN_SQL}")
+TABLE["rf12_sweep_totals"] = (
+    lambda s, d: sweeps.totals(scratch.kept(sweeps.plan(_survey(s, d), _RECEIVER), "sweep"), _RECEIVER),
+    f"""{_SURVEY_SQL}, reach AS (SELECT *, max(upper_hz) OVER (PARTITION BY plan ORDER BY lower_hz, upper_hz ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM done)
+    SELECT plan, count(*) AS segments, CAST(sum(dwell_us + 2000) AS BIGINT) AS duration_us, CAST(sum(greatest(upper_hz - greatest(coalesce(r, lower_hz), lower_hz), 0)) AS BIGINT) AS covered_hz, round(sum(dwell_us) / sum(dwell_us + 2000), 6) AS duty_cycle
+    FROM reach GROUP BY plan""",
+)
+TABLE["rf12_sweep_warnings"] = (
+    lambda s, d: sweeps.warnings(_survey(s, d), sweeps.Receiver(min_hz=434_500_000)),
+    f"{_SURVEY_SQL} SELECT plan, format('request outside receiver tuning range: {{:.3f}} MHz - {{:.3f}} MHz', lower_hz / 1e6, upper_hz / 1e6) AS warning FROM requests WHERE upper_hz <= 434500000",
+)
+TABLE["rf13_followup"] = (
+    lambda s, d: sweeps.plan(_followup(s, d), _RECEIVER),
+    TABLE["rf8_interference"][1].replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT frame_id, -1 AS bin, 'broadband_noise'", "findings AS (SELECT frame_id, -1 AS bin, 'broadband_noise'", 1).replace("off AS (SELECT", f"{_CHAN}, off AS (SELECT", 1).replace("ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz)", "ON a.frame_id = b.frame_id AND a.frequency_hz < b.frequency_hz),", 1)
+    + f"""), padded AS (SELECT *, greatest(upper_hz - lower_hz, 50000) AS pad FROM findings), requests AS (
+    SELECT frame_id AS plan, 'interference_hunt' AS intent, CASE WHEN allocation IS NULL THEN lower_hz ELSE greatest(lower_hz - pad, 0) END AS lower_hz, CASE WHEN allocation IS NULL THEN upper_hz ELSE upper_hz + pad END AS upper_hz,
+        (SELECT service FROM alloc WHERE name = allocation) AS service, 5000 AS resolution_hz, CASE severity WHEN 'critical' THEN 100000 ELSE 50000 END AS dwell_us, CASE severity WHEN 'critical' THEN 'urgent' ELSE 'high' END AS priority, true AS guards, false AS channels
+    FROM padded), {_SWEEP_SQL} {_PLAN_SQL}""",
+)
+
+
 def _ranges(spark, sf_dir, even: bool):
     """A receiver's peaks as ranges, those of even or odd frames."""
     rows = R.peaks(A.bins(spark, sf_dir)).where(F.col("frame_id") % 2 == (0 if even else 1))
