@@ -80,7 +80,7 @@ def latency_stats(df: DataFrame, value: Column) -> DataFrame:
 @dataclass(frozen=True)
 class Alert:
     """A rule over the metric `name`; which fields count depends on `kind`:
-    threshold, missing, stale, rate or trend."""
+    threshold, missing, stale, rate_of_change or trend."""
 
     id: str
     kind: str
@@ -108,8 +108,8 @@ def compare(a: Column, sign: str, b: Column | float) -> Column:
 
 
 def evaluate(metrics: DataFrame, rules: list[Alert], now_ns: int) -> DataFrame:
-    """DIA2-DIA8: the state of every rule: disabled, suppressed, no_data,
-    active or inactive. `Current` samples are those of the last window before
+    """DIA2-DIA8: the state of every rule, active, inactive, suppressed or
+    no_data, and the reason. `Current` samples are those of the last window before
     now (all, without a window). One aggregation answers all rules."""
     spark = metrics.sparkSession
     table = spark.createDataFrame([(r.id, r.kind, r.name, r.severity, r.comparator, r.value, r.window_ns, r.min_duration_ns, r.max_age_ns, r.expected, r.floor, r.enabled, any(a <= now_ns <= b for a, b in r.suppressed)) for r in rules], "id string, kind string, name string, severity string, comparator string, limit double, window_ns long, min_duration_ns long, max_age_ns long, expected string, floor double, enabled boolean, suppressed boolean")
@@ -136,24 +136,42 @@ def evaluate(metrics: DataFrame, rules: list[Alert], now_ns: int) -> DataFrame:
     rate = (F.col("newest") - F.col("oldest")) / (span / 1e9)
     rate_hit = F.coalesce(*[F.when(F.col("comparator") == c, compare(rate, c, F.col("limit"))) for c in COMPARATORS])
     gate = (F.col("min_duration_ns") == 0) | (span >= F.col("min_duration_ns"))
-    active = lambda c: F.when(c, "active").otherwise("inactive")
-    state = (
-        F.when(~F.col("enabled"), "disabled")
-        .when(F.col("suppressed"), "suppressed")
-        .when(F.col("kind") == "missing", active(F.col("n") == 0))
-        .when(F.col("n") == 0, "no_data")
-        .when(F.col("kind") == "threshold", active(F.col("hit") & gate))
-        .when(F.col("kind") == "stale", active(now_ns - F.col("newest_ns") > F.col("max_age_ns")))
-        .when((F.col("kind") == "rate") & ((F.col("n") < 2) | (span == 0)), "no_data")
-        .when(F.col("kind") == "rate", active(rate_hit & gate))
-        .otherwise(active((trend(F.col("steps"), F.col("ups"), F.col("downs")) == F.col("expected")) & gate))
+    said = lambda state, reason: F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))
+    kind, n = F.col("kind"), F.col("n")
+
+    def matched(test: Column, name: str, gated: bool = True) -> Column:
+        held = F.when(~test, said("inactive", f"{name} condition did not match"))
+        if gated:
+            held = held.when(~gate, said("inactive", "condition active but below minimum duration"))
+        return held.otherwise(said("active", f"{name} condition matched"))
+
+    # the fixed reasons
+    told = (
+        F.when(~F.col("enabled"), said("inactive", "rule disabled"))
+        .when(F.col("suppressed"), said("suppressed", "rule suppressed"))
+        .when((kind == "missing") & (n == 0), said("active", "metric is absent"))
+        .when(kind == "missing", said("inactive", "metric is present"))
+        .when((kind == "threshold") & (n == 0), said("no_data", "metric not present in current snapshot"))
+        .when(kind == "threshold", matched(F.col("hit"), "threshold"))
+        .when((kind == "stale") & (n == 0), said("no_data", "metric has no samples"))
+        .when((kind == "stale") & (now_ns - F.col("newest_ns") > F.col("max_age_ns")), said("active", "metric is stale"))
+        .when(kind == "stale", said("inactive", "metric is fresh"))
+        .when((kind == "rate_of_change") & (n < 2), said("no_data", "rate condition needs at least two samples"))
+        .when((kind == "rate_of_change") & (span == 0), said("no_data", "rate condition has zero elapsed time"))
+        .when(kind == "rate_of_change", matched(rate_hit, "rate"))
+        .when((kind == "trend") & (n < 2), said("no_data", "trend condition needs at least two samples"))
+        .when(kind == "trend", matched(trend(F.col("steps"), F.col("ups"), F.col("downs")) == F.col("expected"), "trend"))
+        .otherwise(said("no_data", "unknown condition"))
     )
-    return r.select("id", "kind", "severity", state.alias("state"), "n")
+    return r.select("id", "kind", "severity", told.alias("told"), "n").select("id", "kind", "severity", "told.state", "told.reason", "n")
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:
-    """AGG24: rules per state and active severity."""
-    return alerts.groupBy("state").agg(F.count("*").alias("rules"), *[F.count_if((F.col("state") == "active") & (F.col("severity") == s)).alias(f"active_{s}") for s in ("info", "warning", "critical")])
+    """AGG24: rules by state, disabled ones (which count as inactive, too) and
+    active ones by severity."""
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    active = lambda s: F.count_if((F.col("state") == "active") & (F.col("severity") == s)).alias(f"{s}_active")
+    return alerts.agg(F.count("*").alias("total_rules"), *[of("state", s).alias(f"{s}_rules") for s in ("active", "inactive", "suppressed", "no_data")], of("reason", "rule disabled").alias("disabled_rules"), *[active(s) for s in ("critical", "warning", "info")])
 
 
 def slo_slice(events: DataFrame, group: list[Column]) -> DataFrame:
@@ -235,8 +253,8 @@ def timeline(df: DataFrame) -> DataFrame:
     return df.select(F.col("capture_time_ns").alias("time_ns"), level.alias("level"), F.concat(F.col("kind"), F.lit(" from "), F.col("device").cast("string")).alias("text"), "offset")
 
 
-def incident_summary(found: DataFrame) -> DataFrame:
-    """AGG29: findings per source and severity."""
+def findings_by_severity(found: DataFrame) -> DataFrame:
+    """Findings per source and severity."""
     return found.groupBy("source", "severity").agg(F.count("*").alias("findings"))
 
 

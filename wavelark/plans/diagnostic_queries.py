@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import control as C
 from ..operators import diagnostics as D
 from ..operators import expectations as E
+from ..operators import incidents as N
 from ..operators import joins as J
 from ..operators import protocol as X
 from ..operators import report
 from ..operators import sequences as S
 from ..operators import telemetry as T
 from ..sources import adapters as A
+from ..sources import scratch
 from .archive_queries import DAY, HOUR, T0
 
 TABLE: dict = {}
@@ -163,7 +165,7 @@ _RULES_A = [
     D.Alert("r2", "threshold", "evt.view", "warning", "<", 0.0),
     D.Alert("r3", "missing", "evt.nothing", "info"),
     D.Alert("r4", "stale", "evt.signup", "warning", max_age_ns=HOUR),
-    D.Alert("r5", "rate", "evt.click", "warning", "!=", 0.0, window_ns=3 * DAY),
+    D.Alert("r5", "rate_of_change", "evt.click", "warning", "!=", 0.0, window_ns=3 * DAY),
     D.Alert("r6", "trend", "evt.purchase", "info", expected="volatile", floor=1.0),
     D.Alert("r7", "threshold", "evt.error", "critical", ">", 1.0, enabled=False),
     D.Alert("r8", "missing", "evt.view", "warning", suppressed=((T0, T0 + 40 * DAY),)),
@@ -172,20 +174,34 @@ _RULES_A = [
 ]
 _AT = T0 + 28 * DAY
 _W = lambda name, w: f"metrics WHERE name = '{name}' AND time_ns <= {_AT}" + (f" AND time_ns >= {_AT - w}" if w else "")
-_ALERTS = f"""alerts AS (
-    SELECT 'r1' AS id, 'threshold' AS kind, 'critical' AS severity, CASE WHEN count(*) = 0 THEN 'no_data' WHEN bool_or(value > 200) THEN 'active' ELSE 'inactive' END AS state, count(*) AS n FROM {_W('evt.error', 2 * DAY)}
-    UNION ALL SELECT 'r2', 'threshold', 'warning', CASE WHEN count(*) = 0 THEN 'no_data' WHEN bool_or(value < 0) THEN 'active' ELSE 'inactive' END, count(*) FROM {_W('evt.view', 0)}
-    UNION ALL SELECT 'r3', 'missing', 'info', CASE WHEN count(*) = 0 THEN 'active' ELSE 'inactive' END, count(*) FROM {_W('evt.nothing', 0)}
-    UNION ALL SELECT 'r4', 'stale', 'warning', CASE WHEN count(*) = 0 THEN 'no_data' WHEN {_AT} - max(time_ns) > {HOUR} THEN 'active' ELSE 'inactive' END, count(*) FROM {_W('evt.signup', 0)}
-    UNION ALL SELECT 'r5', 'rate', 'warning', CASE WHEN count(*) < 2 THEN 'no_data' WHEN last(value ORDER BY time_ns, ordinal) <> first(value ORDER BY time_ns, ordinal) THEN 'active' ELSE 'inactive' END, count(*) FROM {_W('evt.click', 3 * DAY)}
-    UNION ALL SELECT 'r6', 'trend', 'info', CASE WHEN count(*) FILTER (d > 1) > 0 AND count(*) FILTER (d < -1) > 0 THEN 'active' ELSE 'inactive' END, count(*) FROM (SELECT value - lag(value) OVER (ORDER BY time_ns, ordinal) AS d FROM {_W('evt.purchase', 0)})
-    UNION ALL SELECT 'r7', 'threshold', 'critical', 'disabled', count(*) FROM {_W('evt.error', 0)}
-    UNION ALL SELECT 'r8', 'missing', 'warning', 'suppressed', count(*) FROM {_W('evt.view', 0)}
-    UNION ALL SELECT 'r9', 'threshold', 'warning', CASE WHEN count(*) = 0 THEN 'no_data' WHEN bool_or(value >= 1) AND max(time_ns) - min(time_ns) >= {5 * DAY} THEN 'active' ELSE 'inactive' END, count(*) FROM {_W('evt.error', DAY)}
-    UNION ALL SELECT 'r10', 'threshold', 'warning', 'no_data', 0)"""
+# each rule's state first, then its reason from what the state says
+_RULED = f"""ruled AS (
+    SELECT 'r1' AS id, 'threshold' AS kind, 'critical' AS severity, CASE WHEN count(*) = 0 THEN 'no_data' WHEN bool_or(value > 200) THEN 'active' ELSE 'inactive' END AS state, count(*) AS n, 'threshold' AS told FROM {_W('evt.error', 2 * DAY)}
+    UNION ALL SELECT 'r2', 'threshold', 'warning', CASE WHEN count(*) = 0 THEN 'no_data' WHEN bool_or(value < 0) THEN 'active' ELSE 'inactive' END, count(*), 'threshold' FROM {_W('evt.view', 0)}
+    UNION ALL SELECT 'r3', 'missing', 'info', CASE WHEN count(*) = 0 THEN 'active' ELSE 'inactive' END, count(*), 'missing' FROM {_W('evt.nothing', 0)}
+    UNION ALL SELECT 'r4', 'stale', 'warning', CASE WHEN count(*) = 0 THEN 'no_data' WHEN {_AT} - max(time_ns) > {HOUR} THEN 'active' ELSE 'inactive' END, count(*), 'stale' FROM {_W('evt.signup', 0)}
+    UNION ALL SELECT 'r5', 'rate_of_change', 'warning', CASE WHEN count(*) < 2 OR max(time_ns) = min(time_ns) THEN 'no_data' WHEN last(value ORDER BY time_ns, ordinal) <> first(value ORDER BY time_ns, ordinal) THEN 'active' ELSE 'inactive' END, count(*), CASE WHEN count(*) < 2 THEN 'rate' ELSE 'elapsed' END FROM {_W('evt.click', 3 * DAY)}
+    UNION ALL SELECT 'r6', 'trend', 'info', CASE WHEN count(*) < 2 THEN 'no_data' WHEN count(*) FILTER (d > 1) > 0 AND count(*) FILTER (d < -1) > 0 THEN 'active' ELSE 'inactive' END, count(*), 'trend' FROM (SELECT value - lag(value) OVER (ORDER BY time_ns, ordinal) AS d FROM {_W('evt.purchase', 0)})
+    UNION ALL SELECT 'r7', 'threshold', 'critical', 'inactive', count(*), 'disabled' FROM {_W('evt.error', 0)}
+    UNION ALL SELECT 'r8', 'missing', 'warning', 'suppressed', count(*), 'suppressed' FROM {_W('evt.view', 0)}
+    UNION ALL SELECT 'r9', 'threshold', 'warning', CASE WHEN count(*) = 0 THEN 'no_data' WHEN bool_or(value >= 1) AND max(time_ns) - min(time_ns) >= {5 * DAY} THEN 'active' ELSE 'inactive' END, count(*), CASE WHEN bool_or(value >= 1) THEN 'duration' ELSE 'threshold' END FROM {_W('evt.error', DAY)}
+    UNION ALL SELECT 'r10', 'threshold', 'warning', 'no_data', 0, 'threshold')"""
+_ALERTS = f"""{_RULED}, texts(told, state, reason) AS (VALUES ('threshold', 'no_data', 'metric not present in current snapshot'), ('threshold', 'active', 'threshold condition matched'), ('threshold', 'inactive', 'threshold condition did not match'),
+    ('duration', 'no_data', 'metric not present in current snapshot'), ('duration', 'active', 'threshold condition matched'), ('duration', 'inactive', 'condition active but below minimum duration'), ('missing', 'active', 'metric is absent'), ('missing', 'inactive', 'metric is present'),
+    ('stale', 'no_data', 'metric has no samples'), ('stale', 'active', 'metric is stale'), ('stale', 'inactive', 'metric is fresh'), ('rate', 'no_data', 'rate condition needs at least two samples'), ('elapsed', 'no_data', 'rate condition has zero elapsed time'),
+    ('elapsed', 'active', 'rate condition matched'), ('elapsed', 'inactive', 'rate condition did not match'), ('trend', 'no_data', 'trend condition needs at least two samples'), ('trend', 'active', 'trend condition matched'), ('trend', 'inactive', 'trend condition did not match'),
+    ('disabled', 'inactive', 'rule disabled'), ('suppressed', 'suppressed', 'rule suppressed')),
+    alerts AS (SELECT id, kind, severity, state, reason, n FROM ruled LEFT JOIN texts USING (told, state))"""
 _alerts = lambda m: D.evaluate(m, _RULES_A, _AT)
 metrics("dia2_alert_rules", _alerts, "SELECT * FROM alerts", _ALERTS)
-metrics("agg24_alert_summary", lambda m: D.alert_summary(_alerts(m)), "SELECT state, count(*) AS rules, count(*) FILTER (state = 'active' AND severity = 'info') AS active_info, count(*) FILTER (state = 'active' AND severity = 'warning') AS active_warning, count(*) FILTER (state = 'active' AND severity = 'critical') AS active_critical FROM alerts GROUP BY state", _ALERTS)
+metrics(
+    "agg24_alert_summary",
+    lambda m: D.alert_summary(_alerts(m)),
+    """SELECT count(*) AS total_rules, count(*) FILTER (state = 'active') AS active_rules, count(*) FILTER (state = 'inactive') AS inactive_rules, count(*) FILTER (state = 'suppressed') AS suppressed_rules, count(*) FILTER (state = 'no_data') AS no_data_rules,
+    count(*) FILTER (reason = 'rule disabled') AS disabled_rules, count(*) FILTER (state = 'active' AND severity = 'critical') AS critical_active, count(*) FILTER (state = 'active' AND severity = 'warning') AS warning_active,
+    count(*) FILTER (state = 'active' AND severity = 'info') AS info_active FROM alerts""",
+    _ALERTS,
+)
 metrics("flt14_firing_alerts", lambda m: _alerts(m).where("state = 'active'"), "SELECT * FROM alerts WHERE state = 'active'", _ALERTS)
 
 # service levels
@@ -227,7 +243,61 @@ def _findings(s, d):
 _CTES = f"WITH {A.METRICS_SQL}, {A.SLO_SQL}, {_ALERTS}, {_BURN}, {_DELTAS}, {_FINDINGS}"
 TABLE["dia13_findings"] = (_findings, f"{_CTES} SELECT * FROM found")
 TABLE["srt7_top_findings"] = (lambda s, d: D.top_findings(_findings(s, d), 5), f"{_CTES} SELECT * FROM found ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, source, subject LIMIT 5")
-TABLE["agg29_incident_summary"] = (lambda s, d: D.incident_summary(_findings(s, d)), f"{_CTES} SELECT source, severity, count(*) AS findings FROM found GROUP BY ALL")
+TABLE["dia13_findings_by_severity"] = (lambda s, d: D.findings_by_severity(_findings(s, d)), f"{_CTES} SELECT source, severity, count(*) AS findings FROM found GROUP BY ALL")
+
+
+def _incidents(s, d):
+    """One incident per zone, out of the zone's own metrics and all service
+    levels; zone 0 is resolved. Its impacts are its devices' error packets."""
+    m = A.metrics(s, d)
+    zones, alerts, deltas = [], [], []
+    for zone in ("0", "1"):
+        own = m.where(F.col("tags")["zone"] == zone)
+        with_id = lambda rows, z=zone: rows.withColumn("incident", F.lit(f"zone-{z}"))
+        alerts.append(with_id(_alerts(own)))
+        deltas.append(with_id(_compared(own)))
+        zones.append((f"zone-{zone}", f"zone {zone}", "high", "resolved" if zone == "0" else "mitigating", _AT - DAY, _AT, _AT - HOUR if zone == "0" else None))
+    ids = s.createDataFrame(zones, "incident string, title string, severity string, status string, opened_ns long, updated_ns long, resolved_ns long")
+    slos = _burn(A.slo_events(s, d)).crossJoin(ids.select("incident"))  # two rows
+    p = A.packets(s, d).where("kind = 'control'")
+    impacts = p.groupBy(F.concat(F.lit("zone-"), (F.col("device") % 2).cast("string")).alias("incident"), F.col("archive_path").alias("component")).agg(F.lit("r").alias("region"), F.lit("errors").alias("description"), F.countDistinct("device").alias("affected_devices"), F.count_if(F.col("payload_size") == 0).alias("dropped_packets"), F.count_if(F.col("timestamp_ns") < F.col("capture_time_ns")).alias("delayed_packets"))
+    alerts, deltas = alerts[0].unionByName(alerts[1]), deltas[0].unionByName(deltas[1])
+    return scratch.kept(N.report(ids, N.findings(alerts, slos, deltas, 0.5, _AT), alerts, slos, impacts), "incidents")
+
+
+def _zoned(sql: str, zone: str) -> str:
+    """The rules' and changes' SQL over one zone's metrics."""
+    return f"SELECT 'zone-{zone}' AS incident, x.* FROM ({sql.replace('FROM metrics', f'FROM metrics_{zone}')}) x"
+
+
+_RULE_ROWS = _ALERTS.split("), texts(", 1)[0].removeprefix("ruled AS (")
+_INCIDENTSQL = f"""WITH {A.METRICS_SQL}, {A.SLO_SQL}, {A.PACKETS_SQL}, {_BURN}, metrics_0 AS (SELECT * FROM metrics WHERE zone = '0'), metrics_1 AS (SELECT * FROM metrics WHERE zone = '1'),
+    ruled AS ({_zoned(_RULE_ROWS, '0')} UNION ALL {_zoned(_RULE_ROWS, '1')}), {_ALERTS[_ALERTS.index('texts('):].replace('SELECT id,', 'SELECT incident, id,')},
+    deltas AS ({_zoned(_CMP, '0')} UNION ALL {_zoned(_CMP, '1')}),
+    incidents AS (SELECT * FROM (VALUES ('zone-0', 'resolved', {_AT - HOUR}), ('zone-1', 'mitigating', NULL)) v(incident, status, resolved_ns)),
+    found AS (SELECT incident, 'alert' AS kind, CASE severity WHEN 'critical' THEN 'high' WHEN 'warning' THEN 'medium' ELSE 'low' END AS severity, {_AT} AS time_ns, concat('alert:', id) AS source, id AS summary, reason AS detail FROM alerts WHERE state = 'active'
+        UNION ALL SELECT incident, 'slo_burn', CASE b.status WHEN 'exhausted' THEN 'critical' ELSE 'medium' END, {_AT}, concat('slo:', label), concat(label, ' is ', b.status), NULL FROM burn b, incidents WHERE b.status IN ('warning', 'exhausted')
+        UNION ALL SELECT incident, 'metric_anomaly', CASE WHEN abs(relative) >= 1.0 THEN 'high' ELSE 'medium' END, 0, concat('metric:', series), concat(series, ' changed ', trend), NULL FROM deltas WHERE abs(relative) >= 0.5),
+    leveled AS (SELECT incident, {_AT - DAY} AS time_ns, 'info' AS level, 'incident' AS source, concat('opened ', incident) AS message FROM incidents
+        UNION ALL SELECT incident, resolved_ns, 'info', 'incident', concat('resolved ', incident) FROM incidents WHERE resolved_ns IS NOT NULL
+        UNION ALL SELECT incident, time_ns, CASE severity WHEN 'low' THEN 'info' WHEN 'medium' THEN 'warning' ELSE 'error' END, source, summary FROM found
+        UNION ALL SELECT incident, {_AT}, CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'info' END, concat('alert:', id), reason FROM alerts WHERE state = 'active'),
+    events_of AS (SELECT incident, CAST(row_number() OVER (PARTITION BY incident ORDER BY time_ns, CASE level WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END, source, message) - 1 AS INTEGER) AS place, time_ns, level, source, message FROM leveled)"""
+TABLE["dia15_incident_timeline"] = (lambda s, d: N.timeline(_incidents(s, d)), f"{_INCIDENTSQL} SELECT * FROM events_of")
+TABLE["flt13_at_or_above"] = (lambda s, d: N.at_or_above(N.between(N.timeline(_incidents(s, d)), 0, _AT - 1), "warning"), f"{_INCIDENTSQL} SELECT * FROM events_of WHERE level IN ('warning', 'error') AND time_ns BETWEEN 0 AND {_AT - 1}")
+TABLE["dia16_incident_findings"] = (lambda s, d: _incidents(s, d).select("incident", F.inline("findings")).drop("detail"), f"{_INCIDENTSQL} SELECT * EXCLUDE (detail) FROM found")
+TABLE["dia16_incident_actions"] = (
+    lambda s, d: _incidents(s, d).select("incident", F.inline("recommended")),
+    f"""{_INCIDENTSQL}, called AS (SELECT incident, unnest([1, 2, 3]) AS step, unnest([EXISTS (SELECT 1 FROM burn WHERE burn.status = 'exhausted'), EXISTS (SELECT 1 FROM alerts a WHERE a.incident = i.incident AND state = 'active'), i.status <> 'resolved']) AS due FROM incidents i)
+    SELECT incident, step, owner, action, reason FROM called JOIN (VALUES {', '.join(str((i + 1, *a)) for i, a in enumerate(D.ACTIONS))}) acts(step, owner, action, reason) USING (step) WHERE due""",
+)
+TABLE["agg29_incident_summary"] = (
+    lambda s, d: N.summary(_incidents(s, d)),
+    f"""{_INCIDENTSQL} SELECT incident, 'high' AS severity, status, {_AT - DAY} AS opened_ns, {_AT} AS updated_ns, coalesce(resolved_ns, {_AT}) - {_AT - DAY} AS duration_ns,
+    (SELECT count(DISTINCT archive_path) FROM packets WHERE kind = 'control' AND concat('zone-', device % 2) = i.incident) AS impacts, (SELECT count(*) FROM found f WHERE f.incident = i.incident) AS findings, 0 AS actions, 0 AS open_actions,
+    (SELECT count(*) FROM alerts a WHERE a.incident = i.incident AND state = 'active') AS firing_alerts, (SELECT count(*) FROM burn WHERE burn.status = 'exhausted') AS exhausted_slos FROM incidents i""",
+)
+TABLE["agg29_incident_statuses"] = (lambda s, d: N.status_counts(_incidents(s, d)), f"{_INCIDENTSQL} SELECT v.status, count(i.incident) AS incidents FROM (VALUES ('investigating'), ('identified'), ('mitigating'), ('resolved')) v(status) LEFT JOIN incidents i ON i.status = v.status GROUP BY v.status")
 _LEVEL = "CASE WHEN kind = 'control' THEN 'warning' WHEN payload_size = 0 THEN 'debug' ELSE 'info' END"
 packets("dia15_timeline", D.timeline, f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset" FROM packets""")
 packets("flt13_timeline_level", lambda p: D.timeline(p).where(f"level IN ('warning', 'debug') AND time_ns BETWEEN {T0} AND {T0 + 3 * DAY}"), f"""SELECT capture_time_ns AS time_ns, {_LEVEL} AS level, concat(kind, ' from ', device) AS text, "offset" FROM packets WHERE {_LEVEL} <> 'info' AND capture_time_ns BETWEEN {T0} AND {T0 + 3 * DAY}""")
@@ -299,7 +369,7 @@ packets(
     count(*) FILTER (kind = 'unexpected') AS unexpected, count(*) FILTER (kind = 'stale') AS stale, count(*) FILTER (kind = 'rejected') AS rejected FROM observed""",
     _WAITSQL,
 )
-packets("ctl2_admission", lambda p: C.admission(p.withColumn("level", F.when(F.col("payload_size") > 3000, "stop").when(F.col("payload_size") > 1500, "shed").when(F.col("payload_size") > 800, "throttle").otherwise("normal")), C.Admission()), None)
+packets("ctl2_admission", lambda p: C.admission(p.withColumn("level", F.when(F.col("payload_size") > 3000, "stop").when(F.col("payload_size") > 1500, "shed").when(F.col("payload_size") > 800, "throttle").otherwise("nominal")), C.Admission()), None)
 
 _INCIDENTS = lambda p: p.groupBy(F.col("device").alias("incident")).agg(F.when(F.count("*") % 3 == 0, "resolved").otherwise("open").alias("status"), F.count_if(F.col("kind") == "control").alias("exhausted_slos"), F.count_if(F.col("payload_size") > 900).alias("firing_alerts"), F.count_if(F.col("kind") == "capabilities").alias("open_actions"), F.count_if(F.col("payload_size") == 0).alias("impacts"))
 packets(
