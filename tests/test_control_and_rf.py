@@ -2,6 +2,7 @@
 
 from wavelark.operators import control as C
 from wavelark.operators import planning as P
+from wavelark.operators import history as H
 from wavelark.operators import interference as I
 from wavelark.operators import rf as R
 
@@ -127,19 +128,17 @@ def test_close_peaks_merge(spark):
     assert (one.bin, one.lower_bin, one.upper_bin, one.shape, one.bandwidth_hz, one.power_dbm) == (22, 20, 22, "wideband", 20_000, -50.0)
 
 
-def test_tracks_follow_the_nearest_median(spark):
-    rows = [(1, n, n, n, f) for n, f in enumerate([100_000, 110_000, 200_000, 124_000, 140_000, 126_000, 150_001, 149_999])]
-    df = spark.createDataFrame(rows, "receiver int, frame_id long, time_ns long, bin int, frequency_hz long")
-    got = [r.track for r in sorted(R.tracks(df).collect(), key=lambda r: r.frame_id)]
-    members, want = [], []
-    for *_, f in rows:
+def test_tracks_follow_the_nearest_median():
+    rows = list(enumerate([100_000, 110_000, 200_000, 124_000, 140_000, 126_000, 150_001, 149_999]))
+    got = [sorted(p[2] for p in points) for _, points in H.follow([(n, n, [(f, -50.0, 9.0)]) for n, f in rows])]
+    members = []
+    for _, f in rows:
         near, i = min(((abs(sorted(m)[len(m) // 2] - f), i) for i, m in enumerate(members)), default=(25_001, -1))
         if near > 25_000:
             members.append([])
             i = len(members) - 1
         members[i].append(f)
-        want.append(i)
-    assert got == want
+    assert got == [sorted(m) for m in members]
 
 
 def test_nearest_channel_has_no_radius(spark):
