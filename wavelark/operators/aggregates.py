@@ -173,13 +173,24 @@ def top_batch(df: DataFrame, n: int) -> DataFrame:
     return df.select("timestamp_ns", "device", "sequence", "offset").orderBy("timestamp_ns", "device", "sequence", "offset").limit(n)
 
 
-def fleet(df: DataFrame, active_after: int) -> DataFrame:
-    """AGG26/RT6: registry rows: when a device was seen, its last kind, and
-    whether it counts as active."""
-    last = F.max_by("kind", F.struct("capture_time_ns", "offset"))
-    return df.groupBy("device").agg(F.min("capture_time_ns").alias("first_seen_ns"), F.max("capture_time_ns").alias("last_seen_ns"), F.count("*").alias("packets"), last.alias("last_kind")).withColumn("lifecycle", F.when(F.col("last_seen_ns") >= active_after, "active").otherwise("retired"))
+#: States of a registered device (fixed values).
+LIFECYCLES = ("unknown", "provisioned", "active", "quarantined", "retired")
 
 
-def fleet_summary(registry: DataFrame) -> DataFrame:
-    """AGG26: devices and packets by lifecycle."""
-    return registry.groupBy("lifecycle").agg(F.count("*").alias("devices"), _total("packets").alias("packets"))
+def fleet(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """RT6: every device that is registered (device, lifecycle) or was seen: when,
+    how often, and its last packet's kind. The lifecycle is the registered one;
+    a device that was only seen is active."""
+    last = F.max_by("kind", F.struct("capture_time_ns", "offset"))
+    seen = df.groupBy("device").agg(F.min("capture_time_ns").alias("first_seen_ns"), F.max("capture_time_ns").alias("last_seen_ns"), F.count("*").alias("packets"), last.alias("last_kind"))
+    if registry is None:
+        return seen.withColumn("lifecycle", F.lit("active"))
+    known = registry.select("device", F.coalesce("lifecycle", F.lit("unknown")).alias("registered"))
+    both = seen.join(known, "device", "full_outer").na.fill(0, ["packets"])
+    return both.withColumn("lifecycle", F.coalesce("registered", F.lit("active"))).drop("registered")
+
+
+def fleet_summary(devices: DataFrame) -> DataFrame:
+    """AGG26: all devices, those of three states, and all packets."""
+    of = lambda s: F.count_if(F.col("lifecycle") == s).alias(f"{s}_devices")
+    return devices.agg(F.count("*").alias("total_devices"), of("active"), of("quarantined"), of("retired"), F.coalesce(_total("packets"), F.lit(0)).alias("packets_seen"))

@@ -181,6 +181,17 @@ def slo_slice(events: DataFrame, group: list[Column]) -> DataFrame:
     return events.groupBy(*group).agg(F.count_if(k == "good").alias("good"), F.count_if(k == "bad").alias("bad"), F.count_if(k == "ignored").alias("ignored"), weight(k != "ignored").alias("total_weight"), weight(k == "bad").alias("bad_weight"))
 
 
+def merge_events(left: DataFrame, right: DataFrame) -> DataFrame:
+    """SET5: the events (ordinal, time_ns, kind, weight) of both, place being their
+    order by time and then by kind: a rank within a day and the counts of the
+    days before, so that no task holds all events."""
+    both = left.unionByName(right).withColumn("day", F.expr("time_ns div 86400000000000"))
+    sizes = both.groupBy("day").agg(F.count("*").alias("n"))
+    before = sizes.select("day", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a day
+    within = F.row_number().over(W.partitionBy("day").orderBy("time_ns", "kind", "ordinal")) - 1
+    return both.withColumn("within", within).join(before, "day").select("time_ns", "kind", "weight", (F.col("before") + F.col("within")).cast("long").alias("place"))
+
+
 def partitions(start: int, end: int, width: int, spark: SparkSession) -> DataFrame:
     """WIN10: closed slices from start to end, each width + 1 long."""
     rows = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(width + 1))).alias("slice_start"))

@@ -51,6 +51,17 @@ def kind_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("kind", _change("kind", "left_records", "right_records").alias("change"), (F.coalesce("right_records", F.lit(0)) - F.coalesce("left_records", F.lit(0))).alias("records_delta"))
 
 
+def summary_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """JN2: a row summary_changed if the records or the time range of two
+    manifests differ."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    one = lambda df, side: df.agg(F.count("*").alias(f"{side}_n"), zero(F.min("capture_time_ns")).alias(f"{side}_first"), zero(F.max("capture_time_ns")).alias(f"{side}_last"), zero(F.sum("payload_size")).alias(f"{side}_bytes"))
+    both = one(left, "left").crossJoin(one(right, "right"))  # one row each
+    text = lambda side: F.format_string("records=%d first=%d last=%d", f"{side}_n", f"{side}_first", f"{side}_last")
+    same = (F.col("left_n") == F.col("right_n")) & (F.col("left_first") == F.col("right_first")) & (F.col("left_last") == F.col("right_last"))
+    return both.where(~same).select(F.lit("summary_changed").alias("change"), text("left").alias("before"), text("right").alias("after"), (F.col("right_n") - F.col("left_n")).alias("records_delta"), (F.col("right_bytes") - F.col("left_bytes")).alias("bytes_delta"))
+
+
 def warning_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """SET7: distinct warnings that only one side has."""
     gone = left.select("warning").subtract(right.select("warning")).withColumn("change", F.lit("warning_removed"))

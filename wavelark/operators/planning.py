@@ -222,21 +222,63 @@ def audit_summary(findings: DataFrame) -> DataFrame:
     return per.withColumn("ok", F.col("errors") == 0)
 
 
-def health(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """PLN13: health findings per archive, `archive.ok` where there are none."""
-    per = df.groupBy("archive_path", "device").agg(F.count("*").alias("n")).groupBy("archive_path").agg(F.count("*").alias("devices"), F.max("n").alias("most"))
-    rows = catalog.join(per, "archive_path")
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("records") < 1, "archive.too_small"),
-            F.when(F.col("records") == 0, "archive.empty"),
-            F.when(F.col("first_time_ns") > F.col("last_time_ns"), "archive.time_inverted"),
-            F.when(F.col("devices") > 4096, "archive.too_many_devices"),
-            F.when((F.col("devices") > 1) & (F.col("most") / F.col("records") > 0.95), "archive.device_skew"),
-            F.when(F.col("payload_bytes") / F.col("records") < 1, "archive.low_payload_density"),
-        )
-    )
-    return rows.select("archive_path", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("archive.ok")))).alias("code"))
+#: Health findings in the order of a report (fixed values): code, severity,
+#: message.
+HEALTH = {
+    "archive.too_small": ("error", "archive does not contain the minimum required number of records"),
+    "archive.empty": ("warning", "archive has no readable records"),
+    "archive.time_inverted": ("error", "archive summary has first timestamp after last timestamp"),
+    "archive.too_many_devices": ("warning", "archive contains more devices than the configured limit"),
+    "device.empty": ("warning", "device aggregate contains no records"),
+    "device.time_inverted": ("error", "device aggregate has inverted timestamp range"),
+    "archive.device_skew": ("warning", "one device dominates the archive record distribution"),
+    "archive.low_payload_density": ("warning", "average payload size is below the configured threshold"),
+    "manifest.warning": ("warning", ""),
+    "archive.ok": ("info", "archive health checks passed"),
+}
+
+
+@dataclass(frozen=True)
+class HealthRules:
+    least_records: int = 1
+    most_devices: int = 4096
+    most_of_one_device: float = 0.95
+    least_average_payload: float = 1.0
+    device_times: bool = True
+
+
+def health(catalog: DataFrame, devices: DataFrame, warnings: DataFrame, rules: HealthRules = HealthRules()) -> DataFrame:
+    """PLN13: (archive_path, severity, code, message, device) of manifests: their
+    archives (archive_path, records, first_time_ns, last_time_ns), devices
+    (archive_path, device, records, first_time_ns, last_time_ns, payload_bytes)
+    and warnings (archive_path, warning); archive.ok where nothing is found."""
+    held = devices.groupBy("archive_path").agg(F.count("*").alias("devices"), F.max("records").alias("largest"), F.sum("payload_bytes").alias("bytes"))
+    rows = catalog.select("archive_path", "records", "first_time_ns", "last_time_ns").join(held, "archive_path", "left").na.fill(0, ["devices", "largest", "bytes"])
+    some = F.col("records") > 0
+    tests = {
+        "archive.too_small": F.col("records") < rules.least_records,
+        "archive.empty": F.col("records") == 0,
+        "archive.time_inverted": F.col("first_time_ns") > F.col("last_time_ns"),
+        "archive.too_many_devices": F.col("devices") > rules.most_devices,
+        "archive.device_skew": some & (F.col("devices") > 1) & (F.col("largest") / F.col("records") > rules.most_of_one_device),
+        "archive.low_payload_density": some & (F.col("bytes") / F.col("records") < rules.least_average_payload),
+    }
+    none = F.lit(None).cast("long").alias("device")
+    own = rows.select("archive_path", F.explode(F.array_compact(F.array(*[F.when(test, code) for code, test in tests.items()]))).alias("code"), none)
+    inverted = F.lit(rules.device_times) & (F.col("first_time_ns") > F.col("last_time_ns"))
+    of_devices = devices.select("archive_path", F.explode(F.array_compact(F.array(F.when(F.col("records") == 0, "device.empty"), F.when(inverted, "device.time_inverted")))).alias("code"), "device")
+    noted = warnings.select("archive_path", F.lit("manifest.warning").alias("code"), none, F.col("warning").alias("message"))
+    severity = F.create_map(*[F.lit(x) for code, (s, _) in HEALTH.items() for x in (code, s)])
+    text = F.create_map(*[F.lit(x) for code, (_, m) in HEALTH.items() for x in (code, m)])
+    found = own.unionByName(of_devices).withColumn("message", F.element_at(text, F.col("code"))).unionByName(noted)
+    well = catalog.select("archive_path").join(found.select("archive_path").distinct(), "archive_path", "left_anti")
+    found = found.unionByName(well.select("archive_path", F.lit("archive.ok").alias("code"), none, F.lit(HEALTH["archive.ok"][1]).alias("message")))
+    return found.select("archive_path", F.element_at(severity, F.col("code")).alias("severity"), "code", "message", "device")
+
+
+def health_ok(found: DataFrame) -> DataFrame:
+    """Per archive whether it has no error."""
+    return found.groupBy("archive_path").agg((F.count_if(F.col("severity") == "error") == 0).alias("ok"))
 
 
 def repair_plan(state: DataFrame) -> DataFrame:

@@ -77,6 +77,14 @@ def extension_issues(extensions: DataFrame) -> DataFrame:
     return rows.select("packet", "position", "type", F.explode(found).alias("issue"))
 
 
+def validate_extensions(extensions: DataFrame, most: int = 64) -> DataFrame:
+    """PRO1 on extensions (packet, position, type, size): (packet, severity, code,
+    message): too many of a packet, and every issue of the registry."""
+    many = extensions.groupBy("packet").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    many = many.select("packet", F.lit("error").alias("severity"), F.lit("extension.too_many").alias("code"), F.lit("packet has more extensions than allowed").alias("message"))
+    return many.unionByName(extension_issues(extensions).select("packet", F.lit("warning").alias("severity"), F.lit("extension.invalid").alias("code"), F.col("issue").alias("message")))
+
+
 def negotiate(peers: DataFrame, low: int = 1, high: int = 3, need_encryption: bool = False, prefer_compression: bool = True, least_payload: int = 256) -> DataFrame:
     """PRO3: what a local policy agrees with peers (device, max_payload,
     compression, encryption): the policy's highest version, the features that

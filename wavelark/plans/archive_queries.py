@@ -138,9 +138,24 @@ on_bins(
     round(avg(noise_dbm), 6) AS noise_mean, CAST(first(bin ORDER BY power_dbm DESC, bin) AS INTEGER) AS strongest_bin, CAST(first(bin ORDER BY power_dbm, bin) AS INTEGER) AS weakest_bin FROM bins GROUP BY frame_id""",
 )
 on_packets("agg17_manifest_payload", G.manifest_payload, f"SELECT archive_path, {_BYTES} FROM packets GROUP BY ALL")
-_FLEET = f"SELECT device, min(capture_time_ns) AS first_seen_ns, max(capture_time_ns) AS last_seen_ns, count(*) AS packets, last(kind ORDER BY capture_time_ns, \"offset\") AS last_kind, CASE WHEN max(capture_time_ns) >= {T0 + 28 * DAY} THEN 'active' ELSE 'retired' END AS lifecycle FROM packets GROUP BY device"
-on_packets("rt6_fleet_registry", lambda p: G.fleet(p, T0 + 28 * DAY), _FLEET)
-on_packets("agg26_fleet_summary", lambda p: G.fleet_summary(G.fleet(p, T0 + 28 * DAY)), f"SELECT lifecycle, count(*) AS devices, CAST(sum(packets) AS BIGINT) AS packets FROM ({_FLEET}) GROUP BY lifecycle")
+#: The registry: customers as devices, a segment for each lifecycle.
+_SEGMENTS = dict(zip(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), G.LIFECYCLES, strict=True))
+
+
+def _fleet(spark, sf_dir):
+    state = F.create_map(*[F.lit(x) for pair in _SEGMENTS.items() for x in pair])
+    registered = A.table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").cast("long").alias("device"), F.element_at(state, F.col("c_mktsegment")).alias("lifecycle"))
+    return G.fleet(A.packets(spark, sf_dir), registered)
+
+
+_FLEET = f"""WITH {A.PACKETS_SQL}, registered AS (SELECT c_custkey AS device, CASE c_mktsegment {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEGMENTS.items())} END AS lifecycle FROM customer WHERE c_custkey % 3 > 0), seen AS (
+    SELECT device, min(capture_time_ns) AS first_seen_ns, max(capture_time_ns) AS last_seen_ns, count(*) AS packets, last(kind ORDER BY capture_time_ns, "offset") AS last_kind FROM packets GROUP BY device), fleet AS (
+    SELECT coalesce(s.device, r.device) AS device, first_seen_ns, last_seen_ns, coalesce(packets, 0) AS packets, last_kind, coalesce(lifecycle, 'active') AS lifecycle FROM seen s FULL JOIN registered r ON s.device = r.device)"""
+TABLE["rt6_fleet_registry"] = (_fleet, f"{_FLEET} SELECT * FROM fleet")
+TABLE["agg26_fleet_summary"] = (
+    lambda s, d: G.fleet_summary(_fleet(s, d)),
+    f"{_FLEET} SELECT count(*) AS total_devices, count(*) FILTER (lifecycle = 'active') AS active_devices, count(*) FILTER (lifecycle = 'quarantined') AS quarantined_devices, count(*) FILTER (lifecycle = 'retired') AS retired_devices, CAST(sum(packets) AS BIGINT) AS packets_seen FROM fleet",
+)
 on_packets("srt1_batch_order", lambda p: G.top_batch(p, 100), 'SELECT timestamp_ns, device, sequence, "offset" FROM packets ORDER BY timestamp_ns, device, sequence, "offset" LIMIT 100')
 _EXT = 'capture_time_ns, device, sequence, payload_size, "offset"'
 on_packets(

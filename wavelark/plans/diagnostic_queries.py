@@ -59,13 +59,17 @@ _FOUND = f"hits AS ({_HITS}), found AS (SELECT * FROM hits UNION ALL SELECT devi
 packets("pro1_validation", lambda p: X.validate(X.with_sections(p), _NOW, 3000), "SELECT * FROM found", f"{_PROBED}, {_FOUND}")
 packets("pro1_validation_summary", lambda p: X.validation_summary(X.validate(X.with_sections(p), _NOW, 3000)), "SELECT code, severity, count(*) AS packets FROM found GROUP BY ALL", f"{_PROBED}, {_FOUND}")
 _EXT = lambda p: p.select(F.col("offset").alias("packet"), F.explode(F.sequence(F.lit(0), (F.col("sequence") % 3).cast("int"))).alias("position"), "sequence", "payload_size").select("packet", "position", ((F.col("sequence") + F.col("position")) % 6 + 1 - F.when(F.col("position") == 2, 1).otherwise(0)).cast("int").alias("type"), (F.col("payload_size") % 80).alias("size"))
+_EXTSQL = """ext AS (SELECT "offset" AS packet, CAST(k AS INTEGER) AS position, CAST((sequence + k) % 6 + 1 - CASE WHEN k = 2 THEN 1 ELSE 0 END AS INTEGER) AS type, payload_size % 80 AS size FROM (SELECT *, unnest(range(0, sequence % 3 + 1)) AS k FROM packets)),
+    known(type, name, least, most, repeatable) AS (VALUES (1, 'collector_id', 1, 8, false), (2, 'site_name', 1, 128, false), (3, 'capture_tags', 0, 4096, true), (4, 'firmware_build', 1, 128, false), (5, 'operator_note', 0, 512, true)),
+    issues AS (SELECT packet, position, type, unnest(list_filter([CASE WHEN name IS NULL THEN 'unknown extension type' END, CASE WHEN size < least THEN 'extension value is shorter than allowed' END, CASE WHEN size > most THEN 'extension value is larger than allowed' END,
+    CASE WHEN NOT repeatable AND count(*) OVER (PARTITION BY packet, type) > 1 THEN 'extension type is not repeatable' END], lambda x: x IS NOT NULL)) AS issue FROM ext LEFT JOIN known USING (type))"""
+packets("pro2_extension_issues", lambda p: X.extension_issues(_EXT(p)), "SELECT * FROM issues", _EXTSQL)
 packets(
-    "pro2_extension_issues",
-    lambda p: X.extension_issues(_EXT(p)),
-    """SELECT packet, position, type, issue FROM (SELECT packet, position, type, unnest(list_filter([CASE WHEN name IS NULL THEN 'unknown extension type' END, CASE WHEN size < least THEN 'extension value is shorter than allowed' END, CASE WHEN size > most THEN 'extension value is larger than allowed' END,
-    CASE WHEN NOT repeatable AND count(*) OVER (PARTITION BY packet, type) > 1 THEN 'extension type is not repeatable' END], lambda x: x IS NOT NULL)) AS issue FROM ext LEFT JOIN known USING (type))""",
-    """ext AS (SELECT "offset" AS packet, CAST(k AS INTEGER) AS position, CAST((sequence + k) % 6 + 1 - CASE WHEN k = 2 THEN 1 ELSE 0 END AS INTEGER) AS type, payload_size % 80 AS size FROM (SELECT *, unnest(range(0, sequence % 3 + 1)) AS k FROM packets)),
-    known(type, name, least, most, repeatable) AS (VALUES (1, 'collector_id', 1, 8, false), (2, 'site_name', 1, 128, false), (3, 'capture_tags', 0, 4096, true), (4, 'firmware_build', 1, 128, false), (5, 'operator_note', 0, 512, true))""",
+    "pro1_extension_findings",
+    lambda p: X.validate_extensions(_EXT(p), 2),
+    """SELECT packet, 'error' AS severity, 'extension.too_many' AS code, 'packet has more extensions than allowed' AS message FROM ext GROUP BY packet HAVING count(*) > 2
+    UNION ALL SELECT packet, 'warning', 'extension.invalid', issue FROM issues""",
+    _EXTSQL,
 )
 _PEERS = lambda p: p.groupBy("device").agg(F.count("*").alias("n")).select("device", (F.col("n") * 8).cast("int").alias("max_payload"), (F.col("n") % 3 > 0).alias("compression"), (F.col("n") % 2 == 0).alias("encryption"))
 _PEERSQL = "peers AS (SELECT device, count(*) * 8 AS size, count(*) % 3 > 0 AS c, count(*) % 2 = 0 AS e FROM packets GROUP BY device)"
@@ -225,7 +229,11 @@ _burn = lambda e: D.burn(e, _AT, [HOUR, 6 * HOUR, 3 * DAY, 0], 0.8)  # noqa: E73
 slo("dia10_budget", lambda e: D.budget(D.slo_slice(e, [(F.col("ordinal") % 7).alias("part")]), 0.85), f"SELECT *, {_STATUS} FROM (SELECT *, {_budget(0.85)} FROM (SELECT ordinal % 7 AS part, {_SLICE} FROM slo GROUP BY 1))")
 slo("dia11_multi_window_burn", _burn, "SELECT * FROM burn", _BURN)
 metrics("dia12_slo_from_metrics", lambda m: D.slo_from_values(m, 100.0), "SELECT ordinal, time_ns, CASE WHEN value <= 100 THEN 'good' ELSE 'bad' END AS kind, CAST(1.0 AS DOUBLE) AS weight FROM metrics")
-slo("set5_slo_merge", lambda e: e.where("ordinal % 2 = 0").select("time_ns", "kind").unionByName(e.where("ordinal % 3 = 0").select("time_ns", "kind")), "SELECT time_ns, kind FROM slo WHERE ordinal % 2 = 0 UNION ALL SELECT time_ns, kind FROM slo WHERE ordinal % 3 = 0")
+slo(
+    "set5_slo_merge",
+    lambda e: D.merge_events(e.where("kind = 'bad'"), e.where("kind <> 'bad'")),
+    "SELECT time_ns, kind, weight, row_number() OVER (ORDER BY time_ns, kind, ordinal) - 1 AS place FROM (SELECT ordinal, time_ns, kind, CAST(weight AS DOUBLE) AS weight FROM slo)",
+)
 slo("sup6_events_between", lambda e: e.where(f"time_ns BETWEEN {T0 + DAY} AND {T0 + 2 * DAY}").select("ordinal", "time_ns", "kind"), f"SELECT ordinal, time_ns, kind FROM slo WHERE time_ns BETWEEN {T0 + DAY} AND {T0 + 2 * DAY}")
 
 # incidents

@@ -56,6 +56,13 @@ add(
     f"""SELECT coalesce(l.kind, r.kind) AS kind, CASE WHEN l.kind IS NULL THEN 'kind_added' WHEN r.kind IS NULL THEN 'kind_removed' ELSE 'kind_changed' END AS change, coalesce(r.n, 0) - coalesce(l.n, 0) AS records_delta
     FROM ({_SIDE.format(k='kind', o=0, m=0)}) l FULL JOIN ({_SIDE.format(k='kind', o=1, m=300)}) r ON l.kind = r.kind WHERE l.n IS DISTINCT FROM r.n""",
 )
+add(
+    "jn2_summary_diff",
+    lambda p: J.summary_diff(*_PARTS(p)).unionByName(J.summary_diff(_PARTS(p)[0], _PARTS(p)[0])),
+    """SELECT 'summary_changed' AS change, format('records={} first={} last={}', a.n, a.f, a.l) AS before, format('records={} first={} last={}', b.n, b.f, b.l) AS after, b.n - a.n AS records_delta, b.b - a.b AS bytes_delta
+    FROM (SELECT count(*) AS n, min(capture_time_ns) AS f, max(capture_time_ns) AS l, CAST(sum(payload_size) AS BIGINT) AS b FROM packets WHERE archive_ordinal = 0 AND payload_size > 0) a,
+        (SELECT count(*) AS n, min(capture_time_ns) AS f, max(capture_time_ns) AS l, CAST(sum(payload_size) AS BIGINT) AS b FROM packets WHERE archive_ordinal = 1 AND payload_size > 300) b WHERE (a.n, a.f, a.l) <> (b.n, b.f, b.l)""",
+)
 _WARN = lambda p, o: p.where(f"archive_ordinal = {o} AND payload_size > 3000").select(F.concat(F.lit("large payload from "), F.col("device").cast("string")).alias("warning"))
 _WARN_SQL = "SELECT concat('large payload from ', device) AS warning FROM packets WHERE archive_ordinal = {} AND payload_size > 3000"
 add(
@@ -79,7 +86,10 @@ _OUT = f'row_number() OVER (ORDER BY {_ORD}) - 1 AS sample_rank, archive_path, c
 add("smp1_first", lambda p: M.first(p, 100), f"SELECT {_OUT} FROM (SELECT * FROM packets ORDER BY {_ORD} LIMIT 100)")
 add("smp2_every", lambda p: M.every(p, 17, 200), f"SELECT {_OUT} FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_ORD}) - 1 AS n FROM packets) WHERE n % 17 = 0 ORDER BY n LIMIT 200)")
 add("smp3_per_bucket", lambda p: M.per_bucket(p, 5 * HOUR, 0), f"SELECT {_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY capture_time_ns // {5 * HOUR} ORDER BY {_ORD}) AS n FROM packets) WHERE n = 1")
-add("smp4_hashed", lambda p: M.hashed(p, 16, 3), None)
+# one multiplication a word, then one a byte of the path, modulo 2^64
+_HASHED = """list_reduce(list_concat([1469598103934665603::UBIGINT, archive_ordinal::UBIGINT, "offset"::UBIGINT, capture_time_ns::UBIGINT, payload_size::UBIGINT, device::UBIGINT, sequence::UBIGINT],
+        list_transform(string_split(archive_path, ''), lambda c: ascii(c)::UBIGINT)), lambda h, x: CAST(CAST(xor(h, x) AS UHUGEINT) * 1099511628211 % 18446744073709551616 AS UBIGINT))"""
+add("smp4_hashed", lambda p: M.hashed(p, 16, 3), f"SELECT {_OUT} FROM (SELECT *, {_HASHED} AS hash FROM packets) WHERE hash % 16 = 3")
 add(
     "smp5_extremes",
     lambda p: M.extremes(p, 61),
@@ -152,14 +162,34 @@ add(
     f"{_MOVED}, {_AUDIT}",
 )
 add("flt14_findings_by_severity", lambda p: P.audit(_moved(p), 1, 3000, 10).where("severity = 'warning'"), "SELECT * FROM findings WHERE severity = 'warning'", f"{_MOVED}, {_AUDIT}")
-add(
-    "pln13_health",
-    lambda p: P.health(_moved(p), G.catalog(_moved(p))),
-    """SELECT archive_path, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['archive.ok'] END) AS code FROM (SELECT archive_path, list_filter([CASE WHEN count(DISTINCT device) > 1 AND max(n) / count(*) > 0.95 THEN 'archive.device_skew' END,
-    CASE WHEN sum(payload_size) / count(*) < 1 THEN 'archive.low_payload_density' END], lambda x: x IS NOT NULL) AS f
-    FROM (SELECT *, count(*) OVER (PARTITION BY archive_path, device) AS n, lag(capture_time_ns) OVER (PARTITION BY archive_path ORDER BY "offset") AS b FROM moved) GROUP BY archive_path)""",
-    _MOVED,
-)
+# a manifest per day; some states that no reader makes: archives without
+# records, devices with inverted times
+_kept_days = lambda p: daily(p).withColumn("capture_time_ns", F.col("timestamp_ns"))
+
+
+def _health(p):
+    d = _kept_days(p)
+    catalog = G.catalog(d).withColumn("records", F.when(F.col("archive_path") == "d03.ath", 0).otherwise(F.col("records")))
+    devices = G.manifest_devices(d).withColumn("last_time_ns", F.when(F.col("device") % 31 == 0, 0).otherwise(F.col("last_time_ns"))).withColumn("records", F.when((F.col("device") == 3) & (F.col("archive_path") < "d05"), 0).otherwise(F.col("records")))
+    warnings = G.manifest_order_warnings(d).where("offset % 5 = 0").select("archive_path", F.lit("archive records are not ordered by capture time").alias("warning"))
+    rules = P.HealthRules(least_records=100, most_devices=120, most_of_one_device=0.03, least_average_payload=500)
+    return P.health(catalog, devices, warnings, rules)
+
+
+_HEALTHSQL = f"""{_DAILY}, moved AS (SELECT * REPLACE (timestamp_ns AS capture_time_ns) FROM daily), cat AS (SELECT archive_path, CASE archive_path WHEN 'd03.ath' THEN 0 ELSE count(*) END AS records FROM moved GROUP BY archive_path),
+    dev AS (SELECT archive_path, device, CASE WHEN device = 3 AND archive_path < 'd05' THEN 0 ELSE count(*) END AS records, device % 31 = 0 AS inverted, sum(payload_size) AS bytes FROM moved GROUP BY archive_path, device),
+    held AS (SELECT archive_path, count(*) AS devices, max(records) AS largest, sum(bytes) AS bytes FROM dev GROUP BY archive_path), hits(archive_path, severity, code, message, device) AS (
+    SELECT archive_path, 'error', 'archive.too_small', 'archive does not contain the minimum required number of records', NULL::BIGINT FROM cat WHERE records < 100
+    UNION ALL SELECT archive_path, 'warning', 'archive.empty', 'archive has no readable records', NULL FROM cat WHERE records = 0
+    UNION ALL SELECT archive_path, 'warning', 'archive.too_many_devices', 'archive contains more devices than the configured limit', NULL FROM held WHERE devices > 120
+    UNION ALL SELECT archive_path, 'warning', 'device.empty', 'device aggregate contains no records', device FROM dev WHERE records = 0
+    UNION ALL SELECT archive_path, 'error', 'device.time_inverted', 'device aggregate has inverted timestamp range', device FROM dev WHERE inverted
+    UNION ALL SELECT archive_path, 'warning', 'archive.device_skew', 'one device dominates the archive record distribution', NULL FROM cat JOIN held USING (archive_path) WHERE records > 0 AND devices > 1 AND largest / records > 0.03
+    UNION ALL SELECT archive_path, 'warning', 'archive.low_payload_density', 'average payload size is below the configured threshold', NULL FROM cat JOIN held USING (archive_path) WHERE records > 0 AND bytes / records < 500
+    UNION ALL SELECT archive_path, 'warning', 'manifest.warning', 'archive records are not ordered by capture time', NULL FROM (SELECT *, lag(capture_time_ns) OVER (PARTITION BY archive_path ORDER BY "offset") AS b FROM moved) WHERE capture_time_ns < b AND "offset" % 5 = 0),
+    healths AS (SELECT * FROM hits UNION ALL SELECT archive_path, 'info', 'archive.ok', 'archive health checks passed', NULL FROM cat WHERE archive_path NOT IN (SELECT archive_path FROM hits))"""
+add("pln13_health", _health, "SELECT * FROM healths", _HEALTHSQL)
+add("pln13_health_ok", lambda p: P.health_ok(_health(p)), "SELECT archive_path, count(*) FILTER (severity = 'error') = 0 AS ok FROM healths GROUP BY archive_path", _HEALTHSQL)
 _STATE = lambda p: G.catalog(daily(p)).select("archive_path", (F.col("records") % 3 == 0).alias("ok"), F.col("records").alias("readable"), (F.col("records") + F.col("records") % 2).alias("salvaged"), (F.col("records") % 5 != 0).alias("header_ok"), (F.col("records") % 7 != 0).alias("ordered"))
 add(
     "pln11_repair_plan",

@@ -98,9 +98,9 @@ bins(
 )
 bins(
     "rf18_trends",
-    lambda b: R.trends(b.where("bin = 7").select(F.col("receiver").alias("track"), "time_ns", F.col("power_dbm").alias("value"))),
+    lambda b: R.trends(b.select((F.col("receiver") * 64 + F.col("bin")).alias("track"), "time_ns", F.col("power_dbm").alias("value"))),
     """SELECT track, n, round(slope, 6) AS slope, CASE WHEN a = 0 AND z <> 0 THEN 'new_signal' WHEN a <> 0 AND z = 0 THEN 'disappeared' WHEN slope > 1 OR z - a > 3 THEN 'rising' WHEN slope < -1 OR z - a < -3 THEN 'falling' ELSE 'stable' END AS trend
-    FROM (SELECT receiver AS track, count(*) AS n, coalesce(regr_slope(power_dbm, time_ns / 3.6e12), 0) AS slope, first(power_dbm ORDER BY time_ns) AS a, last(power_dbm ORDER BY time_ns) AS z FROM bins WHERE bin = 7 GROUP BY receiver)""",
+    FROM (SELECT receiver * 64 + bin AS track, count(*) AS n, coalesce(regr_slope(power_dbm, time_ns / 3.6e12), 0) AS slope, first(power_dbm ORDER BY time_ns) AS a, last(power_dbm ORDER BY time_ns) AS z FROM bins GROUP BY receiver, bin)""",
 )
 _TRACKS = lambda b: H.tracks(H.observations(b))
 _rounded = lambda rows: rows.withColumns({c: F.round(c, 6) for c in ("persistence", "mean_dbm", "slope_db_per_hour")})
@@ -136,7 +136,7 @@ TABLE["set4_covered_width"] = (
     f"WITH {_ALLOC}, {_SEG} SELECT priority, CAST(sum(greatest(to_hz - greatest(coalesce(r, from_hz), from_hz), 0)) AS BIGINT) AS covered_hz FROM (SELECT *, max(to_hz) OVER (PARTITION BY priority ORDER BY from_hz, to_hz ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM seg) GROUP BY priority",
 )
 bins("set3_range_merge", lambda b: b.groupBy("receiver").agg(F.min("frequency_hz").alias("lower_hz"), F.max("frequency_hz").alias("upper_hz")), "SELECT receiver, min(frequency_hz) AS lower_hz, max(frequency_hz) AS upper_hz FROM bins GROUP BY receiver")
-bins("rf19_format", lambda b: b.where("bin = 0").select("frame_id", R.format_hz(F.col("frequency_hz")).alias("text")), "SELECT frame_id, format('{:.3f} MHz', frequency_hz / 1e6) AS text FROM bins WHERE bin = 0")
+bins("rf19_format", lambda b: b.select("frame_id", F.col("bin").cast("long").alias("bin"), R.format_hz(F.col("frequency_hz")).alias("text")), "SELECT frame_id, bin, format('{:.3f} MHz', frequency_hz / 1e6) AS text FROM bins")
 _SIGNALS = [("beacon", 433_600_000, 434_000_000, -80.0, 12.0), ("link", 434_100_000, 435_900_000, -95.0, 25.0)]
 _SIGSQL = f"sig(signal, lo, hi, nominal, tol) AS (VALUES {', '.join(str(x) for x in _SIGNALS)})"
 _FOUND = """found AS (SELECT e.frame_id, e.bin, frequency_hz, power_dbm, snr_db, lower_hz, upper_hz + 1 AS upper_hz, place,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.udfs import udf
 from ..sources import adapters as A
-from ..sources import archives, ath, scratch, upkeep
+from ..sources import archives, ath, replay, scratch, upkeep
 from .archive_queries import DAY, T0, Run
 
 TABLE: dict[str, tuple[Run, str | None]] = {}
@@ -335,6 +335,24 @@ TABLE["pln11_file_repair"] = (
 )
 
 
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of archives, replayed as a stream of eight batches into tables
+    named by their batch, so that one that is given again replaces itself."""
+    out = scratch.folder(spark, "replayed")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.select("capture_time_ns", "archive_path", "offset", "device", "sequence", "payload_size").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    replay.emit(spark, _stored(spark, sf_dir), put, scratch.folder(spark, "replay-checkpoint"), startNs=T0 + DAY, endNs=T0 + 9 * DAY, stepNs=DAY)
+    return spark.read.parquet(out).drop("batch")
+
+
+TABLE["snk8_replay_stream"] = (
+    _replayed,
+    f"""{_SENT} SELECT capture_time_ns, path AS archive_path, starts AS "offset", device, sequence, size AS payload_size FROM placed WHERE capture_time_ns BETWEEN {T0 + DAY} AND {T0 + 9 * DAY}""",
+)
+
+
 def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.cursor(A.packets(spark, sf_dir))
 
