@@ -121,21 +121,37 @@ def smooth(bins: DataFrame, window: int = 5) -> DataFrame:
     return bins.withColumn("smooth_dbm", _dbm(F.avg(_mw(F.col("power_dbm"))).over(_around((window | 1) // 2))))
 
 
-def floor_by_bin(bins: DataFrame, window: int = 31, percentile: float = 20.0, smoothing: int = 5) -> DataFrame:
-    """RF2/WIN11: the rolling percentile floor, smoothed in milliwatts and
-    held to 3 dB over the reported noise where a frame reports any."""
-    rolled = bins.withColumn("rolled", F.percentile("power_dbm", percentile / 100).over(_around(max(1, window // 2))))
-    level = _dbm(F.avg(_mw(F.col("rolled"))).over(_around((smoothing | 1) // 2)))
+ESTIMATORS = ("median", "trimmed_mean", "percentile", "rolling_percentile")
+
+
+def floor_by_bin(bins: DataFrame, window: int = 31, percentile: float = 20.0, smoothing: int = 5, estimator: str = "rolling_percentile", trim: float = 0.15) -> DataFrame:
+    """RF2/WIN11: the rolling percentile floor, smoothed in milliwatts, or one of
+    the constant ones of a frame: its median, the mean without a share `trim` of
+    either end, its percentile; held to 3 dB over the reported noise where a
+    frame reports any."""
     frame = W.partitionBy("frame_id")
+    if estimator == "rolling_percentile":
+        rows = bins.withColumn("rolled", F.percentile("power_dbm", percentile / 100).over(_around(max(1, window // 2))))
+        rows = rows.withColumn("level", _dbm(F.avg(_mw(F.col("rolled"))).over(_around((smoothing | 1) // 2)))).drop("rolled")
+    elif estimator == "trimmed_mean":
+        rows = bins.withColumn("place", F.row_number().over(frame.orderBy("power_dbm"))).withColumn("size", F.count("*").over(frame))
+        cut = F.floor(F.col("size") * min(max(trim, 0.0), 0.45))
+        rows = rows.withColumn("level", F.avg(F.when((F.col("place") > cut) & (F.col("place") <= F.col("size") - cut), F.col("power_dbm"))).over(frame)).drop("place", "size")
+    elif estimator in ESTIMATORS:
+        share = 0.5 if estimator == "median" else percentile / 100
+        rows = bins.withColumn("level", F.percentile("power_dbm", share).over(frame))
+    else:
+        raise ValueError(f"no estimator {estimator}")
     reported = F.max((F.abs("noise_dbm") > 1e-6).cast("int")).over(frame) == 1
-    rows = rolled.withColumn("level", level).withColumn("reported", reported)
+    rows = rows.withColumn("reported", reported)
     held = F.when(F.col("reported"), F.least("level", F.col("noise_dbm") + 3)).otherwise(F.col("level"))
-    return rows.withColumn("floor_dbm", held).drop("rolled")
+    return rows.withColumn("floor_dbm", held)
 
 
-def noise_floor(bins: DataFrame) -> DataFrame:
-    """RF2: the floor, its deviation and slope per frame."""
-    rows = floor_by_bin(bins)
+def noise_floor(bins: DataFrame, **how: object) -> DataFrame:
+    """RF2: the floor, its deviation and slope per frame; how says which, as for
+    floor_by_bin."""
+    rows = floor_by_bin(bins, **how)
     per = rows.groupBy("frame_id").agg(
         F.avg("level").alias("level"),
         F.avg("noise_dbm").alias("noise"),

@@ -24,6 +24,31 @@ def spectrum_anomalies(bins: DataFrame) -> DataFrame:
     return per.select("frame_id", F.explode(found).alias("code"))
 
 
+def observation_findings(readings: DataFrame, degraded_share: float = 0.25, z: float = 6.0) -> DataFrame:
+    """TEL1: (device, channel, code, score) of a device's readings: too large a
+    share of degraded ones (no channel), and channels with a value further from
+    their mean than z deviations."""
+    v = F.col("value").cast("double")
+    per = readings.groupBy("device", "channel").agg(F.count("*").alias("n"), F.count_if(F.col("quality") != "good").alias("bad"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("dev"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    share = per.groupBy("device").agg((F.sum("bad") / F.sum("n")).alias("score")).where(F.col("score") > degraded_share)
+    share = share.select("device", F.lit(None).cast("long").alias("channel"), F.lit("observation.degraded_ratio").alias("code"), F.round("score", 6).alias("score"))
+    far = F.greatest(F.abs((F.col("lo") - F.col("mean")) / F.col("dev")), F.abs((F.col("hi") - F.col("mean")) / F.col("dev")))
+    outliers = per.where("dev <> 0").withColumn("score", far).where(F.col("score") > z)
+    return share.unionByName(outliers.select("device", F.col("channel").cast("long").alias("channel"), F.lit("observation.channel_outlier").alias("code"), F.round("score", 6).alias("score")))
+
+
+def spectrum_findings(bins: DataFrame, least_snr: float = 3.0) -> DataFrame:
+    """TEL2: (frame_id, code, score): frames without power or noise values, and
+    otherwise those whose mean power barely exceeds the noise or that report
+    power of 0 dBm and more."""
+    per = bins.groupBy("frame_id").agg(F.count("power_dbm").alias("powers"), F.count("noise_dbm").alias("noises"), F.avg("power_dbm").alias("power"), F.avg("noise_dbm").alias("noise"), F.max("power_dbm").alias("top"))
+    empty = (F.col("powers") == 0) | (F.col("noises") == 0)
+    snr = F.col("power") - F.col("noise")
+    made = lambda test, code, score: F.when(test, F.struct(F.lit(code).alias("code"), F.round(score, 6).alias("score")))
+    found = F.array_compact(F.array(made(empty, "spectrum.empty", F.lit(1.0)), made(~empty & (snr < least_snr), "spectrum.low_snr", least_snr - snr), made(~empty & (F.col("top") >= 0), "spectrum.saturated", F.col("top"))))
+    return per.select("frame_id", F.explode(found).alias("f")).select("frame_id", "f.*")
+
+
 def calibrate(readings: DataFrame, table: DataFrame) -> DataFrame:
     """JN7/TEL3: gain and offset of the first entry of table (entry, channel,
     valid_from, valid_until: 0 open, gain, shift) that is valid at the

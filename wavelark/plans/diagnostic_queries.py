@@ -109,6 +109,21 @@ readings(
     """SELECT *, degraded > 0.25 OR score > 3.0 AS anomalous FROM (SELECT device, round(sum(bad) / sum(n), 6) AS degraded, round(max(CASE WHEN dev > 0 THEN greatest(abs(lo - mean), abs(hi - mean)) / dev ELSE 0.0 END), 6) AS score FROM (SELECT device, channel, count(*) AS n, count(*) FILTER (quality <> 'good') AS bad,
     avg(value) AS mean, coalesce(stddev_samp(value), 0) AS dev, min(value) AS lo, max(value) AS hi FROM readings GROUP BY ALL) GROUP BY device)""",
 )
+readings(
+    "tel1_observation_findings",
+    lambda r: T.observation_findings(r, 0.2, 2.5),
+    """SELECT device, NULL::BIGINT AS channel, 'observation.degraded_ratio' AS code, round(count(*) FILTER (quality <> 'good') / count(*), 6) AS score FROM readings GROUP BY device HAVING count(*) FILTER (quality <> 'good') / count(*) > 0.2
+    UNION ALL SELECT device, channel, 'observation.channel_outlier', round(z, 6) FROM (SELECT device, channel, greatest(abs(min(value) - avg(value)), abs(max(value) - avg(value))) / stddev_samp(value) AS z FROM readings GROUP BY device, channel HAVING stddev_samp(value) > 0) WHERE z > 2.5""",
+)
+_add(
+    "tel2_spectrum_findings",
+    A.bins,
+    A.BINS_SQL,
+    lambda b: T.spectrum_findings(b.withColumn("noise_dbm", F.when(F.col("frame_id") % 50 > 0, -93.0)).withColumn("power_dbm", F.col("power_dbm") + F.when(F.col("frame_id") % 7 == 0, 90).otherwise(0))),
+    """SELECT frame_id, f.code, round(f.score, 6) AS score FROM (SELECT frame_id, unnest(list_filter([CASE WHEN frame_id % 50 = 0 THEN {'code': 'spectrum.empty', 'score': 1.0} END, CASE WHEN frame_id % 50 > 0 AND snr < 3 THEN {'code': 'spectrum.low_snr', 'score': 3 - snr} END,
+        CASE WHEN frame_id % 50 > 0 AND top >= 0 THEN {'code': 'spectrum.saturated', 'score': top} END], lambda x: x IS NOT NULL)) AS f
+    FROM (SELECT frame_id, avg(power_dbm + CASE WHEN frame_id % 7 = 0 THEN 90 ELSE 0 END) + 93.0 AS snr, max(power_dbm + CASE WHEN frame_id % 7 = 0 THEN 90 ELSE 0 END) AS top FROM bins GROUP BY frame_id))""",
+)
 _add("tel2_spectrum_anomalies", A.bins, A.BINS_SQL, lambda b: T.spectrum_anomalies(b.withColumn("noise_dbm", F.lit(-93.0))), "SELECT frame_id, unnest(list_filter([CASE WHEN avg(power_dbm) + 93.0 < 3 THEN 'spectrum.low_snr' END, CASE WHEN max(power_dbm) >= 0 THEN 'spectrum.saturated' END], lambda x: x IS NOT NULL)) AS code FROM bins GROUP BY frame_id")
 _CAL = [(0, 3, T0 + 5 * DAY, T0 + 10 * DAY, 1.1, -20.0), (1, 3, T0, 0, 0.9, 5.5), (2, 5, T0 + 2 * DAY, 0, 1.003, 0.25), (3, 8, T0, T0 + 9 * DAY, -1.0, 0.5)]
 TABLE["tel3_calibration"] = (

@@ -9,6 +9,7 @@ from ..operators import interference as I
 from ..operators import intervals
 from ..operators import rf as R
 from ..operators import sweeps
+from ..operators import telemetry as T
 from ..sources import adapters as A
 from ..sources import scratch
 
@@ -37,6 +38,22 @@ bins(
     last(floor_dbm ORDER BY bin) AS z, first(floor_dbm ORDER BY bin) AS a, (max(frequency_hz) - min(frequency_hz)) / 1e6 AS span FROM (SELECT *, least(avg(level) OVER (PARTITION BY frame_id), avg(noise_dbm) OVER (PARTITION BY frame_id) + 3) AS f FROM floors) GROUP BY frame_id)""",
     _FLOOR,
 )
+_ESTIMATORS = {"median": "quantile_cont(power_dbm, 0.5)", "percentile": "quantile_cont(power_dbm, 0.2)", "trimmed_mean": "list_avg(list_sort(list(power_dbm))[CAST(floor(count(*) * 0.15) AS BIGINT) + 1 : count(*) - CAST(floor(count(*) * 0.15) AS BIGINT)])"}
+
+
+def _estimated(b):
+    out = None
+    for name in _ESTIMATORS:
+        rows = R.noise_floor(b, estimator=name).select(F.lit(name).alias("estimator"), "frame_id", "floor_dbm", "median_dbm", "slope_db_per_mhz")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+bins(
+    "rf2_estimators",
+    _estimated,
+    " UNION ALL ".join(f"SELECT '{k}' AS estimator, frame_id, round(least({v}, avg(noise_dbm) + 3), 6) AS floor_dbm, round(quantile_cont(power_dbm, 0.5), 6) AS median_dbm, CAST(0 AS DOUBLE) AS slope_db_per_mhz FROM bins GROUP BY frame_id" for k, v in _ESTIMATORS.items()),
+)
 bins("win11_rolling_floor", lambda b: R.floor_by_bin(b).select("frame_id", F.col("bin").cast("long").alias("bin"), F.round("floor_dbm", 6).alias("floor_dbm")), "SELECT frame_id, bin, round(floor_dbm, 6) AS floor_dbm FROM floors", _FLOOR)
 _PEAKS = """peaks AS (SELECT frame_id, receiver, time_ns, bin, frequency_hz, round(power_dbm, 6) AS power_dbm, snr_db, row_number() OVER (PARTITION BY frame_id ORDER BY snr_db DESC, power_dbm DESC, bin) AS place FROM (SELECT *, round(power_dbm - floor_dbm, 6) AS snr_db FROM (SELECT *, coalesce(lag(power_dbm) OVER w, -1e9) AS l, coalesce(lead(power_dbm) OVER w, -1e9) AS r2 FROM floors
     WINDOW w AS (PARTITION BY frame_id ORDER BY bin)) WHERE power_dbm >= l AND power_dbm >= r2 AND (power_dbm > l OR power_dbm > r2) AND power_dbm - floor_dbm >= 6))"""
@@ -287,4 +304,9 @@ for _name, _least in (("set2_range_union", 1), ("set3_range_intersection", 2)):
 _POINTS = [(433_700_000, 2.0, -1.0), (434_000_000, 4.0, -2.0), (434_900_000, 1.0, 0.5)]
 _INTER = "CASE WHEN frequency_hz <= 433700000 THEN {a} WHEN frequency_hz < 434000000 THEN {a} + (frequency_hz - 433700000) / 300000 * ({b} - {a}) WHEN frequency_hz < 434900000 THEN {b} + (frequency_hz - 434000000) / 900000 * ({c} - {b}) ELSE {c} END"
 bins("rf11_apply_calibration", lambda b: R.apply_calibration(b, _POINTS), f"SELECT frame_id, bin, round(power_dbm + {_INTER.format(a=2.0, b=4.0, c=1.0)}, 6) AS power_dbm, round(noise_dbm + {_INTER.format(a=-1.0, b=-2.0, c=0.5)}, 6) AS noise_dbm FROM bins")
-bins("rf7_analysis", lambda b: R.occupancy(b).join(R.noise_floor(b), "frame_id").join(R.peaks(b).groupBy("frame_id").agg(F.count("*").alias("peaks")), "frame_id", "left"), None)
+TABLE["rf7_analysis"] = (
+    lambda s, d: (lambda b: R.occupancy(b).join(R.noise_floor(b).select("frame_id", "floor_dbm", "median_dbm"), "frame_id").join(R.peaks(b).groupBy("frame_id").agg(F.count("*").alias("peaks")), "frame_id", "left").join(T.spectrum_findings(b).groupBy("frame_id").agg(F.count("*").alias("anomalies")), "frame_id", "left").na.fill(0))(A.bins(s, d)),
+    f"""WITH {A.BINS_SQL}, {_FLOOR}, {_PEAKS}, occ AS ({_OCC}), {_NOISE} SELECT occ.*, floor_dbm, median_dbm, coalesce(p.n, 0) AS peaks,
+        (SELECT CASE WHEN avg(power_dbm) - avg(noise_dbm) < 3 THEN 1 ELSE 0 END + CASE WHEN max(power_dbm) >= 0 THEN 1 ELSE 0 END FROM bins b WHERE b.frame_id = occ.frame_id) AS anomalies
+    FROM occ JOIN noise USING (frame_id) LEFT JOIN (SELECT frame_id, count(*) AS n FROM peaks WHERE place <= 64 GROUP BY frame_id) p ON p.frame_id = occ.frame_id""",
+)
