@@ -349,7 +349,7 @@ _ACKSQL = f"""acks AS (SELECT sequence % 50 AS command_id, device % 3 AS device,
         WHEN device <> expected THEN 'unexpected' WHEN time_ns > deadline_ns THEN 'stale' WHEN status IN ('accepted', 'busy') THEN 'matched' ELSE 'rejected' END AS outcome FROM acks LEFT JOIN cmds USING (command_id))"""
 packets("ctl6_ack_outcomes", lambda p: C.acknowledgements(_ACKS(p), _CMDS(p)), "SELECT * FROM outcomes", _ACKSQL)
 packets("agg25_ack_devices", lambda p: C.ack_devices(C.acknowledgements(_ACKS(p), _CMDS(p))), "SELECT device, count(*) AS acks, count(*) FILTER (outcome = 'matched') AS matched, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'unexpected') AS unexpected, count(*) FILTER (outcome = 'stale') AS stale FROM outcomes GROUP BY device", _ACKSQL)
-_NOW = T0 + 25 * DAY
+_ACKED_BY = T0 + 25 * DAY
 _command = lambda p: (F.col("sequence") % 40 + F.col("device") % 5 * 40).alias("command_id")
 _WANTED = lambda p: p.where("kind = 'spectrum'").groupBy(_command(p), F.col("capture_time_ns").alias("created_ns")).agg(F.min(F.col("device") % 3).alias("device"), F.min(F.when(F.col("sequence") % 7 == 0, 0).otherwise(F.col("capture_time_ns") + DAY)).alias("deadline_ns"), F.min((F.col("sequence") % 3).cast("int")).alias("required_accepts"))
 _GIVEN = lambda p: p.where("kind IN ('heartbeat', 'observation')").select(_command(p), (F.col("device") % 3).alias("device"), F.col("capture_time_ns").alias("time_ns"), F.when(F.col("payload_size") % 5 == 0, "busy").when(F.col("payload_size") % 5 < 4, "accepted").otherwise("malformed").alias("status"), F.col("offset").alias("ordinal"))
@@ -357,18 +357,18 @@ _STOPPED = lambda p: p.where("kind = 'capabilities'").select(_command(p), F.col(
 
 
 def _observed(p):
-    return E.observations(_WANTED(p), _GIVEN(p), _STOPPED(p), _NOW)
+    return E.observations(_WANTED(p), _GIVEN(p), _STOPPED(p), _ACKED_BY)
 
 
 def _snapshots(p):
-    return E.snapshots(_WANTED(p), _observed(p), _NOW)
+    return E.snapshots(_WANTED(p), _observed(p), _ACKED_BY)
 
 
 _FITS = "ack AND e.created IS NOT NULL AND device = e.device AND (e.deadline = 0 OR time <= e.deadline)"
 _WAITSQL = f"""named AS (SELECT *, sequence % 40 + device % 5 * 40 AS command_id FROM packets),
     wanted AS (SELECT command_id, capture_time_ns AS created_ns, min(device % 3) AS device, min(CASE WHEN sequence % 7 = 0 THEN 0 ELSE capture_time_ns + {DAY} END) AS deadline_ns, min(sequence % 3) AS required FROM named WHERE kind = 'spectrum' GROUP BY ALL),
     given AS (SELECT command_id, device % 3 AS device, capture_time_ns AS time, CASE WHEN payload_size % 5 = 0 THEN 'busy' WHEN payload_size % 5 < 4 THEN 'accepted' ELSE 'malformed' END AS status, "offset" AS ordinal, kind <> 'capabilities' AS ack
-        FROM named WHERE kind IN ('heartbeat', 'observation', 'capabilities') AND capture_time_ns <= {_NOW} AND command_id IS NOT NULL),
+        FROM named WHERE kind IN ('heartbeat', 'observation', 'capabilities') AND capture_time_ns <= {_ACKED_BY} AND command_id IS NOT NULL),
     met AS (SELECT g.*, (SELECT {{'created': w.created_ns, 'device': w.device, 'deadline': w.deadline_ns, 'required': greatest(w.required, 1)}} FROM wanted w
         WHERE w.command_id = g.command_id AND w.command_id <> 0 AND w.created_ns <= g.time ORDER BY w.created_ns DESC LIMIT 1) AS e FROM given g),
     flagged AS (SELECT *, coalesce({_FITS} AND status <> 'malformed', false) AS accepts, coalesce(({_FITS} AND status = 'malformed') OR NOT ack, false) AS ends FROM met),
@@ -378,10 +378,10 @@ _WAITSQL = f"""named AS (SELECT *, sequence % 40 + device % 5 * 40 AS command_id
         CASE WHEN NOT ack THEN 'cancelled' WHEN e IS NULL OR e.created IS NULL THEN 'unexpected' WHEN terminal THEN 'duplicate' WHEN device <> e.device THEN 'unexpected' WHEN e.deadline <> 0 AND time > e.deadline THEN 'stale' WHEN status = 'malformed' THEN 'rejected' ELSE 'matched' END AS kind
         FROM judged WHERE ack OR (e.created IS NOT NULL AND NOT terminal)),
     snap AS (SELECT w.command_id, w.device, w.created_ns, w.deadline_ns, CASE WHEN count(*) FILTER (o.kind = 'cancelled') > 0 THEN 'cancelled' WHEN count(*) FILTER (o.kind = 'matched') >= greatest(any_value(w.required), 1) OR count(*) FILTER (o.kind = 'rejected') > 0 THEN 'satisfied'
-        WHEN w.deadline_ns <> 0 AND w.deadline_ns <= {_NOW} THEN 'timed_out' ELSE 'waiting' END AS state, count(*) FILTER (o.kind = 'matched') AS accepts, count(*) FILTER (o.kind = 'rejected') AS rejects,
+        WHEN w.deadline_ns <> 0 AND w.deadline_ns <= {_ACKED_BY} THEN 'timed_out' ELSE 'waiting' END AS state, count(*) FILTER (o.kind = 'matched') AS accepts, count(*) FILTER (o.kind = 'rejected') AS rejects,
         coalesce(max(o.at_ns) FILTER (o."rank" = 1), 0) AS last_ack, count(o.at_ns) AS n
-        FROM wanted w LEFT JOIN observed o ON o.command_id = w.command_id AND o.created_ns = w.created_ns WHERE w.created_ns <= {_NOW} AND w.command_id <> 0 GROUP BY w.command_id, w.device, w.created_ns, w.deadline_ns),
-    shots AS (SELECT command_id, device, created_ns, deadline_ns, state, accepts, rejects, CASE state WHEN 'timed_out' THEN {_NOW} ELSE last_ack END AS last_ns, n + CASE state WHEN 'timed_out' THEN 1 ELSE 0 END AS observations FROM snap)"""
+        FROM wanted w LEFT JOIN observed o ON o.command_id = w.command_id AND o.created_ns = w.created_ns WHERE w.created_ns <= {_ACKED_BY} AND w.command_id <> 0 GROUP BY w.command_id, w.device, w.created_ns, w.deadline_ns),
+    shots AS (SELECT command_id, device, created_ns, deadline_ns, state, accepts, rejects, CASE state WHEN 'timed_out' THEN {_ACKED_BY} ELSE last_ack END AS last_ns, n + CASE state WHEN 'timed_out' THEN 1 ELSE 0 END AS observations FROM snap)"""
 packets("jn11_ack_observations", _observed, "SELECT * FROM observed", _WAITSQL)
 packets("ctl6_expectations", _snapshots, "SELECT * FROM shots", _WAITSQL)
 packets("ctl6_ack_devices", lambda p: E.device_summary(_snapshots(p)), "SELECT device, count(*) FILTER (state = 'waiting') AS waiting, count(*) FILTER (state = 'satisfied') AS satisfied, count(*) FILTER (state = 'timed_out') AS timed_out, count(*) FILTER (state = 'cancelled') AS cancelled, CAST(sum(observations) AS BIGINT) AS observations FROM shots GROUP BY device", _WAITSQL)
