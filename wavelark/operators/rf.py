@@ -246,7 +246,7 @@ def calibration_best(points: DataFrame, profiles: DataFrame) -> DataFrame:
     """JN6: the profile (id, receiver, lower_hz, upper_hz, valid_from,
     valid_until, points, source_bonus, uncertainty) with the best score for
     (receiver, frequency_hz, time_ns); ties to the lower range, then id."""
-    met = points.join(F.broadcast(profiles.withColumnRenamed("receiver", "p_receiver")), (F.col("receiver") == F.col("p_receiver")) & (F.col("frequency_hz") >= F.col("lower_hz")) & (F.col("frequency_hz") < F.col("upper_hz")))
+    met = points.join(profiles.withColumnRenamed("receiver", "p_receiver"), (F.col("receiver") == F.col("p_receiver")) & (F.col("frequency_hz") >= F.col("lower_hz")) & (F.col("frequency_hz") < F.col("upper_hz")))
     valid = (F.col("time_ns") >= F.col("valid_from")) & ((F.col("valid_until") == 0) | (F.col("time_ns") < F.col("valid_until")))
     score = F.lit(100.0) - F.when(valid, 0).otherwise(35) - F.when(F.col("points") < 2, 15).otherwise(0) + F.col("source_bonus") - F.least(F.col("uncertainty") * 4, F.lit(25.0))
     best = met.withColumn("score", score).groupBy(*points.columns).agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), F.col("lower_hz"), F.col("id"))).alias("b"))
