@@ -41,7 +41,13 @@ def _spread(df: DataFrame, low: str, high: str, levels: list[int], own: tuple[in
     return rows.withColumn("bucket", F.explode(F.sequence(first, last))).drop("level of it")
 
 
-def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], on: list[str] | None = None) -> DataFrame:
+def levels_of(*sides: tuple[DataFrame, str, str]) -> list[int]:
+    """The levels of ranges (table, lower, upper): an aggregation of each table."""
+    held = [df.where(F.col(lo) < F.col(hi)).select(_level(F.col(lo), F.col(hi)).alias("level")) for df, lo, hi in sides]
+    return sorted(r.level for r in reduce(DataFrame.union, held).distinct().collect()) or [0]
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], on: list[str] | None = None, levels: list[int] | None = None) -> DataFrame:
     """Pairs of rows whose ranges overlap and whose columns `on` are equal, each
     pair once: all columns of left and, but for `on`, of right, whose names must
     differ. Bounds are integers.
@@ -51,11 +57,10 @@ def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
     at most, however long. Two ranges of unlike length meet at the longer one's
     level, to which the shorter one is dealt as well; where they share two
     buckets, the one that holds the later lower bound counts. One aggregation of
-    either side finds the levels in use, sixteen at most.
+    either side finds the levels in use, sixteen at most, unless they are given.
     """
     on = on or []
-    held = [df.where(F.col(lo) < F.col(hi)).select(_level(F.col(lo), F.col(hi)).alias("level")) for df, (lo, hi) in ((left, left_range), (right, right_range))]
-    levels = sorted(r.level for r in held[0].union(held[1]).distinct().collect()) or [0]
+    levels = levels if levels is not None else levels_of((left, *left_range), (right, *right_range))
     # roles: 0 both at their own level, 1 left at its own, 2 right at its own
     a = _spread(left, *left_range, levels, (0, 1), (2,))
     b = _spread(right, *right_range, levels, (0, 2), (1,))

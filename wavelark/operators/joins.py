@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.adapters import KINDS
-from .intervals import overlapping
+from .intervals import levels_of, overlapping
 
 
 def overlaps(df: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def overlaps(df: DataFrame, catalog: DataFrame) -> DataFrame:
     meet the bounds of overlaps in order, not every overlap."""
     c = catalog.select("archive_path", "first_time_ns", (F.col("last_time_ns") + 1).alias("end_ns"))
     left, right = (c.select(*[F.col(x).alias(f"{side}_{x}") for x in c.columns]) for side in ("left", "right"))
-    pairs = overlapping(left, right, ("left_first_time_ns", "left_end_ns"), ("right_first_time_ns", "right_end_ns")).where("left_archive_path < right_archive_path")
+    pairs = overlapping(left, right, ("left_first_time_ns", "left_end_ns"), ("right_first_time_ns", "right_end_ns"), levels=levels_of((c, "first_time_ns", "end_ns"))).where("left_archive_path < right_archive_path")
     key = ["left_archive_path", "right_archive_path", "start_ns", "end_ns"]
     pairs = pairs.select(*key[:2], F.greatest("left_first_time_ns", "right_first_time_ns").alias("start_ns"), (F.least("left_end_ns", "right_end_ns") - 1).alias("end_ns"))
     # at one time a start comes before the records and an end behind them
