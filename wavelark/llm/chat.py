@@ -207,8 +207,19 @@ def read_back(text: Column) -> Column:
 
 
 def loss_text(text: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substring(text, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, unescaped. Spans are taken in order while
+    turns are, so a long text is gone through once, not once a span."""
+    parts = F.split(text, f"{END}\n", -1)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"), loss.alias("spans"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        stop = acc["at"] + F.length(part)
+        span = F.get(acc["spans"], acc["n"])
+        held = F.coalesce(span["stop"] == stop, F.lit(False))
+        own = unescaped(F.substring(part, (span["start"] - acc["at"] + 1).cast("int"), F.length(part)))
+        return F.struct((stop + len(END) + 1).cast("long").alias("at"), F.when(held, acc["n"] + 1).otherwise(acc["n"]).alias("n"), acc["spans"].alias("spans"), F.when(held, F.array_append(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    return F.when(text.isNotNull(), F.array_join(F.aggregate(parts, zero, step)["out"], ""))
 
 
 def conversations_as_records(rows: DataFrame) -> DataFrame:
