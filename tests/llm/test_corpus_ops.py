@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wavelark.llm import decontamination, lines, lm, neighbours, packing, quality, sanitise, simhash, urlfilter, warc
+from wavelark.llm import common, decontamination, lines, lm, neighbours, packing, quality, sanitise, simhash, urlfilter, warc
 from wavelark.llm.queries import subword_tokenizer, word_tokenizer
 
 EXTRA = ["row", "id", "fp", "cell", "length", "rank", "score", "gone", "line", "kind", "digest"]
@@ -255,6 +256,86 @@ def test_sanitise_touching_matches(spark):
         assert r.base_sha256 == hashlib.sha256(base_spans(rows[r.doc_id]).encode()).hexdigest(), rows[r.doc_id]
 
 
+def within(a, b, most=2):
+    """Whether a and b differ by `most` edits at most, by trying all of them."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
+    a, b = a[at:], b[at:]
+    if most == 0 or not b:
+        return len(a) <= most
+    return any(within(x, y, most - 1) for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])))
+
+
+def check_links(spark, rows, **kwargs):
+    """Holds membership of documents of one line each against all pairs."""
+    got = lines.membership(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), **kwargs).collect()
+    different = sorted(set(rows))
+    degree, parent = collections.Counter(), {x: x for x in different}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(different, 2):
+        if abs(len(a) - len(b)) <= 2 and within(a, b):
+            parent[root(a)] = root(b)
+            degree.update((a, b))
+    assert {r.doc_id: r.n_links for r in got} == {i: degree[x] for i, x in enumerate(rows)}
+    groups, want = collections.defaultdict(set), collections.defaultdict(set)
+    for r in got:
+        groups[r.class_id].add(r.doc_id)
+        want[root(rows[r.doc_id])].add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("most", [lines.CELL_PAIRS, 4])
+def test_lines_of_few_characters(spark, most):
+    rng = np.random.default_rng(11)
+    rows = ["".join(rng.choice(list("abcdé文"), n)) for n in rng.integers(1, 7, 150)]
+    check_links(spark, rows + [f"Page {i}" for i in range(95, 125)] + [f"{i}." for i in range(8, 14)], most=most)
+
+
+def test_lines_with_full_bitmaps_and_in_several_parts(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = ["".join(rng.choice(list("ab"), n)) for n in rng.integers(1, 14, 120)]
+    monkeypatch.setattr(common, "BITMAP_ROWS", 1)  # 64 bits, all of them set
+    check_links(spark, rows)
+    monkeypatch.setattr(common, "BITMAP_KEYS", 40)
+    check_links(spark, rows)
+
+
+def test_short_lines_are_counted_not_paired(spark):
+    rows = [chr(0x4E00 + i % 40) + chr(0x4E00 + i // 40) for i in range(1600)]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    assert lines.links(df).count() == 0 and lines.brief(df).count() == 1600
+    got = lines.membership(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert got.groupBy("class_id", "n_links").count().collect()[0][1:] == (1599, 1600)
+    assert got.where("kept").collect()[0].doc_id == 0
+
+
+def test_scopes_own_their_tables(spark):
+    table = lambda n: common.staged(spark.range(n), "scope")
+    alone = table(3)
+    with common.scope() as outer:
+        with common.scope() as own:
+            lost, kept = table(1), own.keep(table(2))
+            done = []
+            other = threading.Thread(target=lambda: done.append(table(5)))
+            other.start()
+            other.join()
+        assert kept.count() == 2 and done[0].count() == 5 and kept.staged_at in outer.paths
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+            spark.read.parquet(lost.staged_at).count()
+        with pytest.raises(ZeroDivisionError), common.scope() as failed:
+            gone = failed.keep(table(4))
+            1 / 0  # noqa: B018
+    for df in (kept, gone):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+            spark.read.parquet(df.staged_at).count()
+    assert alone.count() == 3 and done[0].count() == 5
+
+
 @pytest.mark.parametrize(("most", "least"), [(lines.CELL_PAIRS, 0), (8, 20)])
 def test_lines(docs, none, most, least):
     got = lines.membership(docs, least_chars=least, most=most).collect()
@@ -269,9 +350,7 @@ def test_lines(docs, none, most, least):
         return x
 
     for a, b in itertools.combinations([x for x in distinct if len(x) >= least], 2):
-        if abs(len(a) - len(b)) > 2 or len(a) > 1000:
-            continue
-        if lines._rows(a, b) <= 2:
+        if abs(len(a) - len(b)) <= 2 and within(a, b):
             parent[root(a)] = root(b)
             degree[a] += 1
             degree[b] += 1

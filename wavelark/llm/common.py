@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -38,16 +41,42 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wavelark/{label}-{uuid.uuid4().hex}"
 
 
-#: Paths that staged wrote and nothing has removed yet, oldest first.
-_written: list[str] = []
+class scope:  # noqa: N801
+    """with scope() as own: what is staged inside is removed at its end, but for
+    the tables given to own.keep, which the scope around it takes over, if there
+    is one. A thread sees its own scopes only."""
+
+    def __enter__(self) -> scope:
+        self.paths: dict[str, SparkSession] = {}
+        self.kept: set[str] = set()
+        self.outer = _open.get()
+        _open.set(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table.staged_at)
+        return table
+
+    def __exit__(self, error: type[BaseException] | None, *_) -> None:
+        _open.set(self.outer)
+        for path, spark in self.paths.items():
+            if error is not None or path not in self.kept:
+                _delete(spark, path)
+            elif self.outer is not None:
+                self.outer.paths[path] = spark
+
+
+#: The innermost scope of the thread.
+_open: ContextVar[scope | None] = ContextVar("scope", default=None)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, so
     a lost executor costs no more than the tasks that it ran."""
-    path = new_path(df.sparkSession, label)
+    path, own = new_path(df.sparkSession, label), _open.get()
+    if own is not None:
+        own.paths[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
@@ -61,23 +90,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release(*tables: DataFrame) -> None:
     """Removes what staged wrote for tables that nothing will read again."""
     for df in tables:
-        _written.remove(df.staged_at)
+        own = _open.get()
+        if own is not None:
+            own.paths.pop(df.staged_at, None)
         _delete(df.sparkSession, df.staged_at)
 
 
-def mark() -> int:
-    """A place in the list of staged tables, for release_since."""
-    return len(_written)
-
-
-def release_since(spark: SparkSession, place: int, keep: DataFrame) -> None:
-    """Removes the tables staged from that place on, but for keep's."""
-    for path in _written[place:]:
-        if path != keep.staged_at:
-            _delete(spark, path)
-    _written[place:] = [keep.staged_at]
-
-
 def keyed(docs: DataFrame, name: str, scan: bool = False) -> DataFrame:
     """docs with a column `name` that tells its rows apart and is the same
     whenever they are computed again: the file and the place in it.
@@ -118,6 +136,27 @@ def maybe_in(rows: DataFrame, column: str, held: DataFrame) -> DataFrame:
     return met.where(F.col("mask").bitwiseAND(bit) != 0).drop("bucket", "bucket_", "mask")
 
 
+#: Keys that a bitmap takes while it is to spare exchanges: with these an eighth
+#: of its bits are set at most, and it lets no more of the other rows through.
+BITMAP_KEYS = BITMAP_ROWS * 8
+
+
+def parted(rows: DataFrame, column: str, keys: DataFrame, most: int | None = None) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(rows, keys): the keys (staged, distinct) in as many hash ranges as keep a
+    bitmap sparse, each with the rows whose column may be in it. Every range
+    reads rows once, so that what reaches an exchange doesn't grow with the
+    number of keys. No rows are lost, none is in two ranges."""
+    parts = max(1, math.ceil(keys.count() / (most or BITMAP_KEYS)))
+    for n in range(parts):
+        inside = F.pmod(F.xxhash64(F.lit(parts), column), F.lit(parts)) == n if parts > 1 else F.lit(True)
+        some = keys.where(inside)
+        yield maybe_in(rows.where(inside), column, bitmap(some, column)), some
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
+
+
 def split(rows: DataFrame, column: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose column may be in a bitmap, and those that aren't in it."""
     bucket, bit = _place(column, "bucket_")

@@ -10,7 +10,9 @@ lines one and two characters shorter. A cell is one segment of one class.
 Cells are found in two passes over hashes, without texts: the first leaves the
 cells that hold different lines, the second lists who is in them. In a cell of
 many comparisons the shared segment is cut out and what remains of its lines
-is partitioned again, below that cell. Lines of one cell meet if their lengths
+is partitioned again, below that cell. Classes too short for segments have cells
+by characters, which hold links only; lines of two characters at most are all
+linked and are counted, not paired. Lines of one cell meet if their lengths
 and the parities of their character pairs allow it (an edit changes four
 parities at most), and are verified with a banded bit-parallel edit distance.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, free_name, keyed, maybe_in, rows_of, split, staged
+from .common import bitmap, components, free_name, keyed, parted, rows_of, scope, split, staged, union
 
 MAX_EDITS = 2
 #: Comparisons in a cell beyond which it is partitioned again.
@@ -91,37 +93,62 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 # How a line is listed: by its first segment, the middle one, the last one, or
-# the middle one a place further on.
-_FIRST, _MIDDLE, _LAST, _ASIDE = range(4)
+# the middle one a place further on; below three characters by characters.
+_FIRST, _MIDDLE, _LAST, _ASIDE, _SHORT, _ALL = range(6)
 
 
-def listed(rows: DataFrame) -> DataFrame:
+def _short(n: Column, rest: Column) -> Column:
+    """Names of the cells in which a rest of n <= 4 characters meets those of one
+    or two characters within two edits of it, from which it differs in length.
+
+    Three characters meet one that they hold, and two of which the first is
+    their first or second or the second their second or third. Four meet the
+    two that are left when two of them go.
+    """
+    at = lambda i: F.substring(rest, i, 1)
+    name = lambda kind, *chars: F.concat(F.lit(kind), *chars)
+    two = [name("=", at(1), at(2)), name("<", at(1)), name(">", at(2))]
+    three = [name("1", at(i)) for i in (1, 2, 3)] + [name("<", at(i)) for i in (1, 2)] + [name(">", at(i)) for i in (2, 3)]
+    four = [name("=", at(i), at(j)) for i in (1, 2, 3) for j in range(i + 1, 5)]
+    of = lambda names: F.array_distinct(F.array(*names))
+    return F.when(n == 1, of([name("1", at(1))])).when(n == 2, of(two)).when(n == 3, of(three)).when(n == 4, of(four))
+
+
+def listed(rows: DataFrame, brief: bool = True) -> DataFrame:
     """(key, cell, line, spot, own, at, size) of rows (key, line, rest): the
     cells of a rest below key, and where the segment lies in it. own tells that
     the class is that of the rest's length; if not, the rest probes it.
 
     A class is named by its shortest length and spans an eighth to a sixteenth
-    of it; lengths up to 15 have their own.
+    of it; lengths up to 15 have their own. Rests of MAX_EDITS characters at
+    most share a cell; brief=False leaves that one out.
     """
     lowest = lambda n: n - F.pmod(n, F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n)) - 4, F.lit(0))))
     rows = rows.withColumn("n", F.length("rest"))
+    named = rows.where("n BETWEEN 1 AND 4").select("key", "line", "n", F.explode(_short(F.col("n"), F.col("rest"))).alias("name"))
+    short = named.select("key", F.xxhash64("key", F.lit(_SHORT), "name").alias("cell"), "line", F.lit(_SHORT).alias("spot"), (F.col("n") <= MAX_EDITS).alias("own"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+    if brief:
+        alike = rows.where(F.col("n") <= MAX_EDITS)
+        short = short.union(alike.select("key", F.xxhash64("key", F.lit(_ALL)).alias("cell"), "line", F.lit(_ALL).alias("spot"), F.lit(True).alias("own"), F.lit(0).alias("at"), F.lit(0).alias("size")))
     rows = rows.select("*", F.posexplode(F.array(*[F.col("n") - less for less in range(MAX_EDITS + 1)])).alias("less", "m"))
-    rows = rows.withColumn("low", lowest(F.col("m"))).where("m >= 0").where((F.col("less") == 0) | (F.col("low") != lowest(F.col("m") + 1)))
+    rows = rows.withColumn("low", lowest(F.col("m"))).where("low >= 3").where((F.col("less") == 0) | (F.col("low") != lowest(F.col("m") + 1)))
     rows = rows.withColumn("third", F.floor(F.col("low") / 3).cast("int")).withColumn("middle", F.col("low") - 2 * F.col("third") - 1)
     rows = rows.select("*", F.explode(F.array(*[F.lit(spot) for spot in range(4)])).alias("spot"))
     spot = F.col("spot")
-    rows = rows.where((spot == _FIRST) | (F.col("low") >= 3) & ((spot != _ASIDE) | (F.col("middle") > 0)))
+    rows = rows.where((spot != _ASIDE) | (F.col("middle") > 0))
     at = F.when(spot == _FIRST, 0).when(spot == _LAST, F.col("n") - F.col("third")).otherwise(F.col("third") + (spot == _ASIDE).cast("int"))
     rows = rows.withColumn("at", at).withColumn("size", F.when(spot.isin(_FIRST, _LAST), F.col("third")).otherwise(F.col("middle")))
     kind = F.when(spot == _ASIDE, _MIDDLE).otherwise(spot)
     cell = F.xxhash64("key", "low", kind, F.substring(F.col("rest"), F.col("at") + 1, F.col("size")))
-    return rows.select("key", cell.alias("cell"), "line", "spot", (F.col("less") == 0).alias("own"), "at", "size")
+    return rows.select("key", cell.alias("cell"), "line", "spot", (F.col("less") == 0).alias("own"), "at", "size").union(short)
 
 
 def live(cells: DataFrame) -> DataFrame:
-    """The cells that hold different lines, some as their own class."""
-    held = cells.groupBy("cell").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("own").alias("own"))
-    return held.where("lo < hi AND own").select("cell")
+    """The cells that hold different lines, some as their own class; cells by
+    characters must hold lines of other classes too."""
+    other = ~F.col("own") | (F.col("spot") != _SHORT)
+    held = cells.groupBy("cell").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("own").alias("own"), F.max(other).alias("other"))
+    return held.where("lo < hi AND own AND other").select("cell")
 
 
 def parities(texts: DataFrame) -> DataFrame:
@@ -152,7 +179,7 @@ def candidates(cells: DataFrame, texts: DataFrame, most: int = CELL_PAIRS) -> Da
         few = cells.where(~F.col("large")).select("cell", "line", "spot", "own").join(marks, "line")
         x, y = few.where(F.col("spot") != _ASIDE).alias("x"), few.alias("y")
         # either of two lines may be the one that stands aside
-        near = (F.col("x.own") | F.col("y.own")) & (F.abs(F.col("x.n") - F.col("y.n")) <= MAX_EDITS)
+        near = (F.col("x.own") | F.col("y.own")) & ((F.col("x.spot") != _SHORT) | (F.col("x.own") != F.col("y.own"))) & (F.abs(F.col("x.n") - F.col("y.n")) <= MAX_EDITS)
         near &= sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in BITS) <= 4 * MAX_EDITS
         pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.line") != F.col("y.line")) & near)
         found.append(staged(pairs.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct(), "pairs"))
@@ -164,10 +191,7 @@ def candidates(cells: DataFrame, texts: DataFrame, most: int = CELL_PAIRS) -> Da
         rests = staged(many.join(rests, ["key", "line"]).select(F.col("cell").alias("key"), "line", rest.alias("rest")).distinct(), "rests")
         below = listed(rests)
         cells = below.join(live(below), "cell")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+    return union(found).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -194,18 +218,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def links(lines: DataFrame, least_chars: int = 0, most: int = CELL_PAIRS) -> DataFrame:
     """(a, b): digests of the different texts of lines (text), repeats
     included, that are within MAX_EDITS edits of each other and have
-    least_chars characters or more."""
+    least_chars characters or more. Pairs of texts of MAX_EDITS characters at
+    most, all of which are linked, aren't listed (see brief)."""
     named = lines.where(F.length("text") >= least_chars).select(F.xxhash64("text").alias("line"), "text")
-    spots = listed(named.select(F.lit(0).cast("long").alias("key"), "line", F.col("text").alias("rest")))
-    some = staged(live(spots.select("cell", "line", "own")), "live")
+    spots = listed(named.select(F.lit(0).cast("long").alias("key"), "line", F.col("text").alias("rest")), brief=False)
+    some = staged(live(spots.select("cell", "line", "spot", "own")), "live")
     # repeats go before the join, so that a common line's don't meet in one task
-    cells = staged(maybe_in(spots, "cell", bitmap(some, "cell")).distinct().join(some, "cell"), "members")
-    asked = cells.select("line").distinct()
-    texts = maybe_in(named, "line", bitmap(asked, "line")).groupBy("text").agg(F.lit(1)).select(F.xxhash64("text").alias("line"), digest().alias("digest"), "text").join(asked, "line", "left_semi")
-    texts = staged(parities(texts), "texts")
+    cells = union([staged(rows.distinct().join(keys, "cell"), "members") for rows, keys in parted(spots, "cell", some)])
+    asked = staged(cells.select("line").distinct(), "asked")
+    of = lambda rows: rows.groupBy("text").agg(F.lit(1)).select(F.xxhash64("text").alias("line"), digest().alias("digest"), "text")
+    texts = union([staged(parities(of(rows).join(keys, "line", "left_semi")), "texts") for rows, keys in parted(named, "line", asked)])
     return verified(candidates(cells, texts, most), texts)
 
 
+def brief(lines: DataFrame, least_chars: int = 0) -> DataFrame:
+    """(digest) of the different texts of lines (text) that have MAX_EDITS
+    characters at most: no two are more than MAX_EDITS edits apart."""
+    length = F.length("text")
+    return lines.where((length >= least_chars) & (length <= MAX_EDITS)).select(digest().alias("digest")).distinct()
+
+
 def digest() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
@@ -223,9 +255,14 @@ def classes(docs: DataFrame, least_chars: int = 0, most: int = CELL_PAIRS) -> Da
     """
     seen = occurrences(docs)
     where = staged(seen.select("row", "id", "at", digest().alias("digest")), "lines")
-    linked = staged(links(seen.select("text"), least_chars, most), "links")
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    told = degree.join(components(linked), "node").withColumnRenamed("node", "digest")
+    with scope() as own:
+        linked = own.keep(staged(links(seen.select("text"), least_chars, most), "links"))
+        alike = own.keep(staged(brief(seen.select("text"), least_chars), "brief"))
+    total, one = alike.agg(F.count("*"), F.min("digest")).first()
+    ends = linked.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links"))
+    degree = ends.union(alike.select("digest", F.lit(total - 1))).groupBy("node").agg(F.sum("links").alias("n_links"))
+    stars = alike.select(F.col("digest").alias("a"), F.lit(one).cast("binary").alias("b"))
+    told = degree.where("n_links > 0").join(components(linked.select("a", "b").union(stars)), "node").withColumnRenamed("node", "digest")
     named = where.join(told, "digest", "left").select("row", "id", "at", F.coalesce("root", "digest").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     order = F.struct(F.col("id").isNull().alias("x"), "id", "row", "at")
     # by its place a first line is found again without bringing a class together
@@ -252,8 +289,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = free_name(docs, "row")
     gone = free_name(docs, "gone")
     rows = keyed(docs, key, scan)
-    got = classes(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), least_chars, most)
-    drop = got.where(~F.col("first")).groupBy(F.col("row").alias(key)).agg(F.collect_list("at").alias(gone))
+    with scope() as own:
+        got = classes(rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), least_chars, most)
+        drop = got.where(~F.col("first")).groupBy(F.col("row").alias(key)).agg(F.collect_list("at").alias(gone))
+        drop = own.keep(staged(drop, "drop"))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +308,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[at] = pa.array(texts, b.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    drop = staged(drop, "drop")
     touched, others = split(rows, key, bitmap(drop, key))
     changed = touched.join(drop, key, "left").select(*docs.columns, gone).mapInArrow(work, docs.schema)
     return others.select(*docs.columns).union(changed)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, free_name, keyed, maybe_in, rows_of, staged, utf8, without
+from .common import components, free_name, keyed, parted, rows_of, scope, staged, union, utf8, without
 
 CELL = 24
 GLOBAL_PIVOTS = 8
@@ -314,20 +314,8 @@ def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, sim
         pivots *= 16
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, scan: bool = False) -> DataFrame:
-    """docs with one row of each group of near copies, the smallest id's; scan
-    as for common.keyed.
-
-    Texts of one word sequence are copies. Others are linked if their sets of
-    shingles (width words, A-Z lower-cased) have a Jaccard similarity of at
-    least `similarity`; linked texts are one group. Texts whose fingerprints
-    are within max_bits meet through the pivots' tables, all others through
-    their rarest shingles; every pair that meets is verified. Texts without
-    words are no copies of each other and stay. Rows without an id come last.
-    """
-    key = free_name(docs, "row")
-    rows = keyed(docs, key, scan)
-    texts = rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _copies(texts: DataFrame, key: str, width: int, similarity: float, max_bits: int, own: scope) -> DataFrame:
+    """(key) of the rows of texts (row, id, text) that aren't their group's first."""
     got = staged(_profiles(texts, width), "profiles")
     often = np.zeros(BUCKETS, np.int64)
     for r in got.where("key IS NULL").groupBy("fp").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
@@ -346,12 +334,31 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = prefixes(texts, often, width, similarity)
     many = listed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("cell")
     many = staged(many, "many")
-    cells = staged(maybe_in(listed, "cell", bitmap(many, "cell")).distinct().join(many, "cell"), "cells")
+    cells = union([staged(some.distinct().join(keys, "cell"), "cells") for some, keys in parted(listed, "cell", many)])
     met = cells.select("node").union(first.select("a")).union(first.select("b")).distinct()
     asked = staged(nodes.join(met, "node", "left_semi").select("node", F.col("least.row").alias("row")), "asked")
-    some = maybe_in(texts.select("row", "text"), "row", bitmap(asked, "row")).join(asked, "row").select("node", "text")
-    some = staged(sketched(some, width), "texts")
+    of = lambda some, keys: some.join(keys, "row").select("node", "text")
+    some = union([staged(sketched(of(some, keys), width), "texts") for some, keys in parted(texts.select("row", "text"), "row", asked)])
     groups = nodes.join(grouped(cells, first, some, width, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(key))
+    return own.keep(staged(gone, "gone"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2, scan: bool = False) -> DataFrame:
+    """docs with one row of each group of near copies, the smallest id's; scan
+    as for common.keyed.
+
+    Texts of one word sequence are copies. Others are linked if their sets of
+    shingles (width words, A-Z lower-cased) have a Jaccard similarity of at
+    least `similarity`; linked texts are one group. Texts whose fingerprints
+    are within max_bits meet through the pivots' tables, all others through
+    their rarest shingles; every pair that meets is verified. Texts without
+    words are no copies of each other and stay. Rows without an id come last.
+    """
+    key = free_name(docs, "row")
+    rows = keyed(docs, key, scan)
+    with scope() as own:
+        texts = rows.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        gone = _copies(texts, key, width, similarity, max_bits, own)
     return without(rows, key, gone).select(*docs.columns)
