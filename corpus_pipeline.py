@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wavelark.llm import decontamination, lines, packing, quality, simhash
-from wavelark.llm.common import mark, release_since, staged
+from wavelark.llm.common import release, scope, staged
 from wavelark.llm.queries import word_tokenizer
 
 
@@ -56,10 +56,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    since = mark()
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = staged(docs, "stage")
-            release_since(spark, since, docs)
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        with scope() as own:
+            docs = own.keep(staged(stage(spark, docs, sf_dir), "stage"))
+        if before is not None:
+            release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
