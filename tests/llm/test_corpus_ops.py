@@ -14,7 +14,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wavelark.llm import common, decontamination, lines, lm, neighbours, packing, quality, sanitise, simhash, urlfilter, warc
+from wavelark.llm import attention, common, decontamination, lines, lm, neighbours, packing, quality, sanitise, simhash, urlfilter, warc
+from wavelark.llm.common import is_training
 from wavelark.llm.queries import subword_tokenizer, word_tokenizer
 
 EXTRA = ["row", "id", "fp", "cell", "length", "rank", "score", "gone", "line", "kind", "digest"]
@@ -517,25 +518,28 @@ def test_lm_beats_the_unigram_model_on_held_out_texts(spark):
     more than the class shares that its weights start from, which are the
     unigram model."""
 
-    from wavelark.llm import attention
-
     follow = ["the", "cat", "sat", "on", "a", "mat", "and", "it", "was", "red"]
     docs = [(i, " ".join(follow[(i + k * (1 + i % 2)) % 10] for k in range(40 + i % 60))) for i in range(600)]
     path = subword_tokenizer()
     got = lm.gather(spark.createDataFrame(docs, "doc_id long, text string"), path, "doc_id", "text").cache()
     counts = {int(bytes(r.word)): r.n for r in got.where("kind = 2").groupBy("word").sum("n").withColumnRenamed("sum(n)", "n").collect()}
     c = lm.Classes(counts, lm.subwords(path).n_vocab)
-    w = lm.fit(got.where("kind = 3"), c, c.shares)
+    w = lm.fit(got.where("kind = 0").where(is_training(F.col("id"), 5, 1)), c, c.shares)
     held = [np.array(lm.subwords(path).encode_ordinary(t), np.int64) for i, t in docs if zlib.crc32(str(i).encode()) % 5 == 1]
     model, unigram = lm.score(w, c, held).sum(), lm.score(attention.initial(c.shares), c, held).sum()
     assert model > 0.7 * unigram  # both negative
     got.unpersist()
 
 
-def test_lm_windows_grow_with_texts(spark):
-    texts = {i: "word " * n for i, n in enumerate([0, 3, 600, 5000, 600, 600, 600, 600, 600])}
-    got = lm.gather(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), subword_tokenizer(), "doc_id", "text")
-    n = got.where("kind = 3").count()
-
-    ids = [len(lm.subwords(subword_tokenizer()).encode_ordinary(t)) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert n == sum(-(-max(1, k + 1 - 12) // lm.SPAN) for k in ids)
+def test_lm_windows_hold_every_subword_once(spark):
+    size = attention.WINDOW
+    rows = [(i, np.arange(1, n + 1, dtype=np.uint32)) for i, n in enumerate([0, 1, size - 1, size, size + 1, 5 * size, 1000])] + [(None, np.arange(1, 100, dtype=np.uint32))]
+    df = spark.createDataFrame([(i, bytearray(ids.tobytes())) for i, ids in rows], "id long, ids binary")
+    c = lm.Classes({i: 2000 - i for i in range(1, 500)}, 1200)
+    got, rounds = collections.Counter(), [lm.windows(df, r).collect() for r in range(lm.ROUNDS)]
+    assert all(rounds)
+    for r in itertools.chain(*rounds):
+        x, y, scored = lm._examples(c, [bytes(r.ids)])
+        got.update(y[scored].tolist())
+    want = collections.Counter(int(c.classes[i]) for _, ids in rows for i in [*ids.tolist(), c.end])
+    assert got == want

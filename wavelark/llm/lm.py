@@ -1,9 +1,12 @@
 """LM scoring: a word model counted over the corpus, and causal attention.
 
-One pass over the documents counts words and subwords of the training rows
-and takes training windows from each. The attention model is trained by
-rounds: every task trains a copy on its windows, and the copies' weights are
-averaged by Spark. A second pass scores every text. Counts of the HOT most
+One pass over the documents counts words and subwords of the training rows.
+The attention model is trained on windows that tile every training text, so
+that each subword is learnt from once. A window belongs to one of ROUNDS rounds
+by a hash of its document's id and its place; in a round every task trains a
+copy on its windows, and the copies' weights are averaged by Spark. Which
+windows a task holds depends on the partitions, and with it a score's last
+digits. A second pass scores every text. Counts of the HOT most
 frequent words are broadcast; all other words meet their counts in a join.
 """
 
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as A
-from .common import is_training, rows_of, staged, utf8
+from .common import is_training, rows_of, scope, staged, utf8
 
 #: Words whose counts are broadcast: some megabytes, whatever the corpus.
 HOT = 131_072
-#: Subwords of a training text for which it gives one window, so that windows
-#: grow with texts and every part of a text is met; and windows for one task.
-SPAN, PER_TASK = 512, 8192
+#: Windows for one task of a round.
+PER_TASK = 8192
 ROUNDS, LEAST_STEPS = 3, 60
 FLUSH = 400_000
 
@@ -116,7 +119,7 @@ _GATHERED = "kind int, row long, id {kind}, text string, ids binary, word binary
 
 def gather(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     """One pass: 0 documents with their subword ids, 1 counts of training
-    words, 2 counts of training subwords, 3 training windows."""
+    words, 2 counts of training subwords."""
     train = is_training(F.col(id_col), 5, 1)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), train.alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -128,13 +131,10 @@ def gather(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
         names = ["kind", "row", "id", "text", "ids", "word", "n"]
         id_type = None
 
-        def rest(kind: int, binary: list | None, words: list | None, n: list | None) -> pa.RecordBatch:
-            size = len(binary if binary is not None else n)
+        def rest(kind: int, words: list, n: list) -> pa.RecordBatch:
+            size = len(n)
             none = lambda t: pa.nulls(size, t)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([kind] * size, pa.int32()), none(pa.int64()), none(id_type), none(pa.string()), none(pa.binary()) if binary is None else pa.array(binary, pa.binary()), none(pa.binary()) if words is None else pa.array(words, pa.binary()), none(pa.int64()) if n is None else pa.array(n, pa.int64())],
-                names=names,
-            )
+            return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), none(pa.int64()), none(id_type), none(pa.string()), none(pa.binary()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=names)
 
         for b in rows_of(batches, 512):
             id_type = b.column(1).type
@@ -142,33 +142,43 @@ def gather(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
             coded = [np.array(coder.encode_ordinary(t), np.uint32) for t in texts]
             none = pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows, pa.int32()), b.column(0), b.column(1), b.column(2).cast(pa.string()), pa.array([c.tobytes() for c in coded], pa.binary()), none, pa.nulls(b.num_rows, pa.int64())], names=names)
-            examples = []
-            for row, raw, ids, train in zip(b.column(0).to_pylist(), utf8(b.column(2)), coded, b.column(3).to_pylist(), strict=True):
+            for raw, ids, train in zip(utf8(b.column(2)), coded, b.column(3).to_pylist(), strict=True):
                 if not train:
                     continue
                 seen.update(words(raw))
                 pieces += np.bincount(ids, minlength=len(pieces))
                 pieces[-1] += 1
-                # a window starts anywhere in each span; the first may start the text
-                rng = np.random.default_rng([int(row), 17])
-                last = max(1, len(ids) + 1 - A.WINDOW // 2)
-                for low in range(0, last, SPAN):
-                    at = int(rng.integers(low, min(low + SPAN, last)))
-                    examples.append(np.array([at, len(ids)], np.uint32).tobytes() + ids[max(0, at - 1) : at + A.WINDOW].tobytes())
-            if examples:
-                yield rest(3, examples, None, None)
             if len(seen) > FLUSH:
-                yield rest(1, None, list(seen), list(seen.values()))
+                yield rest(1, list(seen), list(seen.values()))
                 seen.clear()
         if id_type is not None:
             if seen:
-                yield rest(1, None, list(seen), list(seen.values()))
+                yield rest(1, list(seen), list(seen.values()))
             some = np.nonzero(pieces)[0]
-            yield rest(2, None, [str(i).encode() for i in some.tolist()], pieces[some].tolist())
+            yield rest(2, [str(i).encode() for i in some.tolist()], pieces[some].tolist())
 
     return rows.mapInArrow(work, _GATHERED.format(kind=kind))
 
 
+def windows(documents: DataFrame, r: int) -> DataFrame:
+    """(ids): the windows of round r of documents (id, ids), as bytes of uint32:
+    place and length of the text's ids, the id before the window, if there is
+    one, and the window's. The windows of all rounds hold every id and the end
+    of every text once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, 512):
+            out = []
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(raw, np.uint32)
+                for at in range(0, len(ids) + 1, A.WINDOW):
+                    if zlib.crc32(f"{name}:{at}".encode()) % ROUNDS == r:
+                        out.append(np.array([at, len(ids)], np.uint32).tobytes() + ids[max(0, at - 1) : at + A.WINDOW].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    return documents.select("id", "ids").mapInArrow(work, "ids binary")
+
+
 def _examples(c: Classes, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training windows as inputs, target classes and scored positions."""
     x = np.zeros((len(raw), A.WINDOW), np.int32)
@@ -185,15 +195,13 @@ def _examples(c: Classes, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
     return x, y, scored
 
 
-def fit(examples: DataFrame, c: Classes, shares: np.ndarray) -> A.Weights:
-    """Rounds of local training on all windows (ids binary) and averaging."""
+def fit(documents: DataFrame, c: Classes, shares: np.ndarray) -> A.Weights:
+    """Rounds of local training on all windows of documents (id, ids) and
+    averaging."""
     w = A.initial(shares)
-    n = examples.count()
-    if not n:
-        return w
-    tasks = max(1, ceil(n / PER_TASK))
-    parts = staged(examples.select("ids").repartition(tasks), "windows")
-    spark = examples.sparkSession
+    told = F.sum(F.floor(F.octet_length("ids") / (4 * A.WINDOW)) + 1)
+    tasks = max(1, ceil((documents.agg(told).first()[0] or 0) / ROUNDS / PER_TASK))
+    spark = documents.sparkSession
     for r in range(ROUNDS):
         held = spark.sparkContext.broadcast((A.flatten(w), c))
         rate = 0.02 * 0.5**r
@@ -207,9 +215,10 @@ def fit(examples: DataFrame, c: Classes, shares: np.ndarray) -> A.Weights:
             got = A.flatten(A.train(A.unflatten(flat), x, y, scored, max(LEAST_STEPS, ceil(len(x) / 128)), rate, seed=r))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got))), pa.array(got.astype(np.float64)), pa.array(np.full(len(got), float(len(x))))], names=["i", "w", "n"])
 
-        mean = parts.mapInArrow(work, "i long, w double, n double").groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
+        mean = windows(documents, r).repartition(tasks).mapInArrow(work, "i long, w double, n double").groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
         flat = np.array([x.w for x in mean.orderBy("i").collect()])  # one number per weight
-        w = A.unflatten(flat)
+        if len(flat):  # few texts may leave a round without windows
+            w = A.unflatten(flat)
     return w
 
 
@@ -233,18 +242,41 @@ def scores(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     Repeated rows count as often as they occur. score is the log10
     probability that the attention model gives to the subwords and the end.
     """
+    with scope() as own:
+        scored, counts, total, floor = _scored(docs, tokenizer, id_col, text_col)
+        own.keep(scored)
+        own.keep(counts)
+    rare = scored.where("word IS NOT NULL").select("row", "word", "n").join(counts, "word", "left")
+    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("sums"))
+    out = scored.where("word IS NULL").join(rare, "row", "left")
+    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1
+    return out.select(
+        F.col("id").alias(id_col),
+        held_out.alias("held_out"),
+        "n_tokens",
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("total") + F.coalesce("sums", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
+        "score",
+    )
+
+
+def _scored(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, float]:
+    """What scores joins: texts and their rarer words as one table, the counts of
+    words, the training tokens and the log10 of what counts are divided by."""
     spark = docs.sparkSession
     got = staged(gather(docs, tokenizer, id_col, text_col), "gathered")
     counts = staged(got.where("kind = 1").groupBy("word").agg(F.sum("n").alias("c")), "words")
     told = counts.agg(F.sum("c"), F.count("*")).first()
     documents = got.where("kind = 0")
-    trained = documents.where(is_training(F.col("id"), 5, 1)).count()
+    training = documents.where(is_training(F.col("id"), 5, 1))
+    trained = training.count()
     total = int(told[0] or 0) + trained
     distinct = int(told[1]) + (trained > 0)
     floor = math.log10(total + 0.5 * (distinct + 1))
     hot = {bytes(r.word): math.log10(r.c + 0.5) for r in frequent(counts).collect()}
     c = Classes({int(bytes(r.word)): r.n for r in got.where("kind = 2").groupBy("word").agg(F.sum("n").alias("n")).collect()}, subwords(tokenizer).n_vocab)
-    w = fit(got.where("kind = 3"), c, c.shares)
+    w = fit(training, c, c.shares)
     held = spark.sparkContext.broadcast((A.flatten(w), c, hot))
     end = math.log10(trained + 0.5)
     kind = got.schema["id"].dataType.simpleString()
@@ -275,17 +307,4 @@ def scores(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(rare_rows, pa.int64()), none(b.column(1).type), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=names)
 
     scored = documents.select("row", "id", "text", "ids").mapInArrow(work, f"row long, id {kind}, n_tokens long, known long, total double, score double, word binary, n long")
-    scored = staged(scored, "scored")
-    rare = scored.where("word IS NOT NULL").select("row", "word", "n").join(counts, "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("sums"))
-    out = scored.where("word IS NULL").join(rare, "row", "left")
-    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1
-    return out.select(
-        F.col("id").alias(id_col),
-        held_out.alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("total") + F.coalesce("sums", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
-        "score",
-    )
+    return staged(scored, "scored"), counts, total, floor
