@@ -123,6 +123,12 @@ def _plain(value):
 def encode_packet(packets: pd.DataFrame) -> pd.Series:
     """Frames of packets: structs with the fields that decode_packet gives, of
     which version, compression, encryption and all sections may be left out."""
+    from .frames import encoded
+
+    bare = set(packets.columns) == {"kind", "device", "timestamp_ns", "sequence", "payload"}
+    # what the codec would refuse, it refuses
+    if bare and all(packets[c].dtype == np.int64 for c in ("device", "timestamp_ns", "sequence")) and packets["kind"].isin(C.KINDS).all() and packets["payload"].notna().all() and packets["sequence"].between(0, (1 << 32) - 1).all():
+        return pd.Series(encoded(packets["kind"], packets["device"].to_numpy(), packets["timestamp_ns"].to_numpy(), packets["sequence"].to_numpy(), [bytes(x) for x in packets["payload"]]), dtype=object, index=packets.index)
     out = []
     for p in packets.to_dict("records"):
         p = _plain(p)

@@ -10,14 +10,22 @@ import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import codec as C
-from ..functions.udfs import PACKET, packet_row, packet_rows, signed, udf
+from ..functions.frames import Decoded, sealed
+from ..functions.udfs import PACKET, packet_rows, signed, udf
 
 HEADER = 36
+#: Rows of a batch that a task hands over.
+BATCH = 8192
+FILE = pa.schema([("path", pa.string()), ("content", pa.binary())])
 RECORD = f"archive_path string, archive_ordinal int, offset long, capture_time_ns long, corrupt string, packet {PACKET}"
 
 
@@ -102,23 +110,69 @@ def salvage(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """SRC7: every whole frame found by its magic, at any offset; a frame that
     fails is passed over by one byte. The capture time is that of the record
     in front, if its length agrees, else 0."""
-    magic = struct.pack("<I", C.PACKET_MAGIC)
+    kinds = StructType.fromDDL(f"archive_path string, offset long, capture_time_ns long, frame binary, packet {PACKET}")
+    arrow = to_arrow_schema(kinds)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                data, rows, at = bytes(data), [], 0
-                while (at := data.find(magic, at)) >= 0 and at + 12 <= len(data):
-                    size = struct.unpack_from("<I", data, at + 4)[0] + 12
-                    p = packet_row(data[at : at + size]) if size <= C.MAX_PACKET and at + size <= len(data) else packet_row(None)
-                    time = 0
-                    if at >= 12 and struct.unpack_from("<I", data, at - 4)[0] == size:
-                        time = signed(struct.unpack_from("<Q", data, at - 12)[0])
-                    rows.append({"archive_path": os.path.basename(path), "offset": at, "capture_time_ns": time, "frame": data[at : at + size] if p["ok"] else None, "packet": p})
-                    at += size if p["ok"] else 1
-                yield pd.DataFrame(rows, columns=["archive_path", "offset", "capture_time_ns", "frame", "packet"])
-
-    return _files(spark, paths).mapInPandas(work, f"archive_path string, offset long, capture_time_ns long, frame binary, packet {PACKET}")
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                held.append((os.path.basename(path.as_py()), content.as_py()))
+                size += len(held[-1][1])
+                if size >= HELD:
+                    yield from _salvaged(held, arrow)
+                    held, size = [], 0
+        yield from _salvaged(held, arrow)
+
+    return _files(spark, paths).mapInArrow(work, kinds)
+
+
+#: Bytes of files that are salvaged together, candidates taken of one at a time,
+#: and of one behind a frame that failed.
+HELD, CHAIN, SHORT = 4 << 20, 4096, 16
+
+
+def _candidates(data: bytes, at: int, most: int) -> list[tuple[int, int, bytes | None]]:
+    """(offset, capture time, frame or None) of up to so many frames from at on,
+    if each is whole."""
+    magic, out = struct.pack("<I", C.PACKET_MAGIC), []
+    while len(out) < most and (at := data.find(magic, at)) >= 0 and at + 12 <= len(data):
+        size = struct.unpack_from("<I", data, at + 4)[0] + 12
+        time = 0
+        if at >= 12 and struct.unpack_from("<I", data, at - 4)[0] == size:
+            time = signed(struct.unpack_from("<Q", data, at - 12)[0])
+        whole = size <= C.MAX_PACKET and at + size <= len(data)
+        out.append((at, time, data[at : at + size] if whole else None))
+        at += size if whole else 1
+    return out
+
+
+def _salvaged(files: list[tuple[str, bytes]], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Frames are taken one behind the other as if all were whole and decoded
+    together; of a file's those up to the first that failed count, and the next
+    turn goes on one byte behind it."""
+    packet, turn = arrow.field("packet").type, [(name, data, 0, CHAIN) for name, data in files]
+    while turn:
+        taken = [(name, data, most, _candidates(data, at, most)) for name, data, at, most in turn]
+        got = Decoded([f for *_, found in taken for *_, f in found])
+        keep, turn, start = [], [], 0
+        for name, data, most, found in taken:
+            ok = got.ok[start : start + len(found)]
+            good = len(found) if ok.all() else int(np.argmin(ok))
+            keep += [(name, o, t, start + i) for i, (o, t, _) in enumerate(found[: good + 1])]
+            start += len(found)
+            if good < len(found):
+                turn.append((name, data, found[good][0] + 1, SHORT))
+            elif len(found) == most:
+                turn.append((name, data, found[-1][0] + len(found[-1][2]), min(2 * most, CHAIN)))
+        if not keep:
+            continue
+        chosen = pa.array([i for *_, i in keep], pa.int64())
+        fields = [got.column(f.name, f.type).take(chosen) for f in packet]
+        frames = pa.array([f if ok else None for f, ok in zip(got.frames, got.ok, strict=True)], pa.binary()).take(chosen)
+        columns = [pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.int64()), frames, pa.StructArray.from_arrays(fields, fields=list(packet))]
+        rows = pa.RecordBatch.from_arrays(columns, schema=arrow)
+        yield from (rows.slice(i, BATCH) for i in range(0, rows.num_rows, BATCH))
 
 
 def read_frames(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
@@ -163,10 +217,35 @@ def packed(frames: DataFrame, batch: bool = False) -> DataFrame:
     name files after runs of a stated length.
     """
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place", kind="stable")
-        made = [bytes(f) for f in rows["frame"]]
-        data = C.encode_batch(made) if batch else archive_bytes(list(zip(rows["capture_time_ns"].tolist(), made, strict=True)))
-        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [data]})
-
-    return frames.select("path", "place", "capture_time_ns", "frame").groupBy("path").applyInPandas(work, "path string, content binary")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, times, parts = None, [], []
+
+        def done() -> bytes:
+            if batch:
+                return C.encode_batch(parts)
+            header = struct.pack("<IQQQ", 1, len(parts), min(times) % (1 << 64), max(times) % (1 << 64))
+            return b"".join([C.ARCHIVE_MAGIC, header, *parts])
+
+        for rows in batches:
+            names, at, made = (rows.column(c).to_pylist() for c in ("path", "capture_time_ns", "frame"))
+            parts_ = made if batch else sealed(at, made)
+            files: dict[str, list] = {"path": [], "content": []}
+            start = 0
+            while start < len(names):
+                stop = start + 1
+                while stop < len(names) and names[stop] == names[start]:
+                    stop += 1
+                if names[start] != path:
+                    if parts:
+                        files["path"].append(path)
+                        files["content"].append(done())
+                    path, times, parts = names[start], [], []
+                times += at[start:stop]
+                parts += parts_[start:stop]
+                start = stop
+            yield pa.RecordBatch.from_pydict(files, FILE)
+        if parts:
+            yield pa.RecordBatch.from_pydict({"path": [path], "content": [done()]}, FILE)
+
+    rows = frames.select("path", "place", "capture_time_ns", "frame").repartition("path").sortWithinPartitions("path", "place")
+    return rows.select("path", "capture_time_ns", "frame").mapInArrow(work, "path string, content binary")

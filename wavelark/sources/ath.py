@@ -19,22 +19,24 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import codec as C
-from ..functions.udfs import packet_rows, signed
+from ..functions.frames import Decoded, sealed
+from ..functions.udfs import signed
 
 HEADER = 36
 #: Bytes that a reader asks for at a time, a writer keeps before it begins a
-#: file's body, an index block covers, and a partition reads.
-PIECE, KEPT, BLOCK, PARTITION = 4 << 20, 64 << 20, 1 << 20, 128 << 20
+#: file's body, an index block covers, and a partition reads; rows of a batch.
+PIECE, KEPT, BLOCK, PARTITION, ROWS = 4 << 20, 64 << 20, 1 << 20, 32 << 20, 8192
 RECORD = (
     "archive_path string, archive_ordinal long, offset long, capture_time_ns long, corrupt string, device long, timestamp_ns long, kind string, sequence long, "
     "fragment struct<stream_id:long,sequence:int,count:int>, route struct<region:int,collector:int,priority:int,relay_path:array<int>>, "
@@ -43,7 +45,6 @@ RECORD = (
 #: What may be read besides, with a schema of the caller's: the record's bytes.
 FRAME = "frame binary"
 HEADERS = "archive_path string, archive_ordinal long, bytes long, format_version int, records long, first_time_ns long, last_time_ns long"
-_PACKET = ("device", "timestamp_ns", "kind", "sequence", "fragment", "route", "capabilities", "payload")
 #: Index columns that filters are held against.
 _BOUNDED = {"capture_time_ns": "time", "device": "device", "payload_size": "payload"}
 INDEX = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("records", pa.int64()), *[(f"{end}_{name}", pa.int64()) for name in _BOUNDED.values() for end in ("least", "most")]])
@@ -66,17 +67,29 @@ def archive_files(where: fs.FileSystem, path: str) -> list[fs.FileInfo]:
     return sorted((f for f in where.get_file_info(fs.FileSelector(path)) if f.is_file and f.extension == "ath"), key=lambda f: f.base_name)
 
 
-def walk(f: pa.NativeFile, start: int, stop: int, size: int) -> Iterator[list[tuple[int, int, bytes, str | None]]]:
-    """Lists of (offset, capture time, frame, what is wrong) of the records from
-    start to stop in a file of so many bytes; ends at the first damaged one.
-    Holds one piece, or one record, at a time."""
+@dataclass
+class Piece:
+    """Records of a stretch of a file: rows of (offset, capture time, frame, what
+    is wrong), of the whole ones their bytes and stated checksums; whether
+    another piece follows."""
+
+    rows: list[tuple[int, int, bytes, str | None]]
+    records: list[bytes]
+    stated: list[int]
+    more: bool
+
+
+def pieces(f: pa.NativeFile, start: int, stop: int, size: int) -> Iterator[Piece]:
+    """The records from start to stop in a file of so many bytes, up to the first
+    whose length or extent is wrong; checksums aren't looked at. Holds one piece,
+    or one record, at a time."""
     if start == 0:
         f.seek(0)
         if f.read(8) != C.ARCHIVE_MAGIC:
-            yield [(0, 0, b"", "archive magic mismatch")]
+            yield Piece([(0, 0, b"", "archive magic mismatch")], [], [], False)
             return
         start = HEADER
-    at = start
+    at, head = start, struct.Struct("<qI").unpack_from
     while at < stop:
         f.seek(at)
         data, rows, records, stated, wrong, pos = f.read(min(PIECE, size - at)), [], [], [], None, 0
@@ -84,30 +97,51 @@ def walk(f: pa.NativeFile, start: int, stop: int, size: int) -> Iterator[list[tu
             if pos + 12 > len(data):
                 wrong = "truncated archive record" if at + pos + 12 > size else None
                 break
-            time, length = struct.unpack_from("<QI", data, pos)
+            time, length = head(data, pos)
             end = pos + 12 + length
             if length > C.MAX_PACKET or at + end + 4 > size:
                 wrong = "archive record frame exceeds packet size limit" if length > C.MAX_PACKET else "archive record is truncated"
-                rows.append((at + pos, signed(time), b"", wrong))
+                rows.append((at + pos, time, b"", wrong))
                 break
             if end + 4 > len(data):
                 break
             records.append(data[pos:end])
-            stated.append(struct.unpack_from("<I", data, end)[0])
-            rows.append((at + pos, signed(time), data[pos + 12 : end], None))
+            stated.append(int.from_bytes(data[end : end + 4], "little"))
+            rows.append((at + pos, time, data[pos + 12 : end], None))
             pos = end + 4
         if wrong == "truncated archive record":
             rows.append((at + pos, 0, b"", wrong))
-        for n, (own, told) in enumerate(zip(C.crc32c_many(records).tolist(), stated, strict=True)):
-            if own != told:
-                yield [*rows[:n], (rows[n][0], rows[n][1], b"", "archive record crc mismatch")]
-                return
-        yield rows
+        yield Piece(rows, records, stated, wrong is None and at + pos < stop)
         if wrong:
             return
         at += pos
 
 
+def checked(held: list[Piece]) -> list[tuple[list[tuple[int, int, bytes, str | None]], bool]]:
+    """The rows of pieces up to the first damaged record of each, and whether a
+    piece has one; all checksums are computed together."""
+    sums = C.crc32c_many([r for p in held for r in p.records])
+    bad = sums != np.fromiter((s for p in held for s in p.stated), np.uint32, len(sums))
+    out, start = [], 0
+    for p in held:
+        own = bad[start : start + len(p.records)]
+        start += len(p.records)
+        n = int(np.argmax(own)) if own.any() else None
+        rows = p.rows if n is None else [*p.rows[:n], (p.rows[n][0], p.rows[n][1], b"", "archive record crc mismatch")]
+        out.append((rows, bool(rows) and rows[-1][3] is not None))
+    return out
+
+
+def walk(f: pa.NativeFile, start: int, stop: int, size: int) -> Iterator[list[tuple[int, int, bytes, str | None]]]:
+    """Lists of (offset, capture time, frame, what is wrong) of the records from
+    start to stop in a file of so many bytes; ends at the first damaged one."""
+    for piece in pieces(f, start, stop, size):
+        rows, damaged = checked([piece])[0]
+        yield rows
+        if damaged:
+            return
+
+
 @dataclass
 class Range(InputPartition):
     """Ranges of files that one task reads: (path, ordinal, start, stop, size)."""
@@ -185,31 +219,54 @@ class Reader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(self.schema)
         where, _ = opened(self.path)
-        low, high = self.bounds.get("capture_time_ns", (None, None))
-        for path, ordinal, start, stop, size in partition.parts:
+        held: list[tuple[str, int, Piece]] = []
+        size = 0
+        for path, ordinal, start, stop, whole in partition.parts:
             name = path.rpartition("/")[2]
             with where.open_input_file(path) as f:
-                for rows in walk(f, start, stop, size):
-                    wrong = next((w for *_, w in rows if w), None)
-                    if wrong and self.strict:
-                        raise ValueError(f"{name}: {wrong}")
-                    rows = [r for r in rows if r[3] or ((low is None or r[1] >= low) and (high is None or r[1] <= high))]
-                    for part in (rows[i : i + 1024] for i in range(0, len(rows), 1024)):
-                        rows_ = _rows(name, ordinal, part, self.strict)
-                        yield pa.RecordBatch.from_pylist([{k: r[k] for k in arrow.names} for r in rows_], arrow)
-
-
-def _rows(name: str, ordinal: int, part: list[tuple[int, int, bytes, str | None]], strict: bool) -> list[dict]:
-    out = []
-    for (offset, time, frame, wrong), p in zip(part, packet_rows([None if w else f for _, _, f, w in part]), strict=True):
-        if not wrong and not p["ok"]:
-            if strict:
-                raise ValueError(f"{name}: {p['error']}")
-            wrong = p["error"]
-        row = {"archive_path": name, "archive_ordinal": ordinal, "offset": offset, "capture_time_ns": time, "corrupt": wrong}
-        row |= dict.fromkeys(_PACKET) if wrong else {k: p[k] for k in _PACKET}
-        out.append(row | {"payload_size": None if wrong else len(p["payload"]), "frame": None if wrong else frame})
-    return out
+                for piece in pieces(f, start, stop, whole):
+                    held.append((name, ordinal, piece))
+                    size += sum(map(len, piece.records))
+                    # small files wait for others, a large one's next piece depends on this one
+                    if piece.more or size >= PIECE:
+                        rows, damaged = self._taken(held)
+                        yield from self._batches(rows, arrow)
+                        held, size = [], 0
+                        if damaged:
+                            break
+        yield from self._batches(self._taken(held)[0], arrow)
+
+    def _taken(self, held: list[tuple[str, int, Piece]]) -> tuple[list[tuple], bool]:
+        """Rows (name, ordinal, offset, time, frame, what is wrong) within the
+        bounds of time, and whether the last piece has a damaged one."""
+        low, high = self.bounds.get("capture_time_ns", (None, None))
+        out, damaged = [], False
+        for (name, ordinal, _), (rows, damaged) in zip(held, checked([p for *_, p in held]), strict=True):
+            if damaged and self.strict:
+                raise ValueError(f"{name}: {rows[-1][3]}")
+            out += [(name, ordinal, *r) for r in rows if r[3] or ((low is None or r[1] >= low) and (high is None or r[1] <= high))]
+        return out, damaged
+
+    def _batches(self, rows: list[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), ROWS):
+            part = rows[at : at + ROWS]
+            got = Decoded([None if r[5] else r[4] for r in part])
+            wrong = [r[5] or e for r, e in zip(part, got.errors(), strict=True)]
+            if self.strict and not got.ok.all():
+                n = int(np.argmin(got.ok))
+                raise ValueError(f"{part[n][0]}: {wrong[n]}")
+            own = {"archive_path": 0, "archive_ordinal": 1, "offset": 2, "capture_time_ns": 3}
+            columns = []
+            for f in arrow:
+                if f.name in own:
+                    columns.append(pa.array([r[own[f.name]] for r in part], f.type))
+                elif f.name == "corrupt":
+                    columns.append(pa.array(wrong, f.type))
+                elif f.name == "frame":
+                    columns.append(pa.array([None if w else r[4] for r, w in zip(part, wrong, strict=True)], f.type))
+                else:
+                    columns.append(got.column(f.name, f.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
 class HeaderReader(DataSourceReader):
@@ -239,6 +296,15 @@ class Written(WriterCommitMessage):
     blocks: list[dict] = field(default_factory=list)
 
 
+def _records(times: list[int], frames: list[bytes]) -> Iterator[tuple[int, bytes, tuple[int, int], tuple[int, int]]]:
+    """Per frame what _File.put takes."""
+    got = Decoded(frames)
+    # what can't be decoded may be anything, so no filter may pass it over
+    devices = [(d, d) if ok else (-(1 << 63), (1 << 63) - 1) for d, ok in zip(got.numbers("device").tolist(), got.ok, strict=True)]
+    sizes = [(n, n) if ok else (0, 1 << 62) for n, ok in zip(got.sizes().tolist(), got.ok, strict=True)]
+    return zip(times, sealed(times, frames), devices, sizes, strict=True)
+
+
 class _File:
     """One archive as it is written: kept in memory at first, its body beside it
     once that is too large, for the header comes first and is known last."""
@@ -250,11 +316,23 @@ class _File:
         self.blocks: list[dict] = []
 
     def add(self, time: int, frame: bytes) -> None:
-        record = struct.pack("<QI", time % (1 << 64), len(frame)) + frame
-        record += struct.pack("<I", C.crc32c(record))
+        self.put(*next(_records([time], [frame])))
+
+    def put(self, time: int, record: bytes, device: tuple[int, int], payload: tuple[int, int]) -> None:
+        """One record, and the least and largest device and payload size that
+        it may have."""
         self.least, self.most = (min(self.least, time), max(self.most, time)) if self.count else (time, time)
         self.count += 1
-        self._index(time, frame, len(record))
+        if not self.blocks or self.blocks[-1]["stop"] - self.blocks[-1]["start"] >= self.block:
+            self.blocks.append({"start": self.at, "stop": self.at, "records": 0, "least_time": time, "most_time": time, "least_device": device[0], "most_device": device[1], "least_payload": payload[0], "most_payload": payload[1]})
+        b = self.blocks[-1]
+        self.at += len(record)
+        b["stop"], b["records"] = self.at, b["records"] + 1
+        for name, low, high in (("time", time, time), ("device", *device), ("payload", *payload)):
+            if low < b[f"least_{name}"]:
+                b[f"least_{name}"] = low
+            if high > b[f"most_{name}"]:
+                b[f"most_{name}"] = high
         self.kept.append(record)
         self.size += len(record)
         if self.size > KEPT:
@@ -262,18 +340,6 @@ class _File:
             self.body.write(b"".join(self.kept))
             self.kept, self.size = [], 0
 
-    def _index(self, time: int, frame: bytes, length: int) -> None:
-        p = packet_rows([frame])[0]
-        # what can't be decoded may be anything, so no filter may pass it over
-        values = {"time": (time, time), "device": (p["device"],) * 2 if p["ok"] else (-(1 << 63), (1 << 63) - 1), "payload": (len(p["payload"]),) * 2 if p["ok"] else (0, 1 << 62)}
-        if not self.blocks or self.blocks[-1]["stop"] - self.blocks[-1]["start"] >= self.block:
-            self.blocks.append({"start": self.at, "stop": self.at, "records": 0} | {f"{end}_{k}": v for k, (a, b) in values.items() for end, v in (("least", a), ("most", b))})
-        b = self.blocks[-1]
-        self.at += length
-        b["stop"], b["records"] = self.at, b["records"] + 1
-        for k, (low, high) in values.items():
-            b[f"least_{k}"], b[f"most_{k}"] = min(b[f"least_{k}"], low), max(b[f"most_{k}"], high)
-
     def close(self) -> None:
         header = C.ARCHIVE_MAGIC + struct.pack("<IQQQ", 1, self.count, self.least % (1 << 64), self.most % (1 << 64))
         if self.body:
@@ -302,7 +368,7 @@ class _File:
                 raise OSError(f"{self.path}: {count} records and {f.size()} bytes after writing {self.count} and {self.at}")
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Tasks write below `_temporary/<job>` and read their files back; the commit
     moves them, and the index of the job becomes visible last."""
 
@@ -313,7 +379,7 @@ class Writer(DataSourceWriter):
         self.most = int(options.get("filebytes", 1 << 30))
         self.job = uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -327,13 +393,16 @@ class Writer(DataSourceWriter):
             out.files.append((now.path, name))
             out.blocks += [{"path": name, "bytes": now.at} | b for b in now.blocks]
 
-        for row in rows:
-            wish = row.archive_path if self.named else name if now and now.at < self.most else f"part-{self.job[:8]}-{task.partitionId():05d}-{len(out.files) + (now is not None):03d}.ath"
-            if now is None or wish != name:
-                if now:
-                    end()
-                now, name = _File(where, f"{path}/_temporary/{self.job}/{task.taskAttemptId()}-{len(out.files)}", self.block), wish
-            now.add(row.capture_time_ns, bytes(row.frame))
+        for batch in batches:
+            times, frames = batch.column("capture_time_ns").to_pylist(), batch.column("frame").to_pylist()
+            wishes = batch.column("archive_path").to_pylist() if self.named else None
+            for n, record in enumerate(_records(times, frames)):
+                wish = wishes[n] if wishes else name if now and now.at < self.most else f"part-{self.job[:8]}-{task.partitionId():05d}-{len(out.files) + (now is not None):03d}.ath"
+                if now is None or wish != name:
+                    if now:
+                        end()
+                    now, name = _File(where, f"{path}/_temporary/{self.job}/{task.taskAttemptId()}-{len(out.files)}", self.block), wish
+                now.put(*record)
         if now:
             end()
         return out
