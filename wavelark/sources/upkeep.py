@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import archives, ath
+from . import archives, ath, scratch
 
 #: Bytes of a record besides its payload, as sizes are estimated.
 OVERHEAD = 16
@@ -53,11 +53,29 @@ def store(files: DataFrame, folder: str) -> int:
     return files.select("path", "content").mapInArrow(work, "written long").agg(F.sum("written")).first()[0] or 0
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of a folder's archives, read once and kept: each with the
+    capture time before it, its device's highest sequence before it, and where
+    its archive's first damaged record is, if there is one."""
+    rows = ath.load(spark, folder, columns=_READ).repartition("archive_path")
+    whole = W.partitionBy("archive_path")
+    placed = whole.orderBy("offset")
+    # damaged records have neither a time nor a sequence of their own
+    sound = F.col("corrupt").isNull()
+    rows = rows.withColumn("damaged_at", F.min(F.when(~sound, F.col("offset"))).over(whole))
+    rows = rows.withColumn("time before", F.last(F.when(sound, F.col("capture_time_ns")), ignorenulls=True).over(placed.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("high", F.max("sequence").over(W.partitionBy("archive_path", "device").orderBy("offset").rowsBetween(W.unboundedPreceding, -1)))
+    return scratch.kept(rows, "records")
+
+
 def _damage(records: DataFrame) -> DataFrame:
-    """(archive_path, damaged_at, message) of archives with a damaged record: the
-    first one."""
-    first = F.min_by(F.struct("offset", "corrupt"), "offset").alias("first")
-    return records.where("corrupt IS NOT NULL").groupBy("archive_path").agg(first).select("archive_path", F.col("first.offset").alias("damaged_at"), F.col("first.corrupt").alias("message"))
+    """(archive_path, message) of archives with a damaged record: the first
+    one."""
+    return records.where("corrupt IS NOT NULL AND offset = damaged_at").select("archive_path", F.col("corrupt").alias("message")).dropDuplicates(["archive_path"])
+
+
+def _readable(records: DataFrame) -> DataFrame:
+    return records.where("corrupt IS NULL AND (damaged_at IS NULL OR offset < damaged_at)")
 
 
 def audit(spark: SparkSession, folder: str, rules: Rules = Rules()) -> DataFrame:
@@ -67,9 +85,11 @@ def audit(spark: SparkSession, folder: str, rules: Rules = Rules()) -> DataFrame
     An archive with a damaged record isn't readable: it has findings of records
     up to that one, none of its header, its manifest or its devices.
     """
-    records = ath.load(spark, folder, columns=_READ)
-    damage = _damage(records)
-    read = records.where("corrupt IS NULL").join(damage, "archive_path", "left").where("damaged_at IS NULL OR offset < damaged_at")
+    return _audit(spark, folder, rules, _records(spark, folder))
+
+
+def _audit(spark: SparkSession, folder: str, rules: Rules, records: DataFrame) -> DataFrame:
+    damage, read = _damage(records), _readable(records)
     none = F.lit(None).cast("long")
 
     def finding(rows: DataFrame, severity: str, check: str, message: str | Column, record: bool = False, **more: str) -> DataFrame:
@@ -78,9 +98,7 @@ def audit(spark: SparkSession, folder: str, rules: Rules = Rules()) -> DataFrame
         said = F.lit(message) if isinstance(message, str) else message
         return rows.select("archive_path", F.lit(severity).alias("severity"), F.lit(check).alias("check"), said.alias("message"), *cells)
 
-    placed = W.partitionBy("archive_path").orderBy("offset")
-    before = read.withColumn("time before", F.lag("capture_time_ns").over(placed))
-    late = before.where(F.col("capture_time_ns") < F.col("time before"))
+    late = read.where(F.col("capture_time_ns") < F.col("time before"))
     whole = read.where("damaged_at IS NULL")
     seen = whole.groupBy("archive_path").agg(F.count("*").alias("n"), F.min("capture_time_ns").alias("first"), F.max("capture_time_ns").alias("last"))
     heads = ath.headers(spark, folder).join(damage, "archive_path", "left_anti").join(seen, "archive_path", "left").na.fill(0, ["n"])
@@ -99,8 +117,7 @@ def audit(spark: SparkSession, folder: str, rules: Rules = Rules()) -> DataFrame
     if rules.time_order:
         parts.append(finding(late, "error", "ordered_timestamps", "record capture timestamp moved backwards", record=True))
     if rules.sequence_order:
-        high = F.max("sequence").over(W.partitionBy("archive_path", "device").orderBy("offset").rowsBetween(W.unboundedPreceding, -1))
-        parts.append(finding(read.withColumn("high", high).where("sequence < high"), "warning", "monotonic_device_sequences", "device sequence moved backwards", record=True))
+        parts.append(finding(read.where("sequence < high"), "warning", "monotonic_device_sequences", "device sequence moved backwards", record=True))
     if rules.least_payload:
         parts.append(finding(read.where(F.col("payload_size") < rules.least_payload), "warning", "payload_bounds", "record payload is below configured minimum", record=True))
     if rules.most_payload:
@@ -120,9 +137,12 @@ def fleet(spark: SparkSession, folder: str, rules: Rules = Rules()) -> DataFrame
     least_payload, most_payload, bytes_estimated, shared_devices (of the
     manifest's devices those that an archive before it has, too), errors,
     warnings, infos, ok; archives without records too."""
-    records = ath.load(spark, folder, columns=_READ)
-    damage = _damage(records)
-    read = records.where("corrupt IS NULL").join(damage, "archive_path", "left").where("damaged_at IS NULL OR offset < damaged_at")
+    records = _records(spark, folder)
+    return _fleet(spark, folder, records, _audit(spark, folder, rules, records))
+
+
+def _fleet(spark: SparkSession, folder: str, records: DataFrame, findings: DataFrame) -> DataFrame:
+    damage, read = _damage(records), _readable(records)
     told = read.groupBy("archive_path").agg(
         F.count("*").alias("records"),
         F.min("offset").alias("first_offset"),
@@ -135,7 +155,7 @@ def fleet(spark: SparkSession, folder: str, rules: Rules = Rules()) -> DataFrame
     again = devices.withColumn("nth", F.row_number().over(W.partitionBy("device").orderBy("archive_ordinal"))).where("nth > 1")
     shared = again.groupBy("archive_path").agg(F.count("*").alias("shared_devices"))
     counts = [F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning", "info")]
-    found = audit(spark, folder, rules).groupBy("archive_path").agg(*counts)
+    found = findings.groupBy("archive_path").agg(*counts)
     rows = ath.headers(spark, folder).select("archive_path")
     for part in (told, shared, found, damage.select("archive_path", F.lit(False).alias("readable"))):
         rows = rows.join(part, "archive_path", "left")
@@ -151,12 +171,12 @@ def plan(spark: SparkSession, folder: str, rules: Rules = Rules()) -> DataFrame:
     reading does is built from these; a readable one whose header is wrong is
     written again; any other is put aside. Only unsound files are scanned.
     """
-    state = fleet(spark, folder, rules)
+    records = _records(spark, folder)
+    findings = scratch.kept(_audit(spark, folder, rules, records), "findings")
+    state = scratch.kept(_fleet(spark, folder, records, findings), "fleet")
     unsound = state.where("NOT ok").select("archive_path")
-    header = audit(spark, folder, rules).where("check = 'header_matches_records'").select("archive_path", F.lit(True).alias("header_wrong")).distinct()
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ath").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    scanned = archives.salvage(spark, files.join(unsound, name == F.col("archive_path"), "left_semi")).where("packet.ok")
+    header = findings.where("check = 'header_matches_records'").select("archive_path", F.lit(True).alias("header_wrong")).distinct()
+    scanned = archives.salvage(spark, _contents(unsound, folder)).where("packet.ok")
     found = scanned.groupBy("archive_path").agg(F.count("*").alias("salvaged_records"))
     rows = state.join(found, "archive_path", "left").join(header, "archive_path", "left").na.fill(0, ["salvaged_records"]).na.fill(False, ["header_wrong"])
     more = F.col("salvaged_records") > F.col("records")
@@ -180,10 +200,8 @@ def repair(spark: SparkSession, folder: str, out: str, plans: DataFrame) -> Data
     readable = ath.load(spark, folder, columns=f"archive_path string, offset long, capture_time_ns long, corrupt string, {ath.FRAME}").where("corrupt IS NULL")
     again = readable.join(plans.where("action = 'rewrite_from_readable_records'").select("archive_path"), "archive_path", "left_semi").select("archive_path", "offset", "capture_time_ns", "frame")
     rebuilt = plans.where("action = 'rebuild_from_salvage'").select("archive_path")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ath").load(folder)
-    files = files.join(rebuilt, F.element_at(F.split("path", "/"), -1) == F.col("archive_path"), "left_semi")
     time = F.when(F.col("capture_time_ns") == 0, F.col("packet.timestamp_ns")).otherwise(F.col("capture_time_ns"))
-    salvaged = archives.salvage(spark, files).where("packet.ok").select("archive_path", "offset", time.alias("capture_time_ns"), "frame")
+    salvaged = archives.salvage(spark, _contents(rebuilt, folder)).where("packet.ok").select("archive_path", "offset", time.alias("capture_time_ns"), "frame")
     rows = again.unionByName(salvaged).withColumn("archive_path", F.concat("archive_path", F.lit(REPAIRED)))
     ath.write(rows.withColumnRenamed("offset", "place"), out)
     _put_aside(plans.where("action = 'quarantine_file'").select("archive_path"), folder, out)
@@ -193,6 +211,28 @@ def repair(spark: SparkSession, folder: str, out: str, plans: DataFrame) -> Data
     return done.select(*plans.columns, F.coalesce("written_records", F.lit(0)).alias("written_records"), verified.alias("verified"))
 
 
+def _contents(names: DataFrame, folder: str) -> DataFrame:
+    """(path, content) of the named archives of a folder and of no others. Names
+    are few bytes, so they are dealt to a stated number of tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, source = ath.opened(folder)
+        for batch in batches:
+            held, size = {"path": [], "content": []}, 0
+            for name in batch["archive_path"].to_pylist():
+                with where.open_input_file(f"{source}/{name}") as f:
+                    held["path"].append(name)
+                    held["content"].append(f.read())
+                size += len(held["content"][-1])
+                if size >= archives.HELD:
+                    yield pa.RecordBatch.from_pydict(held, archives.FILE)
+                    held, size = {"path": [], "content": []}, 0
+            yield pa.RecordBatch.from_pydict(held, archives.FILE)
+
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(tasks, "archive_path").mapInArrow(work, "path string, content binary")
+
+
 def _put_aside(names: DataFrame, folder: str, out: str) -> None:
     """Moves files; one that is gone already (a task that ran again) is done."""
 
