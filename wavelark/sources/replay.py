@@ -18,7 +18,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, GreaterThanOrEqual, InputPartition, LessThan
 from pyspark.sql.types import StructType
 
@@ -122,10 +124,13 @@ def emit(spark: SparkSession, path: str, handler, checkpoint: str, **options: ob
     told = {"emitted": 0, "bytes": 0}
 
     def each(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import functions as F
-
-        handler(batch, number)
-        n, size = batch.agg(F.count("*"), F.coalesce(F.sum("payload_size"), F.lit(0))).first()
+        # decoded once, for the handler and for the counts
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            handler(batch, number)
+            n, size = batch.agg(F.count("*"), F.coalesce(F.sum("payload_size"), F.lit(0))).first()
+        finally:
+            batch.unpersist()
         told["emitted"] += n
         told["bytes"] += size
 
