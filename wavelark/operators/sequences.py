@@ -71,9 +71,29 @@ def link_summary(df: DataFrame, idle: int, jitter: int) -> DataFrame:
 
 def sliding(readings: DataFrame, width: int) -> DataFrame:
     """WIN7/STR3: statistics of the window of width that ends at each reading."""
-    inside = W.partitionBy("channel").orderBy("time_ns").rangeBetween(-width, 0)
-    value = F.col("value")
-    return readings.select("channel", "reading_id", "time_ns", F.min("time_ns").over(inside).alias("start_ns"), F.count("*").over(inside).alias("n"), F.round(F.avg(value).over(inside), 6).alias("mean"), F.min(value).over(inside).alias("least"), F.max(value).over(inside).alias("most"))
+    # Time is cut into blocks of width: a window is the part of its reading's
+    # block up to it and the part of the block before from its start on. So two
+    # running aggregates, one forwards and one backwards, give every window,
+    # however many readings it holds.
+    block = F.col("time_ns") - F.pmod("time_ns", F.lit(width))
+    rows = readings.select("channel", "reading_id", "time_ns", "value", block.alias("block"))
+    told = {"start_ns": F.min("time_ns"), "n": F.count("*"), "values": F.count("value"), "total": F.sum("value"), "least": F.min("value"), "most": F.max("value")}
+    own = W.partitionBy("channel", "block").orderBy("time_ns").rangeBetween(W.unboundedPreceding, W.currentRow)
+    heads = rows.select("*", *[x.over(own).alias(k) for k, x in told.items()])
+    # the readings of one time in a block, and the windows that begin in it
+    times = rows.groupBy("channel", "block", "time_ns").agg(*[x.alias(k) for k, x in told.items() if k != "start_ns"])
+    asked = rows.where("time_ns IS NOT NULL").select("channel", (F.col("block") - width).alias("block"), (F.col("time_ns") - width).alias("time_ns")).distinct()
+    both = times.select("*", F.lit(False).alias("asked")).unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    rest = W.partitionBy("channel", "block").orderBy(F.desc("time_ns"), "asked").rowsBetween(W.unboundedPreceding, W.currentRow)
+    tail = {"start_ns": F.min(F.when(~F.col("asked"), F.col("time_ns"))), "n": F.sum("n"), "values": F.sum("values"), "total": F.sum("total"), "least": F.min("least"), "most": F.max("most")}
+    tails = both.select("channel", "time_ns", "asked", *[x.over(rest).alias(f"old {k}") for k, x in tail.items()]).where("asked AND `old n` > 0")
+    tails = tails.select("channel", (F.col("time_ns") + width).alias("time_ns"), *[f"`old {k}`" for k in tail])
+    on = heads["channel"].eqNullSafe(tails["channel"]) & (heads["time_ns"] == tails["time_ns"])
+    met = heads.join(tails, on, "left").select(heads["*"], *[tails[f"`old {k}`"] for k in tail])
+    added = lambda c: F.coalesce(f"`old {c}`", F.lit(0)) + F.coalesce(c, F.lit(0))
+    values = added("values")
+    mean = F.when(values > 0, F.round(added("total").cast("double") / values, 6))
+    return met.select("channel", "reading_id", "time_ns", F.least("start_ns", "`old start_ns`").alias("start_ns"), added("n").alias("n"), mean.alias("mean"), F.least("least", "`old least`").alias("least"), F.greatest("most", "`old most`").alias("most"))
 
 
 def sessions(df: DataFrame, gap_report: int = 4) -> DataFrame:
