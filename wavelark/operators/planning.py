@@ -3,9 +3,10 @@ pure: they say what would be done and change nothing."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,34 +96,25 @@ def place(policy: Rotation, shard: tuple[int, int, int, int, int], time: int, si
 def rotation(df: DataFrame, policy: Rotation, key: str = "device") -> DataFrame:
     """PLN3: shards by any mix of limits, in time order within a key. The
     limits depend on where the last shard closed, so records are one ordered
-    pass. With an idle gap in the policy every gap opens a shard whatever came
-    before it: a key is cut there, and a pass takes one stretch between gaps.
-    Without one it takes a key, whose rows must fit a task."""
-    rows = df.select(key, "archive_path", "offset", "capture_time_ns", "payload_size")
-    order = W.partitionBy(key).orderBy("capture_time_ns", "archive_path", "offset")
-    stretch = F.lit(0).cast("long")
-    if policy.idle_gap:
-        rows = rows.withColumn("gap", (F.coalesce(F.col("capture_time_ns") - F.lag("capture_time_ns").over(order), F.lit(0)) > policy.idle_gap).cast("long"))
-        stretch = F.sum("gap").over(order)
-    # which limit opens the shard behind a gap depends on the shard before it
-    behind = [F.lead(c).over(order).alias(f"next_{c}") for c in ("capture_time_ns", "payload_size")]
-    rows = rows.select(key, "archive_path", "offset", "capture_time_ns", "payload_size", stretch.alias("stretch"), *behind)
-
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["capture_time_ns", "archive_path", "offset"], kind="stable")
-        shard, reasons = (0, 0, 0, 0, 0), []
-        for time, size in zip(part["capture_time_ns"].tolist(), part["payload_size"].tolist(), strict=True):
-            shard, why = place(policy, shard, time, size)
-            reasons.append(why)
-        final = part.iloc[-1]
-        after = [None] * len(part)
-        if not pd.isna(final["next_capture_time_ns"]):
-            after[-1] = place(policy, shard, int(final["next_capture_time_ns"]), int(final["next_payload_size"]))[1]
-        return pd.DataFrame({key: part[key], "archive_path": part["archive_path"], "offset": part["offset"], "capture_time_ns": part["capture_time_ns"], "why": reasons, "after": after})
-
-    done = rows.groupBy(key, "stretch").applyInPandas(cut, f"{key} long, archive_path string, offset long, capture_time_ns long, why string, after string")
-    done = done.withColumn("opened_by", F.coalesce("why", F.lag("after").over(order)))
-    return done.select(key, "archive_path", "offset", F.sum(F.col("opened_by").isNotNull().cast("long")).over(order).alias("shard"), "opened_by")
+    pass over keys, which holds a batch of rows and a few numbers however many
+    keys, or rows of one, there are."""
+    order = ["capture_time_ns", "archive_path", "offset"]
+    rows = df.select(key, *order, "payload_size").repartition(key).sortWithinPartitions(key, *order)
+    schema = pa.schema([(key, pa.int64()), ("archive_path", pa.string()), ("offset", pa.int64()), ("shard", pa.int64()), ("opened_by", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, now, begun = (0, 0, 0, 0, 0), None, False
+        for batch in batches:
+            keys, numbers, reasons = batch.column(key).to_pylist(), [], []
+            for k, time, size in zip(keys, batch.column("capture_time_ns").to_pylist(), batch.column("payload_size").to_pylist(), strict=True):
+                if not begun or k != now:
+                    shard, now, begun = (0, 0, 0, 0, 0), k, True
+                shard, why = place(policy, shard, time, size)
+                numbers.append(shard[0])
+                reasons.append(why)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("archive_path").cast(pa.string()), batch.column("offset"), pa.array(numbers, pa.int64()), pa.array(reasons, pa.string())], schema=schema)
+
+    return rows.mapInArrow(cut, f"{key} long, archive_path string, offset long, shard long, opened_by string")
 
 
 def rotation_checks(plan: DataFrame, df: DataFrame) -> DataFrame:
