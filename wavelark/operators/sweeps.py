@@ -4,12 +4,15 @@ known channels and guard ranges, merged where neighbours allow it."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import intervals, rf
 
@@ -120,32 +123,34 @@ def merged(segments: DataFrame, receiver: Receiver) -> DataFrame:
     or lie within two bins, don't name two allocations and fit the receiver's
     span. By priority, then by lower end; equal ones by upper end, intent, reason.
 
-    A merge depends on the one before, so it is an ordered pass; but no merge
-    reaches over a gap of more than two of the widest bins, so a pass takes one
-    stretch between such gaps.
+    A merge depends on the one before, so it is one ordered pass over plans and
+    priorities, which holds a batch of rows and the segment at hand.
     """
-    order = [F.col("lower_hz"), F.col("upper_hz"), F.col("intent"), F.col("reason")]
-    by = W.partitionBy("plan", "priority").orderBy(*order)
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    apart = F.col("lower_hz") - F.max("upper_hz").over(before) > 2 * F.max("bin_width_hz").over(before)
-    rows = segments.withColumn("opens", F.coalesce(apart, F.lit(True)).cast("long"))
-    rows = rows.withColumn("stretch", F.sum("opens").over(by)).select("plan", "priority", "stretch", "intent", "lower_hz", "upper_hz", "bin_width_hz", "dwell_us", "allocation", "reason")
-    span = receiver.span_hz
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["lower_hz", "upper_hz", "intent", "reason"], kind="stable")
-        out: list[list] = []
-        for s in part.itertuples():
-            last = out[-1] if out else None
-            name = s.allocation if isinstance(s.allocation, str) else None
-            if last and last[2] == s.intent and not (last[7] and name and last[7] != name) and s.lower_hz - last[4] <= 2 * last[5] and max(last[4], s.upper_hz) - last[3] <= span:
-                last[4], last[6], last[9] = max(last[4], s.upper_hz), max(last[6], s.dwell_us), last[9] + 1
-                last[8].append(s.reason)
-            else:
-                out.append([s.plan, s.priority, s.intent, s.lower_hz, s.upper_hz, s.bin_width_hz, s.dwell_us, name, [s.reason], 1])
-        return pd.DataFrame([[*s[:8], "; ".join(s[8]), s[9]] for s in out], columns=_COLUMNS)
-
-    return rows.groupBy("plan", "priority", "stretch").applyInPandas(run, SEGMENT)
+    order = ["plan", "priority", "lower_hz", "upper_hz", "intent", "reason"]
+    rows = segments.select(*order, "bin_width_hz", "dwell_us", "allocation").repartition("plan", "priority").sortWithinPartitions(*order)
+    span, schema = receiver.span_hz, to_arrow_schema(StructType.fromDDL(SEGMENT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list | None = None
+        for batch in batches:
+            out: list[list] = []
+            columns = (batch.column(c).to_pylist() for c in ("plan", "priority", "intent", "lower_hz", "upper_hz", "bin_width_hz", "dwell_us", "allocation", "reason"))
+            for plan, priority, intent, lower, upper, width, dwell, name, reason in zip(*columns, strict=True):
+                if last and last[:3] == [plan, priority, intent] and not (last[7] and name and last[7] != name) and lower - last[4] <= 2 * last[5] and max(last[4], upper) - last[3] <= span:
+                    last[4], last[6], last[9] = max(last[4], upper), max(last[6], dwell), last[9] + 1
+                    last[8].append(reason)
+                else:
+                    if last:
+                        out.append(last)
+                    last = [plan, priority, intent, lower, upper, width, dwell, name, [reason], 1]
+            yield rows_of(out)
+        yield rows_of([last] if last else [])
+
+    def rows_of(out: list[list]) -> pa.RecordBatch:
+        done = [[*s[:8], "; ".join(s[8]), s[9]] for s in out]
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], schema.field(c).type) for i, c in enumerate(_COLUMNS)], schema=schema)
+
+    return rows.mapInArrow(run, SEGMENT)
 
 
 def plan(requests: DataFrame, receiver: Receiver = Receiver()) -> DataFrame:
