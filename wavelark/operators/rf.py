@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,24 +72,37 @@ def best_allocation(points: DataFrame, frequency: str) -> DataFrame:
 
 def nearest_channel(points: DataFrame, frequency: str) -> DataFrame:
     """JN5: the raster channel nearest to every point, at any distance: ties go
-    to the first allocation of the plan, then to the lower centre. The channels
-    of a raster that lie in their allocation follow one another, so a point's
-    nearest is one of the two around it, held to the raster's ends: neither a
-    join nor a shuffle. A null frequency has no channel."""
-    f, ways = F.col(frequency), []
+    to the first allocation of the plan, then to the lower centre. A point lies
+    between two of the plan's sorted centres, which a binary search in Arrow
+    batches finds: neither a join nor a shuffle. A null frequency has no
+    channel."""
     plan = sorted(range(len(BANDS)), key=lambda i: (BANDS[i][1], BANDS[i][2], BANDS[i][0]))
+    found: dict[int, tuple[int, int, str]] = {}
     for order, (name, low, high, *_, rasters) in enumerate(BANDS[i] for i in plan):
         for first_khz, spacing, width, first, last in rasters:
             start = first_khz * 1000
-            inside = [n for n in range(last - first + 1) if start + n * spacing - width // 2 >= low * 1000 and start + n * spacing + width // 2 + width % 2 <= high * 1000 and start + n * spacing < high * 1000]
-            if not inside:
-                continue
-            step = F.floor((f - start) / spacing)
-            for k in (step, step + 1):
-                n = F.greatest(F.least(k, F.lit(inside[-1])), F.lit(inside[0]))
-                center = F.lit(start) + n * spacing
-                ways.append(F.struct(F.abs(center - f).cast("long").alias("delta_hz"), F.lit(order).alias("order"), center.cast("long").alias("center_hz"), (n + first).cast("int").alias("number"), F.lit(name).alias("name")))
-    best = points.withColumn("_best", F.when(f.isNotNull(), F.array_min(F.array(*ways))))
+            for n in range(last - first + 1):
+                center = start + n * spacing
+                if center - width // 2 >= low * 1000 and center + width // 2 + width % 2 <= high * 1000 and center < high * 1000:
+                    found[center] = min(found.get(center, (order, first + n, name)), (order, first + n, name))
+    centers = np.array(sorted(found), np.int64)
+    orders = np.array([found[c][0] for c in centers.tolist()], np.int64)
+    numbers = np.array([found[c][1] for c in centers.tolist()], np.int32)
+    names = pa.array([found[c][2] for c in centers.tolist()], pa.string())
+
+    def near(at: pa.Array) -> pa.Array:
+        there = at.is_valid()
+        f = at.fill_null(0).to_numpy(zero_copy_only=False)
+        above = np.minimum(np.searchsorted(centers, f), len(centers) - 1)
+        below = np.maximum(np.searchsorted(centers, f, "right") - 1, 0)
+        off = [np.abs(centers[k] - f).astype(np.int64) for k in (below, above)]
+        best = np.where((off[1] < off[0]) | ((off[1] == off[0]) & (orders[above] < orders[below])), above, below)
+        delta = np.minimum(off[0], off[1])
+        fields = [names.take(pa.array(best)), pa.array(numbers[best]), pa.array(delta)]
+        return pa.StructArray.from_arrays(fields, ["name", "number", "delta_hz"], mask=pa.compute.invert(there))
+
+    found_ = F.arrow_udf(near, "struct<name: string, number: int, delta_hz: long>")(F.col(frequency))
+    best = points.withColumn("_best", found_)
     return best.select(*points.columns, F.col("_best.name").alias("channel_of"), F.col("_best.number").alias("channel"), F.col("_best.delta_hz").alias("delta_hz"))
 
 
