@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -95,20 +96,39 @@ PAYLOAD = (
     "struct<format: string, warning: string, items: int, sample_time_ns: long, readings: array<struct<channel: int, value: int, scale: int, quality: string>>, "
     "center_hz: long, bin_width_hz: int, bins: array<struct<power_x10: int, noise_x10: int>>, command: int, correlation_id: long, body: binary, max_payload: int, bands: array<string>>"
 )
+_PAIR = [("power_x10", pa.int32()), ("noise_x10", pa.int32())]
+_READING = [("channel", pa.int32()), ("value", pa.int32()), ("scale", pa.int32()), ("quality", pa.string())]
+_PAYLOAD_TYPE = pa.struct(
+    [("format", pa.string()), ("warning", pa.string()), ("items", pa.int32()), ("sample_time_ns", pa.int64()), ("readings", pa.list_(pa.struct(_READING))), ("center_hz", pa.int64()), ("bin_width_hz", pa.int32())]
+    + [("bins", pa.list_(pa.struct(_PAIR))), ("command", pa.int32()), ("correlation_id", pa.int64()), ("body", pa.binary()), ("max_payload", pa.int32()), ("bands", pa.list_(pa.string()))]
+)
 _PAYLOAD = ("sample_time_ns", "readings", "center_hz", "bin_width_hz", "bins", "command", "correlation_id", "body", "max_payload", "bands")
 
 
-def decode_payload(data: pd.Series) -> pd.DataFrame:
+#: Payloads that are Python values at a time: a batch's structs and lists as
+#: such would take hundreds of bytes for each item.
+PAYLOADS = 256
+
+
+def _parts(values: pa.Array) -> Iterator[list]:
+    for at in range(0, len(values), PAYLOADS):
+        yield values.slice(at, PAYLOADS).to_pylist()
+
+
+def decode_payload(data: pa.Array) -> pa.Array:
     """Payloads by their first byte; what can't be decoded becomes a warning."""
-    rows = []
-    for x in data:
-        try:
-            p = C.decode_payload(bytes(x or b""))
-            items = next((len(p[k]) for k in ("readings", "bins", "body", "bands") if k in p), 0)
-            rows.append({"format": p["format"], "warning": None, "items": items} | {k: p.get(k) for k in _PAYLOAD})
-        except C.WireError as e:
-            rows.append({"format": "unknown", "warning": str(e), "items": 0} | dict.fromkeys(_PAYLOAD))
-    return pd.DataFrame(rows, columns=["format", "warning", "items", *_PAYLOAD])
+    out = []
+    for part in _parts(data):
+        rows = []
+        for x in part:
+            try:
+                p = C.decode_payload(x or b"")
+                items = next((len(p[k]) for k in ("readings", "bins", "body", "bands") if k in p), 0)
+                rows.append({"format": p["format"], "warning": None, "items": items} | {k: p.get(k) for k in _PAYLOAD})
+            except C.WireError as e:
+                rows.append({"format": "unknown", "warning": str(e), "items": 0} | dict.fromkeys(_PAYLOAD))
+        out.append(pa.array(rows, _PAYLOAD_TYPE))
+    return pa.concat_arrays(out) if out else pa.array([], _PAYLOAD_TYPE)
 
 
 def _plain(value):
@@ -136,9 +156,9 @@ def encode_packet(packets: pd.DataFrame) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def encode_payload(payloads: pd.DataFrame) -> pd.Series:
+def encode_payload(payloads: pa.Array) -> pa.Array:
     """Payloads of structs with a format and its fields."""
-    return pd.Series([C.encode_payload(_plain(p)) for p in payloads.to_dict("records")], dtype=object)
+    return pa.array((C.encode_payload(p) for part in _parts(payloads) for p in part), pa.binary())
 
 
 def tlv_pack(types: pd.Series, values: pd.Series) -> pd.Series:
@@ -180,9 +200,13 @@ TYPES = {
 }
 
 
+#: Those that take and give Arrow arrays instead of series.
+ARRAYS = ("encode_payload", "decode_payload")
+
+
 def udf(name: str):
     """One of the functions above as an Arrow UDF on columns."""
-    return F.pandas_udf(globals()[name], TYPES[name])
+    return (F.arrow_udf if name in ARRAYS else F.pandas_udf)(globals()[name], TYPES[name])
 
 
 def register(spark: SparkSession) -> None:
