@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, keyed, parted, rows_of, scope, staged, union, utf8, without
+from .common import bitmap, components, free_name, keyed, maybe_in, parted, rows_of, scope, staged, union, utf8, without
 
 CELL = 24
 GLOBAL_PIVOTS = 8
@@ -243,9 +243,14 @@ def prefixes(texts: DataFrame, often: np.ndarray, width: int, similarity: float)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) have a Jaccard
-    similarity of their distinct shingles of at least `similarity`."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    """The pairs (a, b) of nodes whose texts (node, text and what sketched adds)
+    have a Jaccard similarity of their distinct shingles of at least
+    `similarity`. Sketches tell most others first; only texts of pairs that are
+    left reach an exchange."""
+    pairs = staged(alike(pairs, _met(texts.select("node", "size", "sketch"), pairs), similarity), "alike")
+    met = _met(texts.select("node", "text"), pairs)
+    of = lambda node, text: met.select(F.col("node").alias(node), F.col("text").alias(text))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 256):
@@ -258,20 +263,61 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
     return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def _met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (node) that occur in pairs (a, b), and few others."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    return maybe_in(rows, "node", bitmap(nodes, "node"))
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches (node, size, sketch) allow the
+    similarity: similar sets differ in a known share of their sizes at most."""
+    of = lambda node, n: texts.select(F.col("node").alias(node), F.col("size").alias(f"size{n}"), F.col("sketch").alias(f"sketch{n}"))
+    both = pairs.join(of("a", 0), "a").join(of("b", 1), "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+            apart = np.array([_apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)])
+            keep = apart <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-9
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "size0", "size1", "sketch0", "sketch1").mapInArrow(work, "a long, b long")
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the number of hashes by their last bits: two bits a hash."""
+    bits = min(1 << 16, max(256, 1 << (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ; the longer one is folded."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sketched(texts: DataFrame, width: int) -> DataFrame:
-    """texts (node, text) with bits0 to bits3: bit h is the parity of the number
-    of distinct shingles with hash h. A shingle that only one of two texts has
-    changes one bit, so texts differ in as many shingles as in bits, or more."""
+    """texts (node, text) with their number of distinct shingles (size), a
+    sketch of them and bits0 to bits3: bit h is the parity of the number of
+    shingles with hash h. A shingle that only one of two texts has changes one
+    bit, so texts differ in as many shingles as in bits, or more."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
-            bits = np.zeros((b.num_rows, 4), np.int64)
+            bits, sizes, sketches = np.zeros((b.num_rows, 4), np.int64), [], []
             for i, text in enumerate(utf8(b.column(1))):
-                odd = np.bincount((_hashes(shingles(text, width)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                hashes = _hashes(shingles(text, width))
+                odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                 bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, bits.T.copy())], names=["node", "text", *BITS])
+                sizes.append(len(hashes))
+                sketches.append(_sketch(hashes))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), *map(pa.array, bits.T.copy())], names=["node", "text", "size", "sketch", *BITS])
 
-    return texts.select("node", "text").mapInArrow(work, "node long, text string, " + ", ".join(f"{c} long" for c in BITS))
+    return texts.select("node", "text").mapInArrow(work, "node long, text string, size int, sketch binary, " + ", ".join(f"{c} long" for c in BITS))
 
 
 def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
