@@ -23,10 +23,13 @@ def test_texts_that_sketches_tell_apart_reach_no_exchange(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        held = staged(simhash.sketched(spark.createDataFrame(texts, "node long, text string"), 5), "texts")
-        pairs = staged(spark.createDataFrame([(0, i) for i in range(1, 200)], "a long, b long"), "pairs")
+        held = staged(simhash.sketched(spark.createDataFrame([*texts, texts[1], (200, " ")], "n long, text string"), 5), "texts")
+        marks = staged(simhash.marked(held), "marks")
+        assert held.count() == 201 and marks.count() == 200
+        node = [simhash._node(simhash._key(t.encode())) for _, t in texts]
+        pairs = staged(spark.createDataFrame([(node[0], node[i]) for i in range(1, 200)], "a long, b long"), "pairs")
         start = _written(spark)
-        assert [tuple(r) for r in simhash.similar(pairs, held, 5, 0.8).collect()] == [(0, 1)]
+        assert [tuple(r) for r in simhash.similar(pairs, held, marks, 5, 0.8).collect()] == [(node[0], node[1])]
         sent = _written(spark) - start
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -242,13 +242,13 @@ def prefixes(texts: DataFrame, often: np.ndarray, width: int, similarity: float)
     return texts.select("text").mapInArrow(work, "cell long, node long, size int")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text and what sketched adds)
-    have a Jaccard similarity of their distinct shingles of at least
-    `similarity`. Sketches tell most others first; only texts of pairs that are
-    left reach an exchange."""
-    pairs = staged(alike(pairs, _met(texts.select("node", "size", "sketch"), pairs), similarity), "alike")
-    met = _met(texts.select("node", "text"), pairs)
+def similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, text; copies may occur) have
+    a Jaccard similarity of their distinct shingles of at least `similarity`.
+    Sketches (marks) tell most others first; only texts of pairs that are left
+    reach an exchange."""
+    pairs = staged(alike(pairs, _met(marks.select("node", "size", "sketch"), pairs), similarity), "alike")
+    met = _met(texts.select("node", "text"), pairs).groupBy("node").agg(F.first("text").alias("text"))
     of = lambda node, text: met.select(F.col("node").alias(node), F.col("text").alias(text))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
 
@@ -301,26 +301,34 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def sketched(texts: DataFrame, width: int) -> DataFrame:
-    """texts (node, text) with their number of distinct shingles (size), a
-    sketch of them and bits0 to bits3: bit h is the parity of the number of
-    shingles with hash h. A shingle that only one of two texts has changes one
-    bit, so texts differ in as many shingles as in bits, or more."""
+    """texts (text) that have words, with their node, their number of distinct
+    shingles (size), a sketch of them and bits0 to bits3: bit h is the parity of
+    the number of shingles with hash h. A shingle that only one of two texts has
+    changes one bit, so texts differ in as many shingles as in bits, or more."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
-            bits, sizes, sketches = np.zeros((b.num_rows, 4), np.int64), [], []
-            for i, text in enumerate(utf8(b.column(1))):
-                hashes = _hashes(shingles(text, width))
+            nodes, bits, sizes, sketches = [], np.zeros((b.num_rows, 4), np.int64), [], []
+            for i, text in enumerate(utf8(b.column(0))):
+                key, hashes = _key(text), _hashes(shingles(text, width))
                 odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                 bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                nodes.append(_node(key) if key else None)
                 sizes.append(len(hashes))
                 sketches.append(_sketch(hashes))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), *map(pa.array, bits.T.copy())], names=["node", "text", "size", "sketch", *BITS])
+            out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column(0), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), *map(pa.array, bits.T.copy())], names=["node", "text", "size", "sketch", *BITS])
+            yield out.filter(out.column(0).is_valid())
 
-    return texts.select("node", "text").mapInArrow(work, "node long, text string, size int, sketch binary, " + ", ".join(f"{c} long" for c in BITS))
+    return texts.select("text").mapInArrow(work, "node long, text string, size int, sketch binary, " + ", ".join(f"{c} long" for c in BITS))
 
 
-def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def marked(texts: DataFrame) -> DataFrame:
+    """(node, size, sketch, bits0 to bits3) of what sketched gives, once a node:
+    copies have the same."""
+    return texts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", *BITS)])
+
+
+def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, marks: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, root): the components of all similar pairs that share a cell of
     rows (cell, node, size), or are candidates of first (a, b).
 
@@ -330,10 +338,9 @@ def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, sim
     its texts are linked already, and a group of copies costs as many
     verifications as it has texts, not pairs.
     """
-    found = staged(similar(first, texts, width, similarity), "similar")
+    found = staged(similar(first, texts, marks, width, similarity), "similar")
     member = staged(components(found), "members")
     tried, pivots, live = staged(first.distinct(), "tried"), 1, rows
-    marks = texts.select("node", *BITS)
     while True:
         live = live.join(member, "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
         # what is left of a cell matters while it holds two components
@@ -344,7 +351,8 @@ def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, sim
         part = F.pmod(F.xxhash64("node"), F.lit(pivots))
         chosen = live.groupBy("cell", part.alias("part")).agg(F.min("node").alias("node"))
         chosen = staged(live.join(chosen.select("cell", "node"), ["cell", "node"]), "pivots")
-        p, q = chosen.join(marks, "node").alias("p"), live.join(marks, "node").alias("q")
+        bits = marks.select("node", *BITS)
+        p, q = chosen.join(bits, "node").alias("p"), live.join(bits, "node").alias("q")
         sizes = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * similarity - 1e-9
         # similar sets differ in a known share of their sizes at most
         apart = sum(F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in BITS)
@@ -352,7 +360,7 @@ def grouped(rows: DataFrame, first: DataFrame, texts: DataFrame, width: int, sim
         pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.root") != F.col("q.root")) & sizes)
         pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        found = staged(similar(pairs, texts, width, similarity), "similar")
+        found = staged(similar(pairs, texts, marks, width, similarity), "similar")
         tried = tried.union(pairs)
         if not found.isEmpty():
             member = staged(components(found.union(member.select(F.col("root").alias("a"), F.col("node").alias("b")))), "members")
@@ -382,10 +390,11 @@ def _copies(texts: DataFrame, key: str, width: int, similarity: float, max_bits:
     many = staged(many, "many")
     cells = union([staged(some.distinct().join(keys, "cell"), "cells") for some, keys in parted(listed, "cell", many)])
     met = cells.select("node").union(first.select("a")).union(first.select("b")).distinct()
-    asked = staged(nodes.join(met, "node", "left_semi").select("node", F.col("least.row").alias("row")), "asked")
-    of = lambda some, keys: some.join(keys, "row").select("node", "text")
-    some = union([staged(sketched(of(some, keys), width), "texts") for some, keys in parted(texts.select("row", "text"), "row", asked)])
-    groups = nodes.join(grouped(cells, first, some, width, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    asked = staged(nodes.join(met, "node", "left_semi").select(F.col("least.row").alias("row")), "asked")
+    # rows that a bitmap lets through by chance are copies or meet nothing
+    some = union([staged(sketched(some, width), "texts") for some, _ in parted(texts.select("row", "text"), "row", asked)])
+    marks = staged(marked(some), "marks")
+    groups = nodes.join(grouped(cells, first, some, marks, width, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = groups.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     gone = got.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(key))
     return own.keep(staged(gone, "gone"))
