@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import math
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -80,9 +81,10 @@ def arrange(c: Classes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[A.START], c.inputs[ids]]).astype(np.int32), targets
 
 
-def score(w: A.Weights, c: Classes, texts: list[np.ndarray], block: int = 32) -> np.ndarray:
-    """Natural log probability of every text (arrays of ids). A block of
-    windows is small enough for its numbers to stay in a core's cache."""
+def score(w: A.Weights, c: Classes, texts: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of every text (arrays of ids). Of a later window
+    only the places that it scores are computed; those before them give keys and
+    values."""
     total = np.zeros(len(texts))
     xs, ys, starts, first, ends, owner = [], [], [], [], [], []
     at = 0
@@ -90,6 +92,7 @@ def score(w: A.Weights, c: Classes, texts: list[np.ndarray], block: int = 32) ->
         x, y = arrange(c, ids)
         xs += [x, np.zeros(A.WINDOW, np.int32)]
         ys += [y, np.zeros(A.WINDOW, np.int64)]
+        total[i] = c.tail[y].sum()
         for s, f in A.windows(len(y)):
             starts.append(at + s)
             first.append(f)
@@ -98,19 +101,18 @@ def score(w: A.Weights, c: Classes, texts: list[np.ndarray], block: int = 32) ->
         at += len(y) + A.WINDOW
     if not starts:
         return total
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    start, low, high, own = (np.array(v) for v in (starts, first, ends, owner))
-    steps = np.arange(A.WINDOW)
-    tail, classes = c.tail.astype(np.float32), c.classes
-    for b in range(0, len(start), block):
-        cut = slice(b, b + block)
-        index = start[cut, None] + steps
-        scored = (steps >= low[cut, None]) & (steps < high[cut, None])
-        target = y[index[scored]]
-        logp = A.log_probability(w, A.outputs(w, x[index])[scored], classes[target]) + tail[target]
-        per = np.zeros(index.shape)
-        per[scored] = logp
-        np.add.at(total, own[cut], per.sum(1))
+    x, y = np.concatenate(xs), c.classes[np.concatenate(ys)]
+    start, begins, high, own = (np.array(v) for v in (starts, first, ends, owner))
+    room = A.Room()
+    for low in (0, A.WINDOW - A.STRIDE):
+        steps = np.arange(low, A.WINDOW)
+        some = np.flatnonzero(begins == low)
+        for cut in np.split(some, range(A.BLOCK, len(some), A.BLOCK)):
+            target = y[start[cut, None] + steps].ravel()
+            order, bounds = A.sorted_by_group(target, (steps < high[cut, None]).ravel())
+            z, _ = A.hidden(w, x[start[cut, None] + np.arange(A.WINDOW)], low, room)
+            logp = A.log_probability(w, z.reshape(-1, A.WIDTH).take(order, axis=0), target[order], bounds, room)
+            np.add.at(total, own[cut], np.bincount(order // len(steps), logp, len(cut)))
     return total
 
 
@@ -167,13 +169,14 @@ def windows(documents: DataFrame, r: int) -> DataFrame:
     of every text once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = struct.Struct("=II").pack
         for b in rows_of(batches, 512):
             out = []
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.uint32)
-                for at in range(0, len(ids) + 1, A.WINDOW):
-                    if zlib.crc32(f"{name}:{at}".encode()) % ROUNDS == r:
-                        out.append(np.array([at, len(ids)], np.uint32).tobytes() + ids[max(0, at - 1) : at + A.WINDOW].tobytes())
+                size, begun = len(raw) // 4, zlib.crc32(f"{name}:".encode())
+                for at in range(0, size + 1, A.WINDOW):
+                    if zlib.crc32(b"%d" % at, begun) % ROUNDS == r:
+                        out.append(pack(at, size) + raw[4 * max(0, at - 1) : 4 * (at + A.WINDOW)])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     return documents.select("id", "ids").mapInArrow(work, "ids binary")
@@ -181,18 +184,23 @@ def windows(documents: DataFrame, r: int) -> DataFrame:
 
 def _examples(c: Classes, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training windows as inputs, target classes and scored positions."""
-    x = np.zeros((len(raw), A.WINDOW), np.int32)
-    y = np.zeros((len(raw), A.WINDOW), np.int32)
-    scored = np.zeros((len(raw), A.WINDOW), bool)
-    for i, data in enumerate(raw):
-        numbers = np.frombuffer(data, np.uint32)
-        at, size, ids = int(numbers[0]), int(numbers[1]), numbers[2:].astype(np.int64)
-        whole_x = np.concatenate([[A.START], c.inputs[ids]]) if at == 0 else c.inputs[ids]
-        after = ids if at == 0 else ids[1:]
-        targets = np.append(after, c.end) if at + len(after) == size else after
-        n = min(A.WINDOW, len(targets))
-        x[i, :n], y[i, :n], scored[i, :n] = whole_x[:n], c.classes[targets[:n]], True
-    return x, y, scored
+    numbers = np.frombuffer(b"".join(raw), np.uint32)
+    held = np.array([len(x) // 4 for x in raw])
+    begin = np.cumsum(held) - held
+    at, size = numbers[begin].astype(np.int64), numbers[begin + 1].astype(np.int64)
+    begin, held = begin + 2, held - 2  # the ids, the one before the window among them
+    before = (at > 0).astype(np.int64)
+    ends = at + held - before == size
+    n = np.minimum(A.WINDOW, held - before + ends)
+    steps = np.arange(A.WINDOW)
+    scored = steps < n[:, None]
+    place = begin[:, None] + before[:, None] + steps  # of the targets
+    last = (begin + held - 1)[:, None]  # of no ids: the size, which is 0
+    of = lambda table, where: table[numbers[np.minimum(np.maximum(where, begin[:, None]), last)]]
+    y = np.where(steps < (held - before)[:, None], of(c.classes, place), c.classes[c.end])
+    x = of(c.inputs, place - 1)
+    x[at == 0, 0] = A.START
+    return np.where(scored, x, 0).astype(np.int32), np.where(scored, y, 0).astype(np.int32), scored
 
 
 def fit(documents: DataFrame, c: Classes, shares: np.ndarray) -> A.Weights:
