@@ -81,16 +81,22 @@ def test_gradient_is_the_slope_of_the_loss():
         assert abs(slope / np.sqrt((v**2).sum()) - 1) < 0.03, k
 
 
-def test_windows_become_inputs_and_targets():
-    """Whole, later, last and empty windows of texts."""
-    c = lm.Classes({i: 3000 - i for i in range(1, 300)}, 3000)
-    texts = [np.arange(1, n + 1, dtype=np.uint32) for n in (0, 5, A.WINDOW, 2 * A.WINDOW + 7)]
-    for ids in texts:
-        for at in range(0, len(ids) + 1, A.WINDOW):
-            raw = np.array([at, len(ids)], np.uint32).tobytes() + ids[max(0, at - 1) : at + A.WINDOW].tobytes()
-            other = np.array([0, 2, 7, 8], np.uint32).tobytes()
-            x, y, scored = (v[1] for v in lm._examples(c, [other, raw, other]))
-            want_x, want_y = lm.arrange(c, ids.astype(np.int64))
-            n = min(A.WINDOW, len(want_y) - at)
-            assert scored.tolist() == [True] * n + [False] * (A.WINDOW - n)
-            assert x[:n].tolist() == want_x[at : at + n].tolist() and y[:n].tolist() == c.classes[want_y[at : at + n]].tolist()
+def test_windows_become_inputs_and_targets(spark):
+    """Whole, later, last and empty windows of texts; ids beyond 16 bits in some."""
+    size = 70_000
+    c = lm.Classes({i: 80_000 - i for i in [*range(1, 300), *range(65_530, 65_800)]}, size)
+    texts = [np.arange(first, first + n, dtype=np.uint32) for first in (1, 65_500, 69_800) for n in (0, 5, A.WINDOW - 1, A.WINDOW, 2 * A.WINDOW + 7)]
+    rows = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "id long, ids binary")
+    raw = [bytes(r.ids) for n in range(lm.ROUNDS) for r in lm.windows(rows, n).collect()]
+    got = [(x[s].tolist(), y[s].tolist()) for x, y, s in zip(*lm._examples(c, raw), strict=True)]
+    want = []
+    for t in texts:
+        x, y = lm.arrange(c, t.astype(np.int64))
+        want += [(x[at : at + A.WINDOW].tolist(), c.classes[y[at : at + A.WINDOW]].tolist()) for at in range(0, len(t) + 1, A.WINDOW)]
+    assert sorted(got) == sorted(want)
+
+
+def test_windows_take_two_bytes_an_id(spark):
+    """They are shuffled, once for all subwords of the training texts."""
+    rows = spark.createDataFrame([(0, bytearray(np.arange(1, 1001, dtype=np.uint32).tobytes()))], "id long, ids binary")
+    assert sum(len(r.ids) for n in range(lm.ROUNDS) for r in lm.windows(rows, n).collect()) == 16 * 8 + 2 * (1000 + 15)

@@ -163,20 +163,24 @@ def gather(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(documents: DataFrame, r: int) -> DataFrame:
-    """(ids): the windows of round r of documents (id, ids), as bytes of uint32:
-    place and length of the text's ids, the id before the window, if there is
-    one, and the window's. The windows of all rounds hold every id and the end
-    of every text once."""
+    """(ids): the windows of round r of documents (id, ids), as bytes: place and
+    length of the text's ids (uint32), then the id before the window, if there is
+    one, and the window's, first the lower halves of all (uint16) and, where a
+    text has ids beyond them, the upper halves. The windows of all rounds hold
+    every id and the end of every text once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = struct.Struct("=II").pack
         for b in rows_of(batches, 512):
             out = []
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                halves = np.frombuffer(raw, np.uint16)
                 size, begun = len(raw) // 4, zlib.crc32(f"{name}:".encode())
+                low, high = halves[::2].tobytes(), halves[1::2].tobytes() if halves[1::2].any() else b""
                 for at in range(0, size + 1, A.WINDOW):
                     if zlib.crc32(b"%d" % at, begun) % ROUNDS == r:
-                        out.append(pack(at, size) + raw[4 * max(0, at - 1) : 4 * (at + A.WINDOW)])
+                        cut = slice(2 * max(0, at - 1), 2 * (at + A.WINDOW))
+                        out.append(pack(at, size) + low[cut] + high[cut])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     return documents.select("id", "ids").mapInArrow(work, "ids binary")
@@ -184,19 +188,26 @@ def windows(documents: DataFrame, r: int) -> DataFrame:
 
 def _examples(c: Classes, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training windows as inputs, target classes and scored positions."""
-    numbers = np.frombuffer(b"".join(raw), np.uint32)
-    held = np.array([len(x) // 4 for x in raw])
+    numbers = np.frombuffer(b"".join(raw), np.uint16)
+    held = np.array([len(x) // 2 for x in raw])
     begin = np.cumsum(held) - held
-    at, size = numbers[begin].astype(np.int64), numbers[begin + 1].astype(np.int64)
-    begin, held = begin + 2, held - 2  # the ids, the one before the window among them
-    before = (at > 0).astype(np.int64)
+    at, size = (numbers[begin + i] + (numbers[begin + i + 1].astype(np.int64) << 16) for i in (0, 2))
+    begin, before = begin + 4, (at > 0).astype(np.int64)
+    upper = held - 4  # twice as many as ids, if upper halves are there
+    held = np.minimum(size, at + A.WINDOW) - at + before
+    upper = np.where(upper > held, held, 0)[:, None]
     ends = at + held - before == size
     n = np.minimum(A.WINDOW, held - before + ends)
     steps = np.arange(A.WINDOW)
     scored = steps < n[:, None]
     place = begin[:, None] + before[:, None] + steps  # of the targets
-    last = (begin + held - 1)[:, None]  # of no ids: the size, which is 0
-    of = lambda table, where: table[numbers[np.minimum(np.maximum(where, begin[:, None]), last)]]
+    last = (begin + held - 1)[:, None]  # of no ids: a half of the size, which is 0
+
+    def of(table: np.ndarray, where: np.ndarray) -> np.ndarray:
+        where = np.minimum(np.maximum(where, begin[:, None]), last)
+        ids = numbers[where]
+        return table[ids + np.where(upper > 0, numbers[where + upper].astype(np.int64) << 16, 0) if upper.any() else ids]
+
     y = np.where(steps < (held - before)[:, None], of(c.classes, place), c.classes[c.end])
     x = of(c.inputs, place - 1)
     x[at == 0, 0] = A.START
